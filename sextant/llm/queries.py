@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm.near import near_duplicates
 from sextant.llm.substring import strip_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +20,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(table(spark, sf_dir, "documents"), window=20, start=10, keep_text=False)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
