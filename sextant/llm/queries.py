@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm import quality_rules, url_filter
 from sextant.llm.near import near_duplicates
 from sextant.llm.substring import strip_repeats
 
@@ -24,9 +25,23 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(quality_rules.ledger(table(spark, sf_dir, "documents")), version=2)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.feed_list(pages))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_url_filters": op8_url_filters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": quality_rules.ORACLE,
+    "op8_url_filters": url_filter.ORACLE,
+}
