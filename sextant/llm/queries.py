@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import quality_rules, url_filter
+from sextant.llm import packing, quality_rules, url_filter, warc
 from sextant.llm.near import near_duplicates
 from sextant.llm.substring import strip_repeats
 
@@ -21,10 +21,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(table(spark, sf_dir, "documents"), window=20, start=10, keep_text=False)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_archives(index, folder).drop("url")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, per_source=4)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.ledger(table(spark, sf_dir, "documents")), version=2)
 
@@ -36,12 +45,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_warc": op3_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
 }
