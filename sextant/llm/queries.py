@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import decontaminate, packing, quality, quality_rules, url_filter, warc
+from sextant.llm import decontaminate, language, packing, quality, quality_rules, token_counts, url_filter, warc
 from sextant.llm.near import near_duplicates
 from sextant.llm.substring import strip_repeats
 
@@ -21,6 +21,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(table(spark, sf_dir, "documents"), window=20, start=10, keep_text=False)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = token_counts.trees(token_counts.revision(table(spark, sf_dir, "documents")), edits="edits")
+    out = token_counts.edited(built)
+    return out.selectExpr("doc_id", "n_before as n_tokens", "n_tokens as n_tokens_edited", "n_pretokens as n_pretokens_edited", "n_reencoded")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(index, folder).drop("url")
@@ -34,6 +40,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, per_source=4)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.ledger(table(spark, sf_dir, "documents")), version=2)
 
@@ -53,9 +63,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
