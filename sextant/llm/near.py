@@ -6,10 +6,17 @@
    below j + 1 no later step can lower one, so the walk stops early.
 2. Documents with equal sets form a class, whose smallest doc_id goes on alone: exact copies never
    meet in a bucket.
-3. Buckets are joined as stars: each member with the member that shares most buckets. Pairs whose
-   signatures differ widely are let go, the rest are confirmed on full sets, and union-find
-   by label propagation merges them. Only members of one bucket that are still in different
-   components are then compared with each other, so no bucket of copies is expanded into pairs.
+3. Buckets are joined as stars: each member with the member that shares most buckets, its centre.
+   These pairs are compared on full sets, and union-find by label propagation merges those that
+   are linked.
+4. Members of one centre that are still in different components may be linked with each other.
+   No bucket is expanded into its pairs for that: the exact overlaps with the centre say what two
+   members must share beyond it. With x and y of sizes |x| and |y|, a link needs
+   need = percent * (|x| + |y|) / (100 + percent) common shingles, and they have at most
+   min(|x & c|, |y & c|) + |(x - c) & (y - c)|. So either they meet on a shingle outside the centre
+   (an equi-join on the rarest of those, with the prefix and position filters of set joins) or both overlaps
+   reach ``need`` (an equi-join on size bins, empty unless sizes differ). The pairs found are
+   compared on full sets too, and merged.
 
 With 40 bands of 5 rows a pair of similarity 0.75 meets in some band but for 2 in 100,000 cases,
 one of 0.8 but for 1 in 8 million.
@@ -21,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm import _tokens as K
@@ -91,37 +98,56 @@ def _signed_rows(bands: int, rows: int):
                 n=pa.array(n, pa.int64()),
                 set_a=a,
                 set_b=b,
-                sig=pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets * np.int32(m)), pa.py_buffer((K.mix(h[some]) >> np.uint64(56)).astype(np.uint8).tobytes())]),
                 keys=pa.ListArray.from_arrays(offsets * np.int32(bands), keys[some].reshape(-1)),
             )
 
     return run
 
 
-def _alike(m: int, least: float):
-    """Keeps the pairs whose one-byte signatures agree in a share of at least ``least``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least * m))
-
-    return run
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, "text_a"):
-            (x, fx), (y, fy) = shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b"))
-            keep = []
-            for i in range(part.num_rows):
-                p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes, overlap, and the shingles of ``id`` that ``other`` has not, ascending."""
+    for part in K.slices(batches, "text_id"):
+        (x, fx), (y, fy) = shingle_sets(part.column("text_id")), shingle_sets(part.column("text_other"))
+        both, more = [], []
+        for i in range(part.num_rows):
+            p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
+            at = np.searchsorted(q, p)
+            missing = p[q[np.minimum(at, len(q) - 1)] != p]
+            both.append(len(p) - len(missing))
+            more.append(K.signed(missing))
+        yield K.as_batch(
+            id=part.column("id"), other=part.column("other"), n_id=pa.array(np.diff(fx), pa.int64()), n_other=pa.array(np.diff(fy), pa.int64()),
+            both=pa.array(both, pa.int64()), more=pa.array(more, pa.list_(pa.int64())),
+        )
+
+
+_COMPARED = "id long, other long, n_id long, n_other long, both long, more array<long>"
+_BIN = "cast(floor(20 * ln({})) as int)"
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """(id, other) of the pairs of members of one centre that may be linked and have different
+    labels; ``members`` has (centre, id, label, n, both, more), both and more as against the
+    centre."""
+    p = percent
+    m = members.withColumn("low", F.ceil(F.expr(f"{p} * n / 100"))).withColumn("cap", F.expr(f"floor({100 + p} * both / {p}) - n"))
+    short = F.expr(f"cast(ceil({p} * (n + low) / {100 + p}) - both as int)")
+    every = m.select("centre", "id", "label", "n", "both", F.size("more").alias("size"), short.alias("short"), F.explode("more").alias("shingle"))
+    often = every.groupBy("centre", "shingle").agg(F.count("id").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("centre", "id").orderBy("often", "shingle"))
+    key = every.join(often, ["centre", "shingle"]).withColumn("rank", rank).filter("often > 1 and rank <= size - greatest(short, 1) + 1")
+    x, y = (key.select("centre", "shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "label", "n", "both", "size", "rank"))) for side in "xy")
+    lacking = f"ceil({p} * (x_n + y_n) / {100 + p}) - least(x_both, y_both)"
+    meet = x.join(y, ["centre", "shingle"]).filter(f"x_id < y_id and x_label <> y_label and 100 * least(x_n, y_n) >= {p} * greatest(x_n, y_n) and 1 + least(x_size - x_rank, y_size - y_rank) >= {lacking}")
+
+    wide = m.filter("cap >= low").withColumn("bx", F.expr(_BIN.format("n")))
+    wide = wide.withColumn("by", F.explode(F.expr(f"sequence({_BIN.format('low')}, {_BIN.format('least(cap, n)')})")))
+    slim = m.filter("cap >= n").withColumn("by", F.expr(_BIN.format("n")))
+    slim = slim.withColumn("bx", F.explode(F.expr(f"sequence(by, {_BIN.format(f'least(cap, floor(100 * n / {p}))')})")))
+    x, y = (d.select("centre", "bx", "by", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "label", "n", "cap"))) for d, side in ((wide, "x"), (slim, "y")))
+    inside = x.join(y, ["centre", "bx", "by"]).filter("x_label <> y_label and y_n <= x_n and y_n <= x_cap and x_n <= y_cap")
+    pairs = meet.select("x_id", "y_id").union(inside.select("x_id", "y_id"))
+    return pairs.select(F.least("x_id", "y_id").alias("id"), F.greatest("x_id", "y_id").alias("other")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -134,40 +160,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     """
     m = bands * rows
     texts = keyed(docs, "doc_id", "text")
-    signed = cut(texts.mapInArrow(_signed_rows(bands, rows), "doc_id long, n long, set_a long, set_b long, sig binary, keys array<long>"))
+    signed = cut(texts.mapInArrow(_signed_rows(bands, rows), "doc_id long, n long, set_a long, set_b long, keys array<long>"))
     same = ["n", "set_a", "set_b"]
     classes = cut(signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    single = signed.select("doc_id", "sig", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    single = signed.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     member = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     shared = member.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1")
     member = cut(member.join(shared, "key"))
     degree = member.groupBy("id").agg(F.sum(F.col("size") - 1).alias("degree"))
     centre = member.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
-    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
-    star = cut(member.join(centre.select("key", (-F.col("top.minus")).alias("other")), "key").filter("id <> other").select(*pair).distinct())
+    star = member.join(centre.select("key", (-F.col("top.minus")).alias("other")), "key").filter("id <> other").select("id", "other").distinct()
 
-    sigs = signed.select("doc_id", "sig")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(sigs.select(F.col("doc_id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-        pairs = cut(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(m, percent / 100 - 0.17), "a long, b long"))
-        for side in ("a", "b"):
+    def compared(pairs: DataFrame) -> DataFrame:
+        for side in ("id", "other"):
             pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
+        return cut(pairs.select("id", "other", "text_id", "text_other").mapInArrow(_compare, _COMPARED))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(f"100 * both >= {percent} * (n_id + n_other - both)").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
-    links = confirmed(star)
+    pairs = compared(star)
+    links = linked(pairs)
     labels = components(links)
-    placed = member.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    placed = cut(placed.join(mixed.select("key"), "key"))
-    other = placed.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-    across = placed.join(other, "key").filter("id < other and label <> other_label").select(*pair).distinct().join(star, ["a", "b"], "left_anti")
-    across = cut(across)
+    named = pairs.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    middle = labels.select(F.col("id").alias("other"), F.col("label").alias("middle"))
+    named = named.join(middle, "other", "left").withColumn("middle", F.coalesce("middle", "other")).withColumnRenamed("other", "centre").withColumnRenamed("n_id", "n")
+    mixed = named.groupBy("centre").agg(F.min(F.least("label", "middle")).alias("lo"), F.max(F.greatest("label", "middle")).alias("hi")).filter("lo < hi")
+    members = cut(named.join(mixed, "centre", "left_semi").select("centre", "id", "label", "n", "both", "more"))
+    across = cut(_across(members, percent))
     if not across.isEmpty():
-        more = confirmed(across)
-        labels = components(links.union(more))
+        labels = components(links.union(linked(compared(across))))
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(named, same, "left")

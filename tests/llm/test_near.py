@@ -67,3 +67,24 @@ def test_signature_estimates_similarity():
         h = super_minhash(np.append(a, b), np.array([0, len(a), len(a) + len(b)]), 200)
         assert abs((h[0] == h[1]).mean() - common / 400) < 0.12
         assert (np.sort(h[0] >> np.uint64(32)) <= 20).all()
+
+
+def test_outsiders_of_a_star(spark):
+    """Members that miss the centre but are linked with each other, by common additions or as
+    parts of the centre, and many that are linked with nothing."""
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 80):
+        w = list(base)
+        for k in rnd.sample(range(200), rnd.randrange(1, 10)):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    tail = [f"t{k}" for k in range(60)]
+    for i in range(80, 100):
+        rows.append((i, " ".join(base[:150] + tail[: 50 + i % 10] + [f"y{i}"])))
+    for i in range(100, 120):
+        rows.append((i, " ".join(base[: rnd.randrange(110, 146)])))
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) > 5
+    assert run(spark, rows) == want
