@@ -129,8 +129,8 @@ def dependencies(facts: Facts, type_id: int) -> DataFrame:
 def injected(facts: Facts, type_display: str) -> DataFrame:
     """Q8: constructors with a parameter whose type is exactly ``type_display``; one row each."""
     ctors = facts.members.filter("kind = 'constructor' and not is_implicit").select("member_id", "type_id", F.struct("path", "line", "col", "ord").alias("at"))
-    hit = facts.params.filter(F.col("type_display") == type_display).select("member_id", "ordinal", "type_display", "name")
-    first = first_of(hit.join(ctors, "member_id").select("ordinal", "name", "type_display", "type_id", "at.*"), "path", "line", "col", order="ordinal")
+    hit = facts.params.filter(F.col("type_display") == type_display).select("member_id", F.struct("ordinal", "ord").alias("place"), "type_display", "name")
+    first = first_of(hit.join(ctors, "member_id").select("place", "name", "type_display", "type_id", "at.*"), "path", "line", "col", order="place")
     name = first_of(facts.types, "type_id").select("type_id", F.col("name").alias("type_name"))
     text = F.concat("type_name", F.lit("("), "type_display", F.lit(" "), "name", F.lit(")"))
     return entry(first.join(name, "type_id"), text, "type_name")

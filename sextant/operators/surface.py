@@ -22,13 +22,13 @@ def body_shapes(facts: Facts, type_id: int) -> DataFrame:
     writes = c.filter(F.col("name").isin(P.ALWAYS_WRITES) | F.col("name").isin(P.WRITES) & on_set)
     writes = writes.groupBy(F.col("caller_id").alias("member_id")).agg(F.min_by("name", "ord").alias("api"))
     kind = F.when(F.col("in_context"), "repo").otherwise(P.receiver_kind(F.col("receiver"), F.col("receiver_type"), F.col("receiver_member")))
-    single = c.select(F.col("call_id").alias("single_call"), F.col("name").alias("call_name"), "form", "receiver", "receiver_type", kind.alias("kind"))
+    single = c.select(F.col("call_id").alias("single_call"), F.col("name").alias("call_name"), "form", "receiver", "receiver_type", kind.alias("call_kind"))
     rows = m.join(single, "single_call", "left").join(writes, "member_id", "left")
     linq = F.col("call_name").isin(P.LINQ)
     through = (F.col("form") == "member") & ~linq
     root = F.when(F.coalesce(F.col("single_root").endswith("DbContext") | F.col("single_root").endswith("Repository") | (F.col("single_root") == "IDbContextFactory"), F.lit(False)), "repo").when(F.col("single_root").isNotNull(), "service")
     chain = linq & (F.size("single_links") > 0) & F.forall("single_links", lambda x: x.isin(P.LINQ))
-    suffix: Column = F.when(F.col("kind").isNull(), F.lit("")).otherwise(F.concat(F.lit("-"), "kind"))
+    suffix: Column = F.when(F.col("call_kind").isNull(), F.lit("")).otherwise(F.concat(F.lit("-"), "call_kind"))
     shape = (
         F.when(~F.col("has_body"), "abstract").when(F.col("api").isNotNull(), "write").when(through, F.concat(F.lit("passthrough"), suffix))
         .when((F.col("form") == "bare") & F.col("call_name").isNotNull(), "passthrough-self")
