@@ -90,39 +90,85 @@ def _descend(loss_gradient, x: np.ndarray, rounds: int) -> np.ndarray:
     return x
 
 
+class Docs:
+    """Lists of vocabulary places, one after the other."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+
+    def take(self, rows) -> Docs:
+        rows = np.asarray(rows, int)
+        first = np.append(0, np.cumsum(self.size))
+        parts = [self.flat[first[i] : first[i + 1]] for i in rows]
+        return Docs(np.concatenate(parts) if parts else self.flat[:0], self.size[rows])
+
+    def __add__(self, other: Docs) -> Docs:
+        return Docs(np.append(self.flat, other.flat), np.append(self.size, other.size))
+
+
+def _common(flat: np.ndarray, size: np.ndarray, often: int = 5) -> tuple[np.ndarray, Docs]:
+    """The hashes that ``often`` documents have, ascending, and the documents in terms of them."""
+    order = np.sort(flat)
+    starts = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, int)
+    vocabulary = order[starts[np.diff(np.append(starts, len(order))) >= often]]
+    del order, starts
+    ends, at, kept, parts = np.cumsum(size), 0, [], []
+    for k in range(0, len(size), 256):
+        to = int(ends[min(k + 256, len(size)) - 1])
+        part = flat[at:to]
+        place = np.minimum(np.searchsorted(vocabulary, part), max(0, len(vocabulary) - 1)).astype(np.int32)
+        good = vocabulary[place] == part if len(vocabulary) else np.zeros(len(part), bool)
+        parts.append(place[good])
+        sums = np.append(0, np.cumsum(good))
+        edge = np.append(0, ends[k : k + 256] - at) if k == 0 else np.append(ends[k - 1], ends[k : k + 256]) - at
+        kept.append(np.diff(sums[edge]))
+        at = to
+    return vocabulary, Docs(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(kept) if kept else np.zeros(0, int))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Content:
     """Logistic model of the presence of the words that tell the classes apart (chi-square over
-    ``least``, found in ``often`` documents at least)."""
-
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, least: float = 30.0, often: int = 5):
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        words, at = np.unique(flat, return_inverse=True)
-        n, good = len(y), y.sum()
-        has = np.bincount(at, minlength=len(words)).astype(float)
-        a = np.bincount(at, weights=y[of], minlength=len(words))
+    ``least``, found in ``often`` documents at least). Documents are ascending places in ``vocabulary``."""
+
+    def __init__(self, vocabulary: np.ndarray, docs: Docs, y: np.ndarray, least: float = 30.0, often: int = 5):
+        n, good, total = len(y), y.sum(), len(vocabulary)
+        at, of = docs.flat, docs.owner()
+        has = np.bincount(at, minlength=total).astype(float)
+        a = np.bincount(at, weights=y[of], minlength=total)
         b, c, d = has - a, good - a, (n - good) - (has - a)
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
         pick = (has >= often) & (np.nan_to_num(chi) >= least)
-        self.words = words[pick]
-        place = np.cumsum(pick) - 1
         use = pick[at]
-        at, of = place[at[use]], of[use]
-        size = len(self.words)
+        at, of = (np.cumsum(pick) - 1)[at[use]], of[use]
+        size = int(pick.sum())
 
         def gradient(x):
             err = _sigmoid(np.bincount(of, weights=x[at], minlength=n) + x[size]) - y
             return np.append(np.bincount(at, weights=err[of], minlength=size) + 0.02 * x[:size], err.sum()) / n
 
         self.x = _descend(gradient, np.zeros(size + 1), 300)
+        self.words = vocabulary[pick]
+        self.dense = np.zeros(total)
+        self.dense[pick] = self.x[:size]
+
+    def of(self, docs: Docs) -> np.ndarray:
+        """Logits of training or pool documents."""
+        return np.bincount(docs.owner(), weights=self.dense[docs.flat], minlength=len(docs)) + self.x[-1]
 
     def logit(self, kinds: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-        """``kinds`` of hashes of the words of all documents; a hash counts once in each."""
+        """Logits from ``kinds`` of hashes of the words of whole documents; a hash counts once in
+        each document."""
         n = len(first) - 1
         if not len(self.words):
             return np.full(n, self.x[-1])
@@ -153,26 +199,26 @@ class Metadata:
 
 
 class CoTrained:
-    def __init__(self, words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, fresh: list[np.ndarray], fresh_meta: np.ndarray, rounds: int, per_round: int):
+    def __init__(self, vocabulary: np.ndarray, docs: Docs, meta: np.ndarray, y: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, rounds: int, per_round: int):
         test = np.arange(len(y)) % 3 == 2
-        train = np.flatnonzero(~test)
-        flat = lambda docs: ([np.concatenate(docs) if docs else np.zeros(0, np.uint64)], np.append(0, np.cumsum([len(d) for d in docs])).astype(int))
-        base_words, base_meta, base_y = [words[i] for i in train], meta[train], y[train]
+        train, held = np.flatnonzero(~test), np.flatnonzero(test)
+        base, base_meta, base_y = docs.take(train), meta[train], y[train]
         given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
         for r in range(rounds + 1):
-            sets = [([*base_words, *(fresh[i] for i in got)], np.vstack([base_meta, fresh_meta[list(got)]]) if got else base_meta, np.append(base_y, list(got.values()))) for got in given]
-            self.content, self.metadata = Content(sets[0][0], sets[0][2]), Metadata(sets[1][1], sets[1][2])
+            label = [np.append(base_y, list(g.values())) for g in given]
+            self.content = Content(vocabulary, base + fresh.take(list(given[0])), label[0])
+            self.metadata = Metadata(np.vstack([base_meta, fresh_meta[list(given[1])]]) if given[1] else base_meta, label[1])
             if r == rounds or not len(fresh):
                 break
-            logits = self.content.logit(*flat(fresh)), self.metadata.logit(fresh_meta)
+            logits = self.content.of(fresh), self.metadata.logit(fresh_meta)
             for view, logit in enumerate(logits):
                 to, other = given[1 - view], logits[1 - view]
                 share = base_y.mean()
-                for sign, label, part in ((-1, 1.0, share), (1, 0.0, 1 - share)):
+                for sign, name, part in ((-1, 1.0, share), (1, 0.0, 1 - share)):
                     sure = [i for i in np.argsort(sign * logit, kind="stable").tolist() if i not in to and sign * logit[i] < -2 and sign * other[i] < 0]
-                    to.update(dict.fromkeys(sure[: max(1, int(per_round * part))], label))
-        held = np.flatnonzero(test)
-        both = self._joined(self.content.logit(*flat([words[i] for i in held])), self.metadata.logit(meta[held]))
+                    to.update(dict.fromkeys(sure[: max(1, int(per_round * part))], name))
+        both = self._joined(self.content.of(docs.take(held)), self.metadata.logit(meta[held]))
+        self.content.dense = None  # the scorers need the chosen words alone
         ones = np.ones(len(held))
         fit = lambda z: _descend(lambda x: (z.T @ (_sigmoid(z @ x) - y[held])) / len(held) + 1e-4 * x, np.zeros(z.shape[1]), 500)
         self.calibration = [fit(np.column_stack([both[:, k], ones])) for k in (0, 1)]
@@ -202,13 +248,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         return float(y.mean()) if len(y) else 1.0
     others = [r.doc_id for r in docs.select("doc_id").join(judged, "doc_id", "left_anti").orderBy(*chance).limit(pool).collect()]
     chosen = docs.sparkSession.createDataFrame([(i,) for i in [*sample, *others]], "doc_id long")
-    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, words array<long>, meta array<double>").toArrow()
-    at = {i: k for k, i in enumerate(rows.column("doc_id").to_pylist())}
-    flat = rows.column("words").combine_chunks()
-    meta = np.array(rows.column("meta").to_pylist())
-    words = lambda chosen: [flat[at[i]].values.to_numpy(zero_copy_only=False).view(np.uint64) for i in chosen]
-    values = lambda chosen: meta[[at[i] for i in chosen]] if chosen else np.zeros((0, meta.shape[1]))
-    return CoTrained(words(sample), values(list(sample)), y, words(others), values(others), rounds, per_round)
+    table = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, words array<long>, meta array<double>").toArrow()
+    at = {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}
+    lists = table.column("words")
+    meta = table.column("meta").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    size = pa.compute.list_value_length(lists).to_numpy().astype(int)
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks]).view(np.uint64)
+    del table, lists
+    vocabulary, words = _common(flat, size)
+    del flat
+    own, rest = [at[i] for i in sample], [at[i] for i in others]
+    return CoTrained(vocabulary, words.take(own), meta[own], y, words.take(rest), meta[rest], rounds, per_round)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
