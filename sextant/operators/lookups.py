@@ -52,15 +52,16 @@ def callers(facts: Facts, method_id: int, cascading: bool = True) -> DataFrame:
 
 def call_chain(facts: Facts, method_id: int, depth: int = 5, cascading: bool = True) -> DataFrame:
     """Q3: callers of callers, each at its least depth and its first place; ``depth`` rounds."""
-    calls = facts.calls.filter("caller_id is not null")
-    edges = calls.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")).distinct()
+    calls = facts.calls.filter("caller_id is not null and callee_id is not null").select("caller_id", "callee_id", "path", "line", "col", "containing", "ord")
     if cascading:  # a call of an interface's method reaches the methods that implement it
-        edges = edges.union(_implements(facts).join(edges.withColumnRenamed("src", "base"), "base").select("src", "dst")).distinct()
+        reached = calls.withColumnRenamed("callee_id", "base").join(_implements(facts), "base").withColumnRenamed("src", "callee_id")
+        calls = calls.unionByName(reached.select(*calls.columns))
+    edges = calls.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")).distinct()
     spark = facts.calls.sparkSession
     root = spark.createDataFrame([(method_id, method_id)], "root long, id long")
     found = bfs(edges, root, depth).filter("depth > 0").select(F.col("id").alias("caller_id"), "depth")
     before = bfs_parents(edges, found, method_id)
-    places = calls.select("caller_id", "callee_id", "path", "line", "col", "containing", "ord").join(before, ["caller_id", "callee_id"])
+    places = calls.join(before, ["caller_id", "callee_id"])
     name = facts.members.select(F.col("member_id").alias("caller_id"), F.col("name").alias("caller"))
     rows = first_of(places, "caller_id").join(name, "caller_id", "left")
     label = F.concat(F.lit("[depth "), F.col("depth").cast("string"), F.lit("] "), F.coalesce("containing", "caller"))

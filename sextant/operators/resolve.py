@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.facts import Facts
@@ -24,14 +24,16 @@ def first_of(df: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def symbols(facts: Facts) -> DataFrame:
+def symbols(facts: Facts, where: Column | None = None) -> DataFrame:
     """Top-level types, their members, and nested types as members; one row per kind and
-    display."""
+    display. ``where`` is on the name or display, so it holds for all or none of the rows that
+    are made one, and goes first."""
     types = facts.types.filter("depth <= 1").select(F.col("type_id").alias("id"), F.lit("type").alias("kind"), "name", "display", "parent_id", "path", "line", "col", "ord")
     top = facts.types.filter("depth = 0").select("type_id").distinct()
     members = facts.members.filter("not is_implicit and not is_accessor").join(top, "type_id", "left_semi")
     members = members.select(F.col("member_id").alias("id"), "kind", "name", "display", F.col("type_id").alias("parent_id"), "path", "line", "col", "ord")
-    return first_of(types.unionByName(members), "kind", "display")
+    rows = types.unionByName(members)
+    return first_of(rows.filter(where) if where is not None else rows, "kind", "display")
 
 
 def _least_priority(*found: DataFrame) -> DataFrame:
@@ -44,23 +46,27 @@ def _least_priority(*found: DataFrame) -> DataFrame:
     return all_.join(F.broadcast(best), F.col("priority") == F.col("best")).select(*SYMBOL)
 
 
-def by_qualified(s: DataFrame, query: str) -> DataFrame:
-    return _least_priority(s.filter(F.col("display") == query), s.filter(F.col("display").endswith("." + query)))
+def _qualified(query: str) -> Column:
+    return (F.col("display") == query) | F.col("display").endswith("." + query)
 
 
 def resolve(facts: Facts, query: str) -> DataFrame:
     """SYMBOL rows. With a dot: members of the types that the part before the last dot names,
-    else the whole as a qualified name. Without: every symbol of that name."""
-    s = symbols(facts)
+    else the whole as a qualified name, in full before its end. Without: every symbol of that
+    name."""
     if not query or not query.strip():
-        return s.filter(F.lit(False))
+        return symbols(facts, F.lit(False)).select(*SYMBOL)
     if "." not in query:
-        return s.filter(F.col("name") == query).select(*SYMBOL)
+        return symbols(facts, F.col("name") == query).select(*SYMBOL)
     owner, _, member = query.rpartition(".")
-    types = s.filter("kind = 'type'")
-    owners = by_qualified(types, owner) if "." in owner else types.filter(F.col("name") == owner)
+    if "." in owner:
+        named = symbols(facts, _qualified(owner)).filter("kind = 'type'")
+        owners = _least_priority(named.filter(F.col("display") == owner), named)
+    else:
+        owners = symbols(facts, F.col("name") == owner).filter("kind = 'type'")
     owners = owners.select(F.col("id").alias("parent_id")).distinct()
-    return _least_priority(s.filter(F.col("name") == member).join(owners, "parent_id", "left_semi"), s.filter(F.col("display") == query), s.filter(F.col("display").endswith("." + query)))
+    whole = symbols(facts, _qualified(query))
+    return _least_priority(symbols(facts, F.col("name") == member).join(owners, "parent_id", "left_semi"), whole.filter(F.col("display") == query), whole)
 
 
 def suggest(facts: Facts, query: str, limit: int = 10) -> DataFrame:

@@ -21,7 +21,7 @@ def body_shapes(facts: Facts, type_id: int) -> DataFrame:
     on_set = F.col("in_context") | F.coalesce(F.col("receiver_type").startswith("DbSet"), F.lit(False))
     writes = c.filter(F.col("name").isin(P.ALWAYS_WRITES) | F.col("name").isin(P.WRITES) & on_set)
     writes = writes.groupBy(F.col("caller_id").alias("member_id")).agg(F.min_by("name", "ord").alias("api"))
-    kind = F.when(F.col("in_context"), "repo").otherwise(P.receiver_kind(F.col("receiver"), F.col("receiver_type"), F.col("receiver_member")))
+    kind = F.when(F.col("in_context"), "repo").otherwise(P.receiver_kind(F.col("receiver"), F.coalesce("receiver_root", "receiver_type"), F.col("receiver_member")))
     single = c.select(F.col("call_id").alias("single_call"), F.col("name").alias("call_name"), "form", "receiver", "receiver_type", kind.alias("call_kind"))
     rows = m.join(single, "single_call", "left").join(writes, "member_id", "left")
     linq = F.col("call_name").isin(P.LINQ)
@@ -86,7 +86,8 @@ def dbset_effects(facts: Facts) -> DataFrame:
 def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
     """Q22: (name, calls, reads, writes, untraced, external) of the ordinary methods of a class.
     Helpers of the class are followed to a fixpoint, repositories for one step, through an
-    interface to all its implementations. A table that is written is not listed as read."""
+    interface to all its implementations; what those call in other repositories is listed as
+    untraced. A table that is written is not listed as read."""
     methods = facts.members.filter((F.col("type_id") == type_id) & (F.col("kind") == "method") & ~F.col("is_implicit")).select("member_id", "name", "ord")
     calls = classified_calls(facts)
     own = facts.members.filter(F.col("type_id") == type_id).select(F.col("member_id").alias("caller_id"))
@@ -99,7 +100,7 @@ def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
     external = reached.filter("class = 'external'").groupBy("member_id").agg(F.array_sort(F.collect_set(F.concat_ws(".", "owner_name", "name"))).alias("external"))
     effects = dbset_effects(facts)
     direct = inlined.join(effects.withColumnRenamed("member_id", "caller_id"), "caller_id").select("member_id", "table_name", F.lit(None).cast("string").alias("via"), "is_write")
-    repo = reached.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select("member_id", "callee_id", "name", dependency_name(F.col("receiver"), F.col("name")).alias("label")).distinct()
+    repo = reached.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select("member_id", "callee_id", "name").distinct()
     targets = _bodies(facts, repo.select("callee_id").distinct())
     hop = repo.join(targets, "callee_id").join(effects.withColumnRenamed("member_id", "body_id"), "body_id").select("member_id", "table_name", F.col("name").alias("via"), "is_write")
     all_ = direct.union(hop)
@@ -108,8 +109,8 @@ def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
     pair = F.struct("table_name", "via")
     writes = once.filter("is_write").groupBy("member_id").agg(F.array_sort(F.collect_set(pair)).alias("writes"))
     reads = once.filter("not is_write").join(written, ["member_id", "table_name"], "left_anti").groupBy("member_id").agg(F.array_sort(F.collect_set(pair)).alias("reads"))
-    traced = repo.join(targets.select("callee_id").distinct(), "callee_id", "left_semi").join(targets, "callee_id").join(effects.select(F.col("member_id").alias("body_id")).distinct(), "body_id", "left_semi").select("member_id", "label").distinct()
-    untraced = repo.select("member_id", "label").distinct().join(traced, ["member_id", "label"], "left_anti").groupBy("member_id").agg(F.array_sort(F.collect_set("label")).alias("untraced"))
+    inner = calls.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select(F.col("caller_id").alias("body_id"), dependency_name(F.col("receiver"), F.col("name")).alias("label"))
+    untraced = repo.join(targets, "callee_id").join(inner, "body_id").groupBy("member_id").agg(F.array_sort(F.collect_set("label")).alias("untraced"))
     out = methods
     for part in (named, reads, writes, untraced, external):
         out = out.join(part, "member_id", "left")

@@ -285,7 +285,7 @@ def audit_surface(spark, sf_dir):
     coalesce((SELECT string_agg(DISTINCT 'File.' || callee, ',' ORDER BY 'File.' || callee) FROM named WHERE named.root = r.root AND l_returnflag = 'R' AND l_linenumber IN (3, 4, 5, 6)), '') AS external,
     coalesce((SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FROM eff WHERE eff.root = r.root AND w), '') AS writes,
     coalesce((SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FROM eff WHERE eff.root = r.root AND NOT w AND p_brand NOT IN (SELECT p_brand FROM eff y WHERE y.root = r.root AND y.w)), '') AS reads,
-    CASE WHEN EXISTS (SELECT 1 FROM named WHERE named.root = r.root AND l_linenumber = 7 AND l_returnflag <> 'N') THEN '_repo.Ship' ELSE '' END AS untraced
+    '' AS untraced
     FROM (SELECT DISTINCT root FROM body WHERE urgent = FALSE) r""",
     f"""{_PRE},
     own AS (SELECT o.o_orderkey, {_FIRST} AS head, o_orderpriority = '1-URGENT' AS urgent FROM orders o JOIN customer ON o_custkey = c_custkey WHERE c_name = '{CUSTOMER}'),
