@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import decontaminate, language, packing, quality, quality_rules, token_counts, url_filter, warc
-from sextant.llm.near import near_duplicates
-from sextant.llm.substring import strip_repeats
+from sextant.llm import decontaminate, language, near, packing, quality, quality_rules, substring, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(table(spark, sf_dir, "documents"), window=20, start=10, keep_text=False)
+    return substring.strip_repeats(table(spark, sf_dir, "documents"), window=20, start=10, keep_text=False)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +31,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+    return near.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +73,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op4_minhash_near_dedup": near.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
 }

@@ -6,7 +6,8 @@ speaks for it, so equal long windows always choose equal short ones. Short windo
 once in the corpus end here; only those that repeat are doubled to ``window`` words. Neighbouring
 long windows with one representative form a run, which is compared as a whole first: later
 copies of an equal run are repeats, and only runs that share their short window but differ
-elsewhere (the edges of a repeated passage) are compared window by window.
+elsewhere (the edges of a repeated passage) are compared window by window. That answers what to
+remove; ``doubled`` goes on from there, doubling the length until no window repeats.
 
 Hot keys: rows are merged inside each slice of about 2 MB of text before the shuffle, so that a
 passage found in a third of all documents sends a row per slice and not a row per document; the
@@ -131,6 +132,92 @@ def repeats(docs: DataFrame, window: int = 20, start: int = 10) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
+def _ranges(places: np.ndarray) -> np.ndarray:
+    """Ascending places as place * 2**32 + number of successive ones."""
+    if not len(places):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1] + 1))
+    return places[first] * (1 << 32) + np.diff(np.append(first, len(places)))
+
+
+def _members(ranges: np.ndarray) -> np.ndarray:
+    n = ranges % (1 << 32)
+    return np.repeat(ranges >> 32, n) + np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+
+
+def _level(length: int, doubled: bool):
+    """The candidate windows of a level: all of them at first, later those whose two halves both
+    repeat. Equal windows of a slice are sent once, with how many there are."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.slices(batches):
+            words = K.Words(part.column("text"))
+            h, room = words.hashes(), words.room()
+            at = np.flatnonzero(room >= length)
+            doc = np.searchsorted(words.first, at, "right") - 1
+            if doubled:
+                keep = []
+                for i, ranges in enumerate(part.column("ranges").to_pylist()):
+                    half = _members(np.sort(np.array(ranges, np.int64))) + words.first[i]
+                    keep.append(np.intersect1d(half, half - length // 2, assume_unique=True))
+                both = np.concatenate(keep)
+                use = np.isin(at, both)
+                at, doc = at[use], doc[use]
+            if not len(at):
+                continue
+            roll, other = K.Rolling(h, K.WORD), K.Rolling(K.mix(h + np.uint64(1)), K.WORD2)
+            a, b = roll(at, at + length), other(at, at + length)
+            order = np.lexsort((b, a))
+            new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+            group = np.cumsum(new) - 1
+            size = np.bincount(group)
+            lead = np.zeros(len(at), bool)
+            lead[order[new]] = True
+            n = np.empty(len(at), np.int64)
+            n[order] = size[group]
+            ids = K.ids(part, "doc_id")[doc]
+            local = at - words.first[doc]
+            own = K.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + local.astype(np.uint64))
+            yield K.as_batch(key=K.signed(np.where(lead, a, own)), whole=K.signed(b), doc_id=ids, place=pa.array(local, pa.int64()), n=pa.array(n, pa.int64()), lead=pa.array(lead))
+
+    return rows
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ranges = [_ranges(np.unique(np.array(p, np.int64))) for p in batch.column("places").to_pylist()]
+        yield K.as_batch(doc_id=batch.column("doc_id"), ranges=pa.array(ranges, pa.list_(pa.int64())))
+
+
+def doubled(docs: DataFrame, start: int = 20, levels: int | None = None) -> DataFrame:
+    """(doc_id, length, ranges): for start, 2 * start, 4 * start ... words, the windows of that
+    length that occur twice or more in the corpus, as place * 2**32 + number of successive
+    places. A window is a candidate where both its halves repeat; the search ends when no
+    candidate survives, or after ``levels`` lengths.
+
+    Defined results are those of strip_repeats: texts without a window, null ones included, give
+    no row.
+    """
+    rows = keyed(docs, "doc_id", "text")
+    length, known, out = start, None, []
+    while levels is None or len(out) < levels:
+        source = rows if known is None else rows.join(known, "doc_id")
+        found = source.mapInArrow(_level(length, known is not None), "key long, whole long, doc_id long, place long, n long, lead boolean")
+        own = Window.partitionBy("key", "whole")
+        found = found.repartition("key").withColumn("total", F.sum(F.when(F.col("lead"), F.col("n")).otherwise(0)).over(own)).filter("not lead or total > 1")
+        known = cut(found.groupBy("doc_id").agg(F.collect_list("place").alias("places")).mapInArrow(_gather, "doc_id long, ranges array<long>"))
+        if known.isEmpty():
+            break
+        out.append(known.select("doc_id", F.lit(length).alias("length"), "ranges"))
+        length *= 2
+    if not out:
+        return rows.sparkSession.createDataFrame([], "doc_id long, length int, ranges array<long>")
+    result = out[0]
+    for more in out[1:]:
+        result = result.union(more)
+    return result
+
+
 def _strip(window: int, keep_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches):
@@ -172,3 +259,14 @@ def strip_repeats(docs: DataFrame, window: int = 20, start: int = 10, keep_text:
     found = repeats(rows, window, start)
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
     return rows.join(found, "doc_id", "left").mapInArrow(_strip(window, keep_text), kept)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM f WHERE r > 1),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND c.p = x.p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

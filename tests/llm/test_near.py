@@ -88,3 +88,10 @@ def test_outsiders_of_a_star(spark):
     want = brute(rows)
     assert len({c for _, c, _ in want.values()}) > 5
     assert run(spark, rows) == want
+
+
+def test_oracle(spark, same):
+    from sextant.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    same(QUERIES["op4_minhash_near_dedup"](spark, sf), ORACLES["op4_minhash_near_dedup"], sf_dir=sf)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from sextant.llm.substring import strip_repeats
+from sextant.llm.substring import doubled, strip_repeats
 
 
 def brute(rows, window=20):
@@ -58,3 +58,34 @@ def test_edges(spark):
     repeated = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (3, None)], "doc_id long, text string")
     extra = repeated.selectExpr("doc_id", "text", "1 as runs", "2 as n_words", "'x' as key")
     assert [tuple(r)[:3] for r in strip_repeats(extra).collect()] == [(3, 2, 0)]
+
+
+def test_doubling_until_nothing_survives(spark):
+    rows = [r for r in planted(3) if r[1] is not None]
+    passage = rows[-6][1]
+    rows += [(300, "z1 " + passage + " z2 " + passage), (301, "q " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.length, (x >> 32) + k) for r in doubled(df, start=5).collect() for x in r.ranges for k in range(x & 0xFFFFFFFF)}
+    want, length = set(), 5
+    while True:
+        count, places = {}, {}
+        for i, t in rows:
+            w = re.findall(r"[^\x20\x09-\x0D]+", t)
+            for s in range(len(w) - length + 1):
+                k = tuple(w[s : s + length])
+                count[k] = count.get(k, 0) + 1
+                places[i, s] = k
+        level = {(i, length, s) for (i, s), k in places.items() if count[k] > 1}
+        if not level:
+            break
+        want |= level
+        length *= 2
+    assert length > 80 and got == want
+    assert doubled(df.limit(0)).collect() == [] and {r.length for r in doubled(df, start=5, levels=2).collect()} == {5, 10}
+
+
+def test_oracle(spark, same):
+    from sextant.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    same(QUERIES["op1_substring_dedup"](spark, sf), ORACLES["op1_substring_dedup"], sf_dir=sf)
