@@ -36,6 +36,9 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFra
     """(root, id, depth): every node that is reached from ``roots`` (root, id) with its least
     depth, the roots at 0. Each round joins the frontier alone and drops what was seen."""
     seen = cut(roots.select("root", "id", F.lit(0).alias("depth")).distinct())
+    if depth == 0 or seen.isEmpty():
+        return seen
+    edges = cut(edges.select("src", "dst").distinct())  # read in every round
     front, level = seen, 0
     while depth is None or level < depth:
         level += 1

@@ -13,6 +13,7 @@ from sextant.functions import predicates as P
 from sextant.functions.text import member_signature
 from sextant.operators.graph import bfs
 from sextant.operators.resolve import first_of
+from sextant.plans.store import cut
 
 ENTRY = ["path", "line", "col", "context", "containing"]
 
@@ -34,8 +35,11 @@ def references(facts: Facts, target_id: int) -> DataFrame:
 def cascade(facts: Facts, method_id: int) -> DataFrame:
     """(id): the method, the interface methods that it implements, and those that override or
     implement it (same name and parameter types, types related by ``bases``)."""
-    types_of = facts.params.groupBy("member_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "type_display"))), lambda p: p["type_display"])).alias("shape"))
-    methods = facts.members.filter("kind = 'method'").select("member_id", "type_id", "name").join(types_of, "member_id", "left").fillna("", ["shape"])
+    m = facts.members.filter("kind = 'method'").select("member_id", "type_id", "name")
+    namesakes = m.join(F.broadcast(m.filter(F.col("member_id") == method_id).select("name").distinct()), "name")
+    shape = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "type_display"))), lambda p: p["type_display"]))
+    types_of = facts.params.join(namesakes.select("member_id"), "member_id", "left_semi").groupBy("member_id").agg(shape.alias("shape"))
+    methods = cut(namesakes.join(types_of, "member_id", "left").fillna("", ["shape"]))
     target = methods.filter(F.col("member_id") == method_id)
     up = facts.bases.filter("super_id is not null").select(F.col("type_id").alias("src"), F.col("super_id").alias("dst"))
     start = target.select(F.col("type_id").alias("root"), F.col("type_id").alias("id"))
