@@ -97,7 +97,7 @@ class Commands:
         vertices, edges = metrics.file_graph(f)
         if suggest:
             return sinks.records(metrics.break_points(edges, vertices, top), "cycles", "suggestions", style=style)
-        return sinks.records(metrics.cycles(edges, vertices), "cycles", "sccs", [F.desc("size"), "component"], 10, style)
+        return sinks.records(metrics.cycle_report(edges, vertices), "cycles", "sccs", ["rank"], style=style, total_files=vertices.count())
 
     def do_snapshot(self, f, style, limit, append=None, commit="", committed=""):
         row = metrics.snapshot(f, commit, committed).first().asDict()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.facts import Facts
@@ -117,6 +117,17 @@ def cycles(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return graph.sizes(graph.scc(edges, vertices)).filter("size > 1")
 
 
+def cycle_report(edges: DataFrame, vertices: DataFrame, top: int = 10) -> DataFrame:
+    """(rank, component, size, share, members) of the ``top`` largest cycles, members ascending."""
+    found = graph.scc(edges, vertices)
+    best = graph.sizes(found).filter("size > 1").orderBy(F.desc("size"), "component").limit(top)
+    total = vertices.agg(F.countDistinct("id").alias("total"))
+    lists = found.join(F.broadcast(best.select("component")), "component", "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    rank = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
+    rows = best.join(lists, "component").join(F.broadcast(total)).withColumn("rank", rank)
+    return rows.select("rank", "component", "size", F.round(F.col("size") / F.col("total"), 6).alias("share"), "members")
+
+
 def break_points(edges: DataFrame, vertices: DataFrame, top: int = 5) -> DataFrame:
     """Q16 with suggestions: the most central nodes of the largest component, with their degrees
     inside it and three neighbours."""

@@ -331,6 +331,16 @@ def cycles(spark, sf_dir):
     return metrics.cycles(*_graph(spark, sf_dir, SPARSE_DAYS))
 
 
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, component, size, round(size / (SELECT count(*) FROM v), 6) AS share, members FROM
+    (SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY component HAVING count(*) > 1) ORDER BY 1 LIMIT 10""",
+    f"{_edges(SPARSE_DAYS)}, {_REACH}",
+    recursive=True,
+)
+def cycle_report(spark, sf_dir):
+    return metrics.cycle_report(*_graph(spark, sf_dir, SPARSE_DAYS)).withColumn("members", F.array_join("members", ","))
+
+
 @query()
 def betweenness(spark, sf_dir):
     e, v = _graph(spark, sf_dir)
