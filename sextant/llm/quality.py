@@ -136,7 +136,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class Content:
+class Head:
     """Logistic model of the presence of the words that tell the classes apart (chi-square over
     ``least``, found in ``often`` documents at least). Documents are ascending places in ``vocabulary``."""
 
@@ -166,19 +166,43 @@ class Content:
         """Logits of training or pool documents."""
         return np.bincount(docs.owner(), weights=self.dense[docs.flat], minlength=len(docs)) + self.x[-1]
 
+
+class Content:
+    """A head for each reason to reject a document, quality and toxicity; a document is as good
+    as its worse reason. Unknown labels are NaN; a reason that has one class only is left out."""
+
+    def __init__(self, vocabulary: np.ndarray, docs: Docs, labels: np.ndarray):
+        self.heads = []
+        for y in labels.T:
+            known = np.flatnonzero(~np.isnan(y))
+            if len(known) and y[known].min() < y[known].max():
+                self.heads.append(Head(vocabulary, docs.take(known), y[known]))
+
+    def of(self, docs: Docs) -> np.ndarray:
+        return np.min([h.of(docs) for h in self.heads], axis=0)
+
+    def slim(self) -> None:
+        """Keeps what the scorers need: the chosen words of all heads, and their weights in each."""
+        self.words = np.unique(np.concatenate([h.words for h in self.heads]))
+        self.weights = np.zeros((len(self.words), len(self.heads)))
+        for k, h in enumerate(self.heads):
+            self.weights[np.searchsorted(self.words, h.words), k] = h.x[:-1]
+        self.bias, self.heads = np.array([h.x[-1] for h in self.heads]), []
+
     def logit(self, kinds: list[np.ndarray], first: np.ndarray) -> np.ndarray:
         """Logits from ``kinds`` of hashes of the words of whole documents; a hash counts once in
         each document."""
         n = len(first) - 1
         if not len(self.words):
-            return np.full(n, self.x[-1])
+            return np.full(n, self.bias.min())
         found = []
         for hashes in kinds:
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             hit = np.flatnonzero(self.words[at] == hashes)
             found.append((np.searchsorted(first, hit, "right") - 1) * len(self.words) + at[hit])
         pair = np.unique(np.concatenate(found))
-        return np.bincount(pair // len(self.words), weights=self.x[pair % len(self.words)], minlength=n) + self.x[-1]
+        doc, word = pair // len(self.words), pair % len(self.words)
+        return np.min([np.bincount(doc, weights=w[word], minlength=n) + b for w, b in zip(self.weights.T, self.bias, strict=True)], axis=0)
 
 
 class Metadata:
@@ -199,15 +223,17 @@ class Metadata:
 
 
 class CoTrained:
-    def __init__(self, vocabulary: np.ndarray, docs: Docs, meta: np.ndarray, y: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, rounds: int, per_round: int):
+    def __init__(self, vocabulary: np.ndarray, docs: Docs, meta: np.ndarray, labels: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, rounds: int, per_round: int):
+        y = labels.min(axis=1)
         test = np.arange(len(y)) % 3 == 2
         train, held = np.flatnonzero(~test), np.flatnonzero(test)
-        base, base_meta, base_y = docs.take(train), meta[train], y[train]
+        base, base_meta, base_y, base_labels = docs.take(train), meta[train], y[train], labels[train]
         given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
         for r in range(rounds + 1):
-            label = [np.append(base_y, list(g.values())) for g in given]
-            self.content = Content(vocabulary, base + fresh.take(list(given[0])), label[0])
-            self.metadata = Metadata(np.vstack([base_meta, fresh_meta[list(given[1])]]) if given[1] else base_meta, label[1])
+            # what the metadata rejects is of low quality; it cannot tell toxicity
+            more = [(1.0, 1.0) if good else (0.0, np.nan) for good in given[0].values()]
+            self.content = Content(vocabulary, base + fresh.take(list(given[0])), np.vstack([base_labels, np.array(more).reshape(-1, 2)]))
+            self.metadata = Metadata(np.vstack([base_meta, fresh_meta[list(given[1])]]) if given[1] else base_meta, np.append(base_y, list(given[1].values())))
             if r == rounds or not len(fresh):
                 break
             logits = self.content.of(fresh), self.metadata.logit(fresh_meta)
@@ -218,7 +244,7 @@ class CoTrained:
                     sure = [i for i in np.argsort(sign * logit, kind="stable").tolist() if i not in to and sign * logit[i] < -2 and sign * other[i] < 0]
                     to.update(dict.fromkeys(sure[: max(1, int(per_round * part))], name))
         both = self._joined(self.content.of(docs.take(held)), self.metadata.logit(meta[held]))
-        self.content.dense = None  # the scorers need the chosen words alone
+        self.content.slim()
         ones = np.ones(len(held))
         fit = lambda z: _descend(lambda x: (z.T @ (_sigmoid(z @ x) - y[held])) / len(held) + 1e-4 * x, np.zeros(z.shape[1]), 500)
         self.calibration = [fit(np.column_stack([both[:, k], ones])) for k in (0, 1)]
@@ -239,11 +265,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """The model, or the share of good documents where the labels name fewer than 20 documents
     or one class only. Good is quality 1 and not toxic; a null quality is no label; of repeated
     labels the worst counts."""
-    judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("if(quality = 1 and coalesce(toxic, 0) = 0, 1, 0)")).alias("good"))
+    judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("if(quality = 1, 1, 0)")).alias("fine"), F.min(F.expr("if(coalesce(toxic, 0) = 0, 1, 0)")).alias("civil"))
     judged = judged.join(docs.select("doc_id"), "doc_id", "left_semi")
     chance = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = {r.doc_id: r.good for r in judged.orderBy(*chance).limit(labelled).collect()}
-    y = np.array(list(sample.values()), float)
+    sample = {r.doc_id: (r.fine, r.civil) for r in judged.orderBy(*chance).limit(labelled).collect()}
+    known = np.array(list(sample.values()), float).reshape(-1, 2)
+    y = known.min(axis=1)
     if len(y) < 20 or y.min() == y.max():
         return float(y.mean()) if len(y) else 1.0
     others = [r.doc_id for r in docs.select("doc_id").join(judged, "doc_id", "left_anti").orderBy(*chance).limit(pool).collect()]
@@ -258,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     vocabulary, words = _common(flat, size)
     del flat
     own, rest = [at[i] for i in sample], [at[i] for i in others]
-    return CoTrained(vocabulary, words.take(own), meta[own], y, words.take(rest), meta[rest], rounds, per_round)
+    return CoTrained(vocabulary, words.take(own), meta[own], known, words.take(rest), meta[rest], rounds, per_round)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
