@@ -9,7 +9,7 @@ copies of an equal run are repeats, and only runs that share their short window
 elsewhere (the edges of a repeated passage) are compared window by window. That answers what to
 remove; ``doubled`` goes on from there, doubling the length until no window repeats.
 
-Hot keys: rows are merged inside each slice of about 2 MB of text before the shuffle, so that a
+Hot keys: rows are merged inside each slice of about 1 MB of text before the shuffle, so that a
 passage found in a third of all documents sends a row per slice and not a row per document; the
 merged rows travel under keys of their own.
 """
