@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sextant.llm import _tokens as K
 from sextant.llm._shared import components, cut, keyed
 
-BANDS, ROWS, SHINGLE = 40, 5, 5
+BANDS, ROWS, SHINGLE, SALTS = 40, 5, 5, 16
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -183,11 +183,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     pairs = compared(star)
     links = linked(pairs)
     labels = components(links)
-    named = pairs.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    middle = labels.select(F.col("id").alias("other"), F.col("label").alias("middle"))
-    named = named.join(middle, "other", "left").withColumn("middle", F.coalesce("middle", "other")).withColumnRenamed("other", "centre").withColumnRenamed("n_id", "n")
-    mixed = named.groupBy("centre").agg(F.min(F.least("label", "middle")).alias("lo"), F.max(F.greatest("label", "middle")).alias("hi")).filter("lo < hi")
-    members = cut(named.join(mixed, "centre", "left_semi").select("centre", "id", "label", "n", "both", "more"))
+    # a centre may have a third of all members: its rows are dealt out over the salts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    middle = labels.select(F.col("id").alias("other"), F.col("label").alias("middle"), salts).hint("merge")
+    named = named.join(middle, ["other", "salt"], "left").withColumn("middle", F.coalesce("middle", "other")).withColumnRenamed("other", "centre").withColumnRenamed("n_id", "n")
+    mixed = named.groupBy("centre").agg(F.min(F.least("label", "middle")).alias("lo"), F.max(F.greatest("label", "middle")).alias("hi")).filter("lo < hi").select("centre", salts).hint("merge")
+    members = cut(named.join(mixed, ["centre", "salt"], "left_semi").select("centre", "id", "label", "n", "both", "more"))
     across = cut(_across(members, percent))
     if not across.isEmpty():
         labels = components(links.union(linked(compared(across))))
