@@ -1,11 +1,13 @@
 """One query per operator over the star-schema facts, with its DuckDB equivalent.
 
-Names: the symbols that the queries ask about exist at every scale factor.
+Names: the symbols that the queries ask about exist at every scale factor. Queries whose SQL keeps
+the early lines of the supplier graph have a namesake ending in ``_whole`` over all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +37,12 @@ places AS (SELECT r_name AS name, r_name AS display, 'interface' AS kind, NULL A
 """
 
 
-def _edges(days: int) -> str:
+def _edges(days: int | None) -> str:
+    early = "" if days is None else f" AND a.l_shipdate < (SELECT min(l_shipdate) FROM lineitem) + INTERVAL {days} DAY"
     return f"""
 links AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, a.l_orderkey, a.l_linenumber, ((a.l_orderkey * 8 + a.l_linenumber) * 2097152 + a.l_partkey) * 16384 + a.l_suppkey AS ord
           FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-          WHERE a.l_suppkey <> b.l_suppkey AND a.l_shipdate < (SELECT min(l_shipdate) FROM lineitem) + INTERVAL {days} DAY),
+          WHERE a.l_suppkey <> b.l_suppkey{early}),
 e AS (SELECT DISTINCT src, dst FROM links),
 v AS (SELECT s_suppkey AS id FROM supplier)"""
 
@@ -59,7 +62,7 @@ def query(sql: str | None = None, pre: str = _PRE, recursive: bool = False):
     return add
 
 
-def _facts(spark: SparkSession, sf_dir: str, days: int = CORE_DAYS) -> Facts:
+def _facts(spark: SparkSession, sf_dir: str, days: int | None = CORE_DAYS) -> Facts:
     return star.facts(spark, sf_dir, days)
 
 
@@ -110,8 +113,8 @@ calls AS (SELECT {star.SHIP} + src AS caller, {star.SHIP} + dst AS callee, 'Serv
 
 
 @query(f"SELECT path, line, col, context, containing FROM calls WHERE callee = {star.SHIP} + 1", f"{_PRE}, {_edges(CORE_DAYS)}, {_CALLS}")
-def callers(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+def callers(spark, sf_dir, days=CORE_DAYS):
+    f = _facts(spark, sf_dir, days)
     return _entry(lookups.callers(f, _id(f, f"{SUPPLIER}.Ship", "method")))
 
 
@@ -123,8 +126,8 @@ def callers(spark, sf_dir):
     far AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)""",
     recursive=True,
 )
-def call_chain(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+def call_chain(spark, sf_dir, days=CORE_DAYS):
+    f = _facts(spark, sf_dir, days)
     return _entry(lookups.call_chain(f, _id(f, f"{SUPPLIER}.Ship", "method"), depth=3), "depth")
 
 
@@ -305,30 +308,30 @@ def audit_downstream(spark, sf_dir):
 # graphs
 
 
-def _graph(spark: SparkSession, sf_dir: str, days: int = CORE_DAYS) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, sf_dir: str, days: int | None = CORE_DAYS) -> tuple[DataFrame, DataFrame]:
     t = star.tables(spark, sf_dir)
     return star.supplier_edges(t, days).select("src", "dst"), t["supplier"].select(F.col("s_suppkey").alias("id"))
 
 
 @query("SELECT id, component FROM comp", f"{_edges(SPARSE_DAYS)}, {_REACH}", recursive=True)
-def scc(spark, sf_dir):
-    return graph.scc(*_graph(spark, sf_dir, SPARSE_DAYS))
+def scc(spark, sf_dir, days=SPARSE_DAYS):
+    return graph.scc(*_graph(spark, sf_dir, days))
 
 
 @query("SELECT id, (SELECT count(*) FROM hop WHERE a = id AND b <> id) AS reach FROM v", f"{_edges(CORE_DAYS)}, {_REACH}", recursive=True)
-def reach(spark, sf_dir):
-    e, v = _graph(spark, sf_dir)
+def reach(spark, sf_dir, days=CORE_DAYS):
+    e, v = _graph(spark, sf_dir, days)
     return graph.reach_counts(e, graph.scc(e, v))
 
 
 @query("SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1)", f"{_edges(CORE_DAYS)}, {_REACH}", recursive=True)
-def core(spark, sf_dir):
-    return graph.core(graph.scc(*_graph(spark, sf_dir)))
+def core(spark, sf_dir, days=CORE_DAYS):
+    return graph.core(graph.scc(*_graph(spark, sf_dir, days)))
 
 
 @query("SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1", f"{_edges(SPARSE_DAYS)}, {_REACH}", recursive=True)
-def cycles(spark, sf_dir):
-    return metrics.cycles(*_graph(spark, sf_dir, SPARSE_DAYS))
+def cycles(spark, sf_dir, days=SPARSE_DAYS):
+    return metrics.cycles(*_graph(spark, sf_dir, days))
 
 
 @query(
@@ -337,24 +340,24 @@ def cycles(spark, sf_dir):
     f"{_edges(SPARSE_DAYS)}, {_REACH}",
     recursive=True,
 )
-def cycle_report(spark, sf_dir):
-    return metrics.cycle_report(*_graph(spark, sf_dir, SPARSE_DAYS)).withColumn("members", F.array_join("members", ","))
+def cycle_report(spark, sf_dir, days=SPARSE_DAYS):
+    return metrics.cycle_report(*_graph(spark, sf_dir, days)).withColumn("members", F.array_join("members", ","))
 
 
 @query()
 def betweenness(spark, sf_dir):
-    e, v = _graph(spark, sf_dir)
+    e, v = _graph(spark, sf_dir, None)
     return graph.betweenness(e, graph.core(graph.scc(e, v))).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()
 def cycle_break_points(spark, sf_dir):
-    return metrics.break_points(*_graph(spark, sf_dir)).withColumn("sample", F.array_join("sample", ","))
+    return metrics.break_points(*_graph(spark, sf_dir, None)).withColumn("sample", F.array_join("sample", ","))
 
 
 @query("SELECT id, (SELECT count(*) FROM e WHERE src = id) AS fan_out, (SELECT count(*) FROM e WHERE dst = id) AS fan_in FROM v", _edges(CORE_DAYS))
-def fan_stats(spark, sf_dir):
-    return graph.degrees(*_graph(spark, sf_dir))
+def fan_stats(spark, sf_dir, days=CORE_DAYS):
+    return graph.degrees(*_graph(spark, sf_dir, days))
 
 
 @query(
@@ -362,8 +365,8 @@ def fan_stats(spark, sf_dir):
     f"{_edges(CORE_DAYS)}, walk(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON walk.id = e.src WHERE depth < 4)",
     recursive=True,
 )
-def bounded_bfs(spark, sf_dir):
-    e, _ = _graph(spark, sf_dir)
+def bounded_bfs(spark, sf_dir, days=CORE_DAYS):
+    e, _ = _graph(spark, sf_dir, days)
     return graph.bfs(graph.plain(e), spark.createDataFrame([(1, 1)], "root long, id long"), 4).select("id", "depth")
 
 
@@ -376,8 +379,8 @@ def bounded_bfs(spark, sf_dir):
     f AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) AS n FROM v)""",
     recursive=True,
 )
-def snapshot(spark, sf_dir):
-    return metrics.graph_snapshot(*_graph(spark, sf_dir))
+def snapshot(spark, sf_dir, days=CORE_DAYS):
+    return metrics.graph_snapshot(*_graph(spark, sf_dir, days))
 
 
 # metrics
@@ -395,8 +398,8 @@ cpl AS (SELECT id AS type_id, (SELECT count(*) FROM uses WHERE t = id) AS ce, (S
 
 
 @query("SELECT type_id, ce, ca, CASE WHEN ce + ca = 0 THEN 0.0 ELSE round(ce / (ce + ca), 6) END AS instability FROM cpl", f"{_PRE}, {_edges(CORE_DAYS)}, {_USES}")
-def coupling(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+def coupling(spark, sf_dir, days=CORE_DAYS):
+    f = _facts(spark, sf_dir, days)
     return metrics.coupling(f, f.types.filter("kind <> 'interface'")).withColumn("instability", F.round("instability", 6))
 
 
@@ -424,8 +427,8 @@ def cohesion(spark, sf_dir):
     meth AS (SELECT {star.CUSTOMER} + o_custkey AS id, count(*) AS n, max(cc) AS cc, 'Order' || arg_max(o_orderkey, (cc, -o_orderkey)) AS best FROM cc GROUP BY o_custkey UNION ALL SELECT {star.SUPPLIER} + s_suppkey, 1, 1, 'Ship' FROM supplier)""",
     recursive=True,
 )
-def health(spark, sf_dir):
-    return metrics.health(_facts(spark, sf_dir)).select("name", "lines", "n_methods", "max_cc", "max_method", "ce", "ca", "instability", "cohesion", "score")
+def health(spark, sf_dir, days=CORE_DAYS):
+    return metrics.health(_facts(spark, sf_dir, days)).select("name", "lines", "n_methods", "max_cc", "max_method", "ce", "ca", "instability", "cohesion", "score")
 
 
 @query(
@@ -453,3 +456,18 @@ def lines_of_code(spark, sf_dir):
 )
 def usage_log_sessions(spark, sf_dir):
     return sessions(star.tables(spark, sf_dir)["events"], 6 * 3600)
+
+
+# the whole supplier graph
+
+
+def _whole(f: Query, days: int) -> None:
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = wraps(f)(partial(f, days=None))
+    ORACLES[name] = ORACLES[f.__name__].replace(_edges(days), _edges(None))
+
+
+for _f in (callers, call_chain, reach, core, fan_stats, bounded_bfs, snapshot, coupling, health):
+    _whole(_f, CORE_DAYS)
+for _f in (scc, cycles, cycle_report):
+    _whole(_f, SPARSE_DAYS)

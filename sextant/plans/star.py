@@ -4,7 +4,7 @@ Regions are interfaces, nations classes that implement theirs, suppliers and cus
 derived from their nation. An order is a method of its customer (a constructor if urgent), its
 line items are the method's parameters, references and calls; a supplier has one method, Ship,
 which calls the Ship of the supplier of the next line of the same order. Suppliers are also the
-files of the dependency graph. ``days`` keeps the early lines of that graph only.
+files of the dependency graph, which is whole unless ``days`` keeps its early lines only.
 """
 
 from __future__ import annotations
@@ -41,17 +41,19 @@ def lines(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def supplier_edges(t: dict[str, DataFrame], days: int) -> DataFrame:
+def supplier_edges(t: dict[str, DataFrame], days: int | None = None) -> DataFrame:
     """(src, dst, l_orderkey, l_linenumber, ord): line ``l_linenumber`` of an order from supplier
     src is followed by one from supplier dst."""
-    li = t["lineitem"]
-    first = li.selectExpr("min(l_shipdate) first_day")
-    a = li.join(first.hint("broadcast")).filter(f"l_shipdate < first_day + interval {days} days").selectExpr("l_orderkey", "l_linenumber + 1 next_line", "l_linenumber", "l_suppkey src", f"{ORD} ord")
+    li = early = t["lineitem"]
+    if days is not None:
+        first = li.selectExpr("min(l_shipdate) first_day")
+        early = li.join(first.hint("broadcast")).filter(f"l_shipdate < first_day + interval {days} days")
+    a = early.selectExpr("l_orderkey", "l_linenumber + 1 next_line", "l_linenumber", "l_suppkey src", f"{ORD} ord")
     b = li.selectExpr("l_orderkey", "l_linenumber next_line", "l_suppkey dst")
     return a.join(b, ["l_orderkey", "next_line"]).filter("src <> dst").select("src", "dst", "l_orderkey", "l_linenumber", "ord")
 
 
-def facts(spark: SparkSession, sf_dir: str, days: int = 30) -> Facts:
+def facts(spark: SparkSession, sf_dir: str, days: int | None = None) -> Facts:
     t = tables(spark, sf_dir)
     li = lines(t)
     nation = t["nation"].join(t["region"], t["nation"]["n_regionkey"] == t["region"]["r_regionkey"])
