@@ -7,6 +7,9 @@ is checked word by word: along one alignment of document and item, the same slot
 always stand for the same value, one to one, so that a re-parameterised question is caught and a
 mere similar frame is not.
 
+Windows of the lower-case words themselves are looked up beside them, in the same pass: a copy that
+stands in capitals, or consists of numbers and names for the most part, matches word for word.
+
 The benchmark is processed in blocks of at most ``block`` windows, whatever its size; each block
 is one pass over the documents.
 """
@@ -80,15 +83,16 @@ class Templates:
         self.kind = np.select([number, name, unit], [1, 2, 3], 0)
         self.form = np.where(self.kind > 0, K.mix(self.kind.astype(np.uint64)), self.value)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, hashes and documents of the windows of ``size`` words, half of which at least
-        stand for themselves."""
+    def windows(self, size: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, hashes and documents of the windows of ``size`` template words, half of which
+        at least stand for themselves; or of all windows of ``size`` literal words."""
         room = np.repeat(self.first[1:], self.count) - np.arange(len(self.form))
         at = np.flatnonzero(room >= size)
-        own = np.append(0, np.cumsum(self.kind == 0))
-        at = at[2 * (own[at + size] - own[at]) >= size]
+        if not literal:
+            own = np.append(0, np.cumsum(self.kind == 0))
+            at = at[2 * (own[at + size] - own[at]) >= size]
         doc = np.searchsorted(self.first, at, "right") - 1
-        return at, K.Rolling(self.form, K.WORD)(at, at + size), doc
+        return at, K.Rolling(self.value if literal else self.form, K.WORD)(at, at + size), doc
 
 
 _unit_cache: list[np.ndarray] = []
@@ -102,56 +106,62 @@ def _unit_values() -> np.ndarray:
 
 
 class Benchmark:
-    """A block of items: their templates, and the windows by size with a sorted hash each. Items
-    shorter than ``window`` words are one window as a whole."""
+    """A block of items: their templates, and the windows by size, template and literal ones, with
+    a sorted hash each. Items shorter than ``window`` words are one window as a whole."""
 
     def __init__(self, ids: list[int], texts: list[str | None], window: int):
         self.ids, self.t = ids, Templates(pa.array(texts, pa.string()))
         self.tables = []
         for size in sorted({min(window, int(n)) for n in self.t.count if n}):
-            at, h, doc = self.t.windows(size)
-            if size < window:
-                whole = self.t.count[doc] == size
-                at, h, doc = at[whole], h[whole], doc[whole]
-            order = np.argsort(h, kind="stable")
-            self.tables.append((size, h[order], at[order], doc[order]))
-
-    def hits(self, docs: Templates) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, place in the document, place in the item, size), places in the
-        concatenated template words."""
-        for size, h, at, item in self.tables:
-            where, own, doc = docs.windows(size)
+            for literal in (False, True):
+                at, h, doc = self.t.windows(size, literal)
+                if size < window:
+                    whole = self.t.count[doc] == size
+                    at, h, doc = at[whole], h[whole], doc[whole]
+                order = np.argsort(h, kind="stable")
+                self.tables.append((size, literal, h[order], at[order], doc[order]))
+
+    def hits(self, docs: Templates) -> Iterator[tuple[int, int, int, int, int, bool]]:
+        """(document, item, place in the document, place in the item, size, literal), places in
+        the concatenated words."""
+        for size, literal, h, at, item in self.tables:
+            where, own, doc = docs.windows(size, literal)
             lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, "right")
             for i in np.flatnonzero(hi > lo).tolist():
                 for k in range(lo[i], hi[i]):
-                    yield int(doc[i]), int(item[k]), int(where[i]), int(at[k]), size
+                    yield int(doc[i]), int(item[k]), int(where[i]), int(at[k]), size, literal
 
 
 def matched(docs: Templates, bench: Benchmark) -> dict[int, dict[int, int]]:
-    """document -> item -> number of consistent windows on its best alignment."""
-    lines: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for doc, item, p, q, size in bench.hits(docs):
-        lines[doc, item, p - q].append((p, q, size))
+    """document -> item -> number of consistent or literal windows on its best alignment."""
+    lines: dict[tuple[int, int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
+    for doc, item, p, q, size, literal in bench.hits(docs):
+        lines[doc, item, p - q].append((p, q, size, literal))
     out: dict[int, dict[int, int]] = defaultdict(dict)
     for (doc, item, _), found in lines.items():
         there: dict[tuple[int, int], int] = {}
         back: dict[tuple[int, int], int] = {}
-        n = 0
-        for p, q, size in sorted(found):
+        places = set()
+        for p, q, size, literal in sorted(found):
             x, y = slice(p, p + size), slice(q, q + size)
+            if literal:
+                if (docs.value[x] == bench.t.value[y]).all():
+                    places.add(p)
+                continue
             if (docs.kind[x] != bench.t.kind[y]).any() or (docs.form[x] != bench.t.form[y]).any():
                 continue
             slots = [(int(k), int(a), int(b)) for k, a, b in zip(docs.kind[x], docs.value[x], bench.t.value[y], strict=True) if k]
             new_there, new_back = dict(there), dict(back)
             if all(new_there.setdefault((k, b), a) == a and new_back.setdefault((k, a), b) == b for k, a, b in slots):
-                there, back, n = new_there, new_back, n + 1
-        if n:
-            out[doc][item] = max(n, out[doc].get(item, 0))
+                there, back = new_there, new_back
+                places.add(p)
+        if places:
+            out[doc][item] = max(len(places), out[doc].get(item, 0))
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = 1, block: int = BLOCK) -> DataFrame:
-    """One row per document: its template windows, the consistent hits on its items' best
+    """One row per document: its windows, the consistent or literal hits on its items' best
     alignments, the items in ascending order, and ``kept`` (false with any item that has
     ``least`` hits or, if it is short, all).
 

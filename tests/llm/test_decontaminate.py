@@ -60,3 +60,21 @@ def test_finds_what_plain_search_finds(spark):
     got = {r.doc_id for r in contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).filter("not kept").collect()}
     want = {r[0] for r in duckdb.sql(f"select distinct doc_id from '{sf}/documents.parquet' d, '{sf}/benchmark.parquet' b where contains(d.text, b.text)").fetchall()}
     assert want and got == want
+
+
+def test_copies_in_capitals_and_of_numbers(spark):
+    items = [
+        *ITEMS[:2],
+        (6, "On day 1 we sold 12 34 56 78 90 11 22 33 44 55 66 77 pears"),
+        (7, "Ask Anna Berg Carl Dahl Emma Falk Gina Holm Ivar Jons Karl Lund"),
+        (8, "Ask Maria 12 34"),
+    ]
+    docs = [
+        (1, "before " + ITEMS[0][1].upper() + " after"), (2, "before " + ITEMS[1][1].upper()), (3, "before " + ITEMS[1][1].title()),
+        (4, "before " + items[2][1] + " after"), (5, "before " + items[3][1]), (6, "see: ask MARIA 12 34."),
+        (7, "before On day 1 we sold 12 34 56 78 91 11 22 33 44 55 66 77 pears"),  # a number differs in every window
+        (8, "ASK BORIS 12 34"), (9, "THE QUICK BROWN FOX JUMPED OVER NINE LAZY DOGS"),
+    ]
+    for block in (1 << 20, 40):
+        got = run(spark, docs, items, block=block)
+        assert {i: ids for i, (ids, _) in got.items()} == {1: [1], 2: [2], 3: [2], 4: [6], 5: [7], 6: [8], 7: [], 8: [], 9: []}
