@@ -5,7 +5,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 from sextant.functions.predicates import ADDERS, LINQ
 from sextant.operators.metrics import NODE_KINDS
@@ -54,6 +56,28 @@ def outline(text: str) -> list[dict]:
     return out
 
 
+def words(text: str) -> set[str]:
+    """Every name that the text may look up by itself, attributes by their long names too."""
+    own = set(re.findall(r"@?[^\W\d]\w*", text))
+    own |= {w.removeprefix("@") for w in own}
+    return own | {w + "Attribute" for w in own}
+
+
+def leads(part: dict) -> set[tuple[str | None, str]]:
+    """(member or None, type name): the names that an outline leads to, by a member or at once."""
+
+    def names(t: list | None) -> Iterator[str]:
+        if t:
+            yield t[0]
+            yield from t[2].split(".")
+            for a in t[1]:
+                yield from names(a)
+
+    out = {(None, n) for n in part["display"].split(".")}
+    out |= {(None, n) for b in part["bases"] for n in names(b)}
+    return out | {(m[0], n) for m in part["members"] for n in names(m[2])}
+
+
 class World:
     """The outline of all files, merged."""
 

@@ -16,7 +16,7 @@ from sextant.functions.text import nonblank_lines
 from sextant.plans.store import cut
 from sextant.sources import binder
 
-#: outline rows that one broadcast may hold; beyond it files are bound project by project
+#: outline rows that one broadcast may hold; beyond it each file gets those that it can look up
 OUTLINE = 200_000
 
 
@@ -56,30 +56,62 @@ def source_files(spark: SparkSession, start: str) -> DataFrame:
     return rows.withColumn("file_ord", rank).select("project", "project_ord", "file_ord", "path", "text", nonblank_lines(F.col("text")).alias("loc"))
 
 
-def extract(files: DataFrame) -> Facts:
-    """All facts of a files table. The outline of all declarations is counted first; a large one
-    is cut by project, so that a file then sees the declarations of its own project only."""
+def extract(files: DataFrame, bound: int = OUTLINE) -> Facts:
+    """All facts of a files table. The outline of all declarations is counted first; of a large
+    one, each file gets the declarations that its names lead to, from whichever project."""
 
     def outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
         for b in batches:
-            rows = [(p, json.dumps(o)) for p, t in zip(b["project"], b["text"], strict=True) for o in binder.outline(t or "")]
-            yield pd.DataFrame(rows, columns=["project", "outline"])
+            rows = [(o["name"], json.dumps(o)) for t in b["text"] for o in binder.outline(t or "")]
+            yield pd.DataFrame(rows, columns=["name", "outline"])
 
-    found = cut(files.select("project", "text").mapInPandas(outlines, "project string, outline string"))
-    if found.limit(OUTLINE + 1).count() <= OUTLINE:
+    found = cut(files.select("text").mapInPandas(outlines, "name string, outline string"))
+    if found.limit(bound + 1).count() <= bound:
         shared = [r.outline for r in found.select("outline").distinct().orderBy("outline").collect()]
         raw = files.mapInPandas(_bind(shared), "name string, row string")
     else:
-        side = found.groupBy("project").agg(F.collect_set("outline").alias("outlines"))
-        raw = files.join(side, "project").mapInPandas(_bind(None), "name string, row string")
+        found = found.distinct()
+        side = _looked_up(files, found).join(found, "name").groupBy("path").agg(F.collect_set("outline").alias("outlines"))
+        raw = files.join(side, "path", "left").mapInPandas(_bind(None), "name string, row string")
     raw = cut(raw)
     spark = files.sparkSession
     tables = {n: raw.filter(F.col("name") == n).select(F.from_json("row", s).alias("r")).select("r.*") for n, s in SCHEMAS.items() if n != "files"}
     return Facts.empty(spark, files=files, **tables)
 
 
+def _looked_up(files: DataFrame, outlines: DataFrame) -> DataFrame:
+    """(path, name) of every type name that binding a file may look up: its own words, and in
+    rounds the names that a declaration found leads to by its bases, by its outer types, and by
+    members whose name is a word of the file."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, w) for p, t in zip(b["path"], b["text"], strict=True) for w in binder.words(t or "")]
+            yield pd.DataFrame(rows, columns=["path", "name"])
+
+    def leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        for b in batches:
+            rows = [(n, *x) for n, o in zip(b["name"], b["outline"], strict=True) for x in binder.leads(json.loads(o))]
+            yield pd.DataFrame(rows, columns=["name", "via", "to"])
+
+    own = cut(files.select("path", "text").mapInPandas(words, "path string, name string").distinct())
+    declared = outlines.select("name").distinct()
+    known = declared.withColumnRenamed("name", "to")
+    on = cut(outlines.mapInPandas(leads, "name string, via string, to string").distinct().join(known, "to", "left_semi"))
+    via = own.withColumnRenamed("name", "via")
+    front = seen = cut(own.join(declared, "name", "left_semi").select("path", "name"))
+    while not front.isEmpty():
+        step = front.join(on, "name")
+        step = step.filter("via is null").select("path", "to").union(step.join(via, ["path", "via"], "left_semi").select("path", "to"))
+        front = cut(step.withColumnRenamed("to", "name").distinct().join(seen, ["path", "name"], "left_anti").select("path", "name"))
+        seen = seen.union(front)
+    return seen
+
+
 def _bind(shared: list[str] | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -88,7 +120,7 @@ def _bind(shared: list[str] | None):
         for b in batches:
             rows = []
             for r in b.itertuples():
-                w = world or binder.World([json.loads(o) for o in sorted(r.outlines)])
+                w = world or binder.World([json.loads(o) for o in sorted(r.outlines if r.outlines is not None else [])])
                 rows += binder.file_rows(w, r.text or "", r.path, r.project, int(r.project_ord), int(r.file_ord))
             yield pd.DataFrame(rows, columns=["name", "row"])
 
