@@ -1,7 +1,8 @@
 """One query per operator over the star-schema facts, with its DuckDB equivalent.
 
 Names: the symbols that the queries ask about exist at every scale factor. Queries whose SQL keeps
-the early lines of the supplier graph have a namesake ending in ``_whole`` over all of it.
+the early lines of the supplier graph have a namesake ending in ``_whole`` over all of it;
+``call_chain_whole`` goes to the default depth and ``service_map_whole`` has no namespace.
 """
 
 from __future__ import annotations
@@ -126,9 +127,9 @@ def callers(spark, sf_dir, days=CORE_DAYS):
     far AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)""",
     recursive=True,
 )
-def call_chain(spark, sf_dir, days=CORE_DAYS):
+def call_chain(spark, sf_dir, days=CORE_DAYS, depth=3):
     f = _facts(spark, sf_dir, days)
-    return _entry(lookups.call_chain(f, _id(f, f"{SUPPLIER}.Ship", "method"), depth=3), "depth")
+    return _entry(lookups.call_chain(f, _id(f, f"{SUPPLIER}.Ship", "method"), depth=depth), "depth")
 
 
 @query("SELECT folder || '/' || name || '.cs' AS path, 1 AS line, 1 AS col, 'class ' || name AS context, name AS containing FROM places WHERE starts_with(display, 'ASIA.')")
@@ -215,8 +216,8 @@ def ownership_violations(spark, sf_dir):
     coalesce((SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FROM li x WHERE x.c_name = s.c_name AND l_linestatus = 'O'), '') AS tables
     FROM (SELECT DISTINCT c_name FROM li WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 7 AND r_name = 'ASIA') s"""
 )
-def service_map(spark, sf_dir):
-    return tables.service_map(_facts(spark, sf_dir), "ASIA").select("name", "path", "line", F.array_join("injected", ",").alias("injected"), F.array_join("tables", ",").alias("tables"))
+def service_map(spark, sf_dir, namespace="ASIA"):
+    return tables.service_map(_facts(spark, sf_dir), namespace).select("name", "path", "line", F.array_join("injected", ",").alias("injected"), F.array_join("tables", ",").alias("tables"))
 
 
 # audits
@@ -458,7 +459,7 @@ def usage_log_sessions(spark, sf_dir):
     return sessions(star.tables(spark, sf_dir)["events"], 6 * 3600)
 
 
-# the whole supplier graph
+# the whole supplier graph, and the operators' own defaults
 
 
 def _whole(f: Query, days: int) -> None:
@@ -471,3 +472,8 @@ for _f in (callers, call_chain, reach, core, fan_stats, bounded_bfs, snapshot, c
     _whole(_f, CORE_DAYS)
 for _f in (scc, cycles, cycle_report):
     _whole(_f, SPARSE_DAYS)
+
+QUERIES["call_chain_whole"] = wraps(call_chain)(partial(call_chain, days=None, depth=5))
+ORACLES["call_chain_whole"] = ORACLES["call_chain_whole"].replace("walk.depth < 3", "walk.depth < 5")
+QUERIES["service_map_whole"] = wraps(service_map)(partial(service_map, namespace=None))
+ORACLES["service_map_whole"] = ORACLES["service_map"].replace(" AND r_name = 'ASIA'", "")

@@ -38,3 +38,13 @@ def test_whole_queries_have_no_date(spark):
     assert len(whole) >= 12 and not any("l_shipdate" in ORACLES[n] for n in whole)
     fan = QUERIES["fan_stats_whole"](spark, SF).selectExpr("sum(fan_out) n").first().n
     assert fan == len(edges())
+
+
+def test_defaults_of_chain_and_map(spark):
+    assert "walk.depth < 5" in ORACLES["call_chain_whole"] and "ASIA" not in ORACLES["service_map_whole"]
+    regions = f"""select distinct r_name from '{SF}/lineitem.parquet' join '{SF}/orders.parquet' on l_orderkey = o_orderkey join '{SF}/customer.parquet' on o_custkey = c_custkey
+                  join '{SF}/nation.parquet' on c_nationkey = n_nationkey join '{SF}/region.parquet' on n_regionkey = r_regionkey where o_orderpriority = '1-URGENT' and l_linenumber = 7"""
+    place = star.facts(spark, SF).types.select("path", "namespace")
+    found = QUERIES["service_map_whole"](spark, SF).join(place, "path").selectExpr("split(namespace, '[.]')[0] r").distinct().collect()
+    want = {r[0] for r in duckdb.sql(regions).fetchall()}
+    assert len(want) > 1 and {r.r for r in found} == want
