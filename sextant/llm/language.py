@@ -23,7 +23,7 @@ from sextant.llm import _tokens as K
 from sextant.llm._shared import keyed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, LONGEST = "▁", 8
+MARK = "▁"
 SAMPLE, ROUNDS, SMOOTH, UNKNOWN = 500, 3, 0.02, 1e-7
 BASE, CACHE = 0xC2B2AE3D27D4EB4F, 400_000
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -46,11 +46,11 @@ def _hashes(points: np.ndarray) -> K.Rolling:
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
-    """Lower-case pieces of letters, up to LONGEST characters besides the mark."""
+    """All lower-case pieces of letters, with or without the mark."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
     plain = lambda p: p.removeprefix(MARK)
-    return sorted(p for p in pieces if p == MARK or (plain(p) and len(plain(p)) <= LONGEST and plain(p).lower() == plain(p) and all(unicodedata.category(c)[0] == "L" for c in plain(p))))
+    return sorted(p for p in pieces if p == MARK or (plain(p) and plain(p).lower() == plain(p) and all(unicodedata.category(c)[0] == "L" for c in plain(p))))
 
 
 class Pieces:
@@ -63,6 +63,7 @@ class Pieces:
         self.order = np.argsort(h)
         self.sorted = h[self.order]
         self.n = len(pieces)
+        self.longest = max(len(p) for p in pieces)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
@@ -76,13 +77,13 @@ class Lattice:
     def __init__(self, points: np.ndarray, start: np.ndarray, length: np.ndarray, pieces: Pieces):
         self.by = np.argsort(-length, kind="stable")
         self.start, self.length = start[self.by], length[self.by]
-        self.longest = int(self.length[0])
+        self.longest, self.reach = int(self.length[0]), pieces.longest
         roll = _hashes(points)
         self.rows = [int(np.searchsorted(-self.length, -i, "right")) for i in range(self.longest + 1)]
         self.piece: list[list[np.ndarray]] = [[]]
         for i in range(1, self.longest + 1):
             s = self.start[: self.rows[i]] + i
-            found = [pieces.find(roll(s - k, s)) for k in range(1, min(LONGEST + 1, i) + 1)]
+            found = [pieces.find(roll(s - k, s)) for k in range(1, min(self.reach, i) + 1)]
             found[0] = np.where(found[0] == pieces.n, pieces.n + 1, found[0])  # any character can stand alone
             self.piece.append(found)
 
@@ -102,7 +103,7 @@ class Lattice:
                 low = top < 1e-100
                 factor = np.where(low, 1e100, 1.0)
                 scale[:n] -= np.log(factor)
-                a[:n, max(0, i - LONGEST) : i + 1] *= factor[:, None]
+                a[:n, max(0, i + 1 - self.reach) : i + 1] *= factor[:, None]
         return a, scale
 
     def logs(self, p: np.ndarray) -> np.ndarray:

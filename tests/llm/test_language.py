@@ -50,3 +50,14 @@ def test_edges(spark):
     assert {r.lang_pred for r in L.identify(spark.createDataFrame([(1, "word", None, 0)], schema)).collect()} == {"und"}
     swapped = spark.createDataFrame([(i, t, "fr" if i == 3 else lang, s) for i, t, lang, s in rows], schema)  # a held-out label is never read
     assert [r.held_out for r in L.identify(swapped).filter("doc_id = 3").collect()] in ([True], [False])
+
+
+def test_long_pieces_count():
+    pieces = L.vocabulary()
+    assert len(pieces) == 22_240 and max(len(p.removeprefix(L.MARK)) for p in pieces) == 15
+    word = next(p for p in pieces if len(p) == 15 and p[0] != L.MARK)
+    pieces, table = [L.MARK, word], L.Pieces([L.MARK, word])
+    p = np.array([[0.5], [0.25], [0], [1e-7]])
+    points = L._points(L.MARK + word)
+    (_, graph), = L.lattices(points, np.array([0]), np.array([16]), table)
+    assert np.isclose(graph.logs(p)[0, 0], math.log(0.5 * 0.25))
