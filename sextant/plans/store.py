@@ -5,18 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: an iterative plan stays short, and a
-    lost executor costs a re-read only. The folder is below ``spark.checkpoint.dir``; a
-    temporary one is set where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``. Where that is unset a local session gets a
+    temporary one; on a cluster, whose executors would each write to a disk of their own, that is
+    an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder, in at most ``files`` files, and read again: an iterative
+    plan stays short, and a lost executor costs a re-read only."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
