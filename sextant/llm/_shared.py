@@ -1,29 +1,15 @@
-"""What the operators share: the shared folder, document keys and connected components."""
+"""What the operators share: document keys and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.plans.store import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sextant-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sextant-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and a lost
-    executor costs no more than a re-read."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "cut", "keyed", "shared_folder"]
+#: rows of a loop's table that one file takes
+_ROWS = 1 << 18
 
 
 def keyed(docs: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -44,10 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every end of ``edges`` (a, b): the smallest id that it is connected with.
 
     Each round takes the least label among the neighbours and then follows the label's own
-    label, so chains shorten geometrically. Each round is written to the shared folder.
+    label, so chains shorten geometrically. Each round is written to the shared folder, in as many
+    files as its rows need.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    files = 1 + both.count() // _ROWS
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), files)
     while True:
         near = (
             both.join(labels.select(F.col("id").alias("b"), "label"), "b")
@@ -58,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = cut(
             labels.join(near, "id", "left")
             .join(hop, "label", "left")
-            .select("id", F.least("label", "near", "up").alias("label"), F.col("label").alias("old"))
+            .select("id", F.least("label", "near", "up").alias("label"), F.col("label").alias("old")),
+            files,
         )
         if new.filter("label <> old").isEmpty():
             return labels

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-SLICE = 1 << 20
+SLICE, MOST = 1 << 20, 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -56,17 +56,20 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about SLICE bytes of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about SLICE bytes of ``columns`` (of "text" if none are given)
+    and at most MOST rows; one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(column)
-        sizes = texts.cast(pa.large_binary()).fill_null(b"")
-        ends = np.cumsum(np.frombuffer(pa.compute.binary_length(sizes).cast(pa.int64()).buffers()[1], np.int64)[: len(sizes)])
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in columns or ("text",):
+            n = pa.compute.binary_length(batch.column(column))
+            sizes += n.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
         at, done = 0, 0
         while at < len(ends):
-            to = max(at + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+            to = min(at + MOST, max(at + 1, int(np.searchsorted(ends, done + SLICE, "right"))))
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
 

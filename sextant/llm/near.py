@@ -10,13 +10,15 @@
    These pairs are compared on full sets, and union-find by label propagation merges those that
    are linked.
 4. Members of one centre that are still in different components may be linked with each other.
-   No bucket is expanded into its pairs for that: the exact overlaps with the centre say what two
-   members must share beyond it. With x and y of sizes |x| and |y|, a link needs
-   need = percent * (|x| + |y|) / (100 + percent) common shingles, and they have at most
-   min(|x & c|, |y & c|) + |(x - c) & (y - c)|. So either they meet on a shingle outside the centre
-   (an equi-join on the rarest of those, with the prefix and position filters of set joins) or both overlaps
-   reach ``need`` (an equi-join on size bins, empty unless sizes differ). The pairs found are
-   compared on full sets too, and merged.
+   No bucket is expanded into its pairs for that. The members of a centre are described by
+   what sets them apart from the group's consensus c (the shingles that more than half of them
+   have): with o(x) = |x & c| and D(x) = (x - c) + (c - x), two of them share exactly
+   o(x) + o(y) - |c| + |D(x) & D(y)| shingles. Pairs that are linked whatever their differences
+   are linked through the member that is nearest to the consensus. All others must have
+   differences in common, which is an equi-join on one or two of the rarest of those (the prefix
+   and position filters of set joins; differences that nobody else, or nobody of another component,
+   has are left out). The pairs found are decided on the differences, exactly, and no text is read
+   again.
 
 With 40 bands of 5 rows a pair of similarity 0.75 meets in some band but for 2 in 100,000 cases,
 one of 0.8 but for 1 in 8 million.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from sextant.llm import _tokens as K
 from sextant.llm._shared import components, cut, keyed
 
-BANDS, ROWS, SHINGLE, SALTS = 40, 5, 5, 16
+BANDS, ROWS, SHINGLE, SALTS, DEALT, PREFIX = 40, 5, 5, 16, 512, 24
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -105,49 +107,106 @@ def _signed_rows(bands: int, rows: int):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes, overlap, and the shingles of ``id`` that ``other`` has not, ascending."""
-    for part in K.slices(batches, "text_id"):
+    """Sizes, overlap, and the shingles that only ``id`` and only ``other`` has."""
+    for part in K.slices(batches, "text_id", "text_other"):
         (x, fx), (y, fy) = shingle_sets(part.column("text_id")), shingle_sets(part.column("text_other"))
-        both, more = [], []
+        both, more, less = [], [], []
         for i in range(part.num_rows):
             p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-            at = np.searchsorted(q, p)
-            missing = p[q[np.minimum(at, len(q) - 1)] != p]
-            both.append(len(p) - len(missing))
-            more.append(K.signed(missing))
+            more.append(K.signed(np.setdiff1d(p, q, assume_unique=True)))
+            less.append(K.signed(np.setdiff1d(q, p, assume_unique=True)))
+            both.append(len(p) - len(more[-1]))
         yield K.as_batch(
             id=part.column("id"), other=part.column("other"), n_id=pa.array(np.diff(fx), pa.int64()), n_other=pa.array(np.diff(fy), pa.int64()),
-            both=pa.array(both, pa.int64()), more=pa.array(more, pa.list_(pa.int64())),
+            both=pa.array(both, pa.int64()), more=pa.array(more, pa.list_(pa.int64())), less=pa.array(less, pa.list_(pa.int64())),
         )
 
 
-_COMPARED = "id long, other long, n_id long, n_other long, both long, more array<long>"
-_BIN = "cast(floor(20 * ln({})) as int)"
+_COMPARED = "id long, other long, n_id long, n_other long, both long, more array<long>, less array<long>"
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """A row of a centre for each salt of its members."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+
+
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """(centre, id, label, h, d, least, nearest): what sets the members of a centre apart from their
+    consensus. ``members`` has (centre, salt, id, label, n, n_other, both, more, less) against the
+    centre; x and y are linked if 2 * (100 + percent) * |d(x) & d(y)| >= h(x) + h(y); ``nearest`` is
+    the member with the least h."""
+    p, unit = percent, 100 + percent
+    # the consensus: the centre's set with every difference that more than half of the members have
+    none = F.array().cast("array<long>")
+    apart = members.select("centre", F.explode("more").alias("e"), F.lit(1).alias("outside")).union(members.select("centre", F.explode("less"), F.lit(0)))
+    size = members.groupBy("centre").agg(F.count("id").alias("members"))
+    flip = apart.groupBy("centre", "e", "outside").agg(F.count("*").alias("often")).join(size, "centre").filter("2 * often > members")
+    flip = flip.groupBy("centre").agg(F.collect_list("e").alias("flips"), F.sum("outside").alias("added"), F.sum(1 - F.col("outside")).alias("removed"))
+    m = members.join(_salted(flip), ["centre", "salt"], "left").fillna(0, ["added", "removed"]).withColumn("flips", F.coalesce("flips", none))
+    apart = F.concat("more", "less")
+    m = m.withColumn("d", F.concat(F.array_except(apart, "flips"), F.array_except("flips", apart)))
+    m = m.withColumn("common", F.col("both") + F.size(F.array_intersect("more", "flips")) - F.col("removed") + F.size(F.array_intersect("less", "flips")))
+    m = m.withColumn("h", F.expr(f"2 * ({p} * n - {unit} * common) + {unit} * (n_other + added - removed)"))
+    m = cut(m.select("centre", "salt", "id", "label", "h", "d"))
+    nearest = m.groupBy("centre").agg(F.min(F.struct("h", "id")).alias("nearest"))
+    m = m.join(_salted(nearest), ["centre", "salt"])
+    return cut(m.select("centre", "id", "label", "h", "d", F.col("nearest.h").alias("least"), F.col("nearest.id").alias("nearest")))
+
+
+def _meet(m: DataFrame, percent: int) -> DataFrame:
+    """(centre, a, b): the members with different labels that may have enough differences in common.
+
+    Differences are ranked, the rarest first (by powers of two, then by chance, since neighbours in a
+    text come and go together). A pair that needs t of them meets on one among the
+    first size - t + 1 of both members, and on two among the first size - t + 2. Members that need
+    most of their differences (at most ``PREFIX`` come into question) meet on two, since a
+    difference that many have says little by itself; all other pairs on one. Bitmaps of 256 hashed
+    differences then bound how many each lacks of the other's, so that pairs which only happen to
+    meet are not emitted.
+    """
+    unit = 2 * (100 + percent)
+    need = lambda h, least=1: f"greatest({least}, cast(ceil(({h}) / {unit}) as int))"
+    every = m.select("centre", "id", "label", "h", "least", F.explode("d").alias("e"))
+    often = every.groupBy("centre", "e").agg(F.count("id").alias("often"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("often > 1 and lo < hi").drop("lo", "hi")
+    own = Window.partitionBy("centre", "id")
+    ranked = every.join(often, ["centre", "e"]).withColumn("rank", F.row_number().over(own.orderBy(F.expr("cast(log2(often) as int)"), F.xxhash64("e"), "e"))).withColumn("size", F.count("e").over(own))
+    ranked = ranked.withColumn("room", F.expr(f"size - {need(f'h + greatest(least, {unit})', 2)} + 2")).withColumn("most", F.expr(f"h >= {unit} and room <= {PREFIX}"))
+    ranked = ranked.select("*", *(F.bit_or(F.expr(f"if(pmod(xxhash64(e, 1), 256) div 64 = {k}, shiftleft(1L, cast(pmod(xxhash64(e, 1), 64) as int)), 0L)")).over(own).alias(f"bits{k}") for k in range(4)))
+    bits = [f"bits{k}" for k in range(4)]
+    ranked = cut(ranked.filter(f"rank <= size - {need('h + least')} + 2").select("centre", "e", "id", "label", "h", "rank", "size", *bits, "room", "most", "least"))
+    columns = ["id", "label", "h", "size", "rank", "most", *bits]
+    side = lambda d, name, *keys: d.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in columns))
+    lacks = lambda x, y: " + ".join(f"bit_count({x}_bits{k} & ~{y}_bits{k})" for k in range(4))
+    wanted = f"""struct(x_h, x_id) < struct(y_h, y_id) and x_label <> y_label and x_h + y_h > 0
+        and x_size - ({lacks('x', 'y')}) >= {need('x_h + y_h')} and y_size - ({lacks('y', 'x')}) >= {need('x_h + y_h')}"""
+
+    # on two differences
+    place = F.struct("rank", "e")
+    few = ranked.filter("most and rank <= room").groupBy("centre", "id", "label", "h", "size", "most", *bits).agg(F.array_sort(F.collect_list(place)).alias("first"))
+    two = F.flatten(F.transform("first", lambda p, i: F.transform(F.slice("first", i + 2, PREFIX), lambda q: F.struct(F.xxhash64(p["e"], q["e"]).alias("e"), q["rank"].alias("rank")))))
+    few = few.select("centre", "id", "label", "h", "size", "most", *bits, F.inline(two))
+    x, y = side(few.filter(f"rank <= size - {need('2 * h', 2)} + 2"), "x", "centre", "e"), side(few, "y", "centre", "e")
+    both = x.join(y, ["centre", "e"]).filter(f"{wanted} and 2 + least(x_size - x_rank, y_size - y_rank) >= {need('x_h + y_h')}")
+
+    # on one; a member's row names the kind of partner that it looks for
+    one = ranked.filter(f"rank <= size - {need('h + least')} + 1").withColumn("seeks", F.explode(F.when(F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    other = ranked.groupBy("centre").agg(F.bool_or(~F.col("most")).alias("any")).filter("any").select("centre")
+    one = one.join(other, "centre", "left_semi")
+    x = side(one.filter(f"rank <= size - {need('2 * h')} + 1"), "x", "centre", "e", F.col("most").alias("kind"), F.col("seeks").alias("sought"))
+    y = side(one, "y", "centre", "e", F.col("seeks").alias("kind"), F.col("most").alias("sought"))
+    single = x.join(y, ["centre", "e", "kind", "sought"]).filter(f"{wanted} and 1 + least(x_size - x_rank, y_size - y_rank) >= {need('x_h + y_h')}")
+    return both.unionByName(single.select(*both.columns)).select("centre", F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(id, other) of the pairs of members of one centre that may be linked and have different
-    labels; ``members`` has (centre, id, label, n, both, more), both and more as against the
-    centre."""
-    p = percent
-    m = members.withColumn("low", F.ceil(F.expr(f"{p} * n / 100"))).withColumn("cap", F.expr(f"floor({100 + p} * both / {p}) - n"))
-    short = F.expr(f"cast(ceil({p} * (n + low) / {100 + p}) - both as int)")
-    every = m.select("centre", "id", "label", "n", "both", F.size("more").alias("size"), short.alias("short"), F.explode("more").alias("shingle"))
-    often = every.groupBy("centre", "shingle").agg(F.count("id").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("centre", "id").orderBy("often", "shingle"))
-    key = every.join(often, ["centre", "shingle"]).withColumn("rank", rank).filter("often > 1 and rank <= size - greatest(short, 1) + 1")
-    x, y = (key.select("centre", "shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "label", "n", "both", "size", "rank"))) for side in "xy")
-    lacking = f"ceil({p} * (x_n + y_n) / {100 + p}) - least(x_both, y_both)"
-    meet = x.join(y, ["centre", "shingle"]).filter(f"x_id < y_id and x_label <> y_label and 100 * least(x_n, y_n) >= {p} * greatest(x_n, y_n) and 1 + least(x_size - x_rank, y_size - y_rank) >= {lacking}")
-
-    wide = m.filter("cap >= low").withColumn("bx", F.expr(_BIN.format("n")))
-    wide = wide.withColumn("by", F.explode(F.expr(f"sequence({_BIN.format('low')}, {_BIN.format('least(cap, n)')})")))
-    slim = m.filter("cap >= n").withColumn("by", F.expr(_BIN.format("n")))
-    slim = slim.withColumn("bx", F.explode(F.expr(f"sequence(by, {_BIN.format(f'least(cap, floor(100 * n / {p}))')})")))
-    x, y = (d.select("centre", "bx", "by", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "label", "n", "cap"))) for d, side in ((wide, "x"), (slim, "y")))
-    inside = x.join(y, ["centre", "bx", "by"]).filter("x_label <> y_label and y_n <= x_n and y_n <= x_cap and x_n <= y_cap")
-    pairs = meet.select("x_id", "y_id").union(inside.select("x_id", "y_id"))
-    return pairs.select(F.least("x_id", "y_id").alias("id"), F.greatest("x_id", "y_id").alias("other")).distinct()
+    """Links (a, b) between members of one centre: those that need no common difference, through the
+    nearest member, and those that have enough of them."""
+    m = _apart(members, percent)
+    free = m.filter("h + least <= 0 and id <> nearest").select(F.col("id").alias("a"), F.col("nearest").alias("b"))
+    meet = _meet(m, percent)
+    for side in "ab":
+        meet = meet.join(m.select("centre", F.col("id").alias(side), F.col("h").alias(f"h_{side}"), F.col("d").alias(f"d_{side}")), ["centre", side])
+    return free.union(meet.filter(f"{2 * (100 + percent)} * size(array_intersect(d_a, d_b)) >= h_a + h_b").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -172,27 +231,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     centre = member.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
     star = member.join(centre.select("key", (-F.col("top.minus")).alias("other")), "key").filter("id <> other").select("id", "other").distinct()
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        for side in ("id", "other"):
-            pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return cut(pairs.select("id", "other", "text_id", "text_other").mapInArrow(_compare, _COMPARED))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return pairs.filter(f"100 * both >= {percent} * (n_id + n_other - both)").select(F.col("id").alias("a"), F.col("other").alias("b"))
-
-    pairs = compared(star)
-    links = linked(pairs)
+    # a centre may have a third of all members: they are dealt out over copies of its text
+    star = star.join(star.groupBy("other").agg(F.expr(f"cast(1 + count(*) div {DEALT} as int)").alias("copies")), "other")
+    star = cut(star.withColumn("salt", F.expr("cast(pmod(xxhash64(id), copies) as int)")))
+    ends = star.select("other", "copies").distinct().join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_other")), "other")
+    ends = ends.select("other", "text_other", F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
+    pairs = star.select("id", "other", "salt").join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("text_id")), "id").join(ends, ["other", "salt"])
+    pairs = cut(pairs.select("id", "other", "text_id", "text_other").mapInArrow(_compare, _COMPARED))
+    links = pairs.filter(f"100 * both >= {percent} * (n_id + n_other - both)").select(F.col("id").alias("a"), F.col("other").alias("b"))
     labels = components(links)
-    # a centre may have a third of all members: its rows are dealt out over the salts
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     named = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    middle = labels.select(F.col("id").alias("other"), F.col("label").alias("middle"), salts).hint("merge")
+    middle = _salted(labels.select(F.col("id").alias("other"), F.col("label").alias("middle")))
     named = named.join(middle, ["other", "salt"], "left").withColumn("middle", F.coalesce("middle", "other")).withColumnRenamed("other", "centre").withColumnRenamed("n_id", "n")
-    mixed = named.groupBy("centre").agg(F.min(F.least("label", "middle")).alias("lo"), F.max(F.greatest("label", "middle")).alias("hi")).filter("lo < hi").select("centre", salts).hint("merge")
-    members = cut(named.join(mixed, ["centre", "salt"], "left_semi").select("centre", "id", "label", "n", "both", "more"))
-    across = cut(_across(members, percent))
-    if not across.isEmpty():
-        labels = components(links.union(linked(compared(across))))
+    mixed = named.groupBy("centre").agg(F.min(F.least("label", "middle")).alias("lo"), F.max(F.greatest("label", "middle")).alias("hi"), F.count("id").alias("size")).filter("lo < hi and size > 1")
+    members = cut(named.join(_salted(mixed.select("centre")), ["centre", "salt"], "left_semi").select("centre", "salt", "id", "label", "n", "n_other", "both", "more", "less"))
+    if not members.isEmpty():
+        labels = components(links.union(_across(members, percent)))
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(named, same, "left")

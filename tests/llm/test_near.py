@@ -90,6 +90,48 @@ def test_outsiders_of_a_star(spark):
     assert run(spark, rows) == want
 
 
+def test_fillings_of_one_template(spark, monkeypatch):
+    """Hundreds of documents that share a frame and lie just below the threshold: few pairs are
+    looked at beyond those with a centre, and none is lost."""
+    from sextant.llm import near
+
+    looked = []
+    meet = near._meet
+
+    def counted(members, percent):
+        pairs = near.cut(meet(members, percent))
+        looked.append(pairs.select("a", "b").distinct().count())
+        return pairs
+
+    monkeypatch.setattr(near, "_meet", counted)
+    rnd = random.Random(11)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for k in rnd.sample(range(300), 9):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(500, 520):  # linked with one another through what only they share
+        w = list(base)
+        w[40:110] = [f"s{k}" for k in range(70)]
+        w[rnd.randrange(200, 300)] = f"y{i}"
+        w[rnd.randrange(0, 40)] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    assert run(spark, rows) == want and len({c for _, c, _ in want.values()}) > 400
+    assert sum(looked) <= len(rows)
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(3)
+    long = [f"v{rnd.randrange(50_000)}" for _ in range(200_000)]
+    near = list(long)
+    near[1000:1040] = ["new"] * 40
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "a b c d e f"), (4, " ".join(long[:100_000]))]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_oracle(spark, same):
     from sextant.llm.queries import ORACLES, QUERIES
 
