@@ -2,16 +2,19 @@
 
 Texts are canonicalised to templates: lower-case words without outer punctuation, numbers, names
 (capitalised words inside a sentence) and units after a number replaced with typed placeholders.
-Windows of template words are looked up in a hash table of the benchmark's windows, and each hit
-is checked word by word: along one alignment of document and item, the same slot value must
-always stand for the same value, one to one, so that a re-parameterised question is caught and a
-mere similar frame is not.
+The windows of template words of the benchmark and those of the documents meet in a hash join.
+Part of its key is the pattern of the slots, which tells what slots of a window hold the same value:
+two windows have the same pattern if and only if their values correspond one to one. So a
+re-parameterised question is caught and a mere similar frame is not.
 
-Windows of the lower-case words themselves are looked up beside them, in the same pass: a copy that
+Windows of the lower-case words themselves are joined beside them, in the same pass: a copy that
 stands in capitals, or consists of numbers and names for the most part, matches word for word.
 
-The benchmark is processed in blocks of at most ``block`` windows, whatever its size; each block
-is one pass over the documents.
+The documents are read once, whatever the benchmark's size, and only windows whose hash the
+benchmark may have go to the join: the test is a sorted list of up to ``block`` hashes, a bitmap of
+fixed size beyond that. Equal windows of the benchmark are one row, named by the smallest item, so
+a frame that all items share joins each document once. Rows are salted, so a passage that a third
+of all documents have is dealt out.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import _tokens as K
-from sextant.llm._shared import keyed
+from sextant.llm._shared import cut, keyed
 
-WINDOW, BLOCK = 10, 1 << 20
+WINDOW, BLOCK, SALTS = 10, 1 << 20, 16
+#: bits of the bitmap that stands for more than ``block`` hashes
+_BITS = 26
 UNITS = (
     "mm cm m km mg g kg lb lbs oz ml l mile miles meter meters metre metres kilometer kilometers kilometre kilometres inch inches foot feet yard yards "
     "gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks "
     "month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh"
 )
-OUT = "doc_id long, n_windows long, n_matched long, item_ids array<long>, kept boolean"
+_ROW = "id long, place long, n long, key long, whole long, slots long, kinds array<long>, values array<long>"
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
@@ -105,101 +110,146 @@ def _unit_values() -> np.ndarray:
     return _unit_cache[0]
 
 
-class Benchmark:
-    """A block of items: their templates, and the windows by size, template and literal ones, with
-    a sorted hash each. Items shorter than ``window`` words are one window as a whole."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], window: int):
-        self.ids, self.t = ids, Templates(pa.array(texts, pa.string()))
-        self.tables = []
-        for size in sorted({min(window, int(n)) for n in self.t.count if n}):
-            for literal in (False, True):
-                at, h, doc = self.t.windows(size, literal)
-                if size < window:
-                    whole = self.t.count[doc] == size
-                    at, h, doc = at[whole], h[whole], doc[whole]
-                order = np.argsort(h, kind="stable")
-                self.tables.append((size, literal, h[order], at[order], doc[order]))
-
-    def hits(self, docs: Templates) -> Iterator[tuple[int, int, int, int, int, bool]]:
-        """(document, item, place in the document, place in the item, size, literal), places in
-        the concatenated words."""
-        for size, literal, h, at, item in self.tables:
-            where, own, doc = docs.windows(size, literal)
-            lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                for k in range(lo[i], hi[i]):
-                    yield int(doc[i]), int(item[k]), int(where[i]), int(at[k]), size, literal
-
-
-def matched(docs: Templates, bench: Benchmark) -> dict[int, dict[int, int]]:
-    """document -> item -> number of consistent or literal windows on its best alignment."""
-    lines: dict[tuple[int, int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
-    for doc, item, p, q, size, literal in bench.hits(docs):
-        lines[doc, item, p - q].append((p, q, size, literal))
-    out: dict[int, dict[int, int]] = defaultdict(dict)
-    for (doc, item, _), found in lines.items():
-        there: dict[tuple[int, int], int] = {}
-        back: dict[tuple[int, int], int] = {}
-        places = set()
-        for p, q, size, literal in sorted(found):
-            x, y = slice(p, p + size), slice(q, q + size)
-            if literal:
-                if (docs.value[x] == bench.t.value[y]).all():
-                    places.add(p)
-                continue
-            if (docs.kind[x] != bench.t.kind[y]).any() or (docs.form[x] != bench.t.form[y]).any():
-                continue
-            slots = [(int(k), int(a), int(b)) for k, a, b in zip(docs.kind[x], docs.value[x], bench.t.value[y], strict=True) if k]
-            new_there, new_back = dict(there), dict(back)
-            if all(new_there.setdefault((k, b), a) == a and new_back.setdefault((k, a), b) == b for k, a, b in slots):
-                there, back = new_there, new_back
-                places.add(p)
-        if places:
-            out[doc][item] = max(len(places), out[doc].get(item, 0))
-    return out
+def _pattern(t: Templates, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window its kinds and values, and a hash of its pattern: each slot is numbered by the
+    first slot of its kind with the same value."""
+    place = at[:, None] + np.arange(size)
+    kind, value = t.kind[place], t.value[place]
+    first = np.tile(np.arange(size), (len(at), 1))
+    for i in range(size - 1, -1, -1):  # the leftmost equal slot wins
+        same = (kind == kind[:, i : i + 1]) & (value == value[:, i : i + 1])
+        first = np.where(same, i, first)
+    code = np.where(kind > 0, first + 1, 0).astype(np.uint64)
+    slots = K.mix((code * K.mix(np.arange(1, size + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64))
+    return kind, value, slots
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = 1, block: int = BLOCK) -> DataFrame:
-    """One row per document: its windows, the consistent or literal hits on its items' best
-    alignments, the items in ascending order, and ``kept`` (false with any item that has
-    ``least`` hits or, if it is short, all).
+class Lookup:
+    """Tells whether the benchmark may have a hash: exactly from a sorted list, or from a bitmap."""
 
-    A null, empty or short text has no window and is kept; a benchmark item without words
-    matches nothing; rows with a null doc_id or item_id are left out; of rows that share an id
-    the one with the greatest text stays; other columns are not read.
-    """
-    rows = keyed(docs, "doc_id", "text")
-    items = keyed(benchmark, "item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block)))  # a word and its space are two bytes at least
+    def __init__(self, keys: np.ndarray | None, bitmap: np.ndarray | None = None):
+        self.keys, self.bitmap = keys, bitmap
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if self.bitmap is not None:
+            bit = h >> np.uint64(64 - _BITS)
+            return (self.bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        if not len(self.keys):
+            return np.zeros(len(h), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h
+
+
+def _rows(t: Templates, ids: np.ndarray, sizes: list[int], window: int, lookup: Lookup | None, values: bool) -> pa.RecordBatch:
+    """The windows of all sizes, template and literal ones, that pass ``lookup``. Windows of fewer
+    than ``window`` words are whole items; documents are searched for them everywhere."""
     parts = []
-    for b in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect() if size else []
-        parts.append(rows.mapInArrow(_scan([r.item_id for r in some], [r.text for r in some], window, least), OUT))
-    out = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("doc_id").agg(F.max("n_windows").alias("n_windows"), F.sum("n_matched").alias("n_matched"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.min("kept").alias("kept"))
-    return out
+    for size in sizes:
+        for literal in (False, True):
+            at, h, doc = t.windows(size, literal)
+            h = K.mix(h + np.uint64(2 * size + literal))
+            some = lookup(h) if lookup else t.count[doc] == size if size < window else np.ones(len(at), bool)
+            at, h, doc = at[some], h[some], doc[some]
+            whole = K.Rolling(K.mix((t.value if literal else t.form) + np.uint64(1)), K.WORD2)(at, at + size)
+            for k in range(0, len(at), 1 << 14):
+                p = at[k : k + (1 << 14)]
+                kind, value, slots = _pattern(t, p, size)
+                own = slice(k, k + len(p))
+                kinds, held = ([x[y > 0] for x, y in zip(m, kind, strict=True)] if values and not literal else [[]] * len(p) for m in (kind, value))
+                held = [K.signed(np.asarray(x, np.uint64)) for x in held]
+                zero = np.zeros(len(p), np.int64)
+                parts.append(K.as_batch(
+                    id=ids[doc[own]], place=pa.array(p - t.first[doc[own]], pa.int64()), n=pa.array(t.count[doc[own]], pa.int64()), key=K.signed(h[own]), whole=K.signed(whole[own]),
+                    slots=zero if literal else K.signed(slots), kinds=pa.array(kinds, pa.list_(pa.int64())), values=pa.array(held, pa.list_(pa.int64())),
+                ))
+    return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
+
+
+def _bench_windows(window: int, values: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.slices(batches):
+            t = Templates(part.column("text"))
+            sizes = sorted({min(window, int(n)) for n in t.count if n})
+            yield from _rows(t, K.ids(part, "item_id"), sizes, window, None, values)
+
+    return run
+
 
+def _doc_windows(window: int, sizes: list[int], lookup: Lookup, values: bool):
+    """For each document a row with place -1 and the number of its words, and its possible hits."""
 
-def _scan(item_ids: list[int], texts: list[str | None], window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(item_ids, texts, window)
-        need = np.minimum(least, np.maximum(1, bench.t.count - window + 1))
         for part in K.slices(batches):
-            docs = Templates(part.column("text"))
-            found = matched(docs, bench)
-            n, lists = [], []
-            for i in range(part.num_rows):
-                hit = {item: k for item, k in found.get(i, {}).items() if k >= need[item]}
-                n.append(sum(hit.values()))
-                lists.append(sorted(bench.ids[item] for item in hit))
-            yield K.as_batch(
-                doc_id=part.column("doc_id"), n_windows=pa.array(np.maximum(docs.count - window + 1, 0), pa.int64()), n_matched=pa.array(n, pa.int64()),
-                item_ids=pa.array(lists, pa.list_(pa.int64())), kept=pa.array([not x for x in lists], pa.bool_()),
-            )
+            t = Templates(part.column("text"))
+            zero, none = np.zeros(part.num_rows, np.int64), pa.array([[]] * part.num_rows, pa.list_(pa.int64()))
+            yield K.as_batch(id=part.column("doc_id").cast(pa.int64()), place=zero - 1, n=pa.array(t.count, pa.int64()), key=zero, whole=zero, slots=zero, kinds=none, values=none)
+            yield from _rows(t, K.ids(part, "doc_id"), sizes, window, lookup, values)
 
     return run
+
+
+def _lookup(keys: DataFrame, block: int) -> Lookup:
+    """``keys`` has distinct hashes; at most ``block`` of them, or a bitmap, reach the driver."""
+    if keys.limit(block + 1).count() <= block:
+        found = keys.toArrow().column("key")
+        return Lookup(np.sort(found.to_numpy().view(np.uint64)))
+    bit = F.expr(f"shiftrightunsigned(key, {64 - _BITS})")
+    words = keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _BITS}) & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Lookup(None, bitmap)
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """Windows of one document and item on its best alignment, from the left, whose slots agree with
+    those taken before."""
+    rows = table.to_pylist()
+    lines = defaultdict(list)
+    for r in rows:
+        lines[r["place"] - r["item_place"]].append(r)
+    best = 0
+    for found in lines.values():
+        there, back, places = {}, {}, set()
+        for r in sorted(found, key=lambda r: (r["place"], r["key"])):
+            new_there, new_back = dict(there), dict(back)
+            if all(new_there.setdefault((k, b), a) == a and new_back.setdefault((k, a), b) == b for k, a, b in zip(r["kinds"], r["values"], r["item_values"], strict=True)):
+                there, back = new_there, new_back
+                places.add(r["place"])
+        best = max(best, len(places))
+    return pa.table({"doc_id": [rows[0]["doc_id"]], "item_id": [rows[0]["item_id"]], "n": pa.array([best], pa.int64())})
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = 1, block: int = BLOCK) -> DataFrame:
+    """One row per document: its windows, how many of them (``n_matched``) the benchmark has too,
+    the items in ascending order (of items that share a window the smallest speaks for it), and
+    ``kept``, false with any such window.
+
+    With ``least`` above 1 an item counts from that many windows on one alignment on (all, if it is
+    short), between which the slots agree as well; every pair of a document and an item that share a
+    window is looked at then, and n_matched is the sum over the items.
+
+    A null, empty or short text has no window and is kept; a benchmark item without words
+    matches nothing; rows with a null doc_id or item_id are left out; of rows that share an id
+    the one with the greatest text stays; other columns are not read. Items shorter than ``window``
+    words are one window as a whole.
+    """
+    rows, items = keyed(docs, "doc_id", "text"), keyed(benchmark, "item_id", "text")
+    same = ["key", "whole", "slots"]
+    bench = cut(items.mapInArrow(_bench_windows(window, least > 1), _ROW))
+    sizes = sorted(r.size for r in bench.select(F.least("n", F.lit(window)).alias("size")).distinct().collect())
+    found = cut(rows.mapInArrow(_doc_windows(window, sizes, _lookup(bench.select("key").distinct(), block), least > 1), _ROW).withColumnRenamed("id", "doc_id"))
+    counts = found.filter("place = -1").select("doc_id", F.greatest(F.col("n") - window + 1, F.lit(0).cast("long")).alias("n_windows"))
+    hits = found.filter("place >= 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if least == 1:
+        first = bench.groupBy(*same).agg(F.min("id").alias("item_id"))
+        matched = hits.join(salted(first), [*same, "salt"]).groupBy("doc_id").agg(F.size(F.collect_set("place")).cast("long").alias("n_matched"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    else:
+        first = bench.select(*same, F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("values").alias("item_values"), F.greatest(F.lit(1), F.col("n") - window + 1).alias("windows"))
+        pairs = hits.join(salted(first), [*same, "salt"])
+        need = first.groupBy("item_id").agg(F.least(F.lit(least), F.max("windows")).alias("need"))
+        pairs = pairs.select("doc_id", "item_id", "place", "item_place", "key", "kinds", "values", "item_values").groupBy("doc_id", "item_id").applyInArrow(_aligned, "doc_id long, item_id long, n long")
+        matched = pairs.join(need, "item_id").filter("n >= need").groupBy("doc_id").agg(F.sum("n").alias("n_matched"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    none = F.array().cast("array<long>")
+    out = counts.join(matched, "doc_id", "left")
+    return out.select("doc_id", "n_windows", F.coalesce("n_matched", F.lit(0).cast("long")).alias("n_matched"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_matched").isNull().alias("kept"))
