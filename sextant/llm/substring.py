@@ -1,17 +1,21 @@
 """Substring deduplication by level-wise doubling.
 
-Level one looks at windows of ``start`` words, sampled without loss: of the ``start``-word
+The first level looks at windows of ``start`` words, sampled without loss: of the ``start``-word
 windows inside each ``window``-word window, the one with the least hash (the leftmost of equals)
 speaks for it, so equal long windows always choose equal short ones. Short windows that occur
-once in the corpus end here; only those that repeat are doubled to ``window`` words. Neighbouring
-long windows with one representative form a run, which is compared as a whole first: later
-copies of an equal run are repeats, and only runs that share their short window but differ
-elsewhere (the edges of a repeated passage) are compared window by window. That answers what to
-remove; ``doubled`` goes on from there, doubling the length until no window repeats.
+once in the corpus end here; only those that repeat are doubled, level by level up to ``window``
+words or until no candidate survives. Neighbouring long windows with one representative form a
+run, which is compared as a whole at each level: later copies of an equal run are repeats, and only
+runs that share their short window but differ elsewhere (the edges of a repeated passage) go on.
+That answers what to remove; ``doubled`` goes on from there, doubling the length until no window
+repeats.
 
 Hot keys: rows are merged inside each slice of about 1 MB of text before the shuffle, so that a
 passage found in a third of all documents sends a row per slice and not a row per document; the
-merged rows travel under keys of their own.
+merged rows travel under keys of their own. Short windows that a sample of documents shows to be
+frequent (many near copies that differ in the run) are dealt out by the whole run instead of the
+short window, and go on to the next level, which decides. The sample changes where rows are
+compared, never the result.
 """
 
 from __future__ import annotations
@@ -45,7 +49,21 @@ def _merged(key: np.ndarray, rest: np.ndarray, doc: np.ndarray, at: np.ndarray)
     return np.where(known, own, key), known
 
 
-def _level_one(window: int, start: int):
+def _places(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The document and the place of each window in the runs of a batch, in ascending order."""
+    per = np.diff(np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1])
+    flat = runs.flatten().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((flat, doc))
+    flat, doc = flat[order], doc[order]
+    n = flat % _RUN
+    place = np.repeat(flat // _RUN - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    return np.repeat(doc, n), place
+
+
+def _level_one(window: int, start: int, hot: np.ndarray, some: bool = False):
+    """The runs of all windows, or with ``some`` of those in the runs that are left."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches):
             words = K.Words(part.column("text"))
@@ -56,7 +74,11 @@ def _level_one(window: int, start: int):
             at = np.arange(len(room) - start + 1)
             short = roll(at, at + start)
             lead = K.leftmost_minimum(short, window - start + 1)
-            s = np.flatnonzero(room >= window)
+            if some:
+                doc, place = _places(part.column("runs"))
+                s = place + words.first[doc]
+            else:
+                s = np.flatnonzero(room >= window)
             p = lead[s]
             new = np.ones(len(s), bool)
             new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
@@ -67,12 +89,33 @@ def _level_one(window: int, start: int):
             whole = roll(lo, lo + n + window - 1)
             local = lo - words.first[doc]
             owner = K.ids(part, "doc_id")[doc]
-            key, known = _merged(short[p[first]], whole, owner, local)
-            yield K.as_batch(key=K.signed(key), whole=K.signed(whole), doc_id=owner, run=local * _RUN + n, known=known)
+            key = short[p[first]]
+            often = np.isin(key, hot)
+            key = np.where(often, K.mix(key ^ K.mix(whole)), key)
+            key, known = _merged(key, whole, owner, local)
+            yield K.as_batch(key=K.signed(key), whole=K.signed(whole), doc_id=owner, run=local * _RUN + n, known=known, often=often)
+
+    return rows
+
+
+def _sampled_keys(window: int, start: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _level_one(window, start, np.zeros(0, np.uint64))(batches):
+            yield K.as_batch(key=found.column("key"))
 
     return rows
 
 
+def _hot(docs: DataFrame, window: int, start: int, sample: int = 1 << 15, least: int = 16) -> np.ndarray:
+    """Short windows that ``least`` runs of a sample of about ``sample`` documents share, so
+    that at most a ``least``-th of the sample's runs come to the driver."""
+    n = docs.count()
+    share = min(1.0, sample / max(n, 1))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    keys = some.mapInArrow(_sampled_keys(window, start), "key long").groupBy("key").count().filter(F.col("count") >= least).select("key")
+    return np.sort(keys.toArrow().column("key").to_numpy().view(np.uint64))
+
+
 def _windows(window: int):
     """The long windows of the runs that are left, each with a hash of 128 bits."""
 
@@ -81,13 +124,7 @@ def _windows(window: int):
             words = K.Words(part.column("text"))
             h = words.hashes()
             roll, other = K.Rolling(h, K.WORD), K.Rolling(K.mix(h + np.uint64(1)), K.WORD2)
-            runs = part.column("runs")
-            per = np.diff(np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1])
-            flat = runs.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(per)), per)
-            n = flat % _RUN
-            s = np.repeat(flat // _RUN - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            doc = np.repeat(doc, n)
+            doc, s = _places(part.column("runs"))
             g = s + words.first[doc]
             a, b = roll(g, g + window), other(g, g + window)
             owner = K.ids(part, "doc_id")[doc]
@@ -104,32 +141,38 @@ def repeats(docs: DataFrame, window: int = 20, start: int = 10) -> DataFrame:
     """(doc_id, runs): the windows of each document whose words also start earlier, a smaller
     doc_id or an earlier place. A run is place * 4096 + number of successive windows.
 
-    ``docs`` has unique doc_ids. ``start`` doubles to ``window`` (twice ``start``).
+    ``docs`` has unique doc_ids. ``start`` doubles to ``window``.
     """
-    if window != 2 * start:
-        raise ValueError("window must be twice start")
+    if window % start or window // start & (window // start - 1) or window == start:
+        raise ValueError("window must be start, doubled once or more")
     if window - start + 1 >= _RUN:
         raise ValueError("windows of this length are not supported")
-    one = docs.select("doc_id", "text").mapInArrow(_level_one(window, start), _ROW).repartition("key")
+    texts = docs.select("doc_id", "text")
     by_key, by_whole = Window.partitionBy("key"), Window.partitionBy("key", "whole")
     place = F.struct("doc_id", "run")
-    judged = (
-        one.withColumn("first", F.min(place).over(by_whole))
-        .withColumn("later", F.col("known") | (place > F.col("first")))
-        .withColumn("kinds", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(by_key))
-        .filter("later or kinds > 1")
-        .select("doc_id", "run", "later")
-    )
-    judged = cut(judged)
-    left = judged.filter("not later").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    two = docs.select("doc_id", "text").join(left, "doc_id").mapInArrow(_windows(window), _ROW).repartition("key")
-    two = (
-        two.withColumn("first", F.min(place).over(by_whole))
-        .filter(F.col("known") | (place > F.col("first")))
-        .select("doc_id", "run")
-    )
-    found = judged.filter("later").select("doc_id", "run").union(two)
-    return found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    earlier = F.col("known") | (place > F.col("first"))
+    hot = _hot(texts, window, start)
+    source, found, length = texts, None, start
+    while length < window:
+        one = source.mapInArrow(_level_one(window, length, hot, source is not texts), f"{_ROW}, often boolean").repartition("key")
+        judged = (
+            one.withColumn("first", F.min(place).over(by_whole))
+            .withColumn("later", earlier)
+            .withColumn("kinds", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(by_key))
+            .filter("later or often or kinds > 1")
+            .select("doc_id", "run", "later")
+        )
+        judged = cut(judged)
+        later = judged.filter("later").select("doc_id", "run")
+        found = later if found is None else found.union(later)
+        left = judged.filter("not later")
+        length *= 2
+        if length < window and left.isEmpty():
+            break
+        source = texts.join(left.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "doc_id")
+    two = source.mapInArrow(_windows(window), _ROW).repartition("key")
+    two = two.withColumn("first", F.min(place).over(by_whole)).filter(earlier).select("doc_id", "run")
+    return found.union(two).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
 def _ranges(places: np.ndarray) -> np.ndarray:

@@ -50,6 +50,26 @@ def test_against_brute_force(spark):
         assert run(spark, rows) == brute(rows)
 
 
+def test_levels_and_hot_windows(spark, monkeypatch):
+    """More levels, and every short window that is met twice dealt out by its run, change nothing."""
+    from sextant.llm import substring
+
+    rows = planted(4)
+    frame = [f"f{k}" for k in range(120)]
+    rnd = random.Random(4)
+    for i in range(300, 380):
+        w = list(frame)
+        w[rnd.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = substring._hot
+    for start, least in ((10, 2), (10, 16), (5, 16)):
+        monkeypatch.setattr(substring, "_hot", lambda *a, n=least: hot(*a, least=n))
+        assert len(substring._hot(df, 20, start)) > 0
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in strip_repeats(df, start=start).collect()} == want
+
+
 def test_edges(spark):
     assert run(spark, []) == {}
     long = " ".join(f"t{i % 7001}" for i in range(60_000))
