@@ -2,13 +2,15 @@
 
 Two logistic models see one document each their own way: the content view the words and beginnings of words it holds, the
 metadata view what its record and layout tell (language, source, lengths, lines, symbols,
-repetition). Both start from the labelled sample; in each round each view labels the pool
-documents that it is surest of, and the other view learns from those that it does not contradict. A part of the labelled
+repetition). Both start from the labelled sample; in each round both views score all documents, and
+each view labels the unlabelled documents that it is surest of, of the whole corpus, from which the
+other view learns unless it contradicts. A part of the labelled
 sample that neither view has seen calibrates the views and combines them; the combination
 scores every document.
 
-Training is bounded: ``labelled`` and ``pool`` documents, chosen by a hash of doc_id, are all
-that reaches the driver. Scoring is one pass over the texts.
+What reaches the driver is bounded: ``labelled`` documents, chosen by a hash of doc_id, and
+``per_round`` pseudo-labels for each view and round. Each round, and the scoring, is one pass over
+the texts; scores are kept as a table, from which the surest are taken.
 """
 
 from __future__ import annotations
@@ -21,26 +23,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import _tokens as K
-from sextant.llm._shared import keyed
+from sextant.llm._shared import cut, keyed
 
-LABELLED, POOL, ROUNDS, PER_ROUND = 8000, 2000, 3, 300
+LABELLED, ROUNDS, PER_ROUND = 8000, 3, 300
 OUT = "doc_id long, content_score double, metadata_score double, score double, kept boolean"
 _SYMBOL, _DIGIT, _UPPER = (np.isin(np.arange(256), list(s)) for s in (b"#*$%&|<>{}\\^~=_@", b"0123456789", bytes(range(65, 91))))
 _HASHED = 32
 
 
 def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    sums = np.append(0, np.cumsum(flags))
-    return (sums[off[1:]] - sums[off[:-1]]).astype(float)
+    if not len(flags):
+        return np.zeros(len(off) - 1)
+    sums = np.add.reduceat(flags, np.minimum(off[:-1], len(flags) - 1), dtype=np.int32)
+    return np.where(off[1:] > off[:-1], sums, 0).astype(float)
 
 
 def _distinct_share(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.ones(len(first) - 1)
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if b > a:
-            v = np.sort(values[a:b])
-            out[i] = (1 + np.count_nonzero(v[1:] != v[:-1])) / (b - a)
-    return out
+    """Distinct values of each document, compared by 44 bits, over all its values."""
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    order = np.sort((doc << np.uint64(44)) | (values[first[0] : first[-1]] >> np.uint64(20)))
+    new = np.ones(len(order), bool)
+    new[1:] = order[1:] != order[:-1]
+    own = np.bincount((order[new] >> np.uint64(44)).astype(np.int64), minlength=len(n))
+    return np.where(n > 0, own / np.maximum(n, 1), 1.0)
 
 
 def _metadata(part: pa.RecordBatch, words: K.Words, h: np.ndarray) -> np.ndarray:
@@ -118,6 +124,11 @@ def _common(flat: np.ndarray, size: np.ndarray, often: int = 5) -> tuple[np.ndar
     starts = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, int)
     vocabulary = order[starts[np.diff(np.append(starts, len(order))) >= often]]
     del order, starts
+    return vocabulary, _placed(vocabulary, flat, size)
+
+
+def _placed(vocabulary: np.ndarray, flat: np.ndarray, size: np.ndarray) -> Docs:
+    """Documents in terms of the vocabulary, some at a time."""
     ends, at, kept, parts = np.cumsum(size), 0, [], []
     for k in range(0, len(size), 256):
         to = int(ends[min(k + 256, len(size)) - 1])
@@ -129,7 +140,7 @@ def _common(flat: np.ndarray, size: np.ndarray, often: int = 5) -> tuple[np.ndar
         edge = np.append(0, ends[k : k + 256] - at) if k == 0 else np.append(ends[k - 1], ends[k : k + 256]) - at
         kept.append(np.diff(sums[edge]))
         at = to
-    return vocabulary, Docs(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(kept) if kept else np.zeros(0, int))
+    return Docs(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(kept) if kept else np.zeros(0, int))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -181,13 +192,20 @@ class Content:
     def of(self, docs: Docs) -> np.ndarray:
         return np.min([h.of(docs) for h in self.heads], axis=0)
 
-    def slim(self) -> None:
-        """Keeps what the scorers need: the chosen words of all heads, and their weights in each."""
-        self.words = np.unique(np.concatenate([h.words for h in self.heads]))
-        self.weights = np.zeros((len(self.words), len(self.heads)))
+    def slim(self) -> Slim:
+        words = np.unique(np.concatenate([h.words for h in self.heads]))
+        weights = np.zeros((len(words), len(self.heads)))
         for k, h in enumerate(self.heads):
-            self.weights[np.searchsorted(self.words, h.words), k] = h.x[:-1]
-        self.bias, self.heads = np.array([h.x[-1] for h in self.heads]), []
+            weights[np.searchsorted(words, h.words), k] = h.x[:-1]
+        return Slim(words, weights, np.array([h.x[-1] for h in self.heads]))
+
+
+class Slim:
+    """What scorers need of a content view: the chosen words of all heads, and their weights in each."""
+
+    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.words, self.weights, self.bias = words, weights, bias
+        self.maybe: np.ndarray | None = None
 
     def logit(self, kinds: list[np.ndarray], first: np.ndarray) -> np.ndarray:
         """Logits from ``kinds`` of hashes of the words of whole documents; a hash counts once in
@@ -195,11 +213,15 @@ class Content:
         n = len(first) - 1
         if not len(self.words):
             return np.full(n, self.bias.min())
+        if self.maybe is None:  # most words are no chosen ones: 20 bits tell
+            self.maybe = np.zeros(1 << 20, bool)
+            self.maybe[self.words >> np.uint64(44)] = True
         found = []
         for hashes in kinds:
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[at] == hashes)
-            found.append((np.searchsorted(first, hit, "right") - 1) * len(self.words) + at[hit])
+            some = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.words, hashes[some]), len(self.words) - 1)
+            good = self.words[at] == hashes[some]
+            found.append((np.searchsorted(first, some[good], "right") - 1) * len(self.words) + at[good])
         pair = np.unique(np.concatenate(found))
         doc, word = pair // len(self.words), pair % len(self.words)
         return np.min([np.bincount(doc, weights=w[word], minlength=n) + b for w, b in zip(self.weights.T, self.bias, strict=True)], axis=0)
@@ -222,31 +244,46 @@ class Metadata:
         return self._wide(meta) @ self.x
 
 
-class CoTrained:
-    def __init__(self, vocabulary: np.ndarray, docs: Docs, meta: np.ndarray, labels: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, rounds: int, per_round: int):
+class Views:
+    """Both views as trained on the labelled documents and what each has received. What the metadata
+    rejects is of low quality; it cannot tell toxicity."""
+
+    def __init__(self, vocabulary: np.ndarray, docs: Docs, meta: np.ndarray, labels: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, given: list[dict[int, float]]):
         y = labels.min(axis=1)
-        test = np.arange(len(y)) % 3 == 2
-        train, held = np.flatnonzero(~test), np.flatnonzero(test)
-        base, base_meta, base_y, base_labels = docs.take(train), meta[train], y[train], labels[train]
-        given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
-        for r in range(rounds + 1):
-            # what the metadata rejects is of low quality; it cannot tell toxicity
-            more = [(1.0, 1.0) if good else (0.0, np.nan) for good in given[0].values()]
-            self.content = Content(vocabulary, base + fresh.take(list(given[0])), np.vstack([base_labels, np.array(more).reshape(-1, 2)]))
-            self.metadata = Metadata(np.vstack([base_meta, fresh_meta[list(given[1])]]) if given[1] else base_meta, np.append(base_y, list(given[1].values())))
-            if r == rounds or not len(fresh):
-                break
-            logits = self.content.of(fresh), self.metadata.logit(fresh_meta)
-            for view, logit in enumerate(logits):
-                to, other = given[1 - view], logits[1 - view]
-                share = base_y.mean()
-                for sign, name, part in ((-1, 1.0, share), (1, 0.0, 1 - share)):
-                    sure = [i for i in np.argsort(sign * logit, kind="stable").tolist() if i not in to and sign * logit[i] < -2 and sign * other[i] < 0]
-                    to.update(dict.fromkeys(sure[: max(1, int(per_round * part))], name))
-        both = self._joined(self.content.of(docs.take(held)), self.metadata.logit(meta[held]))
-        self.content.slim()
-        ones = np.ones(len(held))
-        fit = lambda z: _descend(lambda x: (z.T @ (_sigmoid(z @ x) - y[held])) / len(held) + 1e-4 * x, np.zeros(z.shape[1]), 500)
+        more = [(1.0, 1.0) if good else (0.0, np.nan) for good in given[0].values()]
+        self.content = Content(vocabulary, docs + fresh.take(list(given[0])), np.vstack([labels, np.array(more).reshape(-1, 2)]))
+        self.metadata = Metadata(np.vstack([meta, fresh_meta[list(given[1])]]) if given[1] else meta, np.append(y, list(given[1].values())))
+
+
+def _scored(content: Slim, metadata: Metadata):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.slices(batches):
+            words, h, meta = _views(part)
+            yield K.as_batch(doc_id=part.column("doc_id"), content=content.logit(h, words.first), metadata=metadata.logit(meta))
+
+    return run
+
+
+def surest(scores: DataFrame, view: int, share: float, taken: list[int], per_round: int) -> dict[int, float]:
+    """The documents that ``view`` labels for the other one, with their labels: the surest beyond
+    logits of 2 either way that the other view does not contradict and has not got yet."""
+    own, other = ("content", "metadata") if view == 0 else ("metadata", "content")
+    out: dict[int, float] = {}
+    for sign, label, part in ((-1, 1.0, share), (1, 0.0, 1 - share)):
+        sure = scores.filter((sign * F.col(own) < -2) & (sign * F.col(other) < 0) & ~F.col("doc_id").isin(taken))
+        found = sure.orderBy(sign * F.col(own), "doc_id").limit(max(1, int(per_round * part))).collect()
+        out.update((r.doc_id, label) for r in found)
+    return out
+
+
+class CoTrained:
+    """Views after the last exchange, calibrated on the documents that neither has learned from."""
+
+    def __init__(self, views: Views, docs: Docs, meta: np.ndarray, y: np.ndarray):
+        self.content, self.metadata = views.content.slim(), views.metadata
+        both = self._joined(views.content.of(docs), self.metadata.logit(meta))
+        ones = np.ones(len(y))
+        fit = lambda z: _descend(lambda x: (z.T @ (_sigmoid(z @ x) - y)) / len(y) + 1e-4 * x, np.zeros(z.shape[1]), 500)
         self.calibration = [fit(np.column_stack([both[:, k], ones])) for k in (0, 1)]
         self.mixture = fit(np.column_stack([both, ones]))
 
@@ -261,31 +298,58 @@ class CoTrained:
         return [*views, _sigmoid(both @ self.mixture[:3] + self.mixture[3])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | float:
-    """The model, or the share of good documents where the labels name fewer than 20 documents
-    or one class only. Good is quality 1 and not toxic; a null quality is no label; of repeated
-    labels the worst counts."""
-    judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("if(quality = 1, 1, 0)")).alias("fine"), F.min(F.expr("if(coalesce(toxic, 0) = 0, 1, 0)")).alias("civil"))
-    judged = judged.join(docs.select("doc_id"), "doc_id", "left_semi")
-    chance = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = {r.doc_id: (r.fine, r.civil) for r in judged.orderBy(*chance).limit(labelled).collect()}
-    known = np.array(list(sample.values()), float).reshape(-1, 2)
-    y = known.min(axis=1)
-    if len(y) < 20 or y.min() == y.max():
-        return float(y.mean()) if len(y) else 1.0
-    others = [r.doc_id for r in docs.select("doc_id").join(judged, "doc_id", "left_anti").orderBy(*chance).limit(pool).collect()]
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in [*sample, *others]], "doc_id long")
-    table = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, words array<long>, meta array<double>").toArrow()
-    at = {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}
+_FEATURES = "doc_id long, words array<long>, meta array<double>"
+
+
+def _fetched(docs: DataFrame, ids: list[int]) -> tuple[dict[int, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the given documents: the place of each, hashes, how many each has, metadata."""
+    if not ids:
+        return {}, np.zeros(0, np.uint64), np.zeros(0, int), np.zeros((0, 0))
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    table = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, _FEATURES).toArrow()
     lists = table.column("words")
     meta = table.column("meta").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
     size = pa.compute.list_value_length(lists).to_numpy().astype(int)
     flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks]).view(np.uint64)
-    del table, lists
+    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, flat, size, meta
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | float:
+    """The model, or the share of good documents where the labels name fewer than 20 documents
+    or one class only. Good is quality 1 and not toxic; a null quality is no label; of repeated
+    labels the worst counts. The content view's vocabulary is that of the labelled documents."""
+    judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("if(quality = 1, 1, 0)")).alias("fine"), F.min(F.expr("if(coalesce(toxic, 0) = 0, 1, 0)")).alias("civil"))
+    judged = cut(judged.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    sample = {r.doc_id: (r.fine, r.civil) for r in judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
+    known = np.array(list(sample.values()), float).reshape(-1, 2)
+    if len(known) < 20 or known.min(axis=1).min() == known.min(axis=1).max():
+        return float(known.min(axis=1).mean()) if len(known) else 1.0
+    at, flat, size, meta = _fetched(docs, list(sample))
     vocabulary, words = _common(flat, size)
     del flat
-    own, rest = [at[i] for i in sample], [at[i] for i in others]
-    return CoTrained(vocabulary, words.take(own), meta[own], known, words.take(rest), meta[rest], rounds, per_round)
+    own = np.array([at[i] for i in sample])
+    train, held = own[np.arange(len(own)) % 3 != 2], own[np.arange(len(own)) % 3 == 2]
+    is_train = np.arange(len(own)) % 3 != 2
+    base = words.take(train), meta[train], known[is_train]
+    share = float(known[is_train].min(axis=1).mean())
+    place: dict[int, int] = {}  # of the documents that any view has received
+    fresh, fresh_meta = words.take([]), meta[:0]
+    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
+    views = Views(vocabulary, *base, fresh, fresh_meta, [{}, {}])
+    for _ in range(rounds):
+        scores = cut(docs.mapInArrow(_scored(views.content.slim(), views.metadata), "doc_id long, content double, metadata double").join(judged, "doc_id", "left_anti"))
+        new = [surest(scores, view, share, list(given[1 - view]), per_round) for view in (0, 1)]
+        if not any(new):
+            break
+        for view in (0, 1):
+            given[1 - view].update(new[view])
+        wanted = sorted((set(new[0]) | set(new[1])) - set(place))
+        at, flat, size, more = _fetched(docs, wanted)
+        if at:
+            place.update((i, len(fresh) + at[i]) for i in wanted)
+            fresh, fresh_meta = fresh + _placed(vocabulary, flat, size), np.vstack([fresh_meta, more])
+        views = Views(vocabulary, *base, fresh, fresh_meta, [{place[i]: label for i, label in g.items()} for g in given])
+    return CoTrained(views, words.take(held), meta[held], known[~is_train].min(axis=1))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

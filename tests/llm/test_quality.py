@@ -1,7 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from sextant.llm import quality as Q
 from sextant.llm.quality import classify
 
 
@@ -47,3 +50,62 @@ def test_edges(spark):
     assert classify(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS)).collect() == []
     one = spark.createDataFrame([(i, 1, 0) for i in range(100)], LABELS)
     assert all(r.score == 1 for r in classify(spark.createDataFrame(docs, DOCS), one).collect())
+
+
+def plain(docs, labels, rounds, per_round):
+    """The exchange in one process: all documents at once, sorted lists instead of tables."""
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "text", "lang", "source"), d[:4])) for d in docs], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())]))
+    rows = pa.Table.from_batches(list(Q._features(iter([batch])))).to_pylist()
+    at = {r["doc_id"]: k for k, r in enumerate(rows)}
+    hashes = [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
+    meta = np.array([r["meta"] for r in rows])
+    judged = {i: (float(q == 1), float(not t)) for i, q, t in labels}
+    order = [i for i in ORDER(list(judged))]
+    known = np.array([judged[i] for i in order])
+    flat, size = np.concatenate([hashes[at[i]] for i in order]), np.array([len(hashes[at[i]]) for i in order])
+    vocabulary, words = Q._common(flat, size)
+    every = Q._placed(vocabulary, np.concatenate(hashes), np.array([len(h) for h in hashes]))
+    train, held = (np.flatnonzero((np.arange(len(order)) % 3 == 2) == x) for x in (False, True))
+    own = np.array([at[i] for i in order])
+    given = [{}, {}]
+    for r in range(rounds + 1):
+        views = Q.Views(vocabulary, words.take(train), meta[own[train]], known[train], every, meta, [{at[i]: y for i, y in g.items()} for g in given])
+        if r == rounds:
+            break
+        logits = views.content.slim().logit([np.concatenate(hashes)], np.append(0, np.cumsum([len(h) for h in hashes]))), views.metadata.logit(meta)
+        share, new = known[train].min(axis=1).mean(), [{}, {}]
+        for view in (0, 1):
+            for sign, label, part in ((-1, 1.0, share), (1, 0.0, 1 - share)):
+                sure = [(sign * logits[view][at[d[0]]], d[0]) for d in docs if d[0] not in judged and d[0] not in given[1 - view] and sign * logits[view][at[d[0]]] < -2 and sign * logits[1 - view][at[d[0]]] < 0]
+                new[view].update((i, label) for _, i in sorted(sure)[: max(1, int(per_round * part))])
+        given[1].update(new[0])
+        given[0].update(new[1])
+    model = Q.CoTrained(views, words.take(held), meta[own[held]], known[held].min(axis=1))
+    return model, given
+
+
+def test_exchange_against_plain_version(spark, monkeypatch):
+    docs, labels, _ = corpus(600, seed=4)
+    labels = [x for x in labels if x[0] % 3]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    monkeypatch.setitem(globals(), "ORDER", lambda ids: [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
+    got = Q.fit(d, l, rounds=2, per_round=60)
+    want, given = plain(docs, labels, 2, 60)
+    assert len(given[0]) > 60 and len(given[1]) > 60
+    assert (got.content.words == want.content.words).all()
+    for a, b in ((got.content.weights, want.content.weights), (got.metadata.x, want.metadata.x), (got.mixture, want.mixture)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+
+
+def test_surest_of_all_documents(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.uniform(-6, 6), rnd.uniform(-6, 6)) for i in range(3000)]
+    rows += [(3000 + i, 5.0, 1.0) for i in range(40)]  # ties
+    scores = spark.createDataFrame(rows, "doc_id long, content double, metadata double")
+    taken = [i for i, _, _ in rows if i % 7 == 0]
+    for view in (0, 1):
+        want = {}
+        for sign, label, n in ((-1, 1.0, 30), (1, 0.0, 70)):
+            sure = sorted((sign * r[1 + view], r[0]) for r in rows if r[0] not in taken and sign * r[1 + view] < -2 and sign * r[2 - view] < 0)
+            want.update((i, label) for _, i in sure[:n])
+        assert Q.surest(scores, view, 0.3, taken, 100) == want and len(want) == 100
