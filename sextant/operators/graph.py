@@ -2,21 +2,23 @@
 
 Two ways exist for components and centrality. A graph of at most ``small`` edges (counted first)
 is handed to one task, or broadcast, as plain arrays; beyond that the same result comes from
-DataFrame rounds that are written to the shared folder.
+DataFrame rounds that are written to the shared folder. Where a row for each pair of nodes is needed
+on the way, the rounds handle ``block`` sources at a time.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.plans.store import cut
 
-SMALL = 200_000
+SMALL, BLOCK = 1_000_000, 20_000
 
 
 def is_small(edges: DataFrame, small: int = SMALL) -> bool:
@@ -50,12 +52,6 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFra
     return seen
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id) of every node reached from ``roots`` in one step or more."""
-    first = roots.join(edges, roots["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
-    return bfs(edges, first).select("root", "id")
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of the undirected graph; a component is named by its least id."""
     both = cut(edges.select("src", "dst").union(reversed_edges(edges)).distinct())
@@ -165,14 +161,24 @@ def sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("id").alias("size"))
 
 
-def reach_counts(edges: DataFrame, components: DataFrame) -> DataFrame:
+def _blocks(nodes: DataFrame, block: int) -> Iterator[DataFrame]:
+    """The rows of ``nodes`` (id), about ``block`` at a time."""
+    n = max(1, -(-nodes.count() // block))
+    for k in range(n):
+        yield nodes if n == 1 else nodes.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
+
+
+def reach_counts(edges: DataFrame, components: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, reach): how many other nodes each node reaches. The closure is taken over components,
-    so a large core costs one node."""
+    so a large core costs one node, for some roots at a time."""
     size = sizes(components)
     of = lambda side: components.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     dag = cut(plain(plain(edges).join(of("src"), "src").join(of("dst"), "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))))
-    roots = size.select(F.col("component").alias("root"), F.col("component").alias("id"))
-    far = bfs(dag, roots).select("root", F.col("id").alias("component")).join(size, "component").groupBy("root").agg(F.sum("size").alias("n"))
+    far = None
+    for roots in _blocks(cut(size.select(F.col("component").alias("id"))), block):
+        found = bfs(dag, roots.select(F.col("id").alias("root"), "id")).select("root", F.col("id").alias("component"))
+        part = cut(found.join(size, "component").groupBy("root").agg(F.sum("size").alias("n")))
+        far = part if far is None else far.union(part)
     return components.join(far.withColumnRenamed("root", "component"), "component").select("id", (F.col("n") - 1).alias("reach"))
 
 
@@ -187,75 +193,76 @@ def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return plain(edges).join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id, betweenness) by Brandes' accumulation: directed, unweighted, within ``nodes``, not
     normalised, ends not counted."""
     e = inside(edges, nodes)
     kind = dict(nodes.dtypes)["id"]
     if is_small(e, small):
-        pairs = [(r.src, r.dst) for r in e.collect()]  # at most ``small`` rows
-        adjacency = defaultdict(list)
-        for a, b in sorted(pairs):
-            adjacency[a].append(b)
-        adjacency = dict(adjacency)
+        table = e.toArrow()  # at most ``small`` rows
+        names, ends = np.unique(np.concatenate([table.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst")]), return_inverse=True)
+        src, dst = ends[: table.num_rows], ends[table.num_rows :]
+        order = np.argsort(src, kind="stable")
+        first, to = np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict = defaultdict(float)
+            total = np.zeros(len(names))
             for batch in batches:
-                for s in batch["id"].tolist():
-                    _accumulate(s, adjacency, total)
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+                for source in np.flatnonzero(np.isin(names, batch["id"].to_numpy())):
+                    total += _accumulate(source, first, to)
+            yield pd.DataFrame({"id": names[total > 0], "part": total[total > 0]})
 
         parts = nodes.select("id").distinct().mapInPandas(run, f"id {kind}, part double")
     else:
-        parts = _accumulate_rounds(e, nodes)
+        parts = _accumulate_rounds(e, nodes, block)
     total = parts.groupBy("id").agg(F.sum("part").alias("betweenness"))
     return nodes.select("id").distinct().join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def _accumulate(source, adjacency: dict, total: dict) -> None:
-    depth, paths, order, before = {source: 0}, defaultdict(float, {source: 1.0}), [], defaultdict(list)
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacency.get(v, ()):
-            if w not in depth:
-                depth[w] = depth[v] + 1
-                queue.append(w)
-            if depth[w] == depth[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share: dict = defaultdict(float)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-        if w != source:
-            total[w] += share[w]
-
-
-def _accumulate_rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same level by level for all sources at once."""
-    e = cut(edges)
-    levels = [cut(nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")).distinct())]
-    seen = levels[0].select("s", "id")
-    while True:
-        front = levels[-1]
-        step = front.join(e, front["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        new = cut(step.join(seen, ["s", "id"], "left_anti"))
-        if new.isEmpty():
-            break
-        levels.append(new)
-        seen = seen.union(new.select("s", "id"))
-    share, parts = None, []
-    for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):
-        w = high if share is None else high.join(share, ["s", "id"], "left")
-        w = w.select("s", F.col("id").alias("dst"), F.col("paths").alias("pw"), (F.coalesce("share", F.lit(0.0)) if share is not None else F.lit(0.0)).alias("sw"))
-        share = cut(low.join(e, low["id"] == e["src"]).join(w, ["s", "dst"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("sw"))).alias("share")))
-        parts.append(share.filter("s <> id").select("id", F.col("share").alias("part")))
-    out = parts[0] if parts else levels[0].select("id", F.lit(0.0).alias("part"))
-    for p in parts[1:]:
-        out = out.union(p)
+def _accumulate(source: int, first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """What the shortest paths from ``source`` add to each node; the edges of node v lead to
+    to[first[v]:first[v + 1]]."""
+    n = len(first) - 1
+    depth, paths = np.full(n, -1), np.zeros(n)
+    depth[source], paths[source], front, levels = 0, 1.0, np.array([source]), []
+    while len(front):
+        count = first[front + 1] - first[front]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[front], count)
+        a, b = np.repeat(front, count), to[at]
+        front = np.unique(b[depth[b] < 0])
+        depth[front] = len(levels) + 1
+        use = depth[b] == len(levels) + 1
+        levels.append((a[use], b[use]))
+        paths += np.bincount(b[use], weights=paths[a[use]], minlength=n)
+    share = np.zeros(n)
+    for a, b in reversed(levels):
+        share += np.bincount(a, weights=paths[a] / paths[b] * (1 + share[b]), minlength=n)
+    share[source] = 0
+    return share
+
+
+def _accumulate_rounds(edges: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """The same level by level, for all sources of a block at once."""
+    e, out = cut(edges), None
+    for some in _blocks(cut(nodes.select("id").distinct()), block):
+        levels = [cut(some.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))]
+        seen = levels[0].select("s", "id")
+        while True:
+            front = levels[-1]
+            step = front.join(e, front["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+            new = cut(step.join(seen, ["s", "id"], "left_anti"))
+            if new.isEmpty():
+                break
+            levels.append(new)
+            seen = seen.union(new.select("s", "id"))
+        share, parts = None, levels[0].select("id", F.lit(0.0).alias("part"))
+        for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            w = high if share is None else high.join(share, ["s", "id"], "left")
+            w = w.select("s", F.col("id").alias("dst"), F.col("paths").alias("pw"), (F.coalesce("share", F.lit(0.0)) if share is not None else F.lit(0.0)).alias("sw"))
+            share = cut(low.join(e, low["id"] == e["src"]).join(w, ["s", "dst"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("sw"))).alias("share")))
+            parts = parts.union(share.filter("s <> id").select("id", F.col("share").alias("part")))
+        part = cut(parts.groupBy("id").agg(F.sum("part").alias("part")))
+        out = part if out is None else out.union(part)
     return out
 
 

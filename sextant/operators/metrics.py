@@ -11,6 +11,7 @@ from sextant.facts import Facts
 from sextant.functions import predicates as P
 from sextant.operators import graph
 from sextant.operators.resolve import first_of
+from sextant.plans.store import cut
 
 NODE_KINDS = ["if", "case", "case pattern", "arm", "conditional", "for", "foreach", "while", "do", "catch", "&&", "||", "??", "?."]
 
@@ -117,12 +118,14 @@ def cycles(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return graph.sizes(graph.scc(edges, vertices)).filter("size > 1")
 
 
-def cycle_report(edges: DataFrame, vertices: DataFrame, top: int = 10) -> DataFrame:
-    """(rank, component, size, share, members) of the ``top`` largest cycles, members ascending."""
-    found = graph.scc(edges, vertices)
-    best = graph.sizes(found).filter("size > 1").orderBy(F.desc("size"), "component").limit(top)
+def cycle_report(edges: DataFrame, vertices: DataFrame, top: int | None = None) -> DataFrame:
+    """(rank, component, size, share, members) of all cycles or the ``top`` largest, members ascending."""
+    found = cut(graph.scc(edges, vertices))
+    best = graph.sizes(found).filter("size > 1")
+    if top:
+        best = best.orderBy(F.desc("size"), "component").limit(top)
     total = vertices.agg(F.countDistinct("id").alias("total"))
-    lists = found.join(F.broadcast(best.select("component")), "component", "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    lists = found.join(best.select("component"), "component", "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
     rank = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
     rows = best.join(lists, "component").join(F.broadcast(total)).withColumn("rank", rank)
     return rows.select("rank", "component", "size", F.round(F.col("size") / F.col("total"), 6).alias("share"), "members")
@@ -141,8 +144,8 @@ def break_points(edges: DataFrame, vertices: DataFrame, top: int = 5) -> DataFra
 def graph_snapshot(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """One row: files, edges, cycles, core size and share, reach (average, 95th, most with its
     node) and fan-out (average, most with its node). Ties go to the least id."""
-    found = graph.scc(edges, vertices)
-    reach = graph.reach_counts(edges, found)
+    found = cut(graph.scc(edges, vertices))
+    reach = cut(graph.reach_counts(edges, found))
     size = graph.sizes(found)
     first_max = lambda v, name: F.min(F.struct((-F.col(v)).alias("m"), "id"))["id"].alias(name)
     one = vertices.agg(F.countDistinct("id").alias("n_files"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sextant.facts import Facts
 
+#: how many candidates of an ambiguous name a message names
+_NAMED = 50
 SYMBOL = ["id", "kind", "name", "display", "parent_id", "path", "line", "col", "ord"]
 
 
@@ -77,11 +79,15 @@ def suggest(facts: Facts, query: str, limit: int = 10) -> DataFrame:
 
 def one(facts: Facts, query: str, *kinds: str, prefer: bool = False) -> dict:
     """The single symbol that a command is about, of one of ``kinds`` if any are given. With
-    ``prefer`` an ambiguous name is settled if exactly one candidate has such a kind."""
-    found = [r.asDict() for r in resolve(facts, query).orderBy("ord").limit(50).collect()]
+    ``prefer`` an ambiguous name is settled if exactly one candidate has such a kind. Of many
+    candidates the first ``_NAMED`` are told."""
+    fits = F.col("kind").isin(*kinds) if kinds else F.lit(True)
+    rows = resolve(facts, query).withColumn("fits", fits)
+    nth = F.row_number().over(Window.partitionBy("fits").orderBy("ord"))
+    found = [r.asDict() for r in rows.withColumn("nth", nth).filter(F.col("nth") <= _NAMED).orderBy("ord").collect()]
     if not found:
         raise NotResolved(f"Symbol not found: {query}", [r.display for r in suggest(facts, query.rpartition(".")[2] or query).collect()])
-    fitting = [r for r in found if not kinds or r["kind"] in kinds]
+    fitting = [r for r in found if r["fits"]]
     if prefer and len(fitting) == 1:
         return fitting[0]
     if len(found) > 1:

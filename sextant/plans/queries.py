@@ -1,14 +1,13 @@
 """One query per operator over the star-schema facts, with its DuckDB equivalent.
 
-Names: the symbols that the queries ask about exist at every scale factor. Queries whose SQL keeps
-the early lines of the supplier graph have a namesake ending in ``_whole`` over all of it;
-``call_chain_whole`` goes to the default depth and ``service_map_whole`` has no namespace.
+Names: the symbols that the queries ask about exist at every scale factor. All queries read whole
+tables. Graph queries run over the dense supplier graph; those ending in ``_leading`` over the
+sparse one, and those ending in ``_rounds`` take the way of large graphs there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SUPPLIER, CUSTOMER = "Supplier#000000001", "Customer#000000001"
-CORE_DAYS, SPARSE_DAYS = 30, 8
 
 _PRE = f"""
 li AS (SELECT l.*, o_custkey, o_orderstatus, o_orderpriority, o_totalprice, c_name, c_mktsegment, n_name, r_name, s_name, p_brand, {star.ORD} AS ord, 'Web/' || c_name || '.cs' AS path,
@@ -38,14 +36,13 @@ places AS (SELECT r_name AS name, r_name AS display, 'interface' AS kind, NULL A
 """
 
 
-def _edges(days: int | None) -> str:
-    early = "" if days is None else f" AND a.l_shipdate < (SELECT min(l_shipdate) FROM lineitem) + INTERVAL {days} DAY"
-    return f"""
+_LINKS = """
 links AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, a.l_orderkey, a.l_linenumber, ((a.l_orderkey * 8 + a.l_linenumber) * 2097152 + a.l_partkey) * 16384 + a.l_suppkey AS ord
           FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-          WHERE a.l_suppkey <> b.l_suppkey{early}),
-e AS (SELECT DISTINCT src, dst FROM links),
+          WHERE a.l_suppkey <> b.l_suppkey),
 v AS (SELECT s_suppkey AS id FROM supplier)"""
+_EDGES = f"{_LINKS}, e AS (SELECT DISTINCT src, dst FROM links)"
+_LEADING = f"{_LINKS}, e AS (SELECT src, dst FROM (SELECT src, dst, rank() OVER (PARTITION BY src ORDER BY count(*) DESC) AS r FROM links GROUP BY src, dst) WHERE r = 1)"
 
 
 _REACH = """
@@ -63,8 +60,8 @@ def query(sql: str | None = None, pre: str = _PRE, recursive: bool = False):
     return add
 
 
-def _facts(spark: SparkSession, sf_dir: str, days: int | None = CORE_DAYS) -> Facts:
-    return star.facts(spark, sf_dir, days)
+def _facts(spark: SparkSession, sf_dir: str) -> Facts:
+    return star.facts(spark, sf_dir)
 
 
 def _id(f: Facts, name: str, *kinds: str) -> int:
@@ -113,23 +110,23 @@ calls AS (SELECT {star.SHIP} + src AS caller, {star.SHIP} + dst AS callee, 'Serv
           UNION ALL SELECT {star.ORDER} + l_orderkey, CASE l_linenumber WHEN 1 THEN {star.ORDER} + (SELECT min(o_orderkey) FROM orders x WHERE x.o_custkey = li.o_custkey) WHEN 7 THEN {star.SHIP} + l_suppkey END, path, line, col, context, containing, ord FROM li)"""
 
 
-@query(f"SELECT path, line, col, context, containing FROM calls WHERE callee = {star.SHIP} + 1", f"{_PRE}, {_edges(CORE_DAYS)}, {_CALLS}")
-def callers(spark, sf_dir, days=CORE_DAYS):
-    f = _facts(spark, sf_dir, days)
+@query(f"SELECT path, line, col, context, containing FROM calls WHERE callee = {star.SHIP} + 1", f"{_PRE}, {_EDGES}, {_CALLS}")
+def callers(spark, sf_dir):
+    f = _facts(spark, sf_dir)
     return _entry(lookups.callers(f, _id(f, f"{SUPPLIER}.Ship", "method")))
 
 
 @query(
     """SELECT path, line, col, '[depth ' || depth || '] ' || containing AS context, containing, depth FROM
     (SELECT c.*, f.depth, row_number() OVER (PARTITION BY c.caller ORDER BY c.ord) AS rn FROM calls c JOIN far f ON f.id = c.caller JOIN far g ON g.id = c.callee AND g.depth = f.depth - 1 WHERE f.depth > 0) WHERE rn = 1""",
-    f"""{_PRE}, {_edges(CORE_DAYS)}, {_CALLS},
-    walk(id, depth) AS (SELECT CAST({star.SHIP} + 1 AS BIGINT), 0 UNION SELECT c.caller, walk.depth + 1 FROM walk JOIN calls c ON c.callee = walk.id WHERE walk.depth < 3),
+    f"""{_PRE}, {_EDGES}, {_CALLS},
+    walk(id, depth) AS (SELECT CAST({star.SHIP} + 1 AS BIGINT), 0 UNION SELECT c.caller, walk.depth + 1 FROM walk JOIN calls c ON c.callee = walk.id WHERE walk.depth < 5),
     far AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)""",
     recursive=True,
 )
-def call_chain(spark, sf_dir, days=CORE_DAYS, depth=3):
-    f = _facts(spark, sf_dir, days)
-    return _entry(lookups.call_chain(f, _id(f, f"{SUPPLIER}.Ship", "method"), depth=depth), "depth")
+def call_chain(spark, sf_dir):
+    f = _facts(spark, sf_dir)
+    return _entry(lookups.call_chain(f, _id(f, f"{SUPPLIER}.Ship", "method")), "depth")
 
 
 @query("SELECT folder || '/' || name || '.cs' AS path, 1 AS line, 1 AS col, 'class ' || name AS context, name AS containing FROM places WHERE starts_with(display, 'ASIA.')")
@@ -214,10 +211,10 @@ def ownership_violations(spark, sf_dir):
     coalesce((SELECT string_agg(CASE WHEN l_linenumber = 7 THEN 'AppDbContext' ELSE s_name END, ',' ORDER BY l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'AppDbContext' ELSE s_name END)
               FROM li x WHERE x.c_name = s.c_name AND o_orderpriority = '1-URGENT' AND l_returnflag = 'R'), '') AS injected,
     coalesce((SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FROM li x WHERE x.c_name = s.c_name AND l_linestatus = 'O'), '') AS tables
-    FROM (SELECT DISTINCT c_name FROM li WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 7 AND r_name = 'ASIA') s"""
+    FROM (SELECT DISTINCT c_name FROM li WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 7) s"""
 )
-def service_map(spark, sf_dir, namespace="ASIA"):
-    return tables.service_map(_facts(spark, sf_dir), namespace).select("name", "path", "line", F.array_join("injected", ",").alias("injected"), F.array_join("tables", ",").alias("tables"))
+def service_map(spark, sf_dir):
+    return tables.service_map(_facts(spark, sf_dir)).select("name", "path", "line", F.array_join("injected", ",").alias("injected"), F.array_join("tables", ",").alias("tables"))
 
 
 # audits
@@ -309,79 +306,150 @@ def audit_downstream(spark, sf_dir):
 # graphs
 
 
-def _graph(spark: SparkSession, sf_dir: str, days: int | None = CORE_DAYS) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, sf_dir: str, leading: bool = False) -> tuple[DataFrame, DataFrame]:
     t = star.tables(spark, sf_dir)
-    return star.supplier_edges(t, days).select("src", "dst"), t["supplier"].select(F.col("s_suppkey").alias("id"))
+    return (star.leading_edges(t) if leading else star.supplier_edges(t).select("src", "dst")), t["supplier"].select(F.col("s_suppkey").alias("id"))
+
+
+_SCC = "SELECT id, component FROM comp"
+_REACHED = "SELECT id, (SELECT count(*) FROM hop WHERE a = id AND b <> id) AS reach FROM v"
+_IN_CORE = "SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1)"
+_CYCLES = "SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1"
+_REPORT = """SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, component, size, round(size / (SELECT count(*) FROM v), 6) AS share, members FROM
+    (SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY component HAVING count(*) > 1)"""
+#: distances, numbers of shortest paths and betweenness inside the largest component
+_CENTRAL = f"""
+k AS ({_IN_CORE}), ke AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)),
+walk(s, x, d) AS (SELECT id, id, 0 FROM k UNION SELECT s, dst, d + 1 FROM walk JOIN ke ON x = src WHERE d < (SELECT count(*) FROM k)),
+dist AS (SELECT s, x, min(d) AS d FROM walk GROUP BY s, x),
+way(s, x, d) AS (SELECT id, id, 0 FROM k UNION ALL SELECT way.s, dst, way.d + 1 FROM way JOIN ke ON way.x = src JOIN dist ON dist.s = way.s AND dist.x = dst AND dist.d = way.d + 1),
+sp AS (SELECT s, x, d, count(*) AS n FROM way GROUP BY s, x, d),
+score AS (SELECT id, round(coalesce((SELECT sum(a.n * b.n / c.n) FROM sp a JOIN sp b ON b.s = a.x JOIN sp c ON c.s = a.s AND c.x = b.x AND c.d = a.d + b.d WHERE a.x = id AND a.s <> id AND b.x <> id), 0), 6) AS betweenness FROM k)"""
+
+
+@query(_SCC, f"{_EDGES}, {_REACH}", recursive=True)
+def scc(spark, sf_dir):
+    return graph.scc(*_graph(spark, sf_dir))
 
 
-@query("SELECT id, component FROM comp", f"{_edges(SPARSE_DAYS)}, {_REACH}", recursive=True)
-def scc(spark, sf_dir, days=SPARSE_DAYS):
-    return graph.scc(*_graph(spark, sf_dir, days))
+@query(_SCC, f"{_LEADING}, {_REACH}", recursive=True)
+def scc_leading(spark, sf_dir):
+    return graph.scc(*_graph(spark, sf_dir, True))
 
 
-@query("SELECT id, (SELECT count(*) FROM hop WHERE a = id AND b <> id) AS reach FROM v", f"{_edges(CORE_DAYS)}, {_REACH}", recursive=True)
-def reach(spark, sf_dir, days=CORE_DAYS):
-    e, v = _graph(spark, sf_dir, days)
+@query(_SCC, f"{_LEADING}, {_REACH}", recursive=True)
+def scc_rounds(spark, sf_dir):
+    return graph.scc(*_graph(spark, sf_dir, True), small=0)
+
+
+@query(_REACHED, f"{_EDGES}, {_REACH}", recursive=True)
+def reach(spark, sf_dir):
+    e, v = _graph(spark, sf_dir)
     return graph.reach_counts(e, graph.scc(e, v))
 
 
-@query("SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1)", f"{_edges(CORE_DAYS)}, {_REACH}", recursive=True)
-def core(spark, sf_dir, days=CORE_DAYS):
-    return graph.core(graph.scc(*_graph(spark, sf_dir, days)))
+@query(_REACHED, f"{_LEADING}, {_REACH}", recursive=True)
+def reach_leading(spark, sf_dir):
+    e, v = _graph(spark, sf_dir, True)
+    return graph.reach_counts(e, graph.scc(e, v))
 
 
-@query("SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1", f"{_edges(SPARSE_DAYS)}, {_REACH}", recursive=True)
-def cycles(spark, sf_dir, days=SPARSE_DAYS):
-    return metrics.cycles(*_graph(spark, sf_dir, days))
+@query(_IN_CORE, f"{_EDGES}, {_REACH}", recursive=True)
+def core(spark, sf_dir):
+    return graph.core(graph.scc(*_graph(spark, sf_dir)))
 
 
-@query(
-    """SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, component, size, round(size / (SELECT count(*) FROM v), 6) AS share, members FROM
-    (SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY component HAVING count(*) > 1) ORDER BY 1 LIMIT 10""",
-    f"{_edges(SPARSE_DAYS)}, {_REACH}",
-    recursive=True,
-)
-def cycle_report(spark, sf_dir, days=SPARSE_DAYS):
-    return metrics.cycle_report(*_graph(spark, sf_dir, days)).withColumn("members", F.array_join("members", ","))
+@query(_IN_CORE, f"{_LEADING}, {_REACH}", recursive=True)
+def core_leading(spark, sf_dir):
+    return graph.core(graph.scc(*_graph(spark, sf_dir, True)))
+
+
+@query(_CYCLES, f"{_EDGES}, {_REACH}", recursive=True)
+def cycles(spark, sf_dir):
+    return metrics.cycles(*_graph(spark, sf_dir))
+
+
+@query(_CYCLES, f"{_LEADING}, {_REACH}", recursive=True)
+def cycles_leading(spark, sf_dir):
+    return metrics.cycles(*_graph(spark, sf_dir, True))
+
+
+@query(_REPORT, f"{_EDGES}, {_REACH}", recursive=True)
+def cycle_report(spark, sf_dir):
+    return metrics.cycle_report(*_graph(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
+
+
+@query(_REPORT, f"{_LEADING}, {_REACH}", recursive=True)
+def cycle_report_leading(spark, sf_dir):
+    return metrics.cycle_report(*_graph(spark, sf_dir, True)).withColumn("members", F.array_join("members", ","))
+
+
+def _central(spark: SparkSession, sf_dir: str, leading: bool, small: int = graph.SMALL) -> DataFrame:
+    e, v = _graph(spark, sf_dir, leading)
+    return graph.betweenness(e, graph.core(graph.scc(e, v)), small).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()
 def betweenness(spark, sf_dir):
-    e, v = _graph(spark, sf_dir, None)
-    return graph.betweenness(e, graph.core(graph.scc(e, v))).withColumn("betweenness", F.round("betweenness", 6))
+    return _central(spark, sf_dir, False)
+
+
+@query("SELECT id, betweenness FROM score", f"{_LEADING}, {_REACH}, {_CENTRAL}", recursive=True)
+def betweenness_leading(spark, sf_dir):
+    return _central(spark, sf_dir, True)
+
+
+@query("SELECT id, betweenness FROM score", f"{_LEADING}, {_REACH}, {_CENTRAL}", recursive=True)
+def betweenness_rounds(spark, sf_dir):
+    return _central(spark, sf_dir, True, 0)
 
 
 @query()
 def cycle_break_points(spark, sf_dir):
-    return metrics.break_points(*_graph(spark, sf_dir, None)).withColumn("sample", F.array_join("sample", ","))
+    return metrics.break_points(*_graph(spark, sf_dir)).withColumn("sample", F.array_join("sample", ","))
+
+
+@query(
+    """SELECT id, betweenness, (SELECT count(*) FROM ke WHERE src = id) AS fan_out, (SELECT count(*) FROM ke WHERE dst = id) AS fan_in,
+    (SELECT string_agg(dst, ',' ORDER BY dst) FROM (SELECT dst FROM ke WHERE src = id ORDER BY dst LIMIT 3)) AS sample FROM score ORDER BY betweenness DESC, id LIMIT 5""",
+    f"{_LEADING}, {_REACH}, {_CENTRAL}",
+    recursive=True,
+)
+def break_points_leading(spark, sf_dir):
+    return metrics.break_points(*_graph(spark, sf_dir, True)).withColumn("sample", F.array_join("sample", ","))
 
 
-@query("SELECT id, (SELECT count(*) FROM e WHERE src = id) AS fan_out, (SELECT count(*) FROM e WHERE dst = id) AS fan_in FROM v", _edges(CORE_DAYS))
-def fan_stats(spark, sf_dir, days=CORE_DAYS):
-    return graph.degrees(*_graph(spark, sf_dir, days))
+@query("SELECT id, (SELECT count(*) FROM e WHERE src = id) AS fan_out, (SELECT count(*) FROM e WHERE dst = id) AS fan_in FROM v", _EDGES)
+def fan_stats(spark, sf_dir):
+    return graph.degrees(*_graph(spark, sf_dir))
 
 
 @query(
     f"SELECT id, depth FROM (SELECT id, min(depth) AS depth FROM walk GROUP BY id)",
-    f"{_edges(CORE_DAYS)}, walk(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON walk.id = e.src WHERE depth < 4)",
+    f"{_EDGES}, walk(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON walk.id = e.src WHERE depth < 4)",
     recursive=True,
 )
-def bounded_bfs(spark, sf_dir, days=CORE_DAYS):
-    e, _ = _graph(spark, sf_dir, days)
+def bounded_bfs(spark, sf_dir):
+    e, _ = _graph(spark, sf_dir)
     return graph.bfs(graph.plain(e), spark.createDataFrame([(1, 1)], "root long, id long"), 4).select("id", "depth")
 
 
-@query(
-    """SELECT (SELECT count(*) FROM v) AS n_files, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM s WHERE size > 1) AS n_cycles, (SELECT coalesce(max(size), 0) FROM s WHERE size > 1) AS core_size,
+_SNAPSHOT = """SELECT (SELECT count(*) FROM v) AS n_files, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM s WHERE size > 1) AS n_cycles, (SELECT coalesce(max(size), 0) FROM s WHERE size > 1) AS core_size,
     round((SELECT avg(n) FROM r), 6) AS avg_reach, (SELECT CAST(quantile_disc(n, 0.95) AS BIGINT) FROM r) AS p95_reach, (SELECT max(n) FROM r) AS max_reach, (SELECT id FROM r ORDER BY n DESC, id LIMIT 1) AS max_reach_id,
     round((SELECT avg(n) FROM f), 6) AS avg_fan_out, (SELECT max(n) FROM f) AS max_fan_out, (SELECT id FROM f ORDER BY n DESC, id LIMIT 1) AS max_fan_out_id,
-    round((SELECT coalesce(max(size), 0) FROM s WHERE size > 1) / (SELECT count(*) FROM v), 6) AS core_share""",
-    f"""{_edges(CORE_DAYS)}, {_REACH}, s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), r AS (SELECT id, (SELECT count(*) FROM hop WHERE a = id AND b <> id) AS n FROM v),
-    f AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) AS n FROM v)""",
-    recursive=True,
-)
-def snapshot(spark, sf_dir, days=CORE_DAYS):
-    return metrics.graph_snapshot(*_graph(spark, sf_dir, days))
+    round((SELECT coalesce(max(size), 0) FROM s WHERE size > 1) / (SELECT count(*) FROM v), 6) AS core_share"""
+_SIZES = """s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), r AS (SELECT id, (SELECT count(*) FROM hop WHERE a = id AND b <> id) AS n FROM v),
+    f AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) AS n FROM v)"""
+
+
+@query(_SNAPSHOT, f"{_EDGES}, {_REACH}, {_SIZES}", recursive=True)
+def snapshot(spark, sf_dir):
+    return metrics.graph_snapshot(*_graph(spark, sf_dir))
+
+
+@query(_SNAPSHOT, f"{_LEADING}, {_REACH}, {_SIZES}", recursive=True)
+def snapshot_leading(spark, sf_dir):
+    return metrics.graph_snapshot(*_graph(spark, sf_dir, True))
 
 
 # metrics
@@ -398,9 +466,9 @@ uses AS (SELECT {star.CUSTOMER} + o_custkey AS t, {star.SUPPLIER} + l_suppkey AS
 cpl AS (SELECT id AS type_id, (SELECT count(*) FROM uses WHERE t = id) AS ce, (SELECT count(*) FROM uses WHERE u = id) AS ca FROM places WHERE kind <> 'interface')"""
 
 
-@query("SELECT type_id, ce, ca, CASE WHEN ce + ca = 0 THEN 0.0 ELSE round(ce / (ce + ca), 6) END AS instability FROM cpl", f"{_PRE}, {_edges(CORE_DAYS)}, {_USES}")
-def coupling(spark, sf_dir, days=CORE_DAYS):
-    f = _facts(spark, sf_dir, days)
+@query("SELECT type_id, ce, ca, CASE WHEN ce + ca = 0 THEN 0.0 ELSE round(ce / (ce + ca), 6) END AS instability FROM cpl", f"{_PRE}, {_EDGES}, {_USES}")
+def coupling(spark, sf_dir):
+    f = _facts(spark, sf_dir)
     return metrics.coupling(f, f.types.filter("kind <> 'interface'")).withColumn("instability", F.round("instability", 6))
 
 
@@ -421,15 +489,15 @@ def cohesion(spark, sf_dir):
     CAST(round_even(least(100.0, least(max_cc / 30.0 * 25, 25) + least(lines / 1000.0 * 20, 20) + least(ce / 15.0 * 20, 20) + least(ca / 20.0 * 15, 15) + (1 - coh) * 20), 0) AS INTEGER) AS score
     FROM (SELECT p.name, z.lines, coalesce(m.n, 0) AS n_methods, coalesce(m.cc, 0) AS max_cc, m.best AS max_method, ce, ca, coalesce(1.0 / components, 1.0) AS coh
           FROM places p JOIN cpl ON p.id = cpl.type_id JOIN size z ON p.id = z.id LEFT JOIN meth m ON p.id = m.id LEFT JOIN parts ON p.id = parts.type_id) WHERE n_methods >= 5 OR lines >= 50""",
-    f"""{_PRE}, {_edges(CORE_DAYS)}, {_USES}, {_PARTS},
+    f"""{_PRE}, {_EDGES}, {_USES}, {_PARTS},
     size AS (SELECT {star.CUSTOMER} + c_custkey AS id, CAST(trunc(1 + abs(c_acctbal) / 10) AS BIGINT) AS lines FROM customer UNION ALL SELECT {star.SUPPLIER} + s_suppkey, CAST(trunc(1 + abs(s_acctbal) / 10) AS BIGINT) FROM supplier
              UNION ALL SELECT {star.NATION} + n_nationkey, 1 FROM nation),
     cc AS (SELECT o_custkey, o_orderkey, 1 + count(*) FILTER (l_quantity > 25) AS cc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
     meth AS (SELECT {star.CUSTOMER} + o_custkey AS id, count(*) AS n, max(cc) AS cc, 'Order' || arg_max(o_orderkey, (cc, -o_orderkey)) AS best FROM cc GROUP BY o_custkey UNION ALL SELECT {star.SUPPLIER} + s_suppkey, 1, 1, 'Ship' FROM supplier)""",
     recursive=True,
 )
-def health(spark, sf_dir, days=CORE_DAYS):
-    return metrics.health(_facts(spark, sf_dir, days)).select("name", "lines", "n_methods", "max_cc", "max_method", "ce", "ca", "instability", "cohesion", "score")
+def health(spark, sf_dir):
+    return metrics.health(_facts(spark, sf_dir)).select("name", "lines", "n_methods", "max_cc", "max_method", "ce", "ca", "instability", "cohesion", "score")
 
 
 @query(
@@ -457,23 +525,3 @@ def lines_of_code(spark, sf_dir):
 )
 def usage_log_sessions(spark, sf_dir):
     return sessions(star.tables(spark, sf_dir)["events"], 6 * 3600)
-
-
-# the whole supplier graph, and the operators' own defaults
-
-
-def _whole(f: Query, days: int) -> None:
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = wraps(f)(partial(f, days=None))
-    ORACLES[name] = ORACLES[f.__name__].replace(_edges(days), _edges(None))
-
-
-for _f in (callers, call_chain, reach, core, fan_stats, bounded_bfs, snapshot, coupling, health):
-    _whole(_f, CORE_DAYS)
-for _f in (scc, cycles, cycle_report):
-    _whole(_f, SPARSE_DAYS)
-
-QUERIES["call_chain_whole"] = wraps(call_chain)(partial(call_chain, days=None, depth=5))
-ORACLES["call_chain_whole"] = ORACLES["call_chain_whole"].replace("walk.depth < 3", "walk.depth < 5")
-QUERIES["service_map_whole"] = wraps(service_map)(partial(service_map, namespace=None))
-ORACLES["service_map_whole"] = ORACLES["service_map"].replace(" AND r_name = 'ASIA'", "")

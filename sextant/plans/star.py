@@ -4,12 +4,14 @@ Regions are interfaces, nations classes that implement theirs, suppliers and cus
 derived from their nation. An order is a method of its customer (a constructor if urgent), its
 line items are the method's parameters, references and calls; a supplier has one method, Ship,
 which calls the Ship of the supplier of the next line of the same order. Suppliers are also the
-files of the dependency graph, which is whole unless ``days`` keeps its early lines only.
+files of two dependency graphs over all line items: a dense one with every such pair of suppliers,
+and a sparse one that keeps each supplier's most frequent followers, where structure shows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from sextant.facts import SCHEMAS, Facts
 
@@ -41,19 +43,23 @@ def lines(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def supplier_edges(t: dict[str, DataFrame], days: int | None = None) -> DataFrame:
+def supplier_edges(t: dict[str, DataFrame]) -> DataFrame:
     """(src, dst, l_orderkey, l_linenumber, ord): line ``l_linenumber`` of an order from supplier
     src is followed by one from supplier dst."""
-    li = early = t["lineitem"]
-    if days is not None:
-        first = li.selectExpr("min(l_shipdate) first_day")
-        early = li.join(first.hint("broadcast")).filter(f"l_shipdate < first_day + interval {days} days")
-    a = early.selectExpr("l_orderkey", "l_linenumber + 1 next_line", "l_linenumber", "l_suppkey src", f"{ORD} ord")
+    li = t["lineitem"]
+    a = li.selectExpr("l_orderkey", "l_linenumber + 1 next_line", "l_linenumber", "l_suppkey src", f"{ORD} ord")
     b = li.selectExpr("l_orderkey", "l_linenumber next_line", "l_suppkey dst")
     return a.join(b, ["l_orderkey", "next_line"]).filter("src <> dst").select("src", "dst", "l_orderkey", "l_linenumber", "ord")
 
 
-def facts(spark: SparkSession, sf_dir: str, days: int | None = None) -> Facts:
+def leading_edges(t: dict[str, DataFrame]) -> DataFrame:
+    """(src, dst): the suppliers that follow src most often, all of them if they are equal."""
+    often = supplier_edges(t).groupBy("src", "dst").count()
+    rank = F.rank().over(Window.partitionBy("src").orderBy(F.desc("count")))
+    return often.withColumn("rank", rank).filter("rank = 1").select("src", "dst")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> Facts:
     t = tables(spark, sf_dir)
     li = lines(t)
     nation = t["nation"].join(t["region"], t["nation"]["n_regionkey"] == t["region"]["r_regionkey"])
@@ -91,7 +97,7 @@ def facts(spark: SparkSession, sf_dir: str, days: int | None = None) -> Facts:
 
     params = li.selectExpr("order_id member_id", "cast(l_linenumber as int) ordinal", "concat('p', l_returnflag, l_linestatus) name", "case when l_linenumber = 7 then 'AppDbContext' else s_name end type_display", "if(l_returnflag = 'R', 'interface', 'class') type_kind", "path", "line", "col", "context", "ord")
     refs = li.selectExpr(f"{SUPPLIER} + l_suppkey target_id", "'type' target_kind", "containing", "case l_returnflag when 'A' then array('block', 'parameter', 'method') when 'N' then array('field', 'type') else array('argument', 'new', 'method') end kinds", f"{ns} namespace", "l_linestatus = 'O' in_type", "path", "line", "col", "context", "ord")
-    edges = supplier_edges(t, days).join(t["supplier"].selectExpr("s_suppkey src", "s_name src_name"), "src")
+    edges = supplier_edges(t).join(t["supplier"].selectExpr("s_suppkey src", "s_name src_name"), "src")
     calls = edges.selectExpr("ord call_id", f"{SHIP} + src caller_id", f"{SHIP} + dst callee_id", "'member' form", "'Ship' name", "concat(src_name, '.Ship') containing", "concat('Services/', src_name, '.cs') path", "cast(l_orderkey as int) line", "l_linenumber col", "concat('line ', l_linenumber) context", "ord")
     least = t["orders"].groupBy("o_custkey").agg({"o_orderkey": "min"}).withColumnRenamed("min(o_orderkey)", "first_order").withColumnRenamed("o_custkey", "k")
     body = li.join(least, li["o_custkey"] == least["k"]).selectExpr(

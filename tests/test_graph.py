@@ -39,8 +39,8 @@ def test_components_and_reach(spark, case, small):
     far = reach(n, edges)
     found = G.scc(e, v, small)
     assert {r.id: r.component for r in found.collect()} == {x: min([x, *(y for y in far[x] if x in far[y])]) for x in range(n)}
-    if small:
-        assert {r.id: r.reach for r in G.reach_counts(e, found).collect()} == {x: len(far[x] - {x}) for x in range(n)}
+    for block in (G.BLOCK, 3) if small else ():
+        assert {r.id: r.reach for r in G.reach_counts(e, found, block).collect()} == {x: len(far[x] - {x}) for x in range(n)}
 
 
 def brandes(nodes, edges):
@@ -79,7 +79,8 @@ def test_betweenness(spark, small):
     n, edges = CASES[2]
     e, v = frames(spark, n, edges)
     want = brandes(range(n), edges)
-    assert {r.id: pytest.approx(r.betweenness) for r in G.betweenness(e, v, small).collect()} == want
+    for block in (G.BLOCK,) if small else (G.BLOCK, 5):
+        assert {r.id: pytest.approx(r.betweenness) for r in G.betweenness(e, v, small, block).collect()} == want
 
 
 def test_bfs_core_degrees(spark):
