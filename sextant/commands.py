@@ -67,8 +67,7 @@ class Commands:
         return sinks.entries(lookups.dependencies(f, one(f, symbol, "type")["id"]), "dependencies", symbol, limit, style)
 
     def do_injected(self, f, symbol, style, limit):
-        name = one(f, symbol, "type")["name"]
-        return sinks.entries(lookups.injected(f, name), "injected", symbol, limit, style)
+        return sinks.entries(lookups.injected(f, one(f, symbol, "type")["id"]), "injected", symbol, limit, style)
 
     def do_usages(self, f, symbol, style, limit, namespace=None):
         return sinks.entries(lookups.usages(f, one(f, symbol, "type")["id"], namespace), "usages", symbol, limit, style)
@@ -91,19 +90,18 @@ class Commands:
 
     def do_health(self, f, style, limit, top=20, namespace=None):
         df = metrics.health(f, namespace)
-        return sinks.records(df, "health", order=[F.desc("score"), "ord"], limit=limit or top, style=style, total_analyzed=df.count())
+        return sinks.health(df, df.count(), limit or top, style)
 
     def do_cycles(self, f, style, limit, suggest=False, top=5):
         vertices, edges = metrics.file_graph(f)
-        if suggest:
-            return sinks.records(metrics.break_points(edges, vertices, top), "cycles", "suggestions", style=style)
-        return sinks.records(metrics.cycle_report(edges, vertices), "cycles", "sccs", ["rank"], style=style, total_files=vertices.count())
+        points = metrics.break_points(edges, vertices, top) if suggest else None
+        return sinks.cycles(metrics.cycle_report(edges, vertices), vertices.count(), points, style)
 
-    def do_snapshot(self, f, style, limit, append=None, commit="", committed=""):
-        row = metrics.snapshot(f, commit, committed).first().asDict()
+    def do_snapshot(self, f, style, limit, append=None, commit="", committed="", solution=""):
+        row = metrics.snapshot_record(f, solution, commit, committed).first().asDict()
         if append:
             sinks.append_snapshot(row, append)
-        return sinks.as_json(row) if style == "json" else "\n".join(f"{k}: {v}" for k, v in row.items())
+        return sinks.as_json(row, nulls=True) if style == "json" else "\n".join(f"{k}: {v}" for k, v in row.items())
 
     # audits
 
@@ -120,10 +118,13 @@ class Commands:
         return sinks.entries(audits.audit_ef(f), "audit-ef", "EF Core patterns", limit, style)
 
     def do_audit_surface(self, f, symbol, style, limit):
-        return sinks.records(surface.audit_surface(f, one(f, symbol, "type", prefer=True)["id"]), "audit-surface", "methods", ["ord"], limit, style, symbol=symbol)
+        found = one(f, symbol, "type", prefer=True)
+        is_interface = not f.types.filter((F.col("type_id") == found["id"]) & (F.col("kind") == "interface")).isEmpty()
+        names = [r.display for r in lookups.implementing(f, found["id"]).select("name", "display").distinct().orderBy("name", "display").collect()] if is_interface else []
+        return sinks.surface(surface.audit_surface(f, found["id"]), found["display"], is_interface, names, limit, style)
 
     def do_audit_downstream(self, f, symbol, style, limit):
         found = one(f, symbol, "type", prefer=True)
         if f.types.filter((F.col("type_id") == found["id"]) & F.col("kind").isin("class", "record")).isEmpty():
             raise ValueError("audit-downstream only supports classes")
-        return sinks.records(surface.audit_downstream(f, found["id"]), "audit-downstream", "methods", ["ord"], limit, style, symbol=symbol)
+        return sinks.downstream(surface.audit_downstream(f, found["id"]), found["display"], limit, style)

@@ -17,7 +17,7 @@ SCHEMAS: dict[str, str] = {
     "files": "project STRING, project_ord INT, file_ord INT, path STRING, text STRING, loc INT",
     "types": f"type_id BIGINT, project STRING, kind STRING, name STRING, display STRING, namespace STRING, parent_id BIGINT, depth INT, end_line INT, all_abstract BOOLEAN, {_FLAGS}, {_AT}",
     "members": f"member_id BIGINT, type_id BIGINT, kind STRING, name STRING, display STRING, signature STRING, value_type STRING, is_implicit BOOLEAN, is_accessor BOOLEAN, has_body BOOLEAN, cyclomatic INT, n_calls INT, single_call BIGINT, single_root STRING, single_links ARRAY<STRING>, multi_init BOOLEAN, {_FLAGS}, {_AT}",
-    "params": f"member_id BIGINT, ordinal INT, name STRING, type_display STRING, type_kind STRING, {_AT}",
+    "params": f"member_id BIGINT, ordinal INT, name STRING, type_display STRING, type_kind STRING, declared_id BIGINT, {_AT}",
     "bases": "type_id BIGINT, super_id BIGINT, super_name STRING, edge STRING, ordinal INT",
     "type_uses": "type_id BIGINT, member_id BIGINT, role STRING, used_id BIGINT",
     "attrs": "owner_id BIGINT, name STRING",

@@ -13,14 +13,18 @@ ADDERS = ["Add", "AddRange", "AddAsync"]
 WRITES = ["Add", "AddAsync", "AddRange", "AddRangeAsync", "Update", "UpdateRange", "Remove", "RemoveRange", "ExecuteDelete", "ExecuteDeleteAsync", "ExecuteUpdate", "ExecuteUpdateAsync"]
 SAVES = ["SaveChanges", "SaveChangesAsync"]
 ALWAYS_WRITES = [*SAVES, "ExecuteDelete", "ExecuteDeleteAsync", "ExecuteUpdate", "ExecuteUpdateAsync"]
-LINQ = (
-    "Where Select SelectMany Any All First FirstOrDefault Single SingleOrDefault Last LastOrDefault Count LongCount ToList ToArray ToDictionary ToHashSet "
-    "OrderBy OrderByDescending ThenBy ThenByDescending GroupBy Distinct Skip Take ToListAsync ToArrayAsync ToDictionaryAsync FirstOrDefaultAsync FirstAsync "
-    "SingleOrDefaultAsync SingleAsync AnyAsync AllAsync CountAsync LongCountAsync Sum Min Max Average Include ThenInclude AsNoTracking AsTracking Contains"
-).split()
+LINQ = [
+    "Where", "Select", "SelectMany", "Any", "All", "First", "FirstOrDefault", "Single", "SingleOrDefault", "Last", "LastOrDefault", "Count",
+    "LongCount", "ToList", "ToArray", "ToDictionary", "ToHashSet", "OrderBy", "OrderByDescending", "ThenBy", "ThenByDescending", "GroupBy",
+    "Distinct", "Skip", "Take", "ToListAsync", "ToArrayAsync", "ToDictionaryAsync", "FirstOrDefaultAsync", "FirstAsync", "SingleOrDefaultAsync",
+    "SingleAsync", "AnyAsync", "AllAsync", "CountAsync", "LongCountAsync", "Sum", "Min", "Max", "Average", "Include", "ThenInclude", "AsNoTracking",
+    "AsTracking", "Contains",
+]
 MUTATING_VERBS = ["HttpPost", "HttpPut", "HttpDelete", "HttpPatch"]
 ACTION_ATTRIBUTES = [*MUTATING_VERBS, "HttpGet", "Route"]
-PRIMITIVES = "bool byte sbyte short ushort int uint long ulong float double decimal char string object void".split()
+PRIMITIVES = ["bool", "byte", "sbyte", "short", "ushort", "int", "uint", "long", "ulong", "float", "double", "decimal", "char", "string", "object", "void"]
+#: the same types by their names in System
+PRIMITIVE_NAMES = ["Boolean", "Byte", "SByte", "Int16", "UInt16", "Int32", "UInt32", "Int64", "UInt64", "Single", "Double", "Decimal", "Char", "String", "Object", "Void"]
 IO_NAMESPACES = ["System.Net.Http", "System.IO", "Google.", "Microsoft.AspNetCore.SignalR.Client"]
 
 #: ancestor kind -> usage kind; the nearest ancestor that is listed decides
@@ -74,6 +78,10 @@ def has_attribute(text: Column, name: str) -> Column:
     return text.isin(name, f"{name}Attribute") | text.endswith(f".{name}") | text.endswith(f".{name}Attribute")
 
 
+def is_primitive(name: Column) -> Column:
+    return name.isin(PRIMITIVES) | F.regexp_replace(name, r"^(global::)?System\.", "").isin(PRIMITIVE_NAMES)
+
+
 def is_external_io(namespace: Column) -> Column:
     out = F.lit(False)
     for n in IO_NAMESPACES:

@@ -32,20 +32,35 @@ def references(facts: Facts, target_id: int) -> DataFrame:
     return entry(facts.refs.filter(F.col("target_id") == target_id), "context", "containing")
 
 
-def cascade(facts: Facts, method_id: int) -> DataFrame:
-    """(id): the method, the interface methods that it implements, and those that override or
-    implement it (same name and parameter types, types related by ``bases``)."""
+def overriding(facts: Facts, bases: DataFrame | None = None) -> DataFrame:
+    """(base, id): method ``id`` overrides or implements method ``base``, over any number of steps:
+    its type is below the other's, and name and parameter types are the same. ``bases`` (base)
+    limits the methods asked about."""
     m = facts.members.filter("kind = 'method'").select("member_id", "type_id", "name")
-    namesakes = m.join(F.broadcast(m.filter(F.col("member_id") == method_id).select("name").distinct()), "name")
-    shape = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "type_display"))), lambda p: p["type_display"]))
-    types_of = facts.params.join(namesakes.select("member_id"), "member_id", "left_semi").groupBy("member_id").agg(shape.alias("shape"))
-    methods = cut(namesakes.join(types_of, "member_id", "left").fillna("", ["shape"]))
-    target = methods.filter(F.col("member_id") == method_id)
-    up = facts.bases.filter("super_id is not null").select(F.col("type_id").alias("src"), F.col("super_id").alias("dst"))
-    start = target.select(F.col("type_id").alias("root"), F.col("type_id").alias("id"))
-    related = bfs(up, start).select("id").union(bfs(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start).select("id")).distinct()
-    same = methods.join(F.broadcast(target.select("name", "shape")), ["name", "shape"])
-    return same.join(related.withColumnRenamed("id", "type_id"), "type_id", "left_semi").select(F.col("member_id").alias("id")).distinct()
+    sup = m.select(F.col("member_id").alias("base"), F.col("type_id").alias("super"), "name")
+    if bases is not None:
+        sup = sup.join(bases.select("base").distinct(), "base", "left_semi")
+    sup = cut(sup)
+    down = facts.bases.filter("super_id is not null").select(F.col("super_id").alias("src"), F.col("type_id").alias("dst")).distinct()
+    roots = sup.select(F.col("super").alias("root"), F.col("super").alias("id")).distinct().join(down.select(F.col("src").alias("id")), "id", "left_semi")
+    below = bfs(down, roots.select("root", "id")).filter("depth > 0").select(F.col("root").alias("super"), F.col("id").alias("type_id"))
+    named = cut(sup.join(below, "super").join(m, ["type_id", "name"]).filter("base <> member_id").select("base", F.col("member_id").alias("id")))
+    asked = named.select(F.col("base").alias("member_id")).union(named.select("id")).distinct()
+    types = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "type_display"))), lambda p: p["type_display"]))
+    shapes = facts.params.join(asked, "member_id", "left_semi").groupBy("member_id").agg(types.alias("shape"))
+    for column in ("base", "id"):
+        named = named.join(shapes.select(F.col("member_id").alias(column), F.col("shape").alias(f"of_{column}")), column, "left")
+    return named.filter("of_base <=> of_id").select("base", "id").distinct()
+
+
+def cascade(facts: Facts, method_id: int) -> DataFrame:
+    """(id): the method, the methods that it implements or overrides, and those that override or
+    implement it."""
+    m = facts.members.filter("kind = 'method'").select("member_id", "name")
+    namesakes = m.join(F.broadcast(m.filter(F.col("member_id") == method_id).select("name").distinct()), "name").select(F.col("member_id").alias("base"))
+    pairs = cut(overriding(facts, namesakes))
+    own = facts.members.filter(F.col("member_id") == method_id).select(F.col("member_id").alias("id"))
+    return own.union(pairs.filter(F.col("base") == method_id).select("id")).union(pairs.filter(F.col("id") == method_id).select("base")).distinct()
 
 
 def callers(facts: Facts, method_id: int, cascading: bool = True) -> DataFrame:
@@ -57,8 +72,10 @@ def callers(facts: Facts, method_id: int, cascading: bool = True) -> DataFrame:
 def call_chain(facts: Facts, method_id: int, depth: int = 5, cascading: bool = True) -> DataFrame:
     """Q3: callers of callers, each at its least depth and its first place; ``depth`` rounds."""
     calls = facts.calls.filter("caller_id is not null and callee_id is not null").select("caller_id", "callee_id", "path", "line", "col", "containing", "ord")
-    if cascading:  # a call of an interface's method reaches the methods that implement it
-        reached = calls.withColumnRenamed("callee_id", "base").join(_implements(facts), "base").withColumnRenamed("src", "callee_id")
+    if cascading:  # a call of a method may reach those that override it, and what it overrides
+        pairs = cut(overriding(facts))
+        other = pairs.union(pairs.select("id", "base")).toDF("callee_id", "reached")
+        reached = calls.join(other, "callee_id").drop("callee_id").withColumnRenamed("reached", "callee_id")
         calls = calls.unionByName(reached.select(*calls.columns))
     edges = calls.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")).distinct()
     spark = facts.calls.sparkSession
@@ -72,14 +89,6 @@ def call_chain(facts: Facts, method_id: int, depth: int = 5, cascading: bool = T
     return entry(rows, label, "containing", "caller_id", "depth")
 
 
-def _implements(facts: Facts) -> DataFrame:
-    """(base, src): method ``src`` implements or overrides ``base``, by name along ``bases``."""
-    m = facts.members.filter("kind = 'method'")
-    own = m.select(F.col("member_id").alias("src"), "type_id", "name")
-    sup = m.select(F.col("member_id").alias("base"), F.col("type_id").alias("super_id"), "name")
-    return own.join(facts.bases.filter("super_id is not null").select("type_id", "super_id"), "type_id").join(sup, ["super_id", "name"]).select("base", "src")
-
-
 def bfs_parents(edges: DataFrame, found: DataFrame, root: int) -> DataFrame:
     """(caller_id, callee_id, depth): the calls by which each caller was met at its least depth."""
     level = found.select(F.col("caller_id").alias("callee_id"), F.col("depth").alias("below")).union(found.sparkSession.createDataFrame([(root, 0)], "callee_id long, below int"))
@@ -94,10 +103,15 @@ def descendants(facts: Facts, type_id: int) -> DataFrame:
     return bfs(down, root).filter("depth > 0").select(F.col("id").alias("type_id")).distinct()
 
 
-def implementations(facts: Facts, type_id: int) -> DataFrame:
-    """Q4: the types that implement an interface, also through others; first declarations."""
+def implementing(facts: Facts, type_id: int) -> DataFrame:
+    """The first declarations of the types that implement an interface, also through others."""
     below = facts.types.join(descendants(facts, type_id), "type_id", "left_semi").filter("kind <> 'interface'")
-    return entry(first_of(below, "type_id"), "context", "name", "type_id")
+    return first_of(below, "type_id")
+
+
+def implementations(facts: Facts, type_id: int) -> DataFrame:
+    """Q4: the types that implement an interface."""
+    return entry(implementing(facts, type_id), "context", "name", "type_id")
 
 
 def inheritors(facts: Facts, type_id: int) -> DataFrame:
@@ -127,14 +141,15 @@ def dependencies(facts: Facts, type_id: int) -> DataFrame:
     rows = row(ctor, 0, labelled("constructor parameter: ", "type_display"), "type_display")
     rows = rows.unionByName(row(own.filter("kind = 'field'"), 1, field, "value_type"))
     rows = rows.unionByName(row(own.filter("kind = 'property'"), 2, labelled("property: ", "value_type"), "value_type"))
-    rows = rows.filter(~F.col("dependency").isin(P.PRIMITIVES)).join(F.broadcast(name), "type_id")
-    return rows.select("path", "line", "col", F.col("text").alias("context"), F.col("type_name").alias("containing"), (F.col("kind_ord") * F.lit(1 << 50).cast("long") + F.col("ord")).alias("ord"), "dependency")
+    rows = rows.filter(~P.is_primitive(F.col("dependency"))).join(F.broadcast(name), "type_id")
+    return rows.select("path", "line", "col", F.col("text").alias("context"), F.col("type_name").alias("containing"), F.struct("kind_ord", "ord").alias("ord"), "dependency")
 
 
-def injected(facts: Facts, type_display: str) -> DataFrame:
-    """Q8: constructors with a parameter whose type is exactly ``type_display``; one row each."""
+def injected(facts: Facts, target: int | str) -> DataFrame:
+    """Q8: constructors with a parameter whose type is exactly the target, a type's id or the text
+    of a type; one row each."""
     ctors = facts.members.filter("kind = 'constructor' and not is_implicit").select("member_id", "type_id", F.struct("path", "line", "col", "ord").alias("at"))
-    hit = facts.params.filter(F.col("type_display") == type_display).select("member_id", F.struct("ordinal", "ord").alias("place"), "type_display", "name")
+    hit = facts.params.filter(F.col("declared_id" if isinstance(target, int) else "type_display") == target).select("member_id", F.struct("ordinal", "ord").alias("place"), "type_display", "name")
     first = first_of(hit.join(ctors, "member_id").select("place", "name", "type_display", "type_id", "at.*"), "path", "line", "col", order="place")
     name = first_of(facts.types, "type_id").select("type_id", F.col("name").alias("type_name"))
     text = F.concat("type_name", F.lit("("), "type_display", F.lit(" "), "name", F.lit(")"))

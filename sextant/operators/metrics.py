@@ -89,7 +89,7 @@ def health(facts: Facts, namespace: str | None = None) -> DataFrame:
     score = P.composite_score(F.col("max_cc"), F.col("lines"), F.col("ce"), F.col("ca"), F.col("cohesion"))
     return rows.select(
         "name", "display", "path", "line", "lines", "n_methods", "max_cc", "max_method", F.round("avg_cc", 6).alias("avg_cc"), "ce", "ca", F.round("instability", 6).alias("instability"),
-        F.round("cohesion", 6).alias("cohesion"), score.alias("score"), "ord",
+        F.round("cohesion", 6).alias("cohesion"), "components", score.alias("score"), "ord",
     )
 
 
@@ -163,9 +163,26 @@ def snapshot(facts: Facts, commit: str = "", committed: str = "") -> DataFrame:
     counts = prod.agg(F.count_if(F.col("kind").isin("class", "struct", "record")).alias("n_classes"), F.count_if(F.col("kind") == "interface").alias("n_interfaces"))
     lines = prod.filter("kind not in ('enum', 'delegate')").withColumn("lines", (F.col("end_line") - F.col("line") + 1).cast("long"))
     width = lambda df, v, name: df.agg(F.round(F.avg(v), 6).alias(f"avg_{name}"), nearest_rank(v, 0.95).cast("long").alias(f"p95_{name}"), F.max(v).cast("long").alias(f"max_{name}"), F.max_by("name", F.struct(F.col(v), -F.col("ord"))).alias(f"max_{name}_name"))
-    methods = facts.members.filter("has_body and kind in ('method', 'constructor')").join(prod.select("type_id").distinct(), "type_id", "left_semi")
+    owner = first_of(prod, "type_id").select("type_id", F.col("name").alias("owner"))
+    methods = facts.members.filter("has_body and kind in ('method', 'constructor')").join(owner, "type_id")
+    methods = methods.withColumn("name", F.concat("owner", F.lit("."), F.when(F.col("kind") == "constructor", "ctor").otherwise(F.col("name"))))
     one = graph_snapshot(edges, vertices).crossJoin(vertices.agg(F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"))).crossJoin(counts)
     one = one.crossJoin(width(methods, "cyclomatic", "complexity")).crossJoin(width(lines, "lines", "class_loc"))
     return one.withColumn("commit", F.lit(commit)).withColumn("committed", F.lit(committed))
 
 
+def snapshot_record(facts: Facts, solution: str = "", commit: str = "", committed: str = "") -> DataFrame:
+    """Q15: the 27 fields of a snapshot, in their order; sizes of tests are those of the test projects."""
+    tests = facts.files.filter(P.test_project(F.col("project"), specs=True) & ~P.excluded_path(F.col("path")))
+    tests = tests.select(F.lower("path").alias("key"), "loc").dropDuplicates(["key"]).agg(F.count("*").cast("long").alias("files_test"), F.coalesce(F.sum("loc"), F.lit(0)).cast("long").alias("loc_test"))
+    one = snapshot(facts, commit, committed).crossJoin(tests)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias
+    part = lambda c: F.coalesce(c, F.lit(0.0)).alias
+    return one.select(
+        F.col("committed").alias("commit_date"), "commit", F.lit(solution).alias("solution"), F.col("loc").cast("long").alias("loc_prod"), "loc_test", F.col("n_files").alias("files_prod"), "files_test",
+        F.col("n_classes").alias("classes"), F.col("n_interfaces").alias("interfaces"), part("avg_reach")("avg_reach"), zero("p95_reach")("p95_reach"), zero("max_reach")("max_reach"), none("max_reach_id")("max_reach_file"),
+        part("core_share")("core_size_pct"), F.col("core_size").alias("core_file_count"), F.col("n_cycles").alias("cycle_count"), part("avg_fan_out")("avg_fan_out"), zero("max_fan_out")("max_fan_out"), none("max_fan_out_id")("max_fan_out_file"),
+        part("avg_complexity")("avg_cyclomatic"), zero("p95_complexity")("p95_cyclomatic"), zero("max_complexity")("max_cyclomatic"), none("max_complexity_name")("max_cyclomatic_method"),
+        part("avg_class_loc")("avg_class_loc"), zero("p95_class_loc")("p95_class_loc"), zero("max_class_loc")("max_class_loc"), none("max_class_loc_name")("max_class_loc_name"),
+    )

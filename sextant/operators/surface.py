@@ -9,9 +9,10 @@ from sextant.facts import Facts
 from sextant.functions import predicates as P
 from sextant.functions.text import dependency_name
 from sextant.operators.graph import bfs
-from sextant.operators.lookups import descendants
+from sextant.operators.lookups import overriding
 from sextant.operators.resolve import first_of
 from sextant.operators.tables import context_types, is_context_type
+from sextant.plans.store import cut
 
 
 def body_shapes(facts: Facts, type_id: int) -> DataFrame:
@@ -44,26 +45,28 @@ def body_shapes(facts: Facts, type_id: int) -> DataFrame:
 
 def audit_surface(facts: Facts, type_id: int) -> DataFrame:
     """Q21: (name, signature, prod_count, test_count, prod, test, shape, hint) of the ordinary
-    methods of an interface or class; callers of an interface's method include those of its
-    implementations. Callers are dealt by the path below the solution."""
+    methods of an interface or class; callers of a method include those of the methods that
+    implement or override it. Callers are dealt by the path below the solution; an interface's
+    methods have no shape."""
     methods = facts.members.filter((F.col("type_id") == type_id) & (F.col("kind") == "method") & ~F.col("is_implicit"))
-    below = descendants(facts, type_id).select(F.col("type_id").alias("impl_type"))
-    own = methods.select(F.col("member_id").alias("id"), "name", F.col("member_id").alias("method"))
-    impl = facts.members.filter("kind = 'method'").join(below, F.col("type_id") == F.col("impl_type"), "left_semi").select("member_id", "name")
-    targets = own.select("id", "method").union(own.join(impl, "name").select(F.col("member_id").alias("id"), "method")).distinct()
+    own = methods.select(F.col("member_id").alias("id"), F.col("member_id").alias("method"))
+    targets = own.union(overriding(facts, methods.select(F.col("member_id").alias("base"))).select("id", F.col("base").alias("method"))).distinct()
     calls = facts.calls.join(targets, facts.calls["callee_id"] == targets["id"]).select("method", "path", "line", "col", "context", "containing", "ord")
     calls = first_of(calls, "method", "path", "line", "col").withColumn("is_test", P.test_path(F.col("path")))
     place = F.struct("ord", "path", "line", "col", "context", "containing")
     side = lambda test, name: [F.count_if(F.col("is_test") == F.lit(test)).alias(f"{name}_count"), F.array_sort(F.collect_list(F.when(F.col("is_test") == F.lit(test), place))).alias(name)]
     grouped = calls.groupBy(F.col("method").alias("member_id")).agg(*side(False, "prod"), *side(True, "test"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    rows = methods.join(grouped, "member_id", "left").join(body_shapes(facts, type_id), "member_id", "left")
+    is_interface = facts.types.filter((F.col("type_id") == type_id) & (F.col("kind") == "interface")).select("type_id").distinct()
+    shapes = body_shapes(facts, type_id).join(methods.join(is_interface, "type_id", "left_anti").select("member_id"), "member_id", "left_semi")
+    rows = methods.join(grouped, "member_id", "left").join(shapes, "member_id", "left")
     return rows.select("name", F.coalesce("signature", "name").alias("signature"), zero("prod_count"), zero("test_count"), "prod", "test", "shape", "hint", "ord")
 
 
-def classified_calls(facts: Facts) -> DataFrame:
-    """The calls with ``class``: dependency, helper, external or ignored, the first rule that fits."""
-    c = is_context_type(facts.calls, context_types(facts), "receiver_type")
+def classified_calls(facts: Facts, callers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The calls of ``callers`` (caller_id) with ``class``: dependency, helper, external or ignored,
+    the first rule that fits."""
+    c = is_context_type(facts.calls.join(callers, "caller_id", "left_semi"), contexts, "receiver_type")
     io = P.is_external_io(F.col("owner_namespace"))
     member = (F.col("form") == "member") & F.col("receiver_member")
     what = (
@@ -74,11 +77,12 @@ def classified_calls(facts: Facts) -> DataFrame:
     return c.withColumn("class", what)
 
 
-def dbset_effects(facts: Facts) -> DataFrame:
-    """(member_id, table_name, is_write): writes are accesses that lead to a write API before the
-    statement ends, and all accesses of methods that save changes."""
-    saves = facts.calls.filter(F.col("name").isin(P.SAVES)).select(F.col("caller_id").alias("method_id"), F.lit(True).alias("saves")).distinct()
-    rows = facts.accesses.filter(P.is_dbset(F.col("member_type"))).join(saves, "method_id", "left")
+def dbset_effects(facts: Facts, methods: DataFrame) -> DataFrame:
+    """(member_id, table_name, is_write) of ``methods`` (method_id): writes are accesses that lead to
+    a write API before the statement ends, and all accesses of methods that save changes."""
+    saves = facts.calls.filter(F.col("name").isin(P.SAVES)).select(F.col("caller_id").alias("method_id"), F.lit(True).alias("saves"))
+    saves = saves.join(methods, "method_id", "left_semi").distinct()
+    rows = facts.accesses.filter(P.is_dbset(F.col("member_type"))).join(methods, "method_id", "left_semi").join(saves, "method_id", "left")
     write = F.coalesce("saves", F.lit(False)) | F.exists(F.coalesce("links", F.array().cast("array<string>")), lambda x: x.isin(P.WRITES))
     return rows.select(F.col("method_id").alias("member_id"), "table_name", write.alias("is_write")).distinct()
 
@@ -89,19 +93,20 @@ def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
     interface to all its implementations; what those call in other repositories is listed as
     untraced. A table that is written is not listed as read."""
     methods = facts.members.filter((F.col("type_id") == type_id) & (F.col("kind") == "method") & ~F.col("is_implicit")).select("member_id", "name", "ord")
-    calls = classified_calls(facts)
-    own = facts.members.filter(F.col("type_id") == type_id).select(F.col("member_id").alias("caller_id"))
-    mine = calls.join(own, "caller_id", "left_semi")
+    contexts = cut(context_types(facts))
+    own = cut(facts.members.filter(F.col("type_id") == type_id).select(F.col("member_id").alias("caller_id")))
+    mine = cut(classified_calls(facts, own, contexts))  # of one class, read once
     helper = mine.filter("class = 'helper'").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).distinct()
     inlined = bfs(helper, methods.select(F.col("member_id").alias("root"), F.col("member_id").alias("id"))).select(F.col("root").alias("member_id"), F.col("id").alias("caller_id"))
-    reached = inlined.join(mine, "caller_id")
+    reached = cut(inlined.join(mine, "caller_id"))
     label = F.when(F.col("class") == "helper", F.concat("name", F.lit(" (private)"))).when(F.col("class") == "dependency", dependency_name(F.col("receiver"), F.col("name")))
     named = reached.filter("class in ('helper', 'dependency')").groupBy("member_id").agg(F.array_sort(F.collect_set(label)).alias("calls"))
     external = reached.filter("class = 'external'").groupBy("member_id").agg(F.array_sort(F.collect_set(F.concat_ws(".", "owner_name", "name"))).alias("external"))
-    effects = dbset_effects(facts)
+    repo = cut(reached.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select("member_id", "callee_id", "name").distinct())
+    targets = cut(_bodies(facts, repo.select("callee_id").distinct()))
+    touching = own.select(F.col("caller_id").alias("method_id")).union(targets.select("body_id")).distinct()
+    effects = cut(dbset_effects(facts, touching))
     direct = inlined.join(effects.withColumnRenamed("member_id", "caller_id"), "caller_id").select("member_id", "table_name", F.lit(None).cast("string").alias("via"), "is_write")
-    repo = reached.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select("member_id", "callee_id", "name").distinct()
-    targets = _bodies(facts, repo.select("callee_id").distinct())
     hop = repo.join(targets, "callee_id").join(effects.withColumnRenamed("member_id", "body_id"), "body_id").select("member_id", "table_name", F.col("name").alias("via"), "is_write")
     all_ = direct.union(hop)
     once = all_.groupBy("member_id", "table_name", "via").agg(F.bool_or("is_write").alias("is_write"))
@@ -109,6 +114,7 @@ def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
     pair = F.struct("table_name", "via")
     writes = once.filter("is_write").groupBy("member_id").agg(F.array_sort(F.collect_set(pair)).alias("writes"))
     reads = once.filter("not is_write").join(written, ["member_id", "table_name"], "left_anti").groupBy("member_id").agg(F.array_sort(F.collect_set(pair)).alias("reads"))
+    calls = classified_calls(facts, targets.select(F.col("body_id").alias("caller_id")).distinct(), contexts)
     inner = calls.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select(F.col("caller_id").alias("body_id"), dependency_name(F.col("receiver"), F.col("name")).alias("label"))
     untraced = repo.join(targets, "callee_id").join(inner, "body_id").groupBy("member_id").agg(F.array_sort(F.collect_set("label")).alias("untraced"))
     out = methods
@@ -118,12 +124,9 @@ def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
 
 
 def _bodies(facts: Facts, callees: DataFrame) -> DataFrame:
-    """(callee_id, body_id): the method itself, and what implements or overrides it."""
-    m = facts.members.filter("kind = 'method'").select("member_id", "type_id", "name")
-    own = callees.join(m, callees["callee_id"] == m["member_id"]).select("callee_id", "type_id", "name")
-    down = facts.bases.filter("super_id is not null").select(F.col("super_id").alias("src"), F.col("type_id").alias("dst"))
-    below = bfs(down, own.select(F.col("type_id").alias("root"), F.col("type_id").alias("id")).distinct()).select(F.col("root").alias("type_id"), F.col("id").alias("impl"))
-    impl = m.select(F.col("member_id").alias("body_id"), F.col("type_id").alias("impl"), "name")
-    return own.join(below, "type_id").join(impl, ["impl", "name"]).select("callee_id", "body_id").distinct()
-
-
+    """(callee_id, body_id): the method itself, and what implements it if it is an interface's."""
+    interfaces = facts.types.filter("kind = 'interface'").select("type_id").distinct()
+    asked = facts.members.join(callees, facts.members["member_id"] == callees["callee_id"], "left_semi")
+    abstract = asked.join(interfaces, "type_id", "left_semi").select(F.col("member_id").alias("base"))
+    bodies = overriding(facts, abstract).select(F.col("base").alias("callee_id"), F.col("id").alias("body_id"))
+    return bodies.union(asked.select(F.col("member_id").alias("callee_id"), F.col("member_id").alias("body_id"))).distinct()

@@ -169,7 +169,8 @@ def dependencies(spark, sf_dir):
     (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, ord) AS rn FROM li WHERE o_orderpriority = '1-URGENT' AND l_linenumber <> 7 AND s_name = '{SUPPLIER}') WHERE rn = 1"""
 )
 def injected(spark, sf_dir):
-    return _entry(lookups.injected(_facts(spark, sf_dir), SUPPLIER))
+    f = _facts(spark, sf_dir)
+    return _entry(lookups.injected(f, _id(f, SUPPLIER, "type")))
 
 
 @query(

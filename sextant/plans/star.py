@@ -95,7 +95,7 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
     ships = supplier.selectExpr(f"{SHIP} + s_suppkey member_id", f"{SUPPLIER} + s_suppkey type_id", "'method' kind", "'Ship' name", f"concat({ns}, '.', s_name, '.Ship') display", "'Ship()' signature", "'void' value_type", "false is_implicit", "false is_accessor", "true has_body", "1 cyclomatic", "'public' accessibility", "concat('Services/', s_name, '.cs') path", "2 line", "1 col", "'Ship' context", f"{SHIP} + s_suppkey ord")
     members = _shaped(methods, "members").union(_shaped(fields, "members")).union(_shaped(ships, "members"))
 
-    params = li.selectExpr("order_id member_id", "cast(l_linenumber as int) ordinal", "concat('p', l_returnflag, l_linestatus) name", "case when l_linenumber = 7 then 'AppDbContext' else s_name end type_display", "if(l_returnflag = 'R', 'interface', 'class') type_kind", "path", "line", "col", "context", "ord")
+    params = li.selectExpr("order_id member_id", "cast(l_linenumber as int) ordinal", "concat('p', l_returnflag, l_linestatus) name", "case when l_linenumber = 7 then 'AppDbContext' else s_name end type_display", "if(l_returnflag = 'R', 'interface', 'class') type_kind", f"case when l_linenumber <> 7 then {SUPPLIER} + l_suppkey end declared_id", "path", "line", "col", "context", "ord")
     refs = li.selectExpr(f"{SUPPLIER} + l_suppkey target_id", "'type' target_kind", "containing", "case l_returnflag when 'A' then array('block', 'parameter', 'method') when 'N' then array('field', 'type') else array('argument', 'new', 'method') end kinds", f"{ns} namespace", "l_linestatus = 'O' in_type", "path", "line", "col", "context", "ord")
     edges = supplier_edges(t).join(t["supplier"].selectExpr("s_suppkey src", "s_name src_name"), "src")
     calls = edges.selectExpr("ord call_id", f"{SHIP} + src caller_id", f"{SHIP} + dst callee_id", "'member' form", "'Ship' name", "concat(src_name, '.Ship') containing", "concat('Services/', src_name, '.cs') path", "cast(l_orderkey as int) line", "l_linenumber col", "concat('line ', l_linenumber) context", "ord")

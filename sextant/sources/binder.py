@@ -24,6 +24,14 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 1
 
 
+#: literal -> type, and names in System -> keywords
+LITERALS = {"number": "int", "string": "string", "char": "char", "true": "bool", "false": "bool"}
+PLAIN_NAMES = {
+    "Boolean": "bool", "Byte": "byte", "SByte": "sbyte", "Int16": "short", "UInt16": "ushort", "Int32": "int", "UInt32": "uint", "Int64": "long", "UInt64": "ulong",
+    "Single": "float", "Double": "double", "Decimal": "decimal", "Char": "char", "String": "string", "Object": "object",
+}
+
+
 def lite(ref: TypeRef | None) -> list | None:
     return [ref.name, [lite(a) for a in ref.args], next((n[1] for n in ref.names if n[0] == ref.name and n[1].endswith(ref.name)), ref.name)] if ref else None
 
@@ -45,7 +53,7 @@ def outline(text: str) -> list[dict]:
 
     def add(d: Decl, outer: str | None) -> None:
         name = display_of(d, outer)
-        members = [[m.name, m.kind, lite(m.type), number(m.kind + member_display(name, m)), "static" in m.mods, len(m.params), m.tparams] for m in d.members if m.kind in ("method", "property", "field", "event")]
+        members = [[m.name, m.kind, lite(m.type), number(m.kind + member_display(name, m)), "static" in m.mods, len(m.params), m.tparams, [p[0].name if p[0] else "?" for p in m.params]] for m in d.members if m.kind in ("method", "property", "field", "event")]
         out.append({"display": name, "name": d.name, "ns": d.namespace, "kind": d.kind, "tparams": d.tparams, "bases": [lite(b) for b in d.bases], "members": members})
         for m in d.members:
             if m.kind in ("class", "interface", "struct", "record", "enum", "delegate"):
@@ -202,7 +210,8 @@ class File:
         for k, (ref, name, at, _, default_value, _) in enumerate(m.params):
             full = self.find(lite(ref)[2], scope)
             type_kind = self.w.types[full]["kind"] if full else None
-            self.rows["params"].append({"member_id": mine, "ordinal": k, "name": name, "type_display": ref.text, "type_kind": type_kind, **self.at(at)})
+            exact = full and not ref.args and ref.text.rstrip("?") == lite(ref)[2]  # no array, no generic of it
+            self.rows["params"].append({"member_id": mine, "ordinal": k, "name": name, "type_display": ref.text, "type_kind": type_kind, "declared_id": number("type" + full) if exact else None, **self.at(at)})
             self.refs(ref, scope, ["parameter", kind, "type"], containing, True, m.tparams)
             self.uses(ref, scope, mine, "ctor" if kind == "constructor" else "param")
             if default_value:
@@ -249,9 +258,10 @@ class Scope:
         self.display, self.ns, self.tparams, self.id, self.name = display, d.namespace, d.tparams, number("type" + display), d.name
         self.file = file
 
-    def member(self, display: str, name: str, n_args: int | None = None, seen: tuple = ()) -> tuple | None:
+    def member(self, display: str, name: str, n_args: int | None = None, seen: tuple = (), types: tuple = ()) -> tuple | None:
         """(owner, row) of a member along the base types; the overload with as many parameters,
-        else the first with at least as many."""
+        else the first with at least as many; of several that whose parameters' types differ
+        least from those of the arguments, as far as these are known."""
         w = self.file.w
         t = w.types.get(display)
         if t is None or display in seen:
@@ -259,10 +269,11 @@ class Scope:
         found = [m for m in t["members"] if m[0] == name]
         if found:
             if n_args is not None:
-                found.sort(key=lambda m: (m[5] < n_args, abs(m[5] - n_args)))
+                other = lambda m: sum(a is not None and a != PLAIN_NAMES.get(b, b) for a, b in zip(types, m[7], strict=False))
+                found.sort(key=lambda m: (m[5] < n_args, abs(m[5] - n_args), other(m)))
             return display, found[0]
         for b in t["bases"]:
-            if (up := w.find(b[2], t["ns"], self.file.usings, display)) and (hit := self.member(up, name, n_args, (*seen, display))):
+            if (up := w.find(b[2], t["ns"], self.file.usings, display)) and (hit := self.member(up, name, n_args, (*seen, display), types)):
                 return hit
         return None
 
@@ -363,13 +374,25 @@ class Body:
             return f"{left}.{e[3]}"
         return None
 
-    def bound(self, e, n_args: int | None = None):
+    def given(self, call) -> tuple:
+        """The simple type names of a call's arguments, None where they are not known."""
+        out = []
+        for a in call[3]:
+            e = a[1]
+            t = self.of(e)
+            name = t[0] if t and t[0] != "@" else LITERALS.get(e[2]) if isinstance(e, tuple) and e[0] == "lit" else None
+            if name == "int" and e[0] == "lit" and not e[3].isdigit():
+                name = None
+            out.append(PLAIN_NAMES.get(name, name))
+        return tuple(out)
+
+    def bound(self, e, n_args: int | None = None, types: tuple = ()):
         """(owner, row, receiver type) of the member that a member access names."""
         t = self.of(e[2])
         if t is None:
             return None
         display = t[1] if t[0] == "@" else self.display(t)
-        hit = self.scope.member(display, e[3], n_args) if display else None
+        hit = self.scope.member(display, e[3], n_args, types=types) if display else None
         return (*hit, t) if hit else None
 
     def _member_type(self, e) -> list | None:
@@ -385,10 +408,10 @@ class Body:
         if f[0] == "name":
             if self.local(f[2]):
                 return None
-            hit = self.scope.member(self.scope.display, f[2], n)
+            hit = self.scope.member(self.scope.display, f[2], n, types=self.given(call))
             return (*hit, None) if hit and hit[1][1] == "method" else None
         if f[0] == "member":
-            hit = self.bound(f, n)
+            hit = self.bound(f, n, self.given(call))
             return hit if hit and hit[1][1] == "method" else None
         return None
 
@@ -575,7 +598,7 @@ class Body:
         for ref in n[4]:
             self.walk(ref, kinds)
         call = self.stack[-2] if len(self.stack) > 1 and self.stack[-2][0] == "call" and self.stack[-2][2] is n else None
-        if hit := self.bound(n, len(call[3]) if call else None):
+        if hit := self.bound(n, len(call[3]) if call else None, self.given(call) if call else ()):
             self.f.reference(hit[1][3], hit[1][1], n[6], kinds, self.containing, self.scope.ns, True)
             if n[2][0] == "this" and hit[1][1] in ("field", "property") and not hit[1][4]:
                 self.fields.add(n[3])

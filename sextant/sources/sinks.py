@@ -12,8 +12,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions import predicates as P
+
 #: digits of the snapshot's CSV columns that are not whole numbers
-DIGITS = {"core_share": 3, "avg_reach": 1, "avg_fan_out": 3, "avg_complexity": 3, "avg_class_loc": 1, "betweenness": 6}
+DIGITS = {"core_size_pct": 6, "avg_reach": 3, "avg_fan_out": 3, "avg_cyclomatic": 3, "avg_class_loc": 1}
+#: names of that CSV which are not those of the record
+HEADER = {"avg_fan_out": "avg_fanout", "max_fan_out": "max_fanout", "max_fan_out_file": "max_fanout_file"}
 
 
 def _camel(name: str) -> str:
@@ -21,17 +25,17 @@ def _camel(name: str) -> str:
     return head + "".join(x.capitalize() for x in rest)
 
 
-def _plain(value):
+def _plain(value, nulls: bool = False):
     if hasattr(value, "asDict"):
         value = value.asDict()
     if isinstance(value, dict):
-        return {_camel(k): _plain(v) for k, v in value.items() if v is not None}
-    return [_plain(v) for v in value] if isinstance(value, list) else value
+        return {_camel(k): _plain(v, nulls) for k, v in value.items() if nulls or v is not None}
+    return [_plain(v, nulls) for v in value] if isinstance(value, list) else value
 
 
-def as_json(value: dict) -> str:
-    """Camel-case keys, indented, nulls left out."""
-    return json.dumps(_plain(value), indent=2, ensure_ascii=False)
+def as_json(value: dict, nulls: bool = False) -> str:
+    """Camel-case keys, indented, nulls left out unless asked for."""
+    return json.dumps(_plain(value, nulls), indent=2, ensure_ascii=False)
 
 
 def message(command: str, text: str, names: list[str] = (), style: str = "compact") -> str:
@@ -74,6 +78,104 @@ def records(df: DataFrame, command: str, key: str = "results", order: list | Non
     return "\n".join([head, *("  " + "; ".join(f"{k}: {show(v)}" for k, v in r.items() if v not in (None, [], "")) for r in rows)])
 
 
+def _fetched(df: DataFrame, limit: int | None) -> tuple[list[dict], dict]:
+    """The first rows by ``ord``, and their number, with the total if there are more."""
+    total = df.count() if limit else None
+    ordered = df.orderBy("ord")
+    rows = [r.asDict(recursive=True) for r in (ordered.limit(limit) if limit else ordered).collect()]
+    return rows, {"total": len(rows)} | ({"total_before_limit": total} if total is not None and total > len(rows) else {})
+
+
+def _of(numbers: dict) -> str:
+    shown, total = numbers["total"], numbers.get("total_before_limit")
+    return f"{shown}{f' of {total}' if total else ''} method{'' if shown == 1 else 's'}"
+
+
+def surface(df: DataFrame, symbol: str, is_interface: bool, implementations: list[str], limit: int | None = None, style: str = "compact") -> str:
+    """The methods of a type with their callers."""
+    rows, numbers = _fetched(df, limit)
+    if style == "json":
+        place = lambda x: {"file": x["path"], "line": x["line"], "column": x["col"], "context": x["context"]}
+        methods = [
+            {
+                "name": r["name"], "signature": r["signature"],
+                "callers": {"prod_count": r["prod_count"], "test_count": r["test_count"], "prod": [place(x) for x in r["prod"] or []], "test": [place(x) for x in r["test"] or []]},
+                "body_shape": r["shape"], "body_hint": r["hint"],
+            }
+            for r in rows
+        ]
+        kind = {"kind": "interface", "implementations": implementations} if is_interface else {"kind": "class"}
+        return as_json({"command": "audit-surface", "symbol": symbol, **kind, "methods": methods, **numbers})
+    head = f"{symbol} - {_of(numbers)}"
+    if implementations:
+        names = ", ".join(n.rpartition(".")[2] for n in implementations)
+        head += f", {len(implementations)} implementation{'' if len(implementations) == 1 else 's'} ({names})"
+    lines = [head]
+    for r in rows:
+        lines += ["", r["signature"], f"  Callers: {r['prod_count']} prod, {r['test_count']} test"]
+        lines += [f"    {x['path']}:{x['line']}" for side in ("prod", "test") for x in r[side] or []]
+        if r["shape"]:
+            lines.append(f"  Body: {r['shape']}" + (f" ({r['hint']})" if r["hint"] else ""))
+    return "\n".join(lines)
+
+
+def downstream(df: DataFrame, symbol: str, limit: int | None = None, style: str = "compact") -> str:
+    """The methods of a class with what they reach."""
+    rows, numbers = _fetched(df, limit)
+    touched = lambda r, side: [{"table": x["table_name"], "via": x["via"]} for x in r[side] or []]
+    if style == "json":
+        methods = [
+            {"name": r["name"], "calls": r["calls"] or [], "db_sets": {"reads": touched(r, "reads"), "writes": touched(r, "writes"), "untraced_repo_calls": r["untraced"] or None}, "external": r["external"] or []}
+            for r in rows
+        ]
+        return as_json({"command": "audit-downstream", "symbol": symbol, "methods": methods, **numbers})
+    lines = [f"{symbol} - {_of(numbers)}"]
+    for r in rows:
+        lines += ["", r["name"]]
+        tables = [f"{side} {', '.join(x['table'] + (f' (via {x["via"]})' if x['via'] else '') for x in touched(r, side))}" for side in ("reads", "writes") if r[side]]
+        own = [f"  Calls: {', '.join(r['calls'])}"] if r["calls"] else []
+        own += [f"  Tables: {'; '.join(tables)}"] if tables else []
+        own += [f"  Untraced: {', '.join(r['untraced'])}"] if r["untraced"] else []
+        own += [f"  External: {', '.join(r['external'])}"] if r["external"] else []
+        lines += own or ["  (no outbound calls)"]
+    return "\n".join(lines)
+
+
+def cycles(report: DataFrame, n_files: int, points: DataFrame | None = None, style: str = "compact") -> str:
+    """All cycles, and the files to break the largest at; the compact form shows ten cycles, or one
+    beside suggestions."""
+    rows = report.orderBy("rank")
+    found = None if points is None else [r.asDict() for r in points.collect()]
+    if style == "json":
+        sccs = [{"rank": r.rank, "size": r.size, "pct_of_codebase": r.share, "files": r.members} for r in rows.toLocalIterator()]
+        said = [{"file": p["id"], "betweenness": round(p["betweenness"], 2), "fan_out_in_core": p["fan_out"], "fan_in_in_core": p["fan_in"]} for p in found] if found else None
+        return as_json({"command": "cycles", "total_files": n_files, "cycle_count": len(sccs), "sccs": sccs, "suggestions": said}, nulls=True)
+    lines = [f"{report.count()} cycles in {n_files} files"]
+    for r in rows.limit(10 if points is None else 1).collect():
+        lines += ["", f"#{r.rank}: {r.size} files ({r.share:.1%})", *(f"  {x}" for x in r.members[:10]), *([f"  and {r.size - 10} more"] if r.size > 10 else [])]
+    for k, p in enumerate(found or [], 1):
+        lines += [*([""] if k == 1 else []), f"{k}. {p['id']}: betweenness {p['betweenness']:.2f}, fan-out {p['fan_out']}, fan-in {p['fan_in']} in the core; leads to {', '.join(p['sample'] or [])}"]
+    return "\n".join(lines)
+
+
+def health(df: DataFrame, analyzed: int, limit: int, style: str = "compact") -> str:
+    """The worst types, with what the figures say in words."""
+    rows = df.withColumns({"unsteady": P.instability_label(F.col("instability")), "held": P.cohesion_label(F.col("cohesion"))}).orderBy(F.desc("score"), "ord").limit(limit).collect()
+    if style == "json":
+        names = {
+            "name": "name", "qualified_name": "display", "file": "path", "line": "line", "score": "score", "lines": "lines", "method_count": "n_methods", "max_cyclomatic_complexity": "max_cc",
+            "max_complexity_method": "max_method", "dependency_count": "ce", "dependent_count": "ca", "instability": "instability", "cohesion_score": "cohesion", "field_cluster_count": "components",
+        }
+        two = lambda v: round(v, 2) if isinstance(v, float) else v
+        return as_json({"command": "health", "total_analyzed": analyzed, "results": [{k: two(r[c]) for k, c in names.items()} for r in rows], "total": len(rows)})
+    lines = [f"{analyzed} types analyzed, the {len(rows)} worst by score"]
+    for r in rows:
+        held = f" ({r.held}{f', {r.components} field clusters' if r.held == 'low' else ''})" if r.held else ""
+        lines += ["", f"{r['name']}  score {r.score}", f"  {r.path}:{r.line}", f"  coupling: {r.ce} out, {r.ca} in, instability {r.instability:.2f}{f' ({r.unsteady})' if r.unsteady else ''}"]
+        lines += [f"  size: {r.lines} lines, {r.n_methods} methods, complexity at most {r.max_cc} ({r.max_method})", f"  cohesion: {r.cohesion:.2f}{held}"]
+    return "\n".join(lines)
+
+
 def csv_line(values: list) -> str:
     out = io.StringIO()
     csv.writer(out, lineterminator="").writerow(values)
@@ -85,7 +187,7 @@ def append_snapshot(row: dict, path: str) -> None:
     fresh = not os.path.exists(path) or not os.path.getsize(path)
     text = [f"{v:.{DIGITS.get(k, 6)}f}" if isinstance(v, float) else "" if v is None else v for k, v in row.items()]
     with open(path, "a", encoding="utf-8", newline="") as f:
-        f.write((csv_line([_camel(k) for k in row]) + "\n") * fresh + csv_line(text) + "\n")
+        f.write((csv_line([HEADER.get(k, k) for k in row]) + "\n") * fresh + csv_line(text) + "\n")
 
 
 def append_table(df: DataFrame, path: str) -> None:
