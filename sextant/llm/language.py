@@ -24,7 +24,7 @@ from sextant.llm._shared import keyed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SAMPLE, ROUNDS, SMOOTH, UNKNOWN = 500, 3, 0.02, 1e-7
+SAMPLE, ROUNDS, SMOOTH, UNKNOWN, LANGUAGES = 500, 3, 0.02, 1e-7, 200
 BASE, CACHE = 0xC2B2AE3D27D4EB4F, 400_000
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -114,19 +114,31 @@ class Lattice:
         return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, for one language and words that are not scaled."""
-        a, _ = self.forward(p)
-        a = a[:, :, 0]
-        b = np.zeros_like(a)
-        b[np.arange(len(a)), self.length] = 1
+        """Expected uses of each piece, for one language. Both passes are scaled at every character
+        (by c[i], so that the beginnings of i characters sum to 1 with those before), so words may have
+        any length."""
+        n, last = len(self.start), self.longest
+        a, b, c = np.zeros((n, last + 1)), np.zeros((n, last + 1)), np.ones((n, last + 1))
+        a[:, 0] = 1
+        for i in range(1, last + 1):
+            m = self.rows[i]
+            gap = np.ones(m)  # the product of c between the two ends of a piece
+            for k, piece in enumerate(self.piece[i], 1):
+                a[:m, i] += a[:m, i - k] * gap * p[piece, 0]
+                gap = gap / c[:m, i - k]
+            c[:m, i] = np.maximum(a[:m, i], 1e-300)
+            a[:m, i] /= c[:m, i]
         counts = np.zeros(len(p))
-        w = weight[self.by] / np.maximum(a[np.arange(len(a)), self.length], 1e-300)
-        for i in range(self.longest, 0, -1):
-            n = self.rows[i]
+        b[np.arange(n), self.length] = 1
+        w = weight[self.by]
+        for i in range(last, 0, -1):
+            m = self.rows[i]
+            gap = 1 / c[:m, i]
             for k, piece in enumerate(self.piece[i], 1):
-                through = p[piece, 0] * b[:n, i]
-                counts += np.bincount(piece, weights=a[:n, i - k] * through * w[:n], minlength=len(p))
-                b[:n, i - k] += through
+                through = p[piece, 0] * b[:m, i] * gap
+                counts += np.bincount(piece, weights=a[:m, i - k] * through * w[:m], minlength=len(p))
+                b[:m, i - k] += through
+                gap = gap / c[:m, i - k]
         return counts
 
 
@@ -180,12 +192,13 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str = VOCABULARY) -> tuple[list[str], Pieces, np.ndarray]:
+def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str = VOCABULARY, languages: int = LANGUAGES) -> tuple[list[str], Pieces, np.ndarray]:
     """Languages, vocabulary and piece probabilities (pieces by languages, with the two rows that
     Lattice.forward wants), from about ``sample`` documents of each language that are not held
-    out, chosen by a hash of doc_id."""
+    out, chosen by a hash of doc_id. The ``languages`` with most documents are learned, so that
+    dirty labels cannot make the model grow with the corpus."""
     known = docs.filter(~held_out()).filter("lang is not null")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     names = vocabulary(path)
     pieces = Pieces(names)
     langs = sorted(sizes)
@@ -193,12 +206,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str
     if not langs:
         return langs, pieces, p
     limit = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, sample / sizes[lang]))))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit[F.col("lang")] * (1 << 20)).select("lang", "text")
+    chosen = known.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit[F.col("lang")] * (1 << 20)).select("lang", "text")
     words = chosen.mapInArrow(_sampled_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     for k, lang in enumerate(langs):
         own = words.filter(pa.compute.equal(words.column("lang"), lang))
         text, n = own.column("word").to_pylist(), np.array(own.column("n").to_pylist(), float)
-        order = sorted((i for i, t in enumerate(text) if len(t) <= 60), key=text.__getitem__)
+        order = sorted(range(len(text)), key=text.__getitem__)
         text, n = [text[i] for i in order], n[order] if len(order) else np.zeros(0)
         q = np.full((pieces.n + 2, 1), 1.0 / pieces.n)
         q[pieces.n :] = [[0.0], [UNKNOWN]]
