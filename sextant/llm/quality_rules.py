@@ -35,11 +35,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _repeated_words(words: Column, size: int) -> Column:
-    """Words in windows of ``size`` words that occur twice or more. Windows are compared by
-    64-bit hash, sorted with their places so that equals are neighbours."""
+    """Words in windows of ``size`` words that occur twice or more. Each word is hashed once and
+    a window's hash is that of its words' hashes; windows are compared by 64-bit hash, sorted
+    with their places so that equals are neighbours."""
     n = F.size(words)
     places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    hashed = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, size)).alias("h"), i.alias("i"))))
+    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*(F.get(h, i + k) for k in range(size))).alias("h"), i.alias("i")))))
     found = let(
         hashed,
         lambda s: let(
