@@ -1,9 +1,10 @@
 """URL filtering: rules on host and path first, then a list of canonical URLs.
 
-The list is turned into a blocked Bloom filter: one 64-bit word per block, four bits of one word
-per URL. Its size is a parameter, so it is broadcast whatever the list's length. URLs that it
-passes as possible hits go to an exact hash join with the list, which removes false positives;
-the others never move. DataFrame functions only.
+The list is counted and turned into a blocked Bloom filter: one 64-bit word per block, four bits of
+one word per URL, a block for every four URLs (about 1 false hit in 100), up to ``MOST`` words, which
+is what the broadcast can reach (16 MB). Longer lists than four times that fill the words, and more
+rows pass. URLs that it passes as possible hits go to an exact hash join with the list, which
+removes false positives; the others never move. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-BLOCKS, SALTS = 1 << 16, 8
+LEAST, MOST, SALTS = 1 << 10, 1 << 20, 8
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,22 +58,23 @@ def _bits(name: str, blocks: int) -> tuple[Column, Column]:
     return block, mask
 
 
-def bloom(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """(block, word): ``blocks`` rows at most."""
     block, mask = _bits("canonical", blocks)
     hashed = listed.select("canonical", F.xxhash64(F.lit("bits"), "canonical").alias("_h"))
     return hashed.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed), one row for each input row.
 
     ``listed`` has the blocked URLs in ``canonical``, repeats and nulls allowed. Verdicts: that
     of the longest rule that fits, else block if the canonical URL is listed, else allow. A null
     url, or one without ``://``, has an empty host and path and is allowed; page_id may be null
-    or repeated; other columns are not read.
+    or repeated; other columns are not read. ``blocks`` overrides the filter's size.
     """
     names = listed.select("canonical").filter("canonical is not null").distinct()
+    blocks = blocks or min(MOST, max(LEAST, 1 << (names.count() // 4).bit_length()))
     rule, verdict = best_rule(rules)
     block, mask = _bits("canonical", blocks)
     rows = parsed(pages).withColumn("_h", F.xxhash64(F.lit("bits"), "canonical")).withColumn("block", block).withColumn("mask", mask)
