@@ -27,6 +27,9 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 _URN = "urn:page:"
+TASK = 64 << 20
+#: copies of a response over which its revisits are dealt
+SALTS = 16
 
 
 def _b32(payload: bytes) -> str:
@@ -133,8 +136,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, folder: str | None = No
     rows = keyed(pages, "page_id", "url", "html")
     body = F.coalesce("html", F.lit(""))
     prints = rows.select("page_id", F.sha1(body.cast("binary")).alias("print"), F.octet_length(body).alias("size"))
-    top = prints.filter(F.col("size") >= min_bytes).groupBy("print", "size").agg(F.max("page_id").alias("top"))
-    targets = prints.join(top, ["print", "size"]).filter("page_id <> top").select("page_id", F.col("top").alias("refers_to"))
+    top = prints.filter(F.col("size") >= min_bytes).groupBy("print", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("many"))
+    # a third of all pages may have one payload: they are dealt out over copies of its row
+    top = top.filter("many > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    targets = dealt.join(top, ["print", "size", "salt"]).filter("page_id <> top").select("page_id", F.col("top").alias("refers_to"))
     todo = rows.join(targets, "page_id", "left").select("page_id", "url", "html", "refers_to")
     return cut(todo.mapInArrow(_writer(folder, roll), INDEX)), folder
 
@@ -173,8 +179,10 @@ def _reader(folder: str, gap: int, most: int, payload: bool):
 
 def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 4 << 20, payload: bool = False) -> DataFrame:
     """The records that ``index`` (all of it, or a selection) names. Ranges at most ``gap`` bytes
-    apart are read at once, up to ``most`` bytes. ``payload`` adds the text (null for revisits)."""
-    wanted = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    apart are read at once, up to ``most`` bytes. ``payload`` adds the text (null for revisits).
+    Each task reads about ``TASK`` bytes of archives, whatever the size of the index."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    wanted = index.select("file", "offset", "length").repartition(max(1, -(-size // TASK)), "file").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(_reader(folder, gap, most, payload), RECORD + ", payload string" * payload)
 
 
