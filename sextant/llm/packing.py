@@ -122,5 +122,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in OUT.split(", ")])
 
-    dealt = measured(rows).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    # a partition for each shard, roughly: their few bytes say nothing about the work in them
+    dealt = measured(rows).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "shard")
     return dealt.groupBy("shard").applyInArrow(run, OUT)
