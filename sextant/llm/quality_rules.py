@@ -102,14 +102,19 @@ def judge(book: DataFrame, version: int = 2) -> DataFrame:
     return book.withColumn("base_failed", ~passes(POLICIES[BASE])).withColumn("kept", passes(POLICIES[version]) & ~F.col("base_failed"))
 
 
+def _cases() -> list[tuple[int, str | None, int, int]]:
+    """(version, rule, mask, mask without the rule), and a case without a rule for each policy."""
+    cases: list[tuple[int, str | None, int, int]] = [(v, name, mask, mask & ~BITS[name]) for v, mask in POLICIES.items() for name in RULES if mask & BITS[name]]
+    return cases + [(v, None, mask, 0) for v, mask in POLICIES.items()]
+
+
 def ablations(book: DataFrame) -> DataFrame:
     """(version, rule, n_rejected, n_saved): documents that a policy rejects, and those it would
     keep without the rule. Documents are counted per pattern of bits first, so what follows
-    handles 2 ** rules rows at most. ``rule`` is null for the whole policy."""
+    handles 2 ** rules rows at most. ``rule`` is null for the whole policy. An empty table has no
+    rows."""
     patterns = book.groupBy("failed").count()
-    cases = [(v, name, mask, mask & ~BITS[name]) for v, mask in POLICIES.items() for name in RULES if mask & BITS[name]]
-    cases += [(v, None, mask, 0) for v, mask in POLICIES.items()]
-    struct = [F.struct(F.lit(v).alias("version"), F.lit(name).cast("string").alias("rule"), F.lit(mask).alias("mask"), F.lit(rest).alias("rest")) for v, name, mask, rest in cases]
+    struct = [F.struct(F.lit(v).alias("version"), F.lit(name).cast("string").alias("rule"), F.lit(mask).alias("mask"), F.lit(rest).alias("rest")) for v, name, mask, rest in _cases()]
     each = patterns.select("failed", "count", F.explode(F.array(*struct)).alias("c")).select("failed", "count", "c.*")
     rejected = F.expr("failed & mask <> 0")
     saved = rejected & F.expr("failed & rest = 0")
@@ -137,3 +142,9 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) | (CASE WHEN 100
         | (CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 16 ELSE 0 END) AS INTEGER) AS failed FROM m)
 SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
+
+ABLATIONS = f"""
+SELECT version, rule, count(*) FILTER (failed & mask <> 0) AS n_rejected, count(*) FILTER (failed & mask <> 0 AND failed & rest = 0) AS n_saved
+FROM ({ORACLE}) CROSS JOIN (VALUES {", ".join(f"({v}, {'NULL' if name is None else repr(name)}, {mask}, {rest})" for v, name, mask, rest in _cases())}) c(version, rule, mask, rest)
+GROUP BY version, rule
+"""

@@ -46,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.ledger(table(spark, sf_dir, "documents")), version=2)
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.feed_list(pages))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filters": op8_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": near.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
+    "quality_ablations": quality_rules.ABLATIONS,
 }

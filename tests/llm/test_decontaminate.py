@@ -1,8 +1,9 @@
 import random
+import re
 
 import duckdb
 
-from sextant.llm.decontaminate import contaminated
+from sextant.llm.decontaminate import UNITS, contaminated
 
 ITEMS = [
     (1, "A train leaves London at 7 hours and Anna waits 15 minutes before Anna walks 3 km to the old red market place"),
@@ -78,3 +79,79 @@ def test_copies_in_capitals_and_of_numbers(spark):
     for block in (1 << 20, 40):
         got = run(spark, docs, items, block=block)
         assert {i: ids for i, (ids, _) in got.items()} == {1: [1], 2: [2], 3: [2], 4: [6], 5: [7], 6: [8], 7: [], 8: [], 9: []}
+
+
+WORDS = ["red", "old", "tree", "runs", "over", "the", "market", "and", "small", "stone"]
+
+
+def canonical(text):
+    """(kind, value) of each word by the rules of the module, in plain Python; ASCII only."""
+    out, opens, after_number = [], True, False
+    for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text):
+        raw = m.group()
+        if raw == "\n":
+            opens = True
+            continue
+        core = re.search(r"[A-Za-z0-9](.*[A-Za-z0-9])?", raw)
+        if not core:
+            opens = opens or bool(re.search(r"[.!?:]", raw))
+            continue
+        opens = opens or bool(re.search(r"[.!?:]", raw[: core.start()]))
+        word, low = core.group(), core.group().lower()
+        kind = 1 if word[0].isdigit() else 2 if word[0].isupper() and not opens else 3 if low in UNITS.split() and after_number else 0
+        out.append((kind, low))
+        opens, after_number = bool(re.search(r"[.!?:]", raw[core.end() :])), kind == 1
+    return out
+
+
+def plain_hit(doc, item, window=10):
+    d, b = canonical(doc), canonical(item)
+    size = min(window, len(b))
+    for q in range(len(b) - size + 1):
+        y = b[q : q + size]
+        for p in range(len(d) - size + 1):
+            x = d[p : p + size]
+            if [v for _, v in x] == [v for _, v in y]:
+                return True
+            if 2 * sum(k == 0 for k, _ in y) < size or any(j != k or (j == 0 and v != w) for (j, v), (k, w) in zip(x, y)):
+                continue
+            pairs = {(k, v, w) for (k, v), (_, w) in zip(x, y) if k}
+            if len({(k, v) for k, v, _ in pairs}) == len({(k, w) for k, _, w in pairs}) == len(pairs):
+                return True
+    return False
+
+
+def test_templates_and_slots_against_brute_force(spark):
+    rnd = random.Random(21)
+
+    def word():
+        x = rnd.random()
+        return str(rnd.randrange(3)) if x < 0.2 else rnd.choice(["Anna", "Berg", "Carl"]) if x < 0.4 else rnd.choice(["km", "days"]) if x < 0.5 else rnd.choice(WORDS) + rnd.choice(["", "", "", ",", ".", "\n"])
+
+    items = [(i, " ".join(word() for _ in range(rnd.choice([3, 8, 10, 11, 14])))) for i in range(40)]
+    docs = []
+    for i in range(300):
+        base = items[rnd.randrange(40)][1].split(" ")
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(base))
+            base[k] = word()
+        docs.append((i, " ".join([*(word() for _ in range(rnd.randrange(6))), *base, *(word() for _ in range(rnd.randrange(6)))])))
+    want = {i: any(plain_hit(t, x) for _, x in items) for i, t in docs}
+    assert 60 < sum(want.values()) < 290
+    for block in (1 << 20, 10):
+        assert {i: not kept for i, (_, kept) in run(spark, docs, items, block=block).items()} == want
+
+
+def test_verbatim_copies_of_slot_heavy_items(spark):
+    items = [(1, "Compute 3 4 5 6 7 8 9"), (2, "Add 12 km 5 m 7 cm"), (3, "Sum of 1 2 3 4 5 6 7 8 9 10 11 12")]
+    docs = [(i, f"before {t} after") for i, t in items] + [(4, "Compute 3 4 5 6 7 8 8"), (5, "Sum of 1 2 3 4 5 6 7 9 9 10 11 12")]
+    assert {i: ids for i, (ids, _) in run(spark, docs, items).items()} == {1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
+def test_frame_shared_by_thousands_of_items(spark):
+    frame = "what is the largest city in the whole country of"
+    items = [(i, f"{frame} Land{i} and who was its number {i} mayor") for i in range(10_000)]
+    docs = [(i, f"{frame} Place{i} and who was its number 5 mayor. more") for i in range(200)] + [(900, "what is the largest city here")]
+    got = run(spark, docs, items)
+    assert sum(not kept for _, kept in got.values()) == 200 and got[900] == ([], True)
+    assert all(1 <= len(ids) <= 20 for i, (ids, kept) in got.items() if not kept)

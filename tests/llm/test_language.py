@@ -61,3 +61,68 @@ def test_long_pieces_count():
     points = L._points(L.MARK + word)
     (_, graph), = L.lattices(points, np.array([0]), np.array([16]), table)
     assert np.isclose(graph.logs(p)[0, 0], math.log(0.5 * 0.25))
+
+
+def test_expected_uses_against_all_segmentations():
+    pieces = [L.MARK, "a", "b", "ab", L.MARK + "a", "ba", "bab"]
+    table, rnd = L.Pieces(pieces), random.Random(5)
+    p = np.array([[rnd.random() / 7] for _ in pieces] + [[0.0], [1e-3]])
+
+    def ways(word):
+        if not word:
+            yield 1.0, []
+        for k in range(1, len(word) + 1):
+            i = pieces.index(word[:k]) if word[:k] in pieces else len(pieces) + 1 if k == 1 else None
+            if i is not None:
+                yield from ((p[i, 0] * q, [i, *rest]) for q, rest in ways(word[k:]))
+
+    words, weight = ["ab", "babab", "a", "xab", "ab" * 5 + "z", "b" * 9], np.array([1.0, 2, 3, 1, 5, 1])
+    want = np.zeros(len(p))
+    for w, n in zip(words, weight):
+        found = list(ways(L.MARK + w))
+        total = sum(q for q, _ in found)
+        for q, used in found:
+            for i in used:
+                want[i] += n * q / total
+    points = L._points("".join(L.MARK + w for w in words))
+    length = np.array([len(w) + 1 for w in words])
+    got = sum(g.expected(p, weight[part]) for part, g in L.lattices(points, np.cumsum(length) - length, length, table))
+    assert np.allclose(got, want)
+
+
+def test_expected_uses_of_very_long_words():
+    pieces = [L.MARK, "a", "b"]
+    table, p = L.Pieces(pieces), np.array([[0.2], [0.5], [1e-6], [0.0], [1e-7]])
+    word = "ab" * 4000 + "z"
+    (part, graph), = L.lattices(L._points(L.MARK + word), np.array([0]), np.array([len(word) + 1]), table)
+    assert np.allclose(graph.expected(p, np.ones(1)), [1, 4000, 4000, 0, 1])
+
+
+def test_posterior_against_plain_version(spark):
+    """Training and prediction of the query on a few documents, word by word in plain Python."""
+    rows = [(i, ("der hund und die katze " if i % 2 else "the dog and the cat ") * (1 + i % 3), "de" if i % 2 else "en") for i in range(30)]
+    rows += [(100, "the katze", None), (101, "hund and cat the", None), (102, "und und the", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table, p = L.train(df, sample=1000)
+    names = L.vocabulary()
+    at = {piece: i for i, piece in enumerate(names)}
+
+    def score(word, q):
+        a = [1.0] + [0.0] * len(word)
+        for i in range(1, len(word) + 1):
+            for k in range(1, i + 1):
+                piece = word[i - k : i]
+                a[i] += a[i - k] * (q[at[piece]] if piece in at else L.UNKNOWN if k == 1 else 0.0)
+        return a[-1]
+
+    for r in L.identify(df, sample=1000).collect():
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        logs = [sum(math.log(score(L.MARK + w, p[:, k])) for w in text.split()) for k in range(len(langs))]
+        best = max(range(len(langs)), key=logs.__getitem__)
+        assert r.lang_pred == langs[best] and math.isclose(r.score, 1 / sum(math.exp(x - logs[best]) for x in logs), rel_tol=1e-6)
+
+
+def test_dirty_labels_are_bounded(spark):
+    rows = [(i, "some words here", "en" if i % 3 else f"bad{i}") for i in range(60)]
+    langs, _, p = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
+    assert len(langs) == 3 == p.shape[1] and "en" in langs

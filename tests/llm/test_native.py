@@ -11,7 +11,7 @@ TEXTS = [
 
 
 def test_oracles(spark, same):
-    for name in ("op7_quality_rules", "op8_url_filters"):
+    for name in ("op7_quality_rules", "op8_url_filters", "quality_ablations"):
         same(QUERIES[name](spark, SF), ORACLES[name], sf_dir=SF)
 
 
@@ -52,3 +52,12 @@ def test_urls(spark, same):
     empty = df.limit(0)
     assert url_filter.filter_urls(empty, url_filter.feed_list(empty)).collect() == []
     assert url_filter.filter_urls(df, spark.createDataFrame([(None,)], "canonical string")).count() == len(rows)
+
+
+def test_long_urls_and_a_hot_url(spark, same):
+    long = "http://long.example.org/" + "a/" * 50_000
+    rows = [(1, long), (2, long + "?utm_source=feed"), (3, long + "b")] + [(10 + i, "http://hot.io/p?utm_source=x" if i % 2 else "https://www.hot.io/p") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for blocks in (None, 4):
+        got = url_filter.filter_urls(df, url_filter.feed_list(df), blocks=blocks)
+        same(got, url_filter.ORACLE, pages=("page_id bigint, url varchar", rows))

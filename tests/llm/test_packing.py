@@ -51,3 +51,10 @@ def test_invariants(spark):
         assert max(Counter(sources[r.doc_id] for r in rs).values()) <= 2
         assert max(Counter(" ".join(texts[r.doc_id]).lower() for r in rs).values()) == 1
     assert pack(df.limit(0)).collect() == []
+
+
+def test_really_long_text(spark):
+    rows = [(1, "s", "word " * 300_000), (2, "s", "word " * 10), (3, "t", "x" * 1_000_000)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sum(r.n_words for r in out if r.doc_id == 1) == 300_000 and max(r.n_words for r in out) == 4096
+    assert [(r.n_words, r.slot) for r in out if r.doc_id == 3] == [(1, r.slot) for r in out if r.doc_id == 3] and len({(r.bin, r.slot) for r in out}) == len(out)

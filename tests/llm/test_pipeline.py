@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from sextant.llm.packing import pack_shard
 from sextant.llm.quality import classify
@@ -41,3 +43,21 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_odd_rows(spark):
+    """Null texts, ids and languages, very long texts, ties and clashing columns in every stage."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = " ".join(f"w{i % 9000}" for i in range(60_000))
+    odd = [(9001, None, "en", "s", 0), (9002, "", None, None, None), (None, "text", "en", "s", 4), (9003, long, "en", "s", len(long)), (9003, long, "en", "s", len(long)), (9004, " \n", "en", "s", 2)]
+    rows = base.union(spark.createDataFrame(odd, base.schema)).withColumns({"kept": F.lit(1), "label": F.lit("x"), "runs": F.lit(2), "bin": F.lit(3)})
+    for name, stage in P.STAGES[1:]:
+        out = stage(spark, rows, SF)
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert None not in ids and {9001, 9002, 9004} <= set(ids) and 9003 in ids
+        if name != "packing":
+            assert out.columns == P.COLUMNS and len(ids) == len(set(ids))
+            text = {r.doc_id: r.text for r in out.filter("doc_id > 9000").collect()}
+            assert text[9001] is None and text[9002] == "" and text[9003].split()[:9000] == long.split()[:9000]
+    first = P.quality(spark, rows, SF)
+    assert first.columns == P.COLUMNS and not {9001, 9002, 9004} & {r.doc_id for r in first.collect()}
