@@ -86,6 +86,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield K.as_batch(doc_id=part.column("doc_id"), words=pa.array([K.signed(w) for w in own], pa.list_(pa.int64())), meta=pa.array(list(meta), pa.list_(pa.float64())))
 
 
+def _place_features(vocabulary: np.ndarray):
+    """The same with ascending places in the vocabulary instead of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _features(batches):
+            lists = part.column("words")
+            size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
+            docs = _placed(vocabulary, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size)
+            offsets = np.append(0, np.cumsum(docs.size)).astype(np.int32)
+            yield K.as_batch(doc_id=part.column("doc_id"), words=pa.ListArray.from_arrays(offsets, docs.flat), meta=part.column("meta"))
+
+    return run
+
+
 def _descend(loss_gradient, x: np.ndarray, rounds: int) -> np.ndarray:
     """Adam on the full batch."""
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -118,15 +132,6 @@ class Docs:
         return Docs(np.append(self.flat, other.flat), np.append(self.size, other.size))
 
 
-def _common(flat: np.ndarray, size: np.ndarray, often: int = 5) -> tuple[np.ndarray, Docs]:
-    """The hashes that ``often`` documents have, ascending, and the documents in terms of them."""
-    order = np.sort(flat)
-    starts = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, int)
-    vocabulary = order[starts[np.diff(np.append(starts, len(order))) >= often]]
-    del order, starts
-    return vocabulary, _placed(vocabulary, flat, size)
-
-
 def _placed(vocabulary: np.ndarray, flat: np.ndarray, size: np.ndarray) -> Docs:
     """Documents in terms of the vocabulary, some at a time."""
     ends, at, kept, parts = np.cumsum(size), 0, [], []
@@ -298,20 +303,25 @@ class CoTrained:
         return [*views, _sigmoid(both @ self.mixture[:3] + self.mixture[3])]
 
 
-_FEATURES = "doc_id long, words array<long>, meta array<double>"
+def _chosen(docs: DataFrame, ids: list[int]) -> DataFrame:
+    return docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
+
+
+def _vocabulary(docs: DataFrame, ids: list[int], often: int = 5) -> np.ndarray:
+    """The hashes that ``often`` of the given documents have, ascending."""
+    words = _chosen(docs, ids).mapInArrow(_features, "doc_id long, words array<long>, meta array<double>").select(F.explode("words").alias("word"))
+    found = words.groupBy("word").count().filter(F.col("count") >= often).select("word").toArrow()
+    return np.sort(found.column("word").to_numpy().view(np.uint64))
 
 
-def _fetched(docs: DataFrame, ids: list[int]) -> tuple[dict[int, int], np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the given documents: the place of each, hashes, how many each has, metadata."""
-    if not ids:
-        return {}, np.zeros(0, np.uint64), np.zeros(0, int), np.zeros((0, 0))
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    table = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, _FEATURES).toArrow()
-    lists = table.column("words")
+def _fetched(docs: DataFrame, ids: list[int], vocabulary: np.ndarray) -> tuple[dict[int, int], Docs, np.ndarray]:
+    """Features of the given documents: the place of each, its words and its metadata. Words that
+    the vocabulary has not stay where they are."""
+    table = _chosen(docs, ids).mapInArrow(_place_features(vocabulary), "doc_id long, words array<int>, meta array<double>").toArrow()
+    lists = table.column("words").combine_chunks()
     meta = table.column("meta").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-    size = pa.compute.list_value_length(lists).to_numpy().astype(int)
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks]).view(np.uint64)
-    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, flat, size, meta
+    size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
+    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, Docs(lists.flatten().to_numpy(zero_copy_only=False), size), meta
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | float:
@@ -324,9 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     known = np.array(list(sample.values()), float).reshape(-1, 2)
     if len(known) < 20 or known.min(axis=1).min() == known.min(axis=1).max():
         return float(known.min(axis=1).mean()) if len(known) else 1.0
-    at, flat, size, meta = _fetched(docs, list(sample))
-    vocabulary, words = _common(flat, size)
-    del flat
+    vocabulary = _vocabulary(docs, list(sample))
+    at, words, meta = _fetched(docs, list(sample), vocabulary)
     own = np.array([at[i] for i in sample])
     train, held = own[np.arange(len(own)) % 3 != 2], own[np.arange(len(own)) % 3 == 2]
     is_train = np.arange(len(own)) % 3 != 2
@@ -344,10 +353,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
         for view in (0, 1):
             given[1 - view].update(new[view])
         wanted = sorted((set(new[0]) | set(new[1])) - set(place))
-        at, flat, size, more = _fetched(docs, wanted)
-        if at:
+        if wanted:
+            at, more, more_meta = _fetched(docs, wanted, vocabulary)
             place.update((i, len(fresh) + at[i]) for i in wanted)
-            fresh, fresh_meta = fresh + _placed(vocabulary, flat, size), np.vstack([fresh_meta, more])
+            fresh, fresh_meta = fresh + more, np.vstack([fresh_meta, more_meta])
         views = Views(vocabulary, *base, fresh, fresh_meta, [{place[i]: label for i, label in g.items()} for g in given])
     return CoTrained(views, words.take(held), meta[held], known[~is_train].min(axis=1))
 

@@ -63,7 +63,9 @@ def plain(docs, labels, rounds, per_round):
     order = [i for i in ORDER(list(judged))]
     known = np.array([judged[i] for i in order])
     flat, size = np.concatenate([hashes[at[i]] for i in order]), np.array([len(hashes[at[i]]) for i in order])
-    vocabulary, words = Q._common(flat, size)
+    values, often = np.unique(flat, return_counts=True)
+    vocabulary = values[often >= 5]
+    words = Q._placed(vocabulary, flat, size)
     every = Q._placed(vocabulary, np.concatenate(hashes), np.array([len(h) for h in hashes]))
     train, held = (np.flatnonzero((np.arange(len(order)) % 3 == 2) == x) for x in (False, True))
     own = np.array([at[i] for i in order])
