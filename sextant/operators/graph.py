@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.plans.store import cut
+from sextant.plans.store import cut, drop
 
 SMALL, BLOCK = 1_000_000, 20_000
+#: rows of a loop's table that one file takes
+ROWS = 1 << 18
 
 
 def is_small(edges: DataFrame, small: int = SMALL) -> bool:
@@ -53,16 +55,27 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFra
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, component) of the undirected graph; a component is named by its least id."""
+    """(id, component) of the undirected graph; a component is named by its least id.
+
+    Each round takes the least name among the neighbours and then follows the name's own name, so
+    chains shorten geometrically. A round is written in as many files as its rows need, and takes the
+    place of the one before.
+    """
     both = cut(edges.select("src", "dst").union(reversed_edges(edges)).distinct())
-    label = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("id"), F.least("src", "near").alias("component")))
+    files = 1 + both.count() // ROWS
+    label = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("id"), F.least("src", "near").alias("component")), files)
+    table = label
     while True:
         near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("near")).withColumnRenamed("src", "id")
         up = label.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut(label.join(near, "id", "left").join(up, "component", "left").select("id", F.least("component", "near", "up").alias("component"), F.col("component").alias("old")))
+        new = label.join(near, "id", "left").join(up, "component", "left").select("id", F.least("component", "near", "up").alias("component"), F.col("component").alias("old"))
+        new = cut(new, files)
         if new.filter("component <> old").isEmpty():
+            drop(new)
+            drop(both)
             return label
-        label = new.select("id", "component")
+        drop(table)
+        label, table = new.select("id", "component"), new
 
 
 def _components(edges: list[tuple]) -> dict:

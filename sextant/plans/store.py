@@ -28,4 +28,12 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``cut`` has written, once no plan reads it any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
