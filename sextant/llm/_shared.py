@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.operators.graph import connected
 from sextant.plans.store import cut, shared_folder
 
 __all__ = ["components", "cut", "keyed", "shared_folder"]
-#: rows of a loop's table that one file takes
-_ROWS = 1 << 18
 
 
 def keyed(docs: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -27,28 +26,5 @@ def keyed(docs: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) for every end of ``edges`` (a, b): the smallest id that it is connected with.
-
-    Each round takes the least label among the neighbours and then follows the label's own
-    label, so chains shorten geometrically. Each round is written to the shared folder, in as many
-    files as its rows need.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    files = 1 + both.count() // _ROWS
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), files)
-    while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("near"))
-        )
-        hop = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut(
-            labels.join(near, "id", "left")
-            .join(hop, "label", "left")
-            .select("id", F.least("label", "near", "up").alias("label"), F.col("label").alias("old")),
-            files,
-        )
-        if new.filter("label <> old").isEmpty():
-            return labels
-        labels = new.select("id", "label")
+    """(id, label) for every end of ``edges`` (a, b): the smallest id that it is connected with."""
+    return connected(edges.toDF("src", "dst")).withColumnRenamed("component", "label")
