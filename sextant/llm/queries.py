@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import decontaminate, language, near, packing, quality, quality_rules, substring, token_counts, url_filter, warc
+from sextant.llm import decontaminate, language, near, packing, prefix_trie, quality, quality_rules, spelling, substring, token_counts, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), shortest=5, often=3, factor=2)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), family=20, heads=4).drop("node", "parent")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_filters": op8_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_prefix_trie": op13_prefix_trie,
     "quality_ablations": quality_ablations,
 }
 
@@ -83,5 +98,8 @@ ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": near.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_exact_topk": topk.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
     "quality_ablations": quality_rules.ABLATIONS,
 }
