@@ -1,26 +1,28 @@
 """Graph operators on edge tables (src, dst).
 
-Two ways exist for components and centrality. A graph of at most ``small`` edges (counted first)
-is handed to one task, or broadcast, as plain arrays; beyond that the same result comes from
-DataFrame rounds that are written to the shared folder. Where a row for each pair of nodes is needed
-on the way, the rounds handle ``block`` sources at a time.
+Loops are DataFrame rounds that are written to the shared folder; a spent round is deleted.
+Betweenness has two ways: a graph of at most ``small`` edges (counted first) is broadcast as plain
+arrays; beyond that it handles ``block`` sources at a time.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.plans.store import cut, drop
 
 SMALL, BLOCK = 1_000_000, 20_000
-#: rows of a loop's table that one file takes
-ROWS = 1 << 18
+#: rows that a numbered range takes; bitmaps of 4 KB a component held at a time
+ROWS, BUCKETS = 1 << 18, 8
+#: rows of one key that go to one task, and copies of what more of them need
+HUB, SALTS = 1 << 16, 64
+#: pivots of a part, and layers trimmed before a batch
+SLOTS, TRIM = 62, 4
 
 
 def is_small(edges: DataFrame, small: int = SMALL) -> bool:
@@ -54,120 +56,127 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFra
     return seen
 
 
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, by: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row per key and in ``weight`` how many rows ask
+    for it. What more than ``HUB`` rows ask for is copied ``SALTS`` times and those rows are dealt out
+    by ``by``, so no key goes to one task."""
+    hot = table.filter(F.col(weight) > HUB)
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    copies = hot.withColumns({"_hot": F.lit(True), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    both = rows.withColumn("_salt", salt).join(copies.hint("merge"), [*keys, "_salt"], "left")
+    columns = [*rows.columns, *(c for c in table.columns if c not in keys)]
+    cold = both.filter("_hot is null").select(*rows.columns).join(table.filter(F.col(weight) <= HUB), keys)
+    return both.filter("_hot").select(*columns).union(cold.select(*columns))
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One half round: each node u has the least of itself and its neighbours, and links those
+    neighbours that are greater (``large``) or smaller than u with it."""
+    pairs = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    if large:
+        pairs = pairs.union(edges.select("dst", "src"))
+    else:
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n")))
+    found = matched(pairs.filter("v > u") if large else pairs, low, ["u"], "n", "v")
+    out = found.filter("v <> low").select(F.col("v").alias("src"), F.col("low").alias("dst"))
+    if not large:
+        out = out.union(low.filter("u <> low").select("u", "low"))
+    out = cut(out.distinct())
+    drop(low)
+    return out
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of the undirected graph; a component is named by its least id.
 
-    Each round takes the least name among the neighbours and then follows the name's own name, so
-    chains shorten geometrically. A round is written in as many files as its rows need, and takes the
-    place of the one before.
+    Large-star and small-star rounds by turns: every node hands its neighbours on to the least of
+    them, until each component is a star around its least id; about log(nodes) rounds. A
+    neighbourhood is only ever reduced to its minimum, never gathered, and the neighbours of a hub are dealt
+    out over tasks.
     """
-    both = cut(edges.select("src", "dst").union(reversed_edges(edges)).distinct())
-    files = 1 + both.count() // ROWS
-    label = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("id"), F.least("src", "near").alias("component")), files)
-    table = label
+    nodes = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.bit_xor(F.xxhash64("dst", "src"))).first())
+    now = cut(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src <> dst").distinct())
+    before = state(now)
     while True:
-        near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("near")).withColumnRenamed("src", "id")
-        up = label.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = label.join(near, "id", "left").join(up, "component", "left").select("id", F.least("component", "near", "up").alias("component"), F.col("component").alias("old"))
-        new = cut(new, files)
-        if new.filter("component <> old").isEmpty():
-            drop(new)
-            drop(both)
-            return label
-        drop(table)
-        label, table = new.select("id", "component"), new
-
-
-def _components(edges: list[tuple]) -> dict:
-    """node -> least member of its strongly connected component; two passes of depth-first
-    search, the second against the edges in reverse order of finishing."""
-    out, back = defaultdict(list), defaultdict(list)
-    for a, b in edges:
-        out[a].append(b)
-        back[b].append(a)
-    nodes = sorted(set(out) | set(back))
-    done, order = set(), []
-    for root in nodes:
-        if root in done:
-            continue
-        done.add(root)
-        stack = [(root, iter(out[root]))]
-        while stack:
-            node, rest = stack[-1]
-            nxt = next((x for x in rest if x not in done), None)
-            if nxt is None:
-                order.append(stack.pop()[0])
-            else:
-                done.add(nxt)
-                stack.append((nxt, iter(out[nxt])))
-    name: dict = {}
-    for root in reversed(order):
-        if root in name:
-            continue
-        group, todo = [], [root]
-        name[root] = root
-        while todo:
-            node = todo.pop()
-            group.append(node)
-            for x in back[node]:
-                if x not in name:
-                    name[x] = root
-                    todo.append(x)
-        least = min(group)
-        name.update(dict.fromkeys(group, least))
-    return name
-
-
-def scc(edges: DataFrame, vertices: DataFrame, small: int = SMALL) -> DataFrame:
-    """(id, component) for every vertex; a component is named by its least id."""
-    e = plain(edges)
-    kind = dict(vertices.dtypes)["id"]
-    if is_small(e, small):
+        large = _star(now, True)
+        new = _star(large, False)
+        drop(large)
+        drop(now)
+        now, after = new, state(new)
+        if after == before:
+            return nodes.join(now.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        before = after
+
+
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """``edges`` (sub, src, dst) without nodes that have no edge in or none out, which are components of
+    their own; at most ``rounds`` layers of them."""
+    n = edges.count()
+    for _ in range(rounds):
+        if not n:
+            break
+        ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("way")).union(edges.select("dst", F.lit(2))).groupBy("id").agg(F.bit_or("way").alias("ways"))
+        inner = ends.filter("ways = 3").select("id")
+        less = cut(edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("sub", "src", "dst"))
+        drop(edges)
+        edges, before, n = less, n, less.count()
+        if n == before:
+            break
+    return edges
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pairs = [p for b in batches for p in zip(b["src"].tolist(), b["dst"].tolist(), strict=True)]
-            found = _components(pairs)
-            yield pd.DataFrame({"id": list(found), "component": list(found.values())})
 
-        named = e.coalesce(1).mapInPandas(run, f"id {kind}, component {kind}")
-    else:
-        named = _scc_rounds(e, kind)
-    return vertices.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+def scc(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, component) for every vertex; a component is named by its least id.
 
+    Forward and backward search from many pivots at once. Every part of the graph that may still hold
+    components has up to ``SLOTS`` pivots, a bit each; a node carries two bitmaps, of the pivots that
+    reach it and of those that it reaches, and a round passes them on along all edges. A node that
+    shares a bit in both is in that pivot's component. All others can only be together with nodes of
+    equal bitmaps, so these make the parts of the next batch and edges between parts go. Layers
+    without an edge in or out are trimmed before each batch.
 
-def _scc_rounds(edges: DataFrame, kind: str) -> DataFrame:
-    """Colouring: after sources and sinks are trimmed, every node takes the greatest id that
-    reaches it; the nodes of a colour that reach its namesake are that node's component. What is
-    found leaves the graph."""
-    done = None
-    e = cut(edges)
+    A batch settles every pivot, and the first one starts from the nodes with most edges; it takes as
+    many rounds as its longest shortest path from a pivot, and random pivots need about log(nodes)
+    batches.
+    """
+    e = _trimmed(cut(plain(edges).select(F.lit(0).cast("long").alias("sub"), "src", "dst")), TRIM)
+    done, batch = None, 0
     while not e.isEmpty():
-        while True:  # a node without an edge in, or out, is a component of its own
-            keep = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-            left = cut(e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-            if left.count() == e.count():
-                break
-            e = left
-        if e.isEmpty():
-            break
-        color = cut(e.select(F.col("src").alias("id")).distinct().withColumn("color", F.col("id")))
+        nodes = e.groupBy("sub", F.col("src").alias("id")).agg(F.count("*").alias("n")).union(e.groupBy("sub", "dst").agg(F.count("*"))).groupBy("sub", "id").agg(F.sum("n").alias("n"))
+        slot = F.pmod(F.xxhash64(F.lit(batch), "id"), F.lit(SLOTS)).cast("int")
+        rank = F.struct(F.col("n") if batch == 0 else F.xxhash64(F.lit(-batch), "id"), "id")
+        pivots = nodes.groupBy("sub", slot.alias("slot")).agg(F.max_by("id", rank).alias("id"))
+        start = nodes.join(pivots, ["sub", "id"], "left").withColumn("bit", F.coalesce(F.expr("shiftleft(1L, slot)"), F.lit(0).cast("long")))
+        state = cut(start.select("sub", "id", F.col("bit").alias("f"), F.col("bit").alias("b"), (F.col("bit") != 0).alias("new")))
+        both = cut(e.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(True).alias("on")).union(e.select("dst", "src", F.lit(False))))
         while True:
-            near = e.join(color, e["src"] == color["id"]).groupBy("dst").agg(F.max("color").alias("near")).withColumnRenamed("dst", "id")
-            new = cut(color.join(near, "id", "left").select("id", F.greatest("color", F.coalesce("near", "color")).alias("color"), F.col("color").alias("old")))
-            still = new.filter("color <> old").isEmpty()
-            color = new.select("id", "color")
-            if still:
+            front = state.filter("new").select("id", "f", "b")
+            sent = both.join(front, "id").groupBy(F.col("to").alias("id")).agg(F.bit_or(F.expr("if(on, f, 0L)")).alias("mf"), F.bit_or(F.expr("if(on, 0L, b)")).alias("mb"))
+            next_ = cut(state.join(sent, "id", "left").selectExpr("sub", "id", "f | coalesce(mf, 0L) f", "b | coalesce(mb, 0L) b", "coalesce(f | mf <> f or b | mb <> b, false) new"))
+            drop(state)
+            state = next_
+            if state.filter("new").isEmpty():
                 break
-        inner = e.join(color.select(F.col("id").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("cd")), "dst").filter("cs = cd")
-        back = cut(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        roots = color.filter("id = color").select(F.col("id").alias("root"), "id")
-        found = bfs(back, roots).select(F.col("root").alias("color"), "id")
-        least = found.groupBy("color").agg(F.min("id").alias("component"))
-        named = cut(found.join(least, "color").select("id", "component"))
+        drop(both)
+        # the lowest shared bit names a component within its part
+        hit = state.filter("f & b <> 0").selectExpr("sub", "id", "f & b & -(f & b) as low")
+        names = cut(hit.groupBy("sub", "low").agg(F.min("id").alias("component"), F.count("*").alias("n")))
+        named = cut(matched(hit, names, ["sub", "low"], "n", "id").select("id", "component"))
         done = named if done is None else done.union(named)
-        gone = named.select("id")
-        e = cut(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    return done if done is not None else edges.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+        rest = state.filter("f & b = 0").select("id", F.xxhash64("sub", "f", "b").alias("sub"))
+        e_, old = e.select("src", "dst").join(rest.select(F.col("id").alias("src"), "sub"), "src").join(rest.select(F.col("id").alias("dst"), F.col("sub").alias("other")), "dst").filter("sub = other"), e
+        e = cut(e_.select("sub", "src", "dst"))
+        drop(old)
+        drop(state)
+        e, batch = _trimmed(e, TRIM), batch + 1
+    every = vertices.select("id").distinct()
+    if done is None:
+        return every.select("id", F.col("id").alias("component"))
+    return every.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def sizes(components: DataFrame) -> DataFrame:
@@ -181,18 +190,65 @@ def _blocks(nodes: DataFrame, block: int) -> Iterator[DataFrame]:
         yield nodes if n == 1 else nodes.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
 
 
-def reach_counts(edges: DataFrame, components: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, reach): how many other nodes each node reaches. The closure is taken over components,
-    so a large core costs one node, for some roots at a time."""
-    size = sizes(components)
+def numbered(rows: DataFrame, *order: Column | str, name: str = "no") -> DataFrame:
+    """``rows`` with their place, 1, 2, 3 ..., in ``order``, which must be total. Ranges number
+    themselves; the driver sees one count per range."""
+    n = max(1, -(-rows.count() // ROWS))
+    dealt = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    offset = rows.sparkSession.createDataFrame(list(before.items()), "_part int, _offset long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(offset), "_part").select(*rows.columns, (F.col("_place") + F.col("_offset")).alias(name))
+
+
+def levels(dag: DataFrame) -> list[DataFrame]:
+    """The sources of an acyclic graph's edges by the length of their longest path: those that only
+    lead to sinks, those that only lead to them and sinks, and so on; (id) each."""
+    out, left = [], dag
+    while not left.isEmpty():
+        more = left.select(F.col("src").alias("dst")).distinct()
+        rest = cut(left.join(more, "dst", "left_semi").select("src", "dst"))
+        out.append(cut(left.select(F.col("src").alias("id")).distinct().join(rest.select(F.col("src").alias("id")), "id", "left_anti")))
+        left = rest
+    return out
+
+
+def reach_counts(edges: DataFrame, components: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(id, reach): how many other nodes each node reaches.
+
+    The closure is taken over components, as bitmaps of 32,768 numbered nodes: a component's set is
+    its members' bits together with the sets of the components that it leads to, level by level from the
+    sinks. No row stands for a pair of nodes. ``buckets`` bitmaps a component are held at a time.
+    """
     of = lambda side: components.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     dag = cut(plain(plain(edges).join(of("src"), "src").join(of("dst"), "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))))
-    far = None
-    for roots in _blocks(cut(size.select(F.col("component").alias("id"))), block):
-        found = bfs(dag, roots.select(F.col("id").alias("root"), "id")).select("root", F.col("id").alias("component"))
-        part = cut(found.join(size, "component").groupBy("root").agg(F.sum("size").alias("n")))
-        far = part if far is None else far.union(part)
-    return components.join(far.withColumnRenamed("root", "component"), "component").select("id", (F.col("n") - 1).alias("reach"))
+    size = sizes(components)
+    steps = levels(dag)
+    if not steps:
+        return components.join(size, "component").select("id", (F.col("size") - 1).alias("reach"))
+    bits = numbered(components.select("id").distinct(), "id").join(components, "id")
+    bits = cut(bits.select("component", F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")))
+    last = bits.agg(F.max("bucket")).first()[0]
+    total = None
+    for low in range(1, last + 1, buckets):
+        own = cut(bits.filter(F.col("bucket").between(low, low + buckets - 1)).groupBy("component", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+        sets = own.join(dag.select(F.col("src").alias("component")).distinct(), "component", "left_anti")
+        for k, step in enumerate(steps):
+            here = dag.join(step.withColumnRenamed("id", "src"), "src", "left_semi")
+            far = here.join(sets.withColumnRenamed("component", "dst"), "dst").select(F.col("src").alias("component"), "bucket", "bits")
+            mine = own.join(step.withColumnRenamed("id", "component"), "component", "left_semi")
+            level = cut(far.union(mine).groupBy("component", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+            sets = sets.union(level)
+            if k % 16 == 15:
+                sets = cut(sets)
+        part = cut(sets.groupBy("component").agg(F.sum(F.bitmap_count("bits")).alias("n")))
+        total = part if total is None else total.union(part)
+    far = total.groupBy("component").agg((F.sum("n") - 1).alias("reach"), F.count("*").alias("parts"))
+    far = far.join(size, "component").select("component", "reach", "size")
+    return matched(components, far, ["component"], "size", "id").select("id", "reach")
 
 
 def core(components: DataFrame) -> DataFrame:

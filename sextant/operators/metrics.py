@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.facts import Facts
@@ -46,25 +44,21 @@ def coupling(facts: Facts, types: DataFrame) -> DataFrame:
 
 def cohesion(field_uses: DataFrame) -> DataFrame:
     """A5: (type_id, components, cohesion) from (type_id, method_name, field): methods are
-    connected when they share a field; 1 over the number of components. One task handles a
-    type's uses at a time, which its source bounds."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        up: dict = {}
-
-        def find(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for m, f in zip(group["method_name"], group["field"], strict=True):
-            up[find(("m", m))] = find(("f", f))
-        n = len({find(("m", m)) for m in group["method_name"]})
-        return pd.DataFrame({"type_id": [group["type_id"].iloc[0]], "components": [n], "cohesion": [1.0 / n]})
-
-    rows = field_uses.select("type_id", "method_name", "field").filter("field is not null").distinct()
-    return rows.groupBy("type_id").applyInPandas(run, "type_id long, components long, cohesion double")
+    connected when they share a field; 1 over the number of components. The methods and fields of
+    all types are the nodes of one graph."""
+    uses = cut(field_uses.select("type_id", "method_name", "field").filter("field is not null and method_name is not null and type_id is not null").distinct())
+    ends = uses.select("type_id", F.lit("m").alias("kind"), F.col("method_name").alias("name")).union(uses.select("type_id", F.lit("f"), "field")).distinct()
+    seed = 0
+    while True:  # names of 64 bits, tried until no two nodes share one
+        node = lambda kind, name, seed=seed: F.xxhash64(F.lit(seed), "type_id", F.lit(kind), name)
+        if ends.groupBy(F.xxhash64(F.lit(seed), "type_id", "kind", "name").alias("node")).count().filter("count > 1").isEmpty():
+            break
+        seed += 1
+    links = cut(uses.select("type_id", node("m", "method_name").alias("src"), node("f", "field").alias("dst")))
+    part = graph.connected(links.select("src", "dst")).filter("id = component").select(F.col("id").alias("node"))
+    owner = links.select("type_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    n = owner.join(part, "node").groupBy("type_id").agg(F.count("*").alias("components"))
+    return n.select("type_id", "components", (1 / F.col("components")).alias("cohesion"))
 
 
 def method_complexity(facts: Facts) -> DataFrame:
@@ -119,16 +113,15 @@ def cycles(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def cycle_report(edges: DataFrame, vertices: DataFrame, top: int | None = None) -> DataFrame:
-    """(rank, component, size, share, members) of all cycles or the ``top`` largest, members ascending."""
+    """(rank, component, size, share, id): a row for each member of all cycles or the ``top`` largest."""
     found = cut(graph.scc(edges, vertices))
     best = graph.sizes(found).filter("size > 1")
+    order = F.desc("size"), F.asc("component")
     if top:
-        best = best.orderBy(F.desc("size"), "component").limit(top)
-    total = vertices.agg(F.countDistinct("id").alias("total"))
-    lists = found.join(best.select("component"), "component", "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
-    rows = best.join(lists, "component").join(F.broadcast(total)).withColumn("rank", rank)
-    return rows.select("rank", "component", "size", F.round(F.col("size") / F.col("total"), 6).alias("share"), "members")
+        best = best.orderBy(*order).limit(top)
+    total = F.broadcast(vertices.agg(F.countDistinct("id").alias("total")))
+    ranked = graph.numbered(best, *order, name="rank").join(total).select(F.col("rank").cast("int").alias("rank"), "component", "size", F.round(F.col("size") / F.col("total"), 6).alias("share"))
+    return graph.matched(found, ranked, ["component"], "size", "id").select("rank", "component", "size", "share", "id")
 
 
 def break_points(edges: DataFrame, vertices: DataFrame, top: int = 5) -> DataFrame:

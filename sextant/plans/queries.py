@@ -316,8 +316,8 @@ _SCC = "SELECT id, component FROM comp"
 _REACHED = "SELECT id, (SELECT count(*) FROM hop WHERE a = id AND b <> id) AS reach FROM v"
 _IN_CORE = "SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1)"
 _CYCLES = "SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1"
-_REPORT = """SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, component, size, round(size / (SELECT count(*) FROM v), 6) AS share, members FROM
-    (SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY component HAVING count(*) > 1)"""
+_REPORT = """SELECT rank, component, size, share, id FROM (SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, component, size, round(size / (SELECT count(*) FROM v), 6) AS share FROM
+    (SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1)) JOIN comp USING (component)"""
 #: distances, numbers of shortest paths and betweenness inside the largest component
 _CENTRAL = f"""
 k AS ({_IN_CORE}), ke AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)),
@@ -340,7 +340,7 @@ def scc_leading(spark, sf_dir):
 
 @query(_SCC, f"{_LEADING}, {_REACH}", recursive=True)
 def scc_rounds(spark, sf_dir):
-    return graph.scc(*_graph(spark, sf_dir, True), small=0)
+    return graph.scc(*_graph(spark, sf_dir, True))
 
 
 @query(_REACHED, f"{_EDGES}, {_REACH}", recursive=True)
@@ -377,12 +377,12 @@ def cycles_leading(spark, sf_dir):
 
 @query(_REPORT, f"{_EDGES}, {_REACH}", recursive=True)
 def cycle_report(spark, sf_dir):
-    return metrics.cycle_report(*_graph(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
+    return metrics.cycle_report(*_graph(spark, sf_dir))
 
 
 @query(_REPORT, f"{_LEADING}, {_REACH}", recursive=True)
 def cycle_report_leading(spark, sf_dir):
-    return metrics.cycle_report(*_graph(spark, sf_dir, True)).withColumn("members", F.array_join("members", ","))
+    return metrics.cycle_report(*_graph(spark, sf_dir, True))
 
 
 def _central(spark: SparkSession, sf_dir: str, leading: bool, small: int = graph.SMALL) -> DataFrame:

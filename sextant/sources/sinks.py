@@ -9,7 +9,7 @@ import os
 import time
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import predicates as P
@@ -144,15 +144,25 @@ def downstream(df: DataFrame, symbol: str, limit: int | None = None, style: str
 def cycles(report: DataFrame, n_files: int, points: DataFrame | None = None, style: str = "compact") -> str:
     """All cycles, and the files to break the largest at; the compact form shows ten cycles, or one
     beside suggestions."""
-    rows = report.orderBy("rank")
     found = None if points is None else [r.asDict() for r in points.collect()]
     if style == "json":
-        sccs = [{"rank": r.rank, "size": r.size, "pct_of_codebase": r.share, "files": r.members} for r in rows.toLocalIterator()]
+        sccs = []
+        for r in report.orderBy("rank", "id").toLocalIterator():
+            if not sccs or sccs[-1]["rank"] != r.rank:
+                sccs.append({"rank": r.rank, "size": r.size, "pct_of_codebase": r.share, "files": []})
+            sccs[-1]["files"].append(r.id)
         said = [{"file": p["id"], "betweenness": round(p["betweenness"], 2), "fan_out_in_core": p["fan_out"], "fan_in_in_core": p["fan_in"]} for p in found] if found else None
         return as_json({"command": "cycles", "total_files": n_files, "cycle_count": len(sccs), "sccs": sccs, "suggestions": said}, nulls=True)
-    lines = [f"{report.count()} cycles in {n_files} files"]
-    for r in rows.limit(10 if points is None else 1).collect():
-        lines += ["", f"#{r.rank}: {r.size} files ({r.share:.1%})", *(f"  {x}" for x in r.members[:10]), *([f"  and {r.size - 10} more"] if r.size > 10 else [])]
+    report = report.cache()
+    lines = [f"{report.select('rank').distinct().count()} cycles in {n_files} files"]
+    place = F.row_number().over(Window.partitionBy("rank").orderBy("id"))
+    head = None
+    for r in report.filter(F.col("rank") <= (10 if points is None else 1)).withColumn("place", place).filter("place <= 10").orderBy("rank", "place").collect():
+        if r.rank != head:
+            head = r.rank
+            lines += ["", f"#{r.rank}: {r.size} files ({r.share:.1%})"]
+        lines += [f"  {r.id}", *([f"  and {r.size - 10} more"] if r.place == 10 and r.size > 10 else [])]
+    report.unpersist()
     for k, p in enumerate(found or [], 1):
         lines += [*([""] if k == 1 else []), f"{k}. {p['id']}: betweenness {p['betweenness']:.2f}, fan-out {p['fan_out']}, fan-in {p['fan_in']} in the core; leads to {', '.join(p['sample'] or [])}"]
     return "\n".join(lines)

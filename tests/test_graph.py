@@ -31,16 +31,108 @@ for seed in (1, 2):
     CASES.append((14, sorted({(a, b) for a, b in ((rnd.randrange(14), rnd.randrange(14)) for _ in range(20)) if a != b})))
 
 
+def components(n, edges):
+    """node -> least member of its strongly connected component, by depth-first search twice."""
+    out, back = {v: [] for v in range(n)}, {v: [] for v in range(n)}
+    for a, b in edges:
+        out[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for root in range(n):
+        stack = [(root, iter(out[root]))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                order.append(stack.pop()[0])
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(out[nxt])))
+    name = {}
+    for root in reversed(order):
+        if root not in name:
+            group, todo = {root}, [root]
+            while todo:
+                new = {x for x in back[todo.pop()] if x not in name} - group
+                group |= new
+                todo += new
+            name |= dict.fromkeys(group, min(group))
+    return name
+
+
 @pytest.mark.parametrize("case", range(len(CASES)))
-@pytest.mark.parametrize("small", [G.SMALL, 0])
-def test_components_and_reach(spark, case, small):
+def test_components_and_reach(spark, case):
     n, edges = CASES[case]
     e, v = frames(spark, n, edges)
     far = reach(n, edges)
-    found = G.scc(e, v, small)
-    assert {r.id: r.component for r in found.collect()} == {x: min([x, *(y for y in far[x] if x in far[y])]) for x in range(n)}
-    for block in (G.BLOCK, 3) if small else ():
-        assert {r.id: r.reach for r in G.reach_counts(e, found, block).collect()} == {x: len(far[x] - {x}) for x in range(n)}
+    found = G.scc(e, v)
+    assert {r.id: r.component for r in found.collect()} == components(n, edges) == {x: min([x, *(y for y in far[x] if x in far[y])]) for x in range(n)}
+    assert {r.id: r.reach for r in G.reach_counts(e, found).collect()} == {x: len(far[x] - {x}) for x in range(n)}
+
+
+def test_components_of_many_batches(spark, monkeypatch):
+    """Two pivots a part, one trimmed layer: many batches, parts and rounds; keys of more than five
+    rows are dealt out."""
+    monkeypatch.setattr(G, "SLOTS", 2)
+    monkeypatch.setattr(G, "TRIM", 1)
+    monkeypatch.setattr(G, "HUB", 5)
+    rnd = random.Random(7)
+    n = 90
+    edges = {(k, k + 1 if (k + 1) % 6 else k - 5) for k in range(60)} | {(a, b) for a, b in ((rnd.randrange(n), rnd.randrange(n)) for _ in range(70)) if a < b}
+    e, v = frames(spark, n, sorted(edges))
+    found = G.scc(e, v)
+    want = components(n, edges)
+    assert {r.id: r.component for r in found.collect()} == want and len(set(want.values())) > 20
+    monkeypatch.setattr(G, "ROWS", 25)
+    far = reach(n, edges)
+    assert {r.id: r.reach for r in G.reach_counts(e, found).collect()} == {x: len(far[x] - {x}) for x in range(n)}
+
+
+def test_reach_over_many_bitmaps(spark):
+    """0 -> 1 -> 2 -> a component of all others: three bitmaps, one at a time."""
+    n = 80_000
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
+    found = spark.range(n).selectExpr("id", "least(id, 3L) as component")
+    got = G.reach_counts(e, found, buckets=1).groupBy("reach").agg({"id": "count"}).collect()
+    assert {tuple(r) for r in got} == {(n - 1, 1), (n - 2, 1), (n - 3, 1), (n - 4, n - 3)}
+
+
+def test_connected(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)] + [(7, 7), (200, 200)]
+    name = {x: x for e in edges for x in e}
+    while True:
+        new = dict(name)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == name:
+            break
+        name = new
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.id: r.component for r in G.connected(e).collect()} == name
+    monkeypatch.setattr(G, "HUB", 3)
+    assert {r.id: r.component for r in G.connected(e).collect()} == name
+
+
+@pytest.fixture
+def sixteen(spark):
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_hub_is_dealt_out(spark, sixteen):
+    """A star of a million leaves: its centre is one key, and no task joins more than a small part."""
+    leaves = spark.range(1, 1_000_001).selectExpr("id as src", "0L as dst")
+    table = leaves.groupBy("dst").agg({"src": "count"}).toDF("dst", "n")
+    parts = G.matched(leaves, table, ["dst"], "n", "src").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    assert len(parts) > 4 and sum(r["count"] for r in parts) == 1_000_000 and max(r["count"] for r in parts) < 500_000
+    assert G.connected(leaves).filter("component <> 0").isEmpty()
 
 
 def brandes(nodes, edges):
