@@ -204,6 +204,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0
     tiles = max(-(-n // most), min(spark.sparkContext.defaultParallelism, -(-n // (4 * BLOCK))), 1)
     dealt = rows.repartitionByRange(tiles, "vec_id").sortWithinPartitions("vec_id").select(F.spark_partition_id().alias("tile"), "vec_id", "embedding")
     blocks = cut(dealt.mapInArrow(_packed(every, scale), _BLOCKS))
+    ranges = blocks.agg(F.max("tile")).first()[0]
+    ranges = 0 if ranges is None else ranges + 1
+    if ranges > tiles:  # successive ranges together make a tile
+        blocks = blocks.withColumn("tile", F.expr(f"cast(tile * {tiles}L div {ranges} as int)"))
     found = cut(blocks.groupBy("tile").applyInArrow(_home(k), _FOUND_SQL))
 
     # groups of queries by their tiles, of about ``most`` queries
