@@ -17,6 +17,8 @@ from sextant.functions import text as T
 from sextant.operators import audits, graph, lookups, metrics, surface, tables
 from sextant.operators.resolve import one, resolve, suggest
 from sextant.plans import star
+from sextant.plans.snapshots import Snapshots
+from sextant.plans.store import shared_folder
 from sextant.streaming.usage import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +475,19 @@ def coupling(spark, sf_dir):
     return metrics.coupling(f, f.types.filter("kind <> 'interface'")).withColumn("instability", F.round("instability", 6))
 
 
+@query("SELECT type_id, ce, ca, CASE WHEN ce + ca = 0 THEN 0.0 ELSE round(ce / (ce + ca), 6) END AS instability FROM cpl", f"{_PRE}, {_EDGES}, {_USES}")
+def coupling_followed(spark, sf_dir):
+    """Coupling over a snapshot that takes all line items in three batches, one of them twice."""
+    t = star.tables(spark, sf_dir)
+    store = Snapshots(spark, shared_folder(spark), star.stored_schemas(t))
+    star.created(store, t)
+    build, part = star.order_changes(store, t), F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3))
+    for k in (0, 1, 1, 2):
+        store.apply(f"lines-{k}", *build(t["lineitem"].filter(part == k)))
+    f = star.stored_facts(store)
+    return metrics.coupling(f, f.types.filter("kind <> 'interface'")).withColumn("instability", F.round("instability", 6))
+
+
 _PARTS = f"""
 ou AS (SELECT DISTINCT o_custkey AS c, l_orderkey AS o, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 oo AS (SELECT DISTINCT x.c, x.o AS a, y.o AS b FROM ou x JOIN ou y ON x.c = y.c AND x.s = y.s),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.facts import SCHEMAS, Facts
+from sextant.plans.store import cut
 
 #: first id of each kind of symbol
 REGION, NATION, SUPPLIER, CUSTOMER, ORDER, SHIP, FIELD = (k * 1_000_000_000_000 for k in range(1, 8))
@@ -30,7 +31,8 @@ def _shaped(df: DataFrame, name: str) -> DataFrame:
     """Columns in the order and with the types of the schema; those not given are null."""
     want = [c.rsplit(" ", 1) if "<" not in c else c.split(" ", 1) for c in SCHEMAS[name].split(", ")]
     have = set(df.columns)
-    return df.selectExpr(*(f"cast({c} as {t}) {c}" if c in have else f"cast(null as {t}) {c}" for c, t in want))
+    key = "cast(_key as bigint) _key" if "_key" in have else "-1L _key"
+    return df.selectExpr(key, *(f"cast({c} as {t}) {c}" if c in have else f"cast(null as {t}) {c}" for c, t in want))
 
 
 def lines(t: dict[str, DataFrame]) -> DataFrame:
@@ -60,7 +62,12 @@ def leading_edges(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
-    t = tables(spark, sf_dir)
+    return Facts(**{n: df.drop("_key") for n, df in keyed_facts(tables(spark, sf_dir)).items()})
+
+
+def keyed_facts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The fact tables by name, each row with the order that it stems from (``_key``; -1 for those of
+    the other tables)."""
     li = lines(t)
     nation = t["nation"].join(t["region"], t["nation"]["n_regionkey"] == t["region"]["r_regionkey"])
     supplier = t["supplier"].join(nation, t["supplier"]["s_nationkey"] == nation["n_nationkey"])
@@ -88,20 +95,20 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
         f"{ORDER} + o_orderkey member_id", f"{CUSTOMER} + o_custkey type_id", "if(o_orderpriority = '1-URGENT', 'constructor', 'method') kind", "concat('Order', o_orderkey) name", f"concat({ns}, '.', c_name, '.Order', o_orderkey) display",
         "concat('Order', o_orderkey, '() -> ', o_orderpriority) signature", "o_orderpriority value_type", "false is_implicit", "o_orderpriority = '5-LOW' and o_orderstatus = 'P' is_accessor", "true has_body", "cast(1 + coalesce(n_large, 0) as int) cyclomatic", "cast(coalesce(n_lines, 0) as int) n_calls",
         "o_totalprice > 400000 multi_init", "case o_orderstatus when 'F' then 'public' when 'O' then 'private' else 'internal' end accessibility", "o_totalprice > 300000 is_static", "false is_abstract", "o_totalprice < 50000 is_virtual", "false is_override", "false is_sealed", "false is_readonly",
-        "concat('Web/', c_name, '.cs') path", "cast(o_orderkey as int) line", "1 col", "concat('Order', o_orderkey) context", "o_orderkey ord",
+        "concat('Web/', c_name, '.cs') path", "cast(o_orderkey as int) line", "1 col", "concat('Order', o_orderkey) context", "o_orderkey ord", "o_orderkey _key",
     )
     held = "stack(2, 0, '_db', if(c_acctbal >= 0, 'AppDbContext', 'int'), 1, '_cache', if(c_mktsegment in ('AUTOMOBILE', 'FURNITURE'), 'IMemoryCache', 'string')) as (k, name, value_type)"
     fields = customer.selectExpr("*", held).selectExpr(f"{FIELD} + c_custkey * 2 + k member_id", f"{CUSTOMER} + c_custkey type_id", "'field' kind", "name", "concat(c_name, '.', name) display", "false is_implicit", "false is_accessor", "false has_body", "'private' accessibility", "k = 1 is_readonly", "false is_static", "concat('Web/', c_name, '.cs') path", "cast(k + 1 as int) line", "5 col", "name context", "value_type", "cast(k as bigint) ord")
     ships = supplier.selectExpr(f"{SHIP} + s_suppkey member_id", f"{SUPPLIER} + s_suppkey type_id", "'method' kind", "'Ship' name", f"concat({ns}, '.', s_name, '.Ship') display", "'Ship()' signature", "'void' value_type", "false is_implicit", "false is_accessor", "true has_body", "1 cyclomatic", "'public' accessibility", "concat('Services/', s_name, '.cs') path", "2 line", "1 col", "'Ship' context", f"{SHIP} + s_suppkey ord")
     members = _shaped(methods, "members").union(_shaped(fields, "members")).union(_shaped(ships, "members"))
 
-    params = li.selectExpr("order_id member_id", "cast(l_linenumber as int) ordinal", "concat('p', l_returnflag, l_linestatus) name", "case when l_linenumber = 7 then 'AppDbContext' else s_name end type_display", "if(l_returnflag = 'R', 'interface', 'class') type_kind", f"case when l_linenumber <> 7 then {SUPPLIER} + l_suppkey end declared_id", "path", "line", "col", "context", "ord")
-    refs = li.selectExpr(f"{SUPPLIER} + l_suppkey target_id", "'type' target_kind", "containing", "case l_returnflag when 'A' then array('block', 'parameter', 'method') when 'N' then array('field', 'type') else array('argument', 'new', 'method') end kinds", f"{ns} namespace", "l_linestatus = 'O' in_type", "path", "line", "col", "context", "ord")
+    params = li.selectExpr("l_orderkey _key", "order_id member_id", "cast(l_linenumber as int) ordinal", "concat('p', l_returnflag, l_linestatus) name", "case when l_linenumber = 7 then 'AppDbContext' else s_name end type_display", "if(l_returnflag = 'R', 'interface', 'class') type_kind", f"case when l_linenumber <> 7 then {SUPPLIER} + l_suppkey end declared_id", "path", "line", "col", "context", "ord")
+    refs = li.selectExpr("l_orderkey _key", f"{SUPPLIER} + l_suppkey target_id", "'type' target_kind", "containing", "case l_returnflag when 'A' then array('block', 'parameter', 'method') when 'N' then array('field', 'type') else array('argument', 'new', 'method') end kinds", f"{ns} namespace", "l_linestatus = 'O' in_type", "path", "line", "col", "context", "ord")
     edges = supplier_edges(t).join(t["supplier"].selectExpr("s_suppkey src", "s_name src_name"), "src")
-    calls = edges.selectExpr("ord call_id", f"{SHIP} + src caller_id", f"{SHIP} + dst callee_id", "'member' form", "'Ship' name", "concat(src_name, '.Ship') containing", "concat('Services/', src_name, '.cs') path", "cast(l_orderkey as int) line", "l_linenumber col", "concat('line ', l_linenumber) context", "ord")
+    calls = edges.selectExpr("l_orderkey _key", "ord call_id", f"{SHIP} + src caller_id", f"{SHIP} + dst callee_id", "'member' form", "'Ship' name", "concat(src_name, '.Ship') containing", "concat('Services/', src_name, '.cs') path", "cast(l_orderkey as int) line", "l_linenumber col", "concat('line ', l_linenumber) context", "ord")
     least = t["orders"].groupBy("o_custkey").agg({"o_orderkey": "min"}).withColumnRenamed("min(o_orderkey)", "first_order").withColumnRenamed("o_custkey", "k")
     body = li.join(least, li["o_custkey"] == least["k"]).selectExpr(
-        "ord call_id", "order_id caller_id", f"case l_linenumber when 1 then {ORDER} + first_order when 7 then {SHIP} + l_suppkey end callee_id", "if(l_linenumber = 1, 'bare', 'member') form",
+        "l_orderkey _key", "ord call_id", "order_id caller_id", f"case l_linenumber when 1 then {ORDER} + first_order when 7 then {SHIP} + l_suppkey end callee_id", "if(l_linenumber = 1, 'bare', 'member') form",
         "case l_linenumber when 1 then concat('Order', first_order) when 2 then 'SaveChangesAsync' when 3 then 'Remove' when 4 then 'ExecuteDeleteAsync' when 5 then 'HasDefaultValue' when 6 then if(l_returnflag = 'A', 'HasConversion', 'Where') else 'Ship' end name",
         "case l_linenumber when 2 then '_db' when 3 then if(l_returnflag = 'A', '_cache', 'set') when 4 then 'set' when 7 then '_repo' end receiver",
         "case l_linenumber when 2 then 'AppDbContext' when 3 then if(l_returnflag = 'A', 'IMemoryCache', concat('DbSet<', p_brand, '>')) when 7 then if(l_returnflag = 'N', 'BrandService', 'BrandRepository') end receiver_type",
@@ -109,19 +116,19 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
         "if(l_linenumber = 6 and l_returnflag = 'A', array('string'), array()) type_args", "if(l_linenumber = 5, array('number'), array()) arg_kinds", "if(l_linenumber = 5, array(if(l_discount = 0, '0', '5')), array()) arg_texts", "l_linenumber = 6 and l_linestatus = 'O' lambda_interp",
         "if(l_linenumber = 4, concat('DbSet<', p_brand, '>'), null) chain_root_type", "containing", "path", "line", "col", "context", "ord",
     )
-    accesses = li.selectExpr("customer_id type_id", "order_id method_id", "'_db' receiver", "'AppDbContext' receiver_type", "l_linestatus = 'O' receiver_member", "p_brand table_name", "'DbSet' member_type", "case l_returnflag when 'R' then array('Where', 'Remove') when 'A' then array('ToList') else array() end links", "path", "line", "col", "context", "ord")
-    assigns = li.filter("l_linenumber = 2").selectExpr("order_id method_id", "p_brand receiver_type", "l_returnflag = 'A' in_add_init", "'x' target", "path", "line", "col", "context", "ord")
-    attrs = t["orders"].selectExpr(f"{ORDER} + o_orderkey owner_id", "case o_orderpriority when '2-HIGH' then 'HttpPost' when '3-MEDIUM' then 'HttpPutAttribute' when '4-NOT SPECIFIED' then 'HttpGet' when '5-LOW' then 'Mvc.HttpDelete' else 'Obsolete' end name")
-    attrs = attrs.union(t["orders"].filter("o_totalprice > 300000").selectExpr(f"{ORDER} + o_orderkey", "'ValidateAntiForgeryToken'"))
-    attrs = attrs.union(t["customer"].selectExpr(f"{CUSTOMER} + c_custkey", "case c_mktsegment when 'MACHINERY' then 'Authorize' when 'HOUSEHOLD' then 'Obsolete' else 'ApiController' end"))
-    type_uses = li.selectExpr("customer_id type_id", "order_id member_id", "'param' role", f"{SUPPLIER} + l_suppkey used_id").union(edges.selectExpr(f"{SUPPLIER} + src", f"{SHIP} + src", "'return'", f"{SUPPLIER} + dst"))
-    field_uses = li.selectExpr("customer_id type_id", "concat('Order', l_orderkey) method_name", "concat('s', l_suppkey) field")
+    accesses = li.selectExpr("l_orderkey _key", "customer_id type_id", "order_id method_id", "'_db' receiver", "'AppDbContext' receiver_type", "l_linestatus = 'O' receiver_member", "p_brand table_name", "'DbSet' member_type", "case l_returnflag when 'R' then array('Where', 'Remove') when 'A' then array('ToList') else array() end links", "path", "line", "col", "context", "ord")
+    assigns = li.filter("l_linenumber = 2").selectExpr("l_orderkey _key", "order_id method_id", "p_brand receiver_type", "l_returnflag = 'A' in_add_init", "'x' target", "path", "line", "col", "context", "ord")
+    attrs = t["orders"].selectExpr("o_orderkey _key", f"{ORDER} + o_orderkey owner_id", "case o_orderpriority when '2-HIGH' then 'HttpPost' when '3-MEDIUM' then 'HttpPutAttribute' when '4-NOT SPECIFIED' then 'HttpGet' when '5-LOW' then 'Mvc.HttpDelete' else 'Obsolete' end name")
+    attrs = attrs.union(t["orders"].filter("o_totalprice > 300000").selectExpr("o_orderkey", f"{ORDER} + o_orderkey", "'ValidateAntiForgeryToken'"))
+    attrs = attrs.union(t["customer"].selectExpr("-1L", f"{CUSTOMER} + c_custkey", "case c_mktsegment when 'MACHINERY' then 'Authorize' when 'HOUSEHOLD' then 'Obsolete' else 'ApiController' end"))
+    type_uses = li.selectExpr("l_orderkey _key", "customer_id type_id", "order_id member_id", "'param' role", f"{SUPPLIER} + l_suppkey used_id").union(edges.selectExpr("l_orderkey", f"{SUPPLIER} + src", f"{SHIP} + src", "'return'", f"{SUPPLIER} + dst"))
+    field_uses = li.selectExpr("l_orderkey _key", "customer_id type_id", "concat('Order', l_orderkey) method_name", "concat('s', l_suppkey) field")
     files = t["supplier"].selectExpr("'Services' project", "1 project_ord", "cast(s_suppkey as int) file_ord", "concat('Services/', s_name, '.cs') path", "'' text", "cast(abs(s_acctbal) as int) loc")
     given = {
         "files": files, "types": types, "members": members, "params": params, "bases": bases, "type_uses": type_uses, "attrs": attrs, "refs": refs,
         "calls": _shaped(calls, "calls").union(_shaped(body, "calls")), "accesses": accesses, "assigns": assigns, "field_uses": field_uses,
     }
-    return Facts(**{n: _shaped(df, n) for n, df in given.items()})
+    return {n: _shaped(df, n) for n, df in given.items()}
 
 
 def _split(text: str) -> list[str]:
@@ -133,3 +140,37 @@ def _split(text: str) -> list[str]:
             out.append(text[at:i])
             at = i + 1
     return [*out, text[at:]]
+
+
+#: what a snapshot of the star facts stores: the line items themselves, and every fact table
+def stored_schemas(t: dict[str, DataFrame]) -> dict[str, str]:
+    return {"lineitem": ", ".join(f"{c} {k}" for c, k in t["lineitem"].dtypes), **SCHEMAS}
+
+
+def created(store, t: dict[str, DataFrame]) -> int:
+    """The first version: all facts that stem from other tables than line items."""
+    none = keyed_facts({**t, "lineitem": t["lineitem"].limit(0)})
+    keys = t["orders"].select(F.col("o_orderkey").cast("long").alias("_key")).union(store.spark.range(1).selectExpr("-1L"))
+    return store.apply("created", keys, none)
+
+
+def order_changes(store, t: dict[str, DataFrame]):
+    """For ``Snapshots.follow``: the orders that a batch of line items touches, and their facts from all
+    their line items, old and new. A line that comes again takes the old one's place."""
+
+    def build(batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+        same = [c for c in batch.columns if c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        changed = cut(batch.select(F.col("l_orderkey").cast("long").alias("_key")).distinct())
+        key = F.col("l_orderkey").cast("long")
+        old = store.read("lineitem").join(changed, "_key", "left_semi").drop("_key").join(batch.select(*same).distinct(), same, "left_anti")
+        lines_now = cut(old.unionByName(batch).withColumn("_key", key))
+        rows = keyed_facts({**t, "lineitem": lines_now.drop("_key")})
+        facts_now = {n: df.join(changed, "_key", "left_semi") for n, df in rows.items() if n not in ("files", "types", "bases")}
+        return changed, {"lineitem": lines_now, **facts_now}
+
+    return build
+
+
+def stored_facts(store, version: int | None = None) -> Facts:
+    version = store.version() if version is None else version
+    return Facts(**{n: store.read(n, version).drop("_key") for n in SCHEMAS})
