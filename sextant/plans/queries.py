@@ -479,7 +479,7 @@ def coupling(spark, sf_dir):
 def coupling_followed(spark, sf_dir):
     """Coupling over a snapshot that takes all line items in three batches, one of them twice."""
     t = star.tables(spark, sf_dir)
-    store = Snapshots(spark, shared_folder(spark), star.stored_schemas(t))
+    store = Snapshots(spark, shared_folder(spark), star.stored_schemas(t), buckets=4)
     star.created(store, t)
     build, part = star.order_changes(store, t), F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3))
     for k in (0, 1, 1, 2):

@@ -10,6 +10,7 @@ the batch that made them, so a batch that is delivered twice changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -66,15 +67,21 @@ class Snapshots:
         new, folders = old + 1, self._folders(old)
         changed = changed.select(F.col("_key").cast(self.key)).distinct()
         hit = sorted(r.bucket for r in changed.select(self._bucket().alias("bucket")).distinct().collect())  # at most ``buckets``
-        for table, delta in deltas.items():
+
+        def written(table: str, delta: DataFrame) -> set[int]:
             names = [c.split()[0] for c in self._open(table, []).columns]
             kept = self._open(table, [folders[table, b] for b in hit if (table, b) in folders]).join(changed, "_key", "left_anti")
             rows = kept.select(*names).unionByName(delta.withColumn("_key", F.col("_key").cast(self.key)).select(*names)).withColumn("bucket", self._bucket())
-            rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.root}/{table}/v{new:012d}")
-            full = {r.bucket for r in self.spark.read.parquet(f"{self.root}/{table}/v{new:012d}").select("bucket").distinct().collect()} if not rows.isEmpty() else set()
+            to = f"{self.root}/{table}/v{new:012d}"
+            rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(to)
+            return {r.bucket for r in self.spark.read.schema(f"_key {self.key}, bucket int").parquet(to).select("bucket").distinct().collect()}
+
+        with ThreadPoolExecutor(4) as pool:  # tables are independent jobs
+            full = dict(zip(deltas, pool.map(written, deltas, deltas.values()), strict=True))
+        for table in deltas:
             for b in hit:
                 folders.pop((table, b), None)
-                if b in full:
+                if b in full[table]:
                     folders[table, b] = f"{table}/v{new:012d}/bucket={b}"
         lines = [(new, batch, t, b, f) for (t, b), f in sorted(folders.items())] or [(new, batch, None, None, None)]
         self.spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
