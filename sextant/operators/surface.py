@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sextant.facts import Facts
 from sextant.functions import predicates as P
 from sextant.functions.text import dependency_name
-from sextant.operators.graph import bfs
+from sextant.operators.graph import bfs, levels, plain, scc
 from sextant.operators.lookups import overriding
 from sextant.operators.resolve import first_of
 from sextant.operators.tables import context_types, is_context_type
@@ -108,19 +108,84 @@ def audit_downstream(facts: Facts, type_id: int) -> DataFrame:
     effects = cut(dbset_effects(facts, touching))
     direct = inlined.join(effects.withColumnRenamed("member_id", "caller_id"), "caller_id").select("member_id", "table_name", F.lit(None).cast("string").alias("via"), "is_write")
     hop = repo.join(targets, "callee_id").join(effects.withColumnRenamed("member_id", "body_id"), "body_id").select("member_id", "table_name", F.col("name").alias("via"), "is_write")
-    all_ = direct.union(hop)
-    once = all_.groupBy("member_id", "table_name", "via").agg(F.bool_or("is_write").alias("is_write"))
+    reads, writes = _touched(direct.union(hop))
+    calls = classified_calls(facts, targets.select(F.col("body_id").alias("caller_id")).distinct(), contexts)
+    inner = calls.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select(F.col("caller_id").alias("body_id"), dependency_name(F.col("receiver"), F.col("name")).alias("label"))
+    untraced = repo.join(targets, "callee_id").join(inner, "body_id").groupBy("member_id").agg(F.array_sort(F.collect_set("label")).alias("untraced"))
+    return _listed(methods, named, reads, writes, untraced, external).select("name", "calls", "reads", "writes", "untraced", "external", "ord")
+
+
+def downstream_of_all(facts: Facts) -> DataFrame:
+    """Q22 for every class and record at once: type_id, member_id and the columns of
+    ``audit_downstream``.
+
+    What a helper reaches is summed up once, bottom-up: over the condensation of the graph of all
+    helper calls, a component's effects are its members' own and those of the components that it calls.
+    Methods take the summary of their component, so a helper that many methods share is a set of
+    effects and not a row for each of them and each of its calls.
+    """
+    classes = facts.types.filter(F.col("kind").isin("class", "record")).select("type_id").distinct()
+    own = cut(facts.members.join(classes, "type_id", "left_semi").select(F.col("member_id").alias("caller_id"), "type_id", "kind", "is_implicit", "name", "ord"))
+    contexts = cut(context_types(facts))
+    mine = cut(classified_calls(facts, own.select("caller_id").distinct(), contexts))
+    helper = mine.filter("class = 'helper' and callee_id is not null").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).distinct()
+    of = lambda side: own.select(F.col("caller_id").alias(side), F.col("type_id").alias(f"t_{side}"))
+    helper = cut(helper.join(of("src"), "src").join(of("dst"), "dst").filter("t_src = t_dst").select("src", "dst"))
+
+    # the effects of a body of its own: labels, external calls, calls of repositories, tables
+    label = F.when(F.col("class") == "helper", F.concat("name", F.lit(" (private)"))).when(F.col("class") == "dependency", dependency_name(F.col("receiver"), F.col("name")))
+    effect = lambda kind, text, callee=F.lit(None), write=F.lit(None): (F.lit(kind).alias("kind"), text.alias("text"), callee.cast("long").alias("callee_id"), write.cast("boolean").alias("is_write"))
+    text = mine.filter("class in ('helper', 'dependency')").select("caller_id", *effect("call", label))
+    external = mine.filter("class = 'external'").select("caller_id", *effect("external", F.concat_ws(".", "owner_name", "name")))
+    repo = mine.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select("caller_id", *effect("repo", F.col("name"), F.col("callee_id")))
+    tables = dbset_effects(facts, own.select(F.col("caller_id").alias("method_id")).distinct())
+    tables = tables.select(F.col("member_id").alias("caller_id"), *effect("table", F.col("table_name"), write=F.col("is_write")))
+    bodies = text.union(external).union(repo).union(tables)
+
+    found = cut(scc(helper, own.select(F.col("caller_id").alias("id"))))
+    part = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+    dag = cut(plain(helper.join(part("src"), "src").join(part("dst"), "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))))
+    what = ["kind", "text", "callee_id", "is_write"]
+    base = cut(bodies.join(found.withColumnRenamed("id", "caller_id"), "caller_id").select("component", *what).distinct())
+    summary = base.join(dag.select(F.col("src").alias("component")).distinct(), "component", "left_anti")
+    for k, step in enumerate(levels(dag)):
+        below = dag.join(step.withColumnRenamed("id", "src"), "src", "left_semi").join(summary.withColumnRenamed("component", "dst"), "dst").select(F.col("src").alias("component"), *what)
+        at = base.join(step.withColumnRenamed("id", "component"), "component", "left_semi")
+        summary = summary.union(cut(below.union(at).distinct()))
+        if k % 16 == 15:
+            summary = cut(summary)
+
+    methods = own.filter("kind = 'method' and not is_implicit").select("type_id", F.col("caller_id").alias("member_id"), "name", "ord")
+    reached = cut(methods.select("member_id").distinct().join(found.withColumnRenamed("id", "member_id"), "member_id").join(summary, "component").select("member_id", *what))
+    calls = cut(reached.filter("kind = 'repo'").select("member_id", "callee_id", F.col("text").alias("name")))
+    targets = cut(_bodies(facts, calls.select("callee_id").distinct()))
+    hops = dbset_effects(facts, targets.select(F.col("body_id").alias("method_id")).distinct()).withColumnRenamed("member_id", "body_id")
+    direct = reached.filter("kind = 'table'").select("member_id", F.col("text").alias("table_name"), F.lit(None).cast("string").alias("via"), "is_write")
+    hop = calls.join(targets, "callee_id").join(hops, "body_id").select("member_id", "table_name", F.col("name").alias("via"), "is_write")
+    inner = classified_calls(facts, targets.select(F.col("body_id").alias("caller_id")).distinct(), contexts)
+    inner = inner.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select(F.col("caller_id").alias("body_id"), dependency_name(F.col("receiver"), F.col("name")).alias("label"))
+    untraced = calls.join(targets, "callee_id").join(inner, "body_id").groupBy("member_id").agg(F.array_sort(F.collect_set("label")).alias("untraced"))
+    named = reached.groupBy("member_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("text")))).alias(c) for k, c in (("call", "calls"), ("external", "external"))))
+    return _listed(methods, named, *_touched(direct.union(hop)), untraced).select("type_id", "member_id", "name", "calls", "reads", "writes", "untraced", "external", "ord")
+
+
+def _touched(effects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(member_id, reads) and (member_id, writes) from (member_id, table_name, via, is_write)."""
+    once = effects.groupBy("member_id", "table_name", "via").agg(F.bool_or("is_write").alias("is_write"))
     written = once.filter("is_write").select("member_id", "table_name").distinct()
     pair = F.struct("table_name", "via")
     writes = once.filter("is_write").groupBy("member_id").agg(F.array_sort(F.collect_set(pair)).alias("writes"))
     reads = once.filter("not is_write").join(written, ["member_id", "table_name"], "left_anti").groupBy("member_id").agg(F.array_sort(F.collect_set(pair)).alias("reads"))
-    calls = classified_calls(facts, targets.select(F.col("body_id").alias("caller_id")).distinct(), contexts)
-    inner = calls.filter("class = 'dependency'").filter(P.is_repository_like(F.col("receiver_type"))).select(F.col("caller_id").alias("body_id"), dependency_name(F.col("receiver"), F.col("name")).alias("label"))
-    untraced = repo.join(targets, "callee_id").join(inner, "body_id").groupBy("member_id").agg(F.array_sort(F.collect_set("label")).alias("untraced"))
+    return reads, writes
+
+
+def _listed(methods: DataFrame, *parts: DataFrame) -> DataFrame:
+    """All methods with the lists of ``parts``; an empty list is null."""
     out = methods
-    for part in (named, reads, writes, untraced, external):
-        out = out.join(part, "member_id", "left")
-    return out.select("name", "calls", "reads", "writes", "untraced", "external", "ord")
+    for part in parts:
+        lists = [c for c in part.columns if c != "member_id"]
+        out = out.join(part.select("member_id", *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in lists)), "member_id", "left")
+    return out
 
 
 def _bodies(facts: Facts, callees: DataFrame) -> DataFrame:

@@ -306,6 +306,26 @@ def audit_downstream(spark, sf_dir):
     return surface.audit_downstream(f, _id(f, CUSTOMER, "type")).select("name", joined("calls"), joined("external"), touched("writes"), touched("reads"), joined("untraced"))
 
 
+@query(
+    f"""SELECT {star.CUSTOMER} + c AS type_id, 'Order' || r.root AS name, coalesce(calls, '') AS calls, coalesce(external, '') AS external, coalesce(writes, '') AS writes, coalesce(reads, '') AS reads, '' AS untraced
+    FROM (SELECT o_orderkey AS root, o_custkey AS c FROM orders WHERE o_orderpriority <> '1-URGENT') r LEFT JOIN text ON text.root = r.root LEFT JOIN tab ON tab.root = r.root
+    UNION ALL SELECT {star.SUPPLIER} + s_suppkey, 'Ship', '', '', '', '', '' FROM supplier""",
+    f"""{_PRE},
+    heads AS (SELECT o_custkey, min(o_orderkey) AS head FROM orders GROUP BY 1),
+    body AS (SELECT o_orderkey AS root, o_orderkey AS id, head FROM orders JOIN heads USING (o_custkey) UNION SELECT o_orderkey, head, head FROM orders JOIN heads USING (o_custkey) JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1),
+    named AS (SELECT root, l_linenumber AS n, l_returnflag AS flag, CASE l_linenumber WHEN 3 THEN 'Remove' WHEN 4 THEN 'ExecuteDeleteAsync' WHEN 5 THEN 'HasDefaultValue' WHEN 6 THEN CASE WHEN l_returnflag = 'A' THEN 'HasConversion' ELSE 'Where' END END AS callee,
+              CASE WHEN l_linenumber = 1 THEN 'Order' || head || ' (private)' WHEN l_linenumber = 3 AND l_returnflag = 'A' THEN '_cache.Remove' WHEN l_linenumber = 7 THEN '_repo.Ship' END AS label FROM body JOIN lineitem ON l_orderkey = id),
+    text AS (SELECT root, string_agg(DISTINCT label, ',' ORDER BY label) AS calls, string_agg(DISTINCT CASE WHEN flag = 'R' AND n IN (3, 4, 5, 6) THEN 'File.' || callee END, ',' ORDER BY CASE WHEN flag = 'R' AND n IN (3, 4, 5, 6) THEN 'File.' || callee END) AS external FROM named GROUP BY root),
+    saved AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 2),
+    eff AS (SELECT root, p_brand, bool_or(l_returnflag = 'R' OR k IS NOT NULL) AS w FROM body JOIN lineitem ON l_orderkey = id JOIN part ON l_partkey = p_partkey LEFT JOIN saved ON k = id GROUP BY root, p_brand),
+    tab AS (SELECT root, string_agg(CASE WHEN w THEN p_brand END, ',' ORDER BY p_brand) AS writes, string_agg(CASE WHEN NOT w THEN p_brand END, ',' ORDER BY p_brand) AS reads FROM eff GROUP BY root)""",
+)
+def audit_downstream_all(spark, sf_dir):
+    joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    touched = lambda c: F.coalesce(F.array_join(F.array_distinct(F.transform(c, lambda x: T.via(x["table_name"], x["via"]))), ","), F.lit("")).alias(c)
+    return surface.downstream_of_all(_facts(spark, sf_dir)).select("type_id", "name", joined("calls"), joined("external"), touched("writes"), touched("reads"), joined("untraced"))
+
+
 # graphs
 
 

@@ -47,6 +47,9 @@ public class Pages
     public User ByName(string name) { return _store.Get(name); }
     public int All() { return _repository.Count(); }
     public User Home(int id) { return this.ById(id); }
+    public int Even(int n) { return Odd(n) + All(); }
+    public int Odd(int n) { return Even(n); }
+    public int Both() { Home(1); return Odd(2); }
     public bool Flag(System.String text, Int32 n) { if (text == null || n > 1) { return true; } return false; }
 }
 """
@@ -80,6 +83,21 @@ def method(facts, type_name, name, shape):
     return next(r.member_id for r in rows if f"({shape})" in r.signature)
 
 
+def test_downstream_of_all_classes(facts):
+    """Class by class the same, helpers that call each other and shared ones included."""
+    every = surface.downstream_of_all(facts).collect()
+    seen = 0
+    for t in facts.types.filter("kind in ('class', 'record')").select("type_id").distinct().collect():
+        one_class = surface.audit_downstream(facts, t.type_id)
+        want = sorted(map(repr, one_class.collect()))
+        assert sorted(repr(r) for r in (type(r)(**{c: r[c] for c in one_class.columns}) for r in every if r.type_id == t.type_id)) == want
+        seen += len(want)
+    assert seen == len(every)
+    pages = {r.name: r for r in every}
+    assert pages["Both"].calls == sorted({*pages["Odd"].calls, "Home (private)"})
+    assert [x.table_name for x in pages["Odd"].reads] == ["Users"]
+
+
 def test_overloads_and_middle_class(facts):
     pairs = {(r.base, r.id) for r in lookups.overriding(facts).collect()}
     name = lambda t, shape, n="Get": method(facts, t, n, shape)
