@@ -106,18 +106,19 @@ def canonical(text):
 
 def plain_hit(doc, item, window=10):
     d, b = canonical(doc), canonical(item)
-    size = min(window, len(b))
-    for q in range(len(b) - size + 1):
-        y = b[q : q + size]
-        for p in range(len(d) - size + 1):
-            x = d[p : p + size]
-            if [v for _, v in x] == [v for _, v in y]:
-                return True
-            if 2 * sum(k == 0 for k, _ in y) < size or any(j != k or (j == 0 and v != w) for (j, v), (k, w) in zip(x, y)):
-                continue
-            pairs = {(k, v, w) for (k, v), (_, w) in zip(x, y) if k}
-            if len({(k, v) for k, v, _ in pairs}) == len({(k, w) for k, _, w in pairs}) == len(pairs):
-                return True
+    for size in {min(window, len(b)), min(2 * window, len(b))}:
+        for y in (b[q : q + size] for q in range(len(b) - size + 1)):
+            own = sum(k == 0 for k, _ in y)
+            enough = 2 * own >= size if size == window else own >= min(2, (size + 1) // 2) if size < window else own >= 2 and 2 * own < size
+            for p in range(len(d) - size + 1):
+                x = d[p : p + size]
+                if size <= window and [v for _, v in x] == [v for _, v in y]:
+                    return True
+                if not enough or any(j != k or (j == 0 and v != w) for (j, v), (k, w) in zip(x, y)):
+                    continue
+                pairs = {(k, v, w) for (k, v), (_, w) in zip(x, y) if k}
+                if len({(k, v) for k, v, _ in pairs}) == len({(k, w) for k, _, w in pairs}) == len(pairs):
+                    return True
     return False
 
 
@@ -155,3 +156,38 @@ def test_frame_shared_by_thousands_of_items(spark):
     got = run(spark, docs, items)
     assert sum(not kept for _, kept in got.values()) == 200 and got[900] == ([], True)
     assert all(1 <= len(ids) <= 20 for i, (ids, kept) in got.items() if not kept)
+
+
+def test_slot_heavy_item_with_new_values(spark):
+    items = [(1, "Add 3 km and 4 km and 5 km then 6 km total"), (2, "Take 1 m then 2 m")]
+    docs = [
+        (1, "Add 13 km and 14 km and 15 km then 16 km total"), (2, "Add 13 km and 13 km and 15 km then 16 km total"), (3, "see: take 8 days then 9 days."),
+        (4, "Add 13 km and 14 km and 15 km plus 16 km in all"), (5, "take 8 m then 8 m"), (6, "13 km 14 km 15 km 16 km 17 km 18 km"),
+    ]
+    assert {i: ids for i, (ids, _) in run(spark, docs, items).items()} == {1: [1], 2: [], 3: [2], 4: [], 5: [], 6: []}
+
+
+def test_shared_frames_and_equal_items(spark):
+    frame = "what is the name of the largest known living tree that"
+    items = [(1, f"{frame} stands near the northern lake shore"), (2, f"{frame} grows by a quiet southern sea bay"), (3, f"{frame} grows by a quiet southern sea bay"), (4, f"{frame} fell")]
+    docs = [(1, "so " + items[1][1]), (2, items[0][1]), (3, frame + " burned"), (4, items[3][1])]
+    # 2 and 3 are equal: the smaller names them; the frame alone is named by the smallest item of all
+    assert {i: ids for i, (ids, _) in run(spark, docs, items).items()} == {1: [2], 2: [1], 3: [1], 4: [4]}
+    from sextant.llm.decontaminate import window_links, window_members
+
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = window_links(d, b).join(window_members(b), ["key", "whole", "slots"]).select("doc_id", "item_id").distinct().collect()
+    assert {tuple(r) for r in pairs} == {(i, k) for i in range(1, 5) for k in range(1, 5)}
+
+
+def test_capitals_of_other_scripts(spark):
+    items = [(1, "быстрая лиса прыгает через ленивую собаку у старой реки утром"), (2, "η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί σήμερα"), (3, "İstanbul'da bugün hava çok güzel ve deniz de çok sakin")]
+    docs = [(i, "так: " + t.upper() if i < 3 else t) for i, t in items] + [(4, "БЫСТРАЯ ЛИСА")]
+    assert {i: ids for i, (ids, _) in run(spark, docs, items).items()} == {1: [1], 2: [2], 3: [3], 4: []}
+
+
+def test_items_of_a_word_or_two(spark):
+    items = [(1, "yes"), (2, "oh no"), (3, "say it now")]
+    docs = [(1, "yes and oh no"), (2, "just say it now")]
+    assert {i: ids for i, (ids, _) in run(spark, docs, items).items()} == {1: [], 2: [3]}
+    assert run(spark, docs, items, shortest=1)[1] == ([1, 2], False)
