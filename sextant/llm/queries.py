@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.strip_repeats(table(spark, sf_dir, "documents"), window=20, start=10, keep_text=False)
+    return substring.strip_repeats(table(spark, sf_dir, "documents"), window=20, start=5, keep_text=False)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

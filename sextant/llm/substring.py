@@ -10,9 +10,9 @@ runs that share their short window but differ elsewhere (the edges of a repeated
 That answers what to remove; ``doubled`` goes on from there, doubling the length until no window
 repeats.
 
-Hot keys: rows are merged inside each slice of about 1 MB of text before the shuffle, so that a
-passage found in a third of all documents sends a row per slice and not a row per document; the
-merged rows travel under keys of their own. Short windows that a sample of documents shows to be
+Hot keys: rows are merged inside each task before the shuffle, so that a passage found in a third of
+all documents sends a row or two per task and not a row per document; the merged rows travel under
+keys of their own. Short windows that a sample of documents shows to be
 frequent (many near copies that differ in the run) are dealt out by the whole run instead of the
 short window, and go on to the next level, which decides. The sample changes where rows are
 compared, never the result.
@@ -32,21 +32,40 @@ from pyspark.sql import functions as F
 from sextant.llm import _tokens as K
 from sextant.llm._shared import cut, keyed
 
-_RUN = 1 << 12
-
-
-def _merged(key: np.ndarray, rest: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: the shuffle key, and whether an earlier row of the same slice equals it."""
-    order = np.lexsort((at, doc, rest, key))
-    k, r, d, a = key[order], rest[order], doc[order], at[order]
-    same = np.zeros(len(key), bool)
-    same[1:] = (k[1:] == k[:-1]) & (r[1:] == r[:-1])
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-    later = same & ((d > d[lead]) | (a > a[lead]))
-    known = np.empty(len(key), bool)
-    known[order] = later
-    own = K.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
-    return np.where(known, own, key), known
+_RUN, MEMO = 1 << 12, 1 << 16
+
+
+class _Merged:
+    """Per row: the shuffle key, and whether an earlier row that went out before equals it. Rows of a
+    slice are compared with each other, and with the passages that earlier slices of the task
+    have met twice; of those at most ``MEMO`` are kept, which decides how many rows go out and never
+    the result."""
+
+    def __init__(self):
+        self.name, self.key, self.doc, self.at = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+
+    def __call__(self, key: np.ndarray, rest: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((at, doc, rest, key))
+        k, r, d, a = key[order], rest[order], doc[order], at[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (k[1:] == k[:-1]) & (r[1:] == r[:-1])
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+        later = same & ((d > d[lead]) | (a > a[lead]))
+        both = K.mix(k ^ K.mix(r))
+        if len(self.name):
+            place = np.minimum(np.searchsorted(self.name, both), len(self.name) - 1)
+            met = (self.name[place] == both) & (self.key[place] == k)
+            later |= met & ((d > self.doc[place]) | ((d == self.doc[place]) & (a > self.at[place])))
+        twice = np.unique(lead[same])
+        if len(twice):
+            held = [np.concatenate(x) for x in ((self.name, both[twice]), (self.key, k[twice]), (self.doc, d[twice]), (self.at, a[twice]))]
+            o = np.lexsort((held[3], held[2], held[0]))
+            first = np.append(True, held[0][o][1:] != held[0][o][:-1])
+            self.name, self.key, self.doc, self.at = (x[o][first][:MEMO] for x in held)
+        known = np.empty(len(key), bool)
+        known[order] = later
+        own = K.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
+        return np.where(known, own, key), known
 
 
 def _places(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +84,7 @@ def _level_one(window: int, start: int, hot: np.ndarray, some: bool = False):
     """The runs of all windows, or with ``some`` of those in the runs that are left."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = _Merged()
         for part in K.slices(batches):
             words = K.Words(part.column("text"))
             room = words.room()
@@ -92,7 +112,7 @@ def _level_one(window: int, start: int, hot: np.ndarray, some: bool = False):
             key = short[p[first]]
             often = np.isin(key, hot)
             key = np.where(often, K.mix(key ^ K.mix(whole)), key)
-            key, known = _merged(key, whole, owner, local)
+            key, known = merged(key, whole, owner, local)
             yield K.as_batch(key=K.signed(key), whole=K.signed(whole), doc_id=owner, run=local * _RUN + n, known=known, often=often)
 
     return rows
@@ -120,6 +140,7 @@ def _windows(window: int):
     """The long windows of the runs that are left, each with a hash of 128 bits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = _Merged()
         for part in K.slices(batches):
             words = K.Words(part.column("text"))
             h = words.hashes()
@@ -128,7 +149,7 @@ def _windows(window: int):
             g = s + words.first[doc]
             a, b = roll(g, g + window), other(g, g + window)
             owner = K.ids(part, "doc_id")[doc]
-            key, known = _merged(a, b, owner, s)
+            key, known = merged(a, b, owner, s)
             yield K.as_batch(key=K.signed(key), whole=K.signed(b), doc_id=owner, run=s * _RUN + 1, known=known)
 
     return rows
@@ -137,7 +158,7 @@ def _windows(window: int):
 _ROW = "key long, whole long, doc_id long, run long, known boolean"
 
 
-def repeats(docs: DataFrame, window: int = 20, start: int = 10) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 20, start: int = 5) -> DataFrame:
     """(doc_id, runs): the windows of each document whose words also start earlier, a smaller
     doc_id or an earlier place. A run is place * 4096 + number of successive windows.
 
@@ -289,7 +310,7 @@ def _strip(window: int, keep_text: bool):
     return rows
 
 
-def strip_repeats(docs: DataFrame, window: int = 20, start: int = 10, keep_text: bool = True) -> DataFrame:
+def strip_repeats(docs: DataFrame, window: int = 20, start: int = 5, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, text]): every document without the words that
     a window of ``window`` words covers whose words also start earlier.
 
