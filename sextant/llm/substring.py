@@ -188,8 +188,8 @@ def repeats(docs: DataFrame, window: int = 20, start: int = 5) -> DataFrame:
         found = later if found is None else found.union(later)
         left = judged.filter("not later")
         length *= 2
-        if length < window and left.isEmpty():
-            break
+        if left.isEmpty():  # no candidate survives
+            return found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
         source = texts.join(left.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "doc_id")
     two = source.mapInArrow(_windows(window), _ROW).repartition("key")
     two = two.withColumn("first", F.min(place).over(by_whole)).filter(earlier).select("doc_id", "run")
