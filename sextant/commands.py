@@ -84,7 +84,7 @@ class Commands:
         return sinks.entries(tables.ownership_violations(f, owner, comma_set(tables_owned)), "ownership-violations", f"{owner} owning {tables_owned}", limit, style)
 
     def do_service_map(self, f, style, limit, namespace=None):
-        return sinks.records(tables.service_map(f, namespace), "service-map", "services", ["name"], limit, style)
+        return sinks.service_map(tables.service_map(f, namespace), limit, style)
 
     # health
 

@@ -7,10 +7,14 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.operators import hierarchy, names
+from sextant.operators.hierarchy import Hierarchy
+from sextant.operators.names import Names
+
 _AT = "path STRING, line INT, col INT, context STRING, ord BIGINT"
 _FLAGS = "accessibility STRING, is_static BOOLEAN, is_abstract BOOLEAN, is_virtual BOOLEAN, is_override BOOLEAN, is_sealed BOOLEAN, is_readonly BOOLEAN"
 
@@ -52,6 +56,9 @@ class Facts:
     accesses: DataFrame
     assigns: DataFrame
     field_uses: DataFrame
+    #: the indexes, where the facts were saved
+    hierarchy: Hierarchy | None = None
+    names: Names | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, **given: DataFrame) -> Facts:
@@ -62,21 +69,24 @@ class Facts:
 
         References are clustered by their target and calls by their callee (ranges, sorted, with a
         Bloom filter per row group), so a lookup of one symbol reads few row groups. Members and
-        parameters are bucketed on the member, so their join moves no rows.
+        parameters are bucketed on the member, so their join moves no rows. The hierarchy and the
+        names are stored as indexes.
         """
         spark = self.types.sparkSession
-        for f in fields(self):
-            df, to = getattr(self, f.name), f"{path}/{f.name}"
-            if f.name in CLUSTERED:
-                key = CLUSTERED[f.name]
+        for name_ in SCHEMAS:
+            df, to = getattr(self, name_), f"{path}/{name_}"
+            if name_ in CLUSTERED:
+                key = CLUSTERED[name_]
                 sorted_ = df.repartitionByRange(key, "ord").sortWithinPartitions(key, "ord")
                 sorted_.write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", str(ROW_GROUP)).parquet(to)
-            elif f.name in BUCKETED:
-                name = _table(path, f.name)
+            elif name_ in BUCKETED:
+                name = _table(path, name_)
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
-                df.repartition(buckets, BUCKETED[f.name]).write.bucketBy(buckets, BUCKETED[f.name]).sortBy(BUCKETED[f.name]).option("path", to).format("parquet").saveAsTable(name)
+                df.repartition(buckets, BUCKETED[name_]).write.bucketBy(buckets, BUCKETED[name_]).sortBy(BUCKETED[name_]).option("path", to).format("parquet").saveAsTable(name)
             else:
                 df.write.parquet(to)
+        hierarchy.build(self.types, self.bases).save(f"{path}/_hierarchy")
+        names.build(self.types, self.members, self.params).save(f"{path}/_names")
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/_layout")
 
     @classmethod
@@ -92,7 +102,7 @@ class Facts:
                 out[n] = spark.table(name)
             else:
                 out[n] = spark.read.schema(s).parquet(f"{path}/{n}")
-        return cls(**out)
+        return cls(**out, hierarchy=Hierarchy.load(spark, f"{path}/_hierarchy"), names=Names.load(spark, f"{path}/_names"))
 
 
 def _table(path: str, name: str) -> str:

@@ -72,12 +72,16 @@ def audit_cache(facts: Facts, extra_methods: list[str] | None = None) -> DataFra
 
 
 def audit_immutable(facts: Facts, protected: list[str], dedup: bool = True) -> DataFrame:
-    """Q19: removals, bulk changes and property changes of entities that are append-only."""
-    ours = [f"DbSet<{p}>" for p in protected]
+    """Q19: removals, bulk changes and property changes of entities that are append-only. An entity is
+    named by its simple name, or by the full one of a type in the solution; facts carry simple names, so
+    a full one stands for all types of that simple name."""
+    named = facts.types.filter(F.col("display").isin(protected)).select("name").union(facts.types.sparkSession.createDataFrame([(p,) for p in protected], "name string")).distinct()
+    of = lambda df, entity: df.withColumn("name_", entity).join(named.withColumnRenamed("name", "name_"), "name_", "left_semi")
+    held = lambda column: F.regexp_extract(column, r"^DbSet<(.+)>$", 1)
     calls = facts.calls
-    first = calls.filter(F.col("name").isin(P.REMOVERS) & F.col("receiver_type").isin(ours)).withColumn("rule", F.concat(F.col("name"), F.lit(" on append-only entity")))
-    bulk = calls.filter(F.col("name").isin(P.BULK_CHANGES) & F.col("chain_root_type").isin(ours)).withColumn("rule", F.concat(F.col("name"), F.lit(" on append-only entity")))
-    change = facts.assigns.filter(F.col("receiver_type").isin(protected) & ~F.col("in_add_init")).withColumn("rule", F.lit("property change of append-only entity"))
+    first = of(calls.filter(F.col("name").isin(P.REMOVERS)), held("receiver_type")).withColumn("rule", F.concat(F.col("name"), F.lit(" on append-only entity")))
+    bulk = of(calls.filter(F.col("name").isin(P.BULK_CHANGES)), held("chain_root_type")).withColumn("rule", F.concat(F.col("name"), F.lit(" on append-only entity")))
+    change = of(facts.assigns.filter(~F.col("in_add_init")), F.col("receiver_type")).withColumn("rule", F.lit("property change of append-only entity"))
     columns = ["path", "line", "col", "context", "ord", "rule"]
     rows = first.select(columns).unionByName(bulk.select(columns)).unionByName(change.select(columns))
     out = entry(rows, F.concat("context", F.lit(" -- "), "rule"), F.lit(""), "rule")

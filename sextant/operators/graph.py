@@ -190,18 +190,19 @@ def _blocks(nodes: DataFrame, block: int) -> Iterator[DataFrame]:
         yield nodes if n == 1 else nodes.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
 
 
-def numbered(rows: DataFrame, *order: Column | str, name: str = "no") -> DataFrame:
-    """``rows`` with their place, 1, 2, 3 ..., in ``order``, which must be total. Ranges number
-    themselves; the driver sees one count per range."""
+def numbered(rows: DataFrame, *order: Column | str, name: str = "no", weight: str | None = None) -> DataFrame:
+    """``rows`` with their place, 1, 2, 3 ..., in ``order``, which must be total; with ``weight`` the
+    sum of that column up to the row. Ranges add up by themselves; the driver sees one sum per range."""
     n = max(1, -(-rows.count() // ROWS))
-    dealt = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    value = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    dealt = cut(rows.repartitionByRange(n, *order).withColumns({"_part": F.spark_partition_id(), "_value": value}))
+    sums = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.sum("_value").alias("n")).collect()}
     before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
+    for part in sorted(sums):
+        before[part], total = total, total + sums[part]
     offset = rows.sparkSession.createDataFrame(list(before.items()), "_part int, _offset long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_place", place).join(F.broadcast(offset), "_part").select(*rows.columns, (F.col("_place") + F.col("_offset")).alias(name))
+    upto = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_upto", upto).join(F.broadcast(offset), "_part").select(*rows.columns, (F.col("_upto") + F.col("_offset")).alias(name))
 
 
 def levels(dag: DataFrame) -> list[DataFrame]:

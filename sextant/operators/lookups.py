@@ -97,7 +97,10 @@ def bfs_parents(edges: DataFrame, found: DataFrame, root: int) -> DataFrame:
 
 
 def descendants(facts: Facts, type_id: int) -> DataFrame:
-    """(type_id) of everything below a type, by any number of steps."""
+    """(type_id) of everything below a type, by any number of steps: from the hierarchy index, or by
+    a round a step where the facts have none."""
+    if facts.hierarchy is not None:
+        return facts.hierarchy.descendants(type_id)
     down = facts.bases.filter("super_id is not null").select(F.col("super_id").alias("src"), F.col("type_id").alias("dst")).distinct()
     root = facts.types.sparkSession.createDataFrame([(type_id, type_id)], "root long, id long")
     return bfs(down, root).filter("depth > 0").select(F.col("id").alias("type_id")).distinct()
@@ -170,8 +173,10 @@ def parameters(facts: Facts, name: str | None = None, type_name: str | None = No
     if not name and not type_name:
         raise ValueError("give a name or a type")
     rows = facts.params
-    for column, part in (("name", name), ("type_display", type_name)):
-        if part:
+    for column, kind, part in (("name", "parameter", name), ("type_display", "parameter type", type_name)):
+        if part and facts.names is not None:
+            rows = rows.join(facts.names.containing(kind, part).withColumnRenamed("text", column), column, "left_semi")
+        elif part:
             rows = rows.filter(F.lower(column).contains(part.lower()))
     owner = facts.members.filter("not is_implicit").select("member_id", "type_id", F.col("name").alias("member"))
     types = first_of(facts.types.filter("depth <= 1"), "type_id").select("type_id", F.col("name").alias("type_name"))

@@ -26,16 +26,20 @@ def first_of(df: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def symbols(facts: Facts, where: Column | None = None) -> DataFrame:
+def symbols(facts: Facts, where: Column | DataFrame | None = None) -> DataFrame:
     """Top-level types, their members, and nested types as members; one row per kind and
-    display. ``where`` is on the name or display, so it holds for all or none of the rows that
-    are made one, and goes first."""
+    display. ``where`` is on the name or display, or a table of displays, so it holds for all or
+    none of the rows that are made one, and goes first."""
     types = facts.types.filter("depth <= 1").select(F.col("type_id").alias("id"), F.lit("type").alias("kind"), "name", "display", "parent_id", "path", "line", "col", "ord")
     top = facts.types.filter("depth = 0").select("type_id").distinct()
     members = facts.members.filter("not is_implicit and not is_accessor").join(top, "type_id", "left_semi")
     members = members.select(F.col("member_id").alias("id"), "kind", "name", "display", F.col("type_id").alias("parent_id"), "path", "line", "col", "ord")
     rows = types.unionByName(members)
-    return first_of(rows.filter(where) if where is not None else rows, "kind", "display")
+    if isinstance(where, DataFrame):
+        rows = rows.join(where, "display", "left_semi")
+    elif where is not None:
+        rows = rows.filter(where)
+    return first_of(rows, "kind", "display")
 
 
 def _least_priority(*found: DataFrame) -> DataFrame:
@@ -48,7 +52,10 @@ def _least_priority(*found: DataFrame) -> DataFrame:
     return all_.join(F.broadcast(best), F.col("priority") == F.col("best")).select(*SYMBOL)
 
 
-def _qualified(query: str) -> Column:
+def _qualified(facts: Facts, query: str) -> Column | DataFrame:
+    if facts.names is not None:
+        end = facts.names.ending("display", query).select(F.col("text").alias("display"))
+        return end.filter((F.col("display") == query) | F.col("display").endswith("." + query))
     return (F.col("display") == query) | F.col("display").endswith("." + query)
 
 
@@ -62,18 +69,21 @@ def resolve(facts: Facts, query: str) -> DataFrame:
         return symbols(facts, F.col("name") == query).select(*SYMBOL)
     owner, _, member = query.rpartition(".")
     if "." in owner:
-        named = symbols(facts, _qualified(owner)).filter("kind = 'type'")
+        named = symbols(facts, _qualified(facts, owner)).filter("kind = 'type'")
         owners = _least_priority(named.filter(F.col("display") == owner), named)
     else:
         owners = symbols(facts, F.col("name") == owner).filter("kind = 'type'")
     owners = owners.select(F.col("id").alias("parent_id")).distinct()
-    whole = symbols(facts, _qualified(query))
+    whole = symbols(facts, _qualified(facts, query))
     return _least_priority(symbols(facts, F.col("name") == member).join(owners, "parent_id", "left_semi"), whole.filter(F.col("display") == query), whole)
 
 
 def suggest(facts: Facts, query: str, limit: int = 10) -> DataFrame:
     """The first types whose name contains the query, whatever the case."""
-    hits = facts.types.filter(F.lower("name").contains(query.lower())).select("display", "ord")
+    if facts.names is not None:
+        hits = facts.types.join(facts.names.containing("type", query).withColumnRenamed("text", "name"), "name", "left_semi")
+    else:
+        hits = facts.types.filter(F.lower("name").contains(query.lower()))
     return hits.groupBy("display").agg(F.min("ord").alias("ord")).orderBy("ord").limit(limit)
 
 

@@ -8,13 +8,14 @@ sparse one, and those ending in ``_rounds`` take the way of large graphs there.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.facts import Facts
 from sextant.functions import text as T
-from sextant.operators import audits, graph, lookups, metrics, surface, tables
+from sextant.operators import audits, graph, hierarchy, lookups, metrics, names, surface, tables
 from sextant.operators.resolve import one, resolve, suggest
 from sextant.plans import star
 from sextant.plans.snapshots import Snapshots
@@ -66,6 +67,15 @@ def _facts(spark: SparkSession, sf_dir: str) -> Facts:
     return star.facts(spark, sf_dir)
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> Facts:
+    """The same facts with their indexes, written as ``Facts.save`` writes them."""
+    f = _facts(spark, sf_dir)
+    path = shared_folder(spark)
+    hierarchy.build(f.types, f.bases).save(f"{path}/hierarchy")
+    names.build(f.types, f.members, f.params).save(f"{path}/names")
+    return replace(f, hierarchy=hierarchy.Hierarchy.load(spark, f"{path}/hierarchy"), names=names.Names.load(spark, f"{path}/names"))
+
+
 def _id(f: Facts, name: str, *kinds: str) -> int:
     return one(f, name, *kinds)["id"]
 
@@ -192,6 +202,46 @@ def parameters(spark, sf_dir):
     return _entry(lookups.parameters(_facts(spark, sf_dir), name="Pr", type_name=SUPPLIER.lower()))
 
 
+# the same through the stored indexes
+
+
+def indexed(name: str):
+    """Registers a query with the oracle of ``name``."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, ORACLES[name]
+        return f
+
+    return add
+
+
+@indexed("resolve_qualified")
+def resolve_qualified_indexed(spark, sf_dir):
+    return resolve(_indexed(spark, sf_dir), "AMERICA.NATION_1").select("kind", "display", "path")
+
+
+@indexed("suggestions")
+def suggestions_indexed(spark, sf_dir):
+    return suggest(_indexed(spark, sf_dir), "customer#00").select("display")
+
+
+@indexed("parameters")
+def parameters_indexed(spark, sf_dir):
+    return _entry(lookups.parameters(_indexed(spark, sf_dir), name="Pr", type_name=SUPPLIER.lower()))
+
+
+@indexed("implementations")
+def implementations_indexed(spark, sf_dir):
+    f = _indexed(spark, sf_dir)
+    return _entry(lookups.implementations(f, _id(f, "ASIA", "type")))
+
+
+@indexed("inheritors")
+def inheritors_indexed(spark, sf_dir):
+    f = _indexed(spark, sf_dir)
+    return _entry(lookups.inheritors(f, _id(f, "NATION_1", "type")))
+
+
 # tables
 
 

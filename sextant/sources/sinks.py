@@ -63,21 +63,6 @@ def entries(df: DataFrame, command: str, symbol: str, limit: int | None = None,
     return "\n".join(lines)
 
 
-def records(df: DataFrame, command: str, key: str = "results", order: list | None = None, limit: int | None = None, style: str = "compact", **extra) -> str:
-    """Rows of any other shape: health, cycles, service map, surface, downstream."""
-    total = df.count() if limit else None
-    ordered = df.orderBy(*order) if order else df
-    rows = [r.asDict(recursive=True) for r in (ordered.limit(limit) if limit else ordered).collect()]
-    for r in rows:
-        r.pop("ord", None)
-    if style == "json":
-        out = {"command": command, **extra, key: rows, "total": len(rows)}
-        return as_json(out | ({"total_before_limit": total} if total is not None and total > len(rows) else {}))
-    show = lambda v: ", ".join(map(show, v)) if isinstance(v, list) else " ".join(str(show(x)) for x in v.values() if x is not None) if isinstance(v, dict) else str(v)
-    head = f"{len(rows)} {command}" if total is None or total <= len(rows) else f"{len(rows)} of {total} {command}"
-    return "\n".join([head, *("  " + "; ".join(f"{k}: {show(v)}" for k, v in r.items() if v not in (None, [], "")) for r in rows)])
-
-
 def _fetched(df: DataFrame, limit: int | None) -> tuple[list[dict], dict]:
     """The first rows by ``ord``, and their number, with the total if there are more."""
     total = df.count() if limit else None
@@ -86,6 +71,21 @@ def _fetched(df: DataFrame, limit: int | None) -> tuple[list[dict], dict]:
     return rows, {"total": len(rows)} | ({"total_before_limit": total} if total is not None and total > len(rows) else {})
 
 
+def service_map(df: DataFrame, limit: int | None = None, style: str = "compact") -> str:
+    """The services by name, with what is injected and the tables they use."""
+    total = df.count() if limit else None
+    ordered = df.orderBy("name", "path")
+    rows = (ordered.limit(limit) if limit else ordered).collect()
+    cut = total is not None and total > len(rows)
+    if style == "json":
+        services = [{"name": r["name"], "file": r.path, "line": r.line, "injected": r.injected, "tables": r.tables} for r in rows]
+        return as_json({"command": "service-map", "services": services, "total": len(rows)} | ({"total_before_limit": total} if cut else {}))
+    lines = [f"{len(rows)}{f' of {total}' if cut else ''} services in service-map"]
+    for r in rows:
+        lines += ["", r["name"], *(f"  {part}: {', '.join(r[part])}" for part in ("injected", "tables") if r[part])]
+    return "\n".join(lines)
+
+
 def _of(numbers: dict) -> str:
     shown, total = numbers["total"], numbers.get("total_before_limit")
     return f"{shown}{f' of {total}' if total else ''} method{'' if shown == 1 else 's'}"

@@ -96,6 +96,11 @@ def test_commands(shop, tmp_path):
     assert [r["context"] for r in got["results"]] == ["[HttpPost] Open — missing [Authorize]", "[HttpPost] Open — missing [ValidateAntiForgeryToken]", "[HttpPost] Name — missing [ValidateAntiForgeryToken]"]
     assert [r["line"] for r in json.loads(run("audit-cache", style="json"))["results"]] == [31]
     assert [r["line"] for r in json.loads(run("audit-immutable", style="json", types="Entry"))["results"]] == [25]
+    assert json.loads(run("audit-immutable", style="json", types="Shop.Core.Entry"))["total"] == 1 and json.loads(run("audit-immutable", style="json", types="Other.Entry"))["total"] == 0
+    services = json.loads(run("service-map", style="json"))
+    assert list(services) == ["command", "services", "total"] and list(services["services"][0]) == ["name", "file", "line", "injected", "tables"]
+    assert run("service-map").split("\n\n")[2] == "BasketService\n  injected: IBasketRepository, IPriceCache\n  tables: Baskets, Journal"
+    assert run("service-map", limit=1).startswith("1 of 2 services in service-map")
     assert json.loads(run("audit-ef", style="json"))["total"] == 0
     limited = json.loads(run("references", "BasketService", style="json", limit=2))
     assert limited["total"] == 2 and limited["totalBeforeLimit"] > 2 and set(limited["results"][0]) == {"file", "line", "column", "context", "containingSymbol"}
@@ -117,6 +122,6 @@ def test_commands(shop, tmp_path):
 
 def test_empty_facts(spark):
     f = Facts.empty(spark)
-    assert set(SCHEMAS) == set(vars(f))
+    assert {*SCHEMAS, "hierarchy", "names"} == set(vars(f))
     for df in (lookups.references(f, 1), lookups.parameters(f, name="x"), tables.service_map(f), metrics.health(f), surface.audit_downstream(f, 1)):
         assert df.collect() == []
