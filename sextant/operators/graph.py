@@ -1,22 +1,16 @@
 """Graph operators on edge tables (src, dst).
 
-Loops are DataFrame rounds that are written to the shared folder; a spent round is deleted.
-Betweenness has two ways: a graph of at most ``small`` edges (counted first) is broadcast as plain
-arrays; beyond that it handles ``block`` sources at a time.
+Loops are DataFrame rounds that are written to the shared folder; a spent round is deleted. No graph
+is too small for them: nothing is collected, broadcast or handed to one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.plans.store import cut, drop
 
-SMALL, BLOCK = 1_000_000, 20_000
 #: rows that a numbered range takes; bitmaps of 4 KB a component held at a time
 ROWS, BUCKETS = 1 << 18, 8
 #: rows of one key that go to one task, and copies of what more of them need
@@ -25,10 +19,6 @@ HUB, SALTS = 1 << 16, 64
 SLOTS, TRIM = 62, 4
 
 
-def is_small(edges: DataFrame, small: int = SMALL) -> bool:
-    return edges.limit(small + 1).count() <= small
-
-
 def plain(edges: DataFrame) -> DataFrame:
     """Distinct edges without loops."""
     return edges.select("src", "dst").filter("src <> dst").distinct()
@@ -183,13 +173,6 @@ def sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("id").alias("size"))
 
 
-def _blocks(nodes: DataFrame, block: int) -> Iterator[DataFrame]:
-    """The rows of ``nodes`` (id), about ``block`` at a time."""
-    n = max(1, -(-nodes.count() // block))
-    for k in range(n):
-        yield nodes if n == 1 else nodes.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
-
-
 def numbered(rows: DataFrame, *order: Column | str, name: str = "no", weight: str | None = None) -> DataFrame:
     """``rows`` with their place, 1, 2, 3 ..., in ``order``, which must be total; with ``weight`` the
     sum of that column up to the row. Ranges add up by themselves; the driver sees one sum per range."""
@@ -263,79 +246,6 @@ def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return plain(edges).join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """(id, betweenness) by Brandes' accumulation: directed, unweighted, within ``nodes``, not
-    normalised, ends not counted."""
-    e = inside(edges, nodes)
-    kind = dict(nodes.dtypes)["id"]
-    if is_small(e, small):
-        table = e.toArrow()  # at most ``small`` rows
-        names, ends = np.unique(np.concatenate([table.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst")]), return_inverse=True)
-        src, dst = ends[: table.num_rows], ends[table.num_rows :]
-        order = np.argsort(src, kind="stable")
-        first, to = np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(names))
-            for batch in batches:
-                for source in np.flatnonzero(np.isin(names, batch["id"].to_numpy())):
-                    total += _accumulate(source, first, to)
-            yield pd.DataFrame({"id": names[total > 0], "part": total[total > 0]})
-
-        parts = nodes.select("id").distinct().mapInPandas(run, f"id {kind}, part double")
-    else:
-        parts = _accumulate_rounds(e, nodes, block)
-    total = parts.groupBy("id").agg(F.sum("part").alias("betweenness"))
-    return nodes.select("id").distinct().join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
-
-
-def _accumulate(source: int, first: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """What the shortest paths from ``source`` add to each node; the edges of node v lead to
-    to[first[v]:first[v + 1]]."""
-    n = len(first) - 1
-    depth, paths = np.full(n, -1), np.zeros(n)
-    depth[source], paths[source], front, levels = 0, 1.0, np.array([source]), []
-    while len(front):
-        count = first[front + 1] - first[front]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[front], count)
-        a, b = np.repeat(front, count), to[at]
-        front = np.unique(b[depth[b] < 0])
-        depth[front] = len(levels) + 1
-        use = depth[b] == len(levels) + 1
-        levels.append((a[use], b[use]))
-        paths += np.bincount(b[use], weights=paths[a[use]], minlength=n)
-    share = np.zeros(n)
-    for a, b in reversed(levels):
-        share += np.bincount(a, weights=paths[a] / paths[b] * (1 + share[b]), minlength=n)
-    share[source] = 0
-    return share
-
-
-def _accumulate_rounds(edges: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """The same level by level, for all sources of a block at once."""
-    e, out = cut(edges), None
-    for some in _blocks(cut(nodes.select("id").distinct()), block):
-        levels = [cut(some.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))]
-        seen = levels[0].select("s", "id")
-        while True:
-            front = levels[-1]
-            step = front.join(e, front["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-            new = cut(step.join(seen, ["s", "id"], "left_anti"))
-            if new.isEmpty():
-                break
-            levels.append(new)
-            seen = seen.union(new.select("s", "id"))
-        share, parts = None, levels[0].select("id", F.lit(0.0).alias("part"))
-        for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):
-            w = high if share is None else high.join(share, ["s", "id"], "left")
-            w = w.select("s", F.col("id").alias("dst"), F.col("paths").alias("pw"), (F.coalesce("share", F.lit(0.0)) if share is not None else F.lit(0.0)).alias("sw"))
-            share = cut(low.join(e, low["id"] == e["src"]).join(w, ["s", "dst"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("sw"))).alias("share")))
-            parts = parts.union(share.filter("s <> id").select("id", F.col("share").alias("part")))
-        part = cut(parts.groupBy("id").agg(F.sum("part").alias("part")))
-        out = part if out is None else out.union(part)
-    return out
-
-
 def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, fan_out, fan_in), zeros included."""
     e = plain(edges)

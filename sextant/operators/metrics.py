@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.facts import Facts
 from sextant.functions import predicates as P
-from sextant.operators import graph
+from sextant.operators import central, graph
 from sextant.operators.resolve import first_of
 from sextant.plans.store import cut
 
@@ -130,7 +130,7 @@ def break_points(edges: DataFrame, vertices: DataFrame, top: int = 5) -> DataFra
     nodes = graph.core(graph.scc(edges, vertices))
     e = graph.inside(edges, nodes)
     near = e.groupBy(F.col("src").alias("id")).agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 3).alias("sample"))
-    rows = graph.betweenness(edges, nodes).join(graph.degrees(e, nodes), "id").join(near, "id", "left")
+    rows = central.betweenness(edges, nodes).join(graph.degrees(e, nodes), "id").join(near, "id", "left")
     return rows.withColumn("betweenness", F.round("betweenness", 6)).orderBy(F.desc("betweenness"), "id").limit(top)
 
 

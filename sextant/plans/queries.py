@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sextant.facts import Facts
 from sextant.functions import text as T
-from sextant.operators import audits, graph, hierarchy, lookups, metrics, names, surface, tables
+from sextant.operators import audits, central, graph, hierarchy, lookups, metrics, names, surface, tables
 from sextant.operators.resolve import one, resolve, suggest
 from sextant.plans import star
 from sextant.plans.snapshots import Snapshots
@@ -457,12 +457,12 @@ def cycle_report_leading(spark, sf_dir):
     return metrics.cycle_report(*_graph(spark, sf_dir, True))
 
 
-def _central(spark: SparkSession, sf_dir: str, leading: bool, small: int = graph.SMALL) -> DataFrame:
+def _central(spark: SparkSession, sf_dir: str, leading: bool, **sizes: int) -> DataFrame:
     e, v = _graph(spark, sf_dir, leading)
-    return graph.betweenness(e, graph.core(graph.scc(e, v)), small).withColumn("betweenness", F.round("betweenness", 6))
+    return central.betweenness(e, graph.core(graph.scc(e, v)), **sizes).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+@query("SELECT id, betweenness FROM score", f"{_EDGES}, {_REACH}, {_CENTRAL}", recursive=True)
 def betweenness(spark, sf_dir):
     return _central(spark, sf_dir, False)
 
@@ -474,20 +474,19 @@ def betweenness_leading(spark, sf_dir):
 
 @query("SELECT id, betweenness FROM score", f"{_LEADING}, {_REACH}, {_CENTRAL}", recursive=True)
 def betweenness_rounds(spark, sf_dir):
-    return _central(spark, sf_dir, True, 0)
+    return _central(spark, sf_dir, True, part=24, width=16, batch=2)
 
 
-@query()
+_BREAK = """SELECT id, betweenness, (SELECT count(*) FROM ke WHERE src = id) AS fan_out, (SELECT count(*) FROM ke WHERE dst = id) AS fan_in,
+    (SELECT string_agg(dst, ',' ORDER BY dst) FROM (SELECT dst FROM ke WHERE src = id ORDER BY dst LIMIT 3)) AS sample FROM score ORDER BY betweenness DESC, id LIMIT 5"""
+
+
+@query(_BREAK, f"{_EDGES}, {_REACH}, {_CENTRAL}", recursive=True)
 def cycle_break_points(spark, sf_dir):
     return metrics.break_points(*_graph(spark, sf_dir)).withColumn("sample", F.array_join("sample", ","))
 
 
-@query(
-    """SELECT id, betweenness, (SELECT count(*) FROM ke WHERE src = id) AS fan_out, (SELECT count(*) FROM ke WHERE dst = id) AS fan_in,
-    (SELECT string_agg(dst, ',' ORDER BY dst) FROM (SELECT dst FROM ke WHERE src = id ORDER BY dst LIMIT 3)) AS sample FROM score ORDER BY betweenness DESC, id LIMIT 5""",
-    f"{_LEADING}, {_REACH}, {_CENTRAL}",
-    recursive=True,
-)
+@query(_BREAK, f"{_LEADING}, {_REACH}, {_CENTRAL}", recursive=True)
 def break_points_leading(spark, sf_dir):
     return metrics.break_points(*_graph(spark, sf_dir, True)).withColumn("sample", F.array_join("sample", ","))
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import predicates as P
+from sextant.operators.graph import ROWS, matched, numbered
+from sextant.plans.store import cut
 
 #: digits of the snapshot's CSV columns that are not whole numbers
 DIGITS = {"core_size_pct": 6, "avg_reach": 3, "avg_fan_out": 3, "avg_cyclomatic": 3, "avg_class_loc": 1}
@@ -50,11 +52,11 @@ def entries(df: DataFrame, command: str, symbol: str, limit: int | None = None,
     total = df.count() if limit else None
     ordered = df.orderBy("ord")
     rows = (ordered.limit(limit) if limit else ordered).collect()
-    cut = total is not None and total > len(rows)
+    more = total is not None and total > len(rows)
     if style == "json":
         out = {"command": command, "symbol": symbol, "results": [{"file": r.path, "line": r.line, "column": r.col, "context": r.context, "containing_symbol": r.containing} for r in rows], "total": len(rows)}
-        return as_json(out | ({"total_before_limit": total} if cut else {}))
-    lines = [f"{len(rows)} of {total} {command} of {symbol}" if cut else f"{len(rows)} {command} of {symbol}"]
+        return as_json(out | ({"total_before_limit": total} if more else {}))
+    lines = [f"{len(rows)} of {total} {command} of {symbol}" if more else f"{len(rows)} {command} of {symbol}"]
     groups: dict[str, list] = {}
     for r in rows:
         groups.setdefault(r.path, []).append(r)
@@ -71,16 +73,43 @@ def _fetched(df: DataFrame, limit: int | None) -> tuple[list[dict], dict]:
     return rows, {"total": len(rows)} | ({"total_before_limit": total} if total is not None and total > len(rows) else {})
 
 
+def write_entries(df: DataFrame, path: str, command: str, symbol: str, style: str = "json") -> int:
+    """The same document as ``entries`` without a limit, written by tasks: text files that make the
+    document when they are read in the order of their names. Returns the number of entries."""
+    rows = df.select("path", "line", "col", "context", "containing", "ord")
+    order = ["ord", "path", "line", "col", "context", "containing"]
+    if style == "json":
+        rows = cut(numbered(rows, *order))
+        total = rows.count()
+        head = json.dumps({"command": command, "symbol": symbol, "results": []}, ensure_ascii=False)[:-2]
+        named = F.struct(F.col("path").alias("file"), "line", F.col("col").alias("column"), "context", F.col("containing").alias("containingSymbol"))
+        text = F.concat(F.when(F.col("no") > 1, F.lit(",")).otherwise(F.lit("")), F.to_json(named))
+        ends = df.sparkSession.createDataFrame([(0, head), (total + 1, f'], "total": {total}}}')], "no long, value string")
+        lines, order = rows.select("no", text.alias("value")).union(ends), ["no"]
+    else:
+        rows = cut(rows)
+        first = rows.groupBy("path").agg(F.min("ord").alias("met"), F.count("*").alias("n"))
+        total = rows.count()
+        own = matched(rows, first, ["path"], "n", "context").select(F.lit(1).alias("k"), "met", "path", F.lit(1).alias("part"), *(c for c in order if c != "path"), F.concat(F.lit("  "), "line", F.lit(": "), "context").alias("value"))
+        none = [F.lit(None).cast(dict(own.dtypes)[c]).alias(c) for c in order if c != "path"]
+        heads = first.select(F.lit(1).alias("k"), "met", "path", F.lit(0).alias("part"), *none, F.concat(F.lit("\n"), "path").alias("value"))
+        title = df.sparkSession.createDataFrame([(f"{total} {command} of {symbol}",)], "value string").select(F.lit(0).alias("k"), *(F.lit(None).cast(k).alias(c) for c, k in own.dtypes if c not in ("k", "value")), "value")
+        lines, order = own.union(heads).union(title.select(*own.columns)), ["k", "met", "path", "part", *(c for c in order if c != "path")]
+    lines = lines.repartitionByRange(max(1, -(-total // ROWS)), *order).sortWithinPartitions(*order)
+    lines.select("value").write.text(path)
+    return total
+
+
 def service_map(df: DataFrame, limit: int | None = None, style: str = "compact") -> str:
     """The services by name, with what is injected and the tables they use."""
     total = df.count() if limit else None
     ordered = df.orderBy("name", "path")
     rows = (ordered.limit(limit) if limit else ordered).collect()
-    cut = total is not None and total > len(rows)
+    more = total is not None and total > len(rows)
     if style == "json":
         services = [{"name": r["name"], "file": r.path, "line": r.line, "injected": r.injected, "tables": r.tables} for r in rows]
-        return as_json({"command": "service-map", "services": services, "total": len(rows)} | ({"total_before_limit": total} if cut else {}))
-    lines = [f"{len(rows)}{f' of {total}' if cut else ''} services in service-map"]
+        return as_json({"command": "service-map", "services": services, "total": len(rows)} | ({"total_before_limit": total} if more else {}))
+    lines = [f"{len(rows)}{f' of {total}' if more else ''} services in service-map"]
     for r in rows:
         lines += ["", r["name"], *(f"  {part}: {', '.join(r[part])}" for part in ("injected", "tables") if r[part])]
     return "\n".join(lines)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from sextant.operators import central as C
 from sextant.operators import graph as G
 
 
@@ -163,16 +164,16 @@ def brandes(nodes, edges):
     return score
 
 
-@pytest.mark.parametrize("small", [G.SMALL, 0])
-def test_betweenness(spark, small):
+@pytest.mark.parametrize("sizes", [{}, {"part": 3, "width": 4, "batch": 2}, {"part": 5, "width": 2, "batch": 1}])
+def test_betweenness(spark, sizes):
     star = [(a, 0) for a in (1, 2, 3)] + [(0, a) for a in (1, 2, 3)]
     e, v = frames(spark, 4, star)
-    assert {r.id: r.betweenness for r in G.betweenness(e, v, small).collect()} == {0: 6.0, 1: 0.0, 2: 0.0, 3: 0.0}
+    assert {r.id: r.betweenness for r in C.betweenness(e, v, **sizes).collect()} == {0: 6.0, 1: 0.0, 2: 0.0, 3: 0.0}
     n, edges = CASES[2]
     e, v = frames(spark, n, edges)
     want = brandes(range(n), edges)
-    for block in (G.BLOCK,) if small else (G.BLOCK, 5):
-        assert {r.id: pytest.approx(r.betweenness) for r in G.betweenness(e, v, small, block).collect()} == want
+    assert {r.id: pytest.approx(r.betweenness) for r in C.betweenness(e, v, **sizes).collect()} == want
+    assert C.betweenness(e, v.limit(0), **sizes).collect() == []
 
 
 def test_bfs_core_degrees(spark):
