@@ -134,7 +134,7 @@ class Commands:
         found = one(f, symbol, "type", prefer=True)
         is_interface = not f.types.filter((F.col("type_id") == found["id"]) & (F.col("kind") == "interface")).isEmpty()
         names = [r.display for r in lookups.implementing(f, found["id"]).select("name", "display").distinct().orderBy("name", "display").collect()] if is_interface else []
-        return sinks.surface(surface.audit_surface(f, found["id"]), found["display"], is_interface, names, limit, style)
+        return sinks.surface(surface.audit_surface(f, found["id"]), surface.surface_callers(f, found["id"]), found["display"], is_interface, names, limit, style)
 
     def do_audit_downstream(self, f, symbol, style, limit):
         found = one(f, symbol, "type", prefer=True)

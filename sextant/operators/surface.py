@@ -10,7 +10,6 @@ from sextant.functions import predicates as P
 from sextant.functions.text import dependency_name
 from sextant.operators.graph import bfs, levels, plain, scc
 from sextant.operators.lookups import overriding
-from sextant.operators.resolve import first_of
 from sextant.operators.tables import context_types, is_context_type
 from sextant.plans.store import cut
 
@@ -43,24 +42,28 @@ def body_shapes(facts: Facts, type_id: int) -> DataFrame:
     return rows.select("member_id", shape.alias("shape"), hint.alias("hint"))
 
 
-def audit_surface(facts: Facts, type_id: int) -> DataFrame:
-    """Q21: (name, signature, prod_count, test_count, prod, test, shape, hint) of the ordinary
-    methods of an interface or class; callers of a method include those of the methods that
-    implement or override it. Callers are dealt by the path below the solution; an interface's
-    methods have no shape."""
+def surface_callers(facts: Facts, type_id: int) -> DataFrame:
+    """(member_id, is_test, path, line, col, context, containing, ord): a row per place that calls an
+    ordinary method of the type, or one that implements or overrides it, by the path below the solution."""
     methods = facts.members.filter((F.col("type_id") == type_id) & (F.col("kind") == "method") & ~F.col("is_implicit"))
     own = methods.select(F.col("member_id").alias("id"), F.col("member_id").alias("method"))
     targets = own.union(overriding(facts, methods.select(F.col("member_id").alias("base"))).select("id", F.col("base").alias("method"))).distinct()
-    calls = facts.calls.join(targets, facts.calls["callee_id"] == targets["id"]).select("method", "path", "line", "col", "context", "containing", "ord")
-    calls = first_of(calls, "method", "path", "line", "col").withColumn("is_test", P.test_path(F.col("path")))
-    place = F.struct("ord", "path", "line", "col", "context", "containing")
-    side = lambda test, name: [F.count_if(F.col("is_test") == F.lit(test)).alias(f"{name}_count"), F.array_sort(F.collect_list(F.when(F.col("is_test") == F.lit(test), place))).alias(name)]
-    grouped = calls.groupBy(F.col("method").alias("member_id")).agg(*side(False, "prod"), *side(True, "test"))
+    calls = facts.calls.join(targets, facts.calls["callee_id"] == targets["id"]).select(F.col("method").alias("member_id"), "path", "line", "col", "context", "containing", "ord")
+    best = calls.groupBy("member_id", "path", "line", "col").agg(F.min_by(F.struct("context", "containing", "ord"), F.struct("ord", "context", "containing")).alias("first"))
+    return best.select("member_id", P.test_path(F.col("path")).alias("is_test"), "path", "line", "col", "first.*")
+
+
+def audit_surface(facts: Facts, type_id: int) -> DataFrame:
+    """Q21: (name, signature, prod_count, test_count, shape, hint, ord, member_id) of the ordinary
+    methods of an interface or class; ``surface_callers`` has the callers that are counted. An
+    interface's methods have no shape."""
+    methods = facts.members.filter((F.col("type_id") == type_id) & (F.col("kind") == "method") & ~F.col("is_implicit"))
+    counts = surface_callers(facts, type_id).groupBy("member_id").agg(F.count_if(~F.col("is_test")).alias("prod_count"), F.count_if("is_test").alias("test_count"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     is_interface = facts.types.filter((F.col("type_id") == type_id) & (F.col("kind") == "interface")).select("type_id").distinct()
     shapes = body_shapes(facts, type_id).join(methods.join(is_interface, "type_id", "left_anti").select("member_id"), "member_id", "left_semi")
-    rows = methods.join(grouped, "member_id", "left").join(shapes, "member_id", "left")
-    return rows.select("name", F.coalesce("signature", "name").alias("signature"), zero("prod_count"), zero("test_count"), "prod", "test", "shape", "hint", "ord")
+    rows = methods.join(counts, "member_id", "left").join(shapes, "member_id", "left")
+    return rows.select("name", F.coalesce("signature", "name").alias("signature"), zero("prod_count"), zero("test_count"), "shape", "hint", "ord", "member_id")
 
 
 def classified_calls(facts: Facts, callers: DataFrame, contexts: DataFrame) -> DataFrame:

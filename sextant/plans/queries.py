@@ -333,6 +333,16 @@ def audit_surface(spark, sf_dir):
     return surface.audit_surface(f, _id(f, CUSTOMER, "type")).select("name", "signature", "prod_count", "test_count", "shape")
 
 
+@query(
+    f"""SELECT DISTINCT 'Order' || o.o_orderkey AS name, FALSE AS is_test, path, line, col, containing FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN li ON li.o_custkey = o.o_custkey AND l_linenumber = 1
+    WHERE c.c_name = '{CUSTOMER}' AND o.o_orderpriority <> '1-URGENT' AND o.o_orderkey = {_FIRST}"""
+)
+def surface_callers(spark, sf_dir):
+    f = _facts(spark, sf_dir)
+    name = f.members.select("member_id", "name")
+    return surface.surface_callers(f, _id(f, CUSTOMER, "type")).join(name, "member_id").select("name", "is_test", "path", "line", "col", "containing")
+
+
 @query(
     f"""SELECT 'Order' || root AS name,
     coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM named WHERE named.root = r.root AND label IS NOT NULL), '') AS calls,

@@ -120,9 +120,15 @@ def _of(numbers: dict) -> str:
     return f"{shown}{f' of {total}' if total else ''} method{'' if shown == 1 else 's'}"
 
 
-def surface(df: DataFrame, symbol: str, is_interface: bool, implementations: list[str], limit: int | None = None, style: str = "compact") -> str:
-    """The methods of a type with their callers."""
+def surface(df: DataFrame, callers: DataFrame, symbol: str, is_interface: bool, implementations: list[str], limit: int | None = None, style: str = "compact") -> str:
+    """The methods of a type with their callers, those of the methods that are shown."""
     rows, numbers = _fetched(df, limit)
+    by_id = {r["member_id"]: r for r in rows}
+    for r in rows:
+        r |= {"prod": [], "test": []}
+    shown = callers.filter(F.col("member_id").isin(list(by_id))) if limit else callers
+    for x in shown.orderBy("member_id", "ord", "path", "line", "col").toLocalIterator():
+        by_id[x.member_id]["test" if x.is_test else "prod"].append(x.asDict())
     if style == "json":
         place = lambda x: {"file": x["path"], "line": x["line"], "column": x["col"], "context": x["context"]}
         methods = [
