@@ -9,13 +9,16 @@ sample that neither view has seen calibrates the views and combines them; the co
 scores every document.
 
 What reaches the driver is bounded: ``labelled`` documents, chosen by a hash of doc_id, and
-``per_round`` pseudo-labels for each view and round. Each round, and the scoring, is one pass over
-the texts; scores are kept as a table, from which the surest are taken.
+``per_round`` pseudo-labels for each view and round. The texts are read once for the vocabulary of
+the labelled documents and once for the features of all, which are kept as a table (places in the
+vocabulary, and numbers); the rounds and the scoring read that table. Scores are a table too, from
+which the surest are taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from sextant.llm._shared import cut, keyed
 LABELLED, ROUNDS, PER_ROUND = 8000, 3, 300
 OUT = "doc_id long, content_score double, metadata_score double, score double, kept boolean"
 _SYMBOL, _DIGIT, _UPPER = (np.isin(np.arange(256), list(s)) for s in (b"#*$%&|<>{}\\^~=_@", b"0123456789", bytes(range(65, 91))))
-_HASHED = 32
+_HASHED = 128
 
 
 def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -49,7 +52,7 @@ def _distinct_share(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, own / np.maximum(n, 1), 1.0)
 
 
-def _metadata(part: pa.RecordBatch, words: K.Words, h: np.ndarray) -> np.ndarray:
+def _metadata(words: K.Words, h: np.ndarray) -> np.ndarray:
     n, size = words.count.astype(float), np.diff(words.off).astype(float)
     least = np.maximum(n, 1)
     lines = _per_doc(words.buf == 10, words.off) + 1
@@ -63,11 +66,20 @@ def _metadata(part: pa.RecordBatch, words: K.Words, h: np.ndarray) -> np.ndarray
         *(_per_doc(t[words.buf], words.off) / np.maximum(size, 1) for t in (_SYMBOL, _DIGIT, _UPPER)),
         _per_doc(same, words.first) / least, _distinct_share(triple, np.searchsorted(triples, words.first)), _distinct_share(h, words.first),
     ]
-    hashed = np.zeros((len(n), 2 * _HASHED))
-    for k, name in enumerate(("lang", "source")):
-        for i, v in enumerate(part.column(name).to_pylist()):
-            hashed[i, k * _HASHED + sum((v or "").encode()) % _HASHED] = 1
-    return np.column_stack([*numeric, hashed])
+    return np.column_stack(numeric)
+
+
+def _hashed(part: pa.RecordBatch) -> np.ndarray:
+    """A place for the language and one for the source."""
+    place = lambda v: crc32((v or "").encode()) % _HASHED
+    return np.column_stack([[place(v) for v in part.column("lang").to_pylist()], [_HASHED + place(v) for v in part.column("source").to_pylist()]]).astype(np.int32).reshape(-1, 2)
+
+
+def _whole(meta: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """All values of the metadata view: the numbers, and a one at each place."""
+    ones = np.zeros((len(meta), 2 * _HASHED))
+    ones[np.arange(len(meta))[:, None], hashed] = 1
+    return np.column_stack([meta, ones])
 
 
 def _views(part: pa.RecordBatch) -> tuple[K.Words, list[np.ndarray], np.ndarray]:
@@ -76,26 +88,41 @@ def _views(part: pa.RecordBatch) -> tuple[K.Words, list[np.ndarray], np.ndarray]
     roll = K.Rolling(words.buf.astype(np.uint64) + np.uint64(1), K.BYTE)
     h = roll(words.start, words.end)
     stems = [K.mix(roll(words.start, np.minimum(words.end, words.start + k)) + np.uint64(k)) for k in (4, 5)]
-    return words, [h, *stems], _metadata(part, words, h)
+    return words, [h, *stems], _metadata(words, h)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in K.slices(batches):
-        words, h, meta = _views(part)
+        words, h, _ = _views(part)
         own = [np.unique(np.concatenate([x[a:b] for x in h])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        yield K.as_batch(doc_id=part.column("doc_id"), words=pa.array([K.signed(w) for w in own], pa.list_(pa.int64())), meta=pa.array(list(meta), pa.list_(pa.float64())))
+        yield K.as_batch(words=pa.array([K.signed(w) for w in own], pa.list_(pa.int64())))
 
 
-def _place_features(vocabulary: np.ndarray):
-    """The same with ascending places in the vocabulary instead of hashes."""
+_PLACED = "doc_id long, n long, words array<int>, meta array<double>, hashed array<int>"
+
+
+def _placed_features(vocabulary: np.ndarray):
+    """What both views see of each document: the ascending places in ``vocabulary`` of what it
+    holds, its numbers, and the places of its language and source."""
+    maybe = np.zeros(1 << 20, bool)
+    maybe[vocabulary >> np.uint64(44)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _features(batches):
-            lists = part.column("words")
-            size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
-            docs = _placed(vocabulary, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size)
-            offsets = np.append(0, np.cumsum(docs.size)).astype(np.int32)
-            yield K.as_batch(doc_id=part.column("doc_id"), words=pa.ListArray.from_arrays(offsets, docs.flat), meta=part.column("meta"))
+        for part in K.slices(batches):
+            words, kinds, meta = _views(part)
+            n, total = part.num_rows, max(len(vocabulary), 1)
+            found = [np.zeros(0, np.int64)]
+            for hashes in kinds if len(vocabulary) else ():
+                some = np.flatnonzero(maybe[hashes >> np.uint64(44)])  # 20 bits tell most others
+                at = np.minimum(np.searchsorted(vocabulary, hashes[some]), len(vocabulary) - 1)
+                good = vocabulary[at] == hashes[some]
+                found.append((np.searchsorted(words.first, some[good], "right") - 1) * total + at[good])
+            pair = np.unique(np.concatenate(found))
+            offsets = np.searchsorted(pair, np.arange(n + 1) * total).astype(np.int32)
+            yield K.as_batch(
+                doc_id=part.column("doc_id").cast(pa.int64()), n=pa.array(words.count, pa.int64()), words=pa.ListArray.from_arrays(offsets, (pair % total).astype(np.int32)),
+                meta=pa.array(list(meta), pa.list_(pa.float64())), hashed=pa.array(list(_hashed(part)), pa.list_(pa.int32())),
+            )
 
     return run
 
@@ -132,20 +159,13 @@ class Docs:
         return Docs(np.append(self.flat, other.flat), np.append(self.size, other.size))
 
 
-def _placed(vocabulary: np.ndarray, flat: np.ndarray, size: np.ndarray) -> Docs:
-    """Documents in terms of the vocabulary, some at a time."""
-    ends, at, kept, parts = np.cumsum(size), 0, [], []
-    for k in range(0, len(size), 256):
-        to = int(ends[min(k + 256, len(size)) - 1])
-        part = flat[at:to]
-        place = np.minimum(np.searchsorted(vocabulary, part), max(0, len(vocabulary) - 1)).astype(np.int32)
-        good = vocabulary[place] == part if len(vocabulary) else np.zeros(len(part), bool)
-        parts.append(place[good])
-        sums = np.append(0, np.cumsum(good))
-        edge = np.append(0, ends[k : k + 256] - at) if k == 0 else np.append(ends[k - 1], ends[k : k + 256]) - at
-        kept.append(np.diff(sums[edge]))
-        at = to
-    return Docs(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(kept) if kept else np.zeros(0, int))
+def _read(rows: pa.RecordBatch | pa.Table) -> tuple[Docs, np.ndarray]:
+    """Rows of the feature table: the words and the metadata."""
+    flat = lambda c: pa.chunked_array([rows.column(c)] if isinstance(rows, pa.RecordBatch) else rows.column(c).chunks, rows.schema.field(c).type).combine_chunks()
+    lists = flat("words")
+    size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
+    meta, hashed = (flat(c).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("meta", "hashed"))
+    return Docs(lists.flatten().to_numpy(zero_copy_only=False), size), _whole(meta, hashed)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -154,10 +174,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 class Head:
     """Logistic model of the presence of the words that tell the classes apart (chi-square over
-    ``least``, found in ``often`` documents at least). Documents are ascending places in ``vocabulary``."""
+    ``least``, found in ``often`` documents at least). Documents are ascending places in a vocabulary
+    of ``total`` words."""
 
-    def __init__(self, vocabulary: np.ndarray, docs: Docs, y: np.ndarray, least: float = 30.0, often: int = 5):
-        n, good, total = len(y), y.sum(), len(vocabulary)
+    def __init__(self, total: int, docs: Docs, y: np.ndarray, least: float = 30.0, often: int = 5):
+        n, good = len(y), y.sum()
         at, of = docs.flat, docs.owner()
         has = np.bincount(at, minlength=total).astype(float)
         a = np.bincount(at, weights=y[of], minlength=total)
@@ -174,12 +195,10 @@ class Head:
             return np.append(np.bincount(at, weights=err[of], minlength=size) + 0.02 * x[:size], err.sum()) / n
 
         self.x = _descend(gradient, np.zeros(size + 1), 300)
-        self.words = vocabulary[pick]
         self.dense = np.zeros(total)
         self.dense[pick] = self.x[:size]
 
     def of(self, docs: Docs) -> np.ndarray:
-        """Logits of training or pool documents."""
         return np.bincount(docs.owner(), weights=self.dense[docs.flat], minlength=len(docs)) + self.x[-1]
 
 
@@ -187,50 +206,16 @@ class Content:
     """A head for each reason to reject a document, quality and toxicity; a document is as good
     as its worse reason. Unknown labels are NaN; a reason that has one class only is left out."""
 
-    def __init__(self, vocabulary: np.ndarray, docs: Docs, labels: np.ndarray):
+    def __init__(self, total: int, docs: Docs, labels: np.ndarray):
         self.heads = []
         for y in labels.T:
             known = np.flatnonzero(~np.isnan(y))
             if len(known) and y[known].min() < y[known].max():
-                self.heads.append(Head(vocabulary, docs.take(known), y[known]))
+                self.heads.append(Head(total, docs.take(known), y[known]))
 
     def of(self, docs: Docs) -> np.ndarray:
         return np.min([h.of(docs) for h in self.heads], axis=0)
 
-    def slim(self) -> Slim:
-        words = np.unique(np.concatenate([h.words for h in self.heads]))
-        weights = np.zeros((len(words), len(self.heads)))
-        for k, h in enumerate(self.heads):
-            weights[np.searchsorted(words, h.words), k] = h.x[:-1]
-        return Slim(words, weights, np.array([h.x[-1] for h in self.heads]))
-
-
-class Slim:
-    """What scorers need of a content view: the chosen words of all heads, and their weights in each."""
-
-    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.words, self.weights, self.bias = words, weights, bias
-        self.maybe: np.ndarray | None = None
-
-    def logit(self, kinds: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-        """Logits from ``kinds`` of hashes of the words of whole documents; a hash counts once in
-        each document."""
-        n = len(first) - 1
-        if not len(self.words):
-            return np.full(n, self.bias.min())
-        if self.maybe is None:  # most words are no chosen ones: 20 bits tell
-            self.maybe = np.zeros(1 << 20, bool)
-            self.maybe[self.words >> np.uint64(44)] = True
-        found = []
-        for hashes in kinds:
-            some = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
-            at = np.minimum(np.searchsorted(self.words, hashes[some]), len(self.words) - 1)
-            good = self.words[at] == hashes[some]
-            found.append((np.searchsorted(first, some[good], "right") - 1) * len(self.words) + at[good])
-        pair = np.unique(np.concatenate(found))
-        doc, word = pair // len(self.words), pair % len(self.words)
-        return np.min([np.bincount(doc, weights=w[word], minlength=n) + b for w, b in zip(self.weights.T, self.bias, strict=True)], axis=0)
-
 
 class Metadata:
     """Logistic model of standardised values and their squares."""
@@ -253,18 +238,19 @@ class Views:
     """Both views as trained on the labelled documents and what each has received. What the metadata
     rejects is of low quality; it cannot tell toxicity."""
 
-    def __init__(self, vocabulary: np.ndarray, docs: Docs, meta: np.ndarray, labels: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, given: list[dict[int, float]]):
+    def __init__(self, total: int, docs: Docs, meta: np.ndarray, labels: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, given: list[dict[int, float]]):
         y = labels.min(axis=1)
         more = [(1.0, 1.0) if good else (0.0, np.nan) for good in given[0].values()]
-        self.content = Content(vocabulary, docs + fresh.take(list(given[0])), np.vstack([labels, np.array(more).reshape(-1, 2)]))
+        self.content = Content(total, docs + fresh.take(list(given[0])), np.vstack([labels, np.array(more).reshape(-1, 2)]))
         self.metadata = Metadata(np.vstack([meta, fresh_meta[list(given[1])]]) if given[1] else meta, np.append(y, list(given[1].values())))
 
 
-def _scored(content: Slim, metadata: Metadata):
+def _scored(content: Content, metadata: Metadata):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches):
-            words, h, meta = _views(part)
-            yield K.as_batch(doc_id=part.column("doc_id"), content=content.logit(h, words.first), metadata=metadata.logit(meta))
+        for batch in batches:
+            if batch.num_rows:
+                docs, meta = _read(batch)
+                yield K.as_batch(doc_id=batch.column("doc_id"), content=content.of(docs), metadata=metadata.logit(meta))
 
     return run
 
@@ -285,8 +271,8 @@ class CoTrained:
     """Views after the last exchange, calibrated on the documents that neither has learned from."""
 
     def __init__(self, views: Views, docs: Docs, meta: np.ndarray, y: np.ndarray):
-        self.content, self.metadata = views.content.slim(), views.metadata
-        both = self._joined(views.content.of(docs), self.metadata.logit(meta))
+        self.content, self.metadata = views.content, views.metadata
+        both = self._joined(self.content.of(docs), self.metadata.logit(meta))
         ones = np.ones(len(y))
         fit = lambda z: _descend(lambda x: (z.T @ (_sigmoid(z @ x) - y)) / len(y) + 1e-4 * x, np.zeros(z.shape[1]), 500)
         self.calibration = [fit(np.column_stack([both[:, k], ones])) for k in (0, 1)]
@@ -309,33 +295,30 @@ def _chosen(docs: DataFrame, ids: list[int]) -> DataFrame:
 
 def _vocabulary(docs: DataFrame, ids: list[int], often: int = 5) -> np.ndarray:
     """The hashes that ``often`` of the given documents have, ascending."""
-    words = _chosen(docs, ids).mapInArrow(_features, "doc_id long, words array<long>, meta array<double>").select(F.explode("words").alias("word"))
+    words = _chosen(docs, ids).mapInArrow(_features, "words array<long>").select(F.explode("words").alias("word"))
     found = words.groupBy("word").count().filter(F.col("count") >= often).select("word").toArrow()
     return np.sort(found.column("word").to_numpy().view(np.uint64))
 
 
-def _fetched(docs: DataFrame, ids: list[int], vocabulary: np.ndarray) -> tuple[dict[int, int], Docs, np.ndarray]:
-    """Features of the given documents: the place of each, its words and its metadata. Words that
-    the vocabulary has not stay where they are."""
-    table = _chosen(docs, ids).mapInArrow(_place_features(vocabulary), "doc_id long, words array<int>, meta array<double>").toArrow()
-    lists = table.column("words").combine_chunks()
-    meta = table.column("meta").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-    size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
-    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, Docs(lists.flatten().to_numpy(zero_copy_only=False), size), meta
+def _fetched(features: DataFrame, ids: list[int]) -> tuple[dict[int, int], Docs, np.ndarray]:
+    """Rows of the feature table: the place of each, its words and its metadata."""
+    table = _chosen(features, ids).select("doc_id", "words", "meta", "hashed").toArrow()
+    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, *_read(table)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | float:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[CoTrained | float, DataFrame]:
     """The model, or the share of good documents where the labels name fewer than 20 documents
-    or one class only. Good is quality 1 and not toxic; a null quality is no label; of repeated
+    or one class only, and the table of all documents' features. Good is quality 1 and not toxic; a null quality is no label; of repeated
     labels the worst counts. The content view's vocabulary is that of the labelled documents."""
     judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("if(quality = 1, 1, 0)")).alias("fine"), F.min(F.expr("if(coalesce(toxic, 0) = 0, 1, 0)")).alias("civil"))
     judged = cut(judged.join(docs.select("doc_id"), "doc_id", "left_semi"))
     sample = {r.doc_id: (r.fine, r.civil) for r in judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
     known = np.array(list(sample.values()), float).reshape(-1, 2)
     if len(known) < 20 or known.min(axis=1).min() == known.min(axis=1).max():
-        return float(known.min(axis=1).mean()) if len(known) else 1.0
+        return float(known.min(axis=1).mean()) if len(known) else 1.0, cut(docs.mapInArrow(_placed_features(np.zeros(0, np.uint64)), _PLACED))
     vocabulary = _vocabulary(docs, list(sample))
-    at, words, meta = _fetched(docs, list(sample), vocabulary)
+    features, total = cut(docs.mapInArrow(_placed_features(vocabulary), _PLACED)), len(vocabulary)
+    at, words, meta = _fetched(features, list(sample))
     own = np.array([at[i] for i in sample])
     train, held = own[np.arange(len(own)) % 3 != 2], own[np.arange(len(own)) % 3 == 2]
     is_train = np.arange(len(own)) % 3 != 2
@@ -344,9 +327,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     place: dict[int, int] = {}  # of the documents that any view has received
     fresh, fresh_meta = words.take([]), meta[:0]
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
-    views = Views(vocabulary, *base, fresh, fresh_meta, [{}, {}])
+    views = Views(total, *base, fresh, fresh_meta, [{}, {}])
     for _ in range(rounds):
-        scores = cut(docs.mapInArrow(_scored(views.content.slim(), views.metadata), "doc_id long, content double, metadata double").join(judged, "doc_id", "left_anti"))
+        scores = cut(features.mapInArrow(_scored(views.content, views.metadata), "doc_id long, content double, metadata double").join(judged, "doc_id", "left_anti"))
         new = [surest(scores, view, share, list(given[1 - view]), per_round) for view in (0, 1)]
         if not any(new):
             break
@@ -354,11 +337,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
             given[1 - view].update(new[view])
         wanted = sorted((set(new[0]) | set(new[1])) - set(place))
         if wanted:
-            at, more, more_meta = _fetched(docs, wanted, vocabulary)
+            at, more, more_meta = _fetched(features, wanted)
             place.update((i, len(fresh) + at[i]) for i in wanted)
             fresh, fresh_meta = fresh + more, np.vstack([fresh_meta, more_meta])
-        views = Views(vocabulary, *base, fresh, fresh_meta, [{place[i]: label for i, label in g.items()} for g in given])
-    return CoTrained(views, words.take(held), meta[held], known[~is_train].min(axis=1))
+        views = Views(total, *base, fresh, fresh_meta, [{place[i]: label for i, label in g.items()} for g in given])
+    return CoTrained(views, words.take(held), meta[held], known[~is_train].min(axis=1)), features
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -370,14 +353,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     are left out; of rows that share a doc_id the one with the greatest (text, lang, source)
     stays; other columns are not read.
     """
-    rows = keyed(docs, "doc_id", "text", "lang", "source")
-    model = fit(rows, labels, **options)
+    model, features = fit(keyed(docs, "doc_id", "text", "lang", "source"), labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches):
-            words, h, meta = _views(part)
-            scores = model.scores(model.content.logit(h, words.first), model.metadata.logit(meta)) if isinstance(model, CoTrained) else [np.full(part.num_rows, model)] * 3
-            content, metadata, score = (np.where(words.count > 0, s, 0.0) for s in scores)
-            yield K.as_batch(doc_id=part.column("doc_id"), content_score=content, metadata_score=metadata, score=score, kept=(score >= threshold) & (words.count > 0))
-
-    return rows.mapInArrow(run, OUT)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = batch.column("n").to_numpy() > 0
+            if isinstance(model, CoTrained):
+                docs, meta = _read(batch)
+                scores = model.scores(model.content.of(docs), model.metadata.logit(meta))
+            else:
+                scores = [np.full(batch.num_rows, model)] * 3
+            content, metadata, score = (np.where(some, s, 0.0) for s in scores)
+            yield K.as_batch(doc_id=batch.column("doc_id"), content_score=content, metadata_score=metadata, score=score, kept=(score >= threshold) & some)
+
+    return features.mapInArrow(run, OUT)
