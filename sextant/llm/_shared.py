@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators.graph import connected
+from sextant.operators.graph import connected, matched
 from sextant.plans.store import cut, shared_folder
 
-__all__ = ["components", "cut", "keyed", "shared_folder"]
+__all__ = ["components", "cut", "keyed", "matched", "shared_folder"]
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

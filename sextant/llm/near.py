@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm import _tokens as K
-from sextant.llm._shared import components, cut, keyed
+from sextant.llm._shared import components, cut, keyed, matched
 
 BANDS, ROWS, SHINGLE, SALTS, DEALT, PREFIX = 40, 5, 5, 16, 512, 24
 _STEP = 0x9E3779B97F4A7C15
@@ -221,18 +221,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     texts = keyed(docs, "doc_id", "text")
     signed = cut(texts.mapInArrow(_signed_rows(bands, rows), "doc_id long, n long, set_a long, set_b long, keys array<long>"))
     same = ["n", "set_a", "set_b"]
-    classes = cut(signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    classes = cut(signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     single = signed.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     member = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = member.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1")
-    member = cut(member.join(shared, "key"))
+    shared = cut(member.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1"))
+    member = cut(matched(member, shared, ["key"], "size", "id"))
     degree = member.groupBy("id").agg(F.sum(F.col("size") - 1).alias("degree"))
-    centre = member.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
-    star = member.join(centre.select("key", (-F.col("top.minus")).alias("other")), "key").filter("id <> other").select("id", "other").distinct()
+    centre = member.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"), F.max("size").alias("asked"))
+    centre = cut(centre.select("key", (-F.col("top.minus")).alias("other"), "asked"))
+    star = cut(matched(member, centre, ["key"], "asked", "id").filter("id <> other").select("id", "other").distinct())
 
     # a centre may have a third of all members: they are dealt out over copies of its text
-    star = star.join(star.groupBy("other").agg(F.expr(f"cast(1 + count(*) div {DEALT} as int)").alias("copies")), "other")
+    often = cut(star.groupBy("other").agg(F.count("*").alias("asked")))
+    star = matched(star, often, ["other"], "asked", "id").withColumn("copies", F.expr(f"cast(1 + asked div {DEALT} as int)")).select("id", "other", "copies")
     star = cut(star.withColumn("salt", F.expr("cast(pmod(xxhash64(id), copies) as int)")))
     ends = star.select("other", "copies").distinct().join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_other")), "other")
     ends = ends.select("other", "text_other", F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
@@ -248,9 +250,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     if not members.isEmpty():
         labels = components(links.union(_across(members, percent)))
 
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("doc_id", *same).join(named, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
+    named = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"), "copies"))
+    out = matched(signed.filter("n > 0").select("doc_id", *same), named, same, "copies", "doc_id").select("doc_id", "n", "component_id")
+    out = out.union(signed.filter("n = 0").select("doc_id", "n", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.expr("doc_id = component_id"))
 
 
 ORACLE = r"""

@@ -137,3 +137,21 @@ def test_oracle(spark, same):
 
     sf = "/root/testdata/sf0.001"
     same(QUERIES["op4_minhash_near_dedup"](spark, sf), ORACLES["op4_minhash_near_dedup"], sf_dir=sf)
+
+
+def test_a_third_in_one_band_and_one_class(spark, monkeypatch):
+    """A third of all documents are copies of one text, another third are near it: the keys they share
+    are dealt out, and the result stays."""
+    from sextant.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 20)
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(500)}" for _ in range(120)]
+    rows = [(i, " ".join(base)) for i in range(100)]
+    for i in range(100, 200):
+        w = list(base)
+        w[rnd.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(f"x{rnd.randrange(500)}" for _ in range(60))) for i in range(200, 290)] + [(290, None), (291, "")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, i == 0) if i < 200 else (i, True) for i, _ in rows}
