@@ -29,7 +29,7 @@ SUPPLIER, CUSTOMER = "Supplier#000000001", "Customer#000000001"
 
 _PRE = f"""
 li AS (SELECT l.*, o_custkey, o_orderstatus, o_orderpriority, o_totalprice, c_name, c_mktsegment, n_name, r_name, s_name, p_brand, {star.ORD} AS ord, 'Web/' || c_name || '.cs' AS path,
-         CAST(l_orderkey AS INTEGER) AS line, l_linenumber AS col, c_name || '.Order' || l_orderkey AS containing, s_name || ' ' || p_brand AS context
+         CAST(l_orderkey % 2147483647 AS INTEGER) AS line, l_linenumber AS col, c_name || '.Order' || l_orderkey AS containing, s_name || ' ' || p_brand AS context
        FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 places AS (SELECT r_name AS name, r_name AS display, 'interface' AS kind, NULL AS ns, 'Core' AS folder, {star.REGION} + r_regionkey AS id FROM region
@@ -117,7 +117,7 @@ def references(spark, sf_dir):
 
 
 _CALLS = f"""
-calls AS (SELECT {star.SHIP} + src AS caller, {star.SHIP} + dst AS callee, 'Services/' || s_name || '.cs' AS path, CAST(l_orderkey AS INTEGER) AS line, l_linenumber AS col, 'line ' || l_linenumber AS context, s_name || '.Ship' AS containing, ord
+calls AS (SELECT {star.SHIP} + src AS caller, {star.SHIP} + dst AS callee, 'Services/' || s_name || '.cs' AS path, CAST(l_orderkey % 2147483647 AS INTEGER) AS line, l_linenumber AS col, 'line ' || l_linenumber AS context, s_name || '.Ship' AS containing, ord
             FROM links JOIN supplier ON src = s_suppkey
           UNION ALL SELECT {star.ORDER} + l_orderkey, CASE l_linenumber WHEN 1 THEN {star.ORDER} + (SELECT min(o_orderkey) FROM orders x WHERE x.o_custkey = li.o_custkey) WHEN 7 THEN {star.SHIP} + l_suppkey END, path, line, col, context, containing, ord FROM li)"""
 
@@ -155,7 +155,7 @@ def inheritors(spark, sf_dir):
 
 @query(
     f"""SELECT 'Web/' || c_name || '.cs' AS path, line, col, context, c_name AS containing FROM
-    (SELECT c_name, CAST(o_orderkey AS INTEGER) AS line, 1 AS col, CASE o_orderstatus WHEN 'F' THEN 'public' WHEN 'O' THEN 'private' ELSE 'internal' END || CASE WHEN o_totalprice > 300000 THEN ' static' ELSE '' END
+    (SELECT c_name, CAST(o_orderkey % 2147483647 AS INTEGER) AS line, 1 AS col, CASE o_orderstatus WHEN 'F' THEN 'public' WHEN 'O' THEN 'private' ELSE 'internal' END || CASE WHEN o_totalprice > 300000 THEN ' static' ELSE '' END
        || CASE WHEN o_totalprice < 50000 THEN ' virtual' ELSE '' END || ' Order' || o_orderkey || '() -> ' || o_orderpriority AS context
      FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')
      UNION ALL SELECT c_name, 1, 5, 'private _db' FROM customer UNION ALL SELECT c_name, 2, 5, 'private _cache' FROM customer) WHERE c_name = '{CUSTOMER}'"""
@@ -274,7 +274,7 @@ def service_map(spark, sf_dir):
 
 
 @query(
-    """SELECT 'Web/' || c_name || '.cs' AS path, CAST(o_orderkey AS INTEGER) AS line, 1 AS col, '[' || verb || '] Order' || o_orderkey || ' — missing [' || rule || ']' AS context, c_name AS containing, rule FROM
+    """SELECT 'Web/' || c_name || '.cs' AS path, CAST(o_orderkey % 2147483647 AS INTEGER) AS line, 1 AS col, '[' || verb || '] Order' || o_orderkey || ' — missing [' || rule || ']' AS context, c_name AS containing, rule FROM
     (SELECT *, CASE o_orderpriority WHEN '2-HIGH' THEN 'HttpPost' WHEN '3-MEDIUM' THEN 'HttpPut' WHEN '5-LOW' THEN 'HttpDelete' END AS verb
      FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')) m
     JOIN (VALUES ('Authorize'), ('ValidateAntiForgeryToken')) r(rule) ON (rule = 'Authorize' AND verb IS NOT NULL) OR (rule <> 'Authorize' AND verb = 'HttpPost' AND o_totalprice <= 300000)""",
@@ -285,7 +285,7 @@ def audit_auth(spark, sf_dir):
 
 
 @query(
-    f"""SELECT 'Web/' || c_name || '.cs' AS path, CAST(o_orderkey AS INTEGER) AS line, 1 AS col, 'Order' || o_orderkey || ' — SaveChangesAsync without cache eviction' AS context, c_name AS containing, 'cache' AS rule
+    f"""SELECT 'Web/' || c_name || '.cs' AS path, CAST(o_orderkey % 2147483647 AS INTEGER) AS line, 1 AS col, 'Order' || o_orderkey || ' — SaveChangesAsync without cache eviction' AS context, c_name AS containing, 'cache' AS rule
     FROM orders o JOIN customer ON o_custkey = c_custkey
     WHERE o_orderpriority <> '1-URGENT' AND c_mktsegment IN ('AUTOMOBILE', 'FURNITURE') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 2)
       AND (c_acctbal >= 0 OR EXISTS (SELECT 1 FROM li x WHERE x.o_custkey = o.o_custkey AND x.o_orderpriority = '1-URGENT' AND l_linenumber = 7))

@@ -18,7 +18,12 @@ from sextant.plans.store import cut
 
 #: first id of each kind of symbol
 REGION, NATION, SUPPLIER, CUSTOMER, ORDER, SHIP, FIELD = (k * 1_000_000_000_000 for k in range(1, 8))
-ORD = "((l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey) * 16384 + l_suppkey"
+#: order of line items by order and number, those that share both told apart by part and supplier; 63 bits
+#: up to order 2**40
+ORD = "(l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 8191 + l_suppkey) % 1048576"
+CALL = "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+#: lines are INT
+LINE = "cast({} % 2147483647 as int)"
 PLAIN = "cast(null as string) accessibility, false is_static, false is_abstract, false is_virtual, false is_override, false is_sealed, false is_readonly"
 
 
@@ -41,17 +46,17 @@ def lines(t: dict[str, DataFrame]) -> DataFrame:
         t["lineitem"].join(t["orders"], t["lineitem"]["l_orderkey"] == t["orders"]["o_orderkey"]).join(t["customer"], t["orders"]["o_custkey"] == t["customer"]["c_custkey"])
         .join(t["nation"], t["customer"]["c_nationkey"] == t["nation"]["n_nationkey"]).join(t["region"], t["nation"]["n_regionkey"] == t["region"]["r_regionkey"])
         .join(t["supplier"].select("s_suppkey", "s_name"), t["lineitem"]["l_suppkey"] == t["supplier"]["s_suppkey"]).join(t["part"].select("p_partkey", "p_brand"), t["lineitem"]["l_partkey"] == t["part"]["p_partkey"])
-        .selectExpr("*", f"{ORD} ord", "concat('Web/', c_name, '.cs') path", "cast(l_orderkey as int) line", "l_linenumber col", "concat(c_name, '.Order', l_orderkey) containing", "concat(s_name, ' ', p_brand) context", f"{ORDER} + l_orderkey order_id", f"{CUSTOMER} + o_custkey customer_id")
+        .selectExpr("*", f"{ORD} ord", "concat('Web/', c_name, '.cs') path", f"{LINE.format('l_orderkey')} line", "l_linenumber col", "concat(c_name, '.Order', l_orderkey) containing", "concat(s_name, ' ', p_brand) context", f"{ORDER} + l_orderkey order_id", f"{CUSTOMER} + o_custkey customer_id")
     )
 
 
 def supplier_edges(t: dict[str, DataFrame]) -> DataFrame:
-    """(src, dst, l_orderkey, l_linenumber, ord): line ``l_linenumber`` of an order from supplier
+    """(src, dst, l_orderkey, l_linenumber, ord, call_id): line ``l_linenumber`` of an order from supplier
     src is followed by one from supplier dst."""
     li = t["lineitem"]
-    a = li.selectExpr("l_orderkey", "l_linenumber + 1 next_line", "l_linenumber", "l_suppkey src", f"{ORD} ord")
+    a = li.selectExpr("l_orderkey", "l_linenumber + 1 next_line", "l_linenumber", "l_suppkey src", f"{ORD} ord", f"{CALL} call_id")
     b = li.selectExpr("l_orderkey", "l_linenumber next_line", "l_suppkey dst")
-    return a.join(b, ["l_orderkey", "next_line"]).filter("src <> dst").select("src", "dst", "l_orderkey", "l_linenumber", "ord")
+    return a.join(b, ["l_orderkey", "next_line"]).filter("src <> dst").select("src", "dst", "l_orderkey", "l_linenumber", "ord", "call_id")
 
 
 def leading_edges(t: dict[str, DataFrame]) -> DataFrame:
@@ -95,7 +100,7 @@ def keyed_facts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         f"{ORDER} + o_orderkey member_id", f"{CUSTOMER} + o_custkey type_id", "if(o_orderpriority = '1-URGENT', 'constructor', 'method') kind", "concat('Order', o_orderkey) name", f"concat({ns}, '.', c_name, '.Order', o_orderkey) display",
         "concat('Order', o_orderkey, '() -> ', o_orderpriority) signature", "o_orderpriority value_type", "false is_implicit", "o_orderpriority = '5-LOW' and o_orderstatus = 'P' is_accessor", "true has_body", "cast(1 + coalesce(n_large, 0) as int) cyclomatic", "cast(coalesce(n_lines, 0) as int) n_calls",
         "o_totalprice > 400000 multi_init", "case o_orderstatus when 'F' then 'public' when 'O' then 'private' else 'internal' end accessibility", "o_totalprice > 300000 is_static", "false is_abstract", "o_totalprice < 50000 is_virtual", "false is_override", "false is_sealed", "false is_readonly",
-        "concat('Web/', c_name, '.cs') path", "cast(o_orderkey as int) line", "1 col", "concat('Order', o_orderkey) context", "o_orderkey ord", "o_orderkey _key",
+        "concat('Web/', c_name, '.cs') path", f"{LINE.format('o_orderkey')} line", "1 col", "concat('Order', o_orderkey) context", "o_orderkey ord", "o_orderkey _key",
     )
     held = "stack(2, 0, '_db', if(c_acctbal >= 0, 'AppDbContext', 'int'), 1, '_cache', if(c_mktsegment in ('AUTOMOBILE', 'FURNITURE'), 'IMemoryCache', 'string')) as (k, name, value_type)"
     fields = customer.selectExpr("*", held).selectExpr(f"{FIELD} + c_custkey * 2 + k member_id", f"{CUSTOMER} + c_custkey type_id", "'field' kind", "name", "concat(c_name, '.', name) display", "false is_implicit", "false is_accessor", "false has_body", "'private' accessibility", "k = 1 is_readonly", "false is_static", "concat('Web/', c_name, '.cs') path", "cast(k + 1 as int) line", "5 col", "name context", "value_type", "cast(k as bigint) ord")
@@ -105,10 +110,10 @@ def keyed_facts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     params = li.selectExpr("l_orderkey _key", "order_id member_id", "cast(l_linenumber as int) ordinal", "concat('p', l_returnflag, l_linestatus) name", "case when l_linenumber = 7 then 'AppDbContext' else s_name end type_display", "if(l_returnflag = 'R', 'interface', 'class') type_kind", f"case when l_linenumber <> 7 then {SUPPLIER} + l_suppkey end declared_id", "path", "line", "col", "context", "ord")
     refs = li.selectExpr("l_orderkey _key", f"{SUPPLIER} + l_suppkey target_id", "'type' target_kind", "containing", "case l_returnflag when 'A' then array('block', 'parameter', 'method') when 'N' then array('field', 'type') else array('argument', 'new', 'method') end kinds", f"{ns} namespace", "l_linestatus = 'O' in_type", "path", "line", "col", "context", "ord")
     edges = supplier_edges(t).join(t["supplier"].selectExpr("s_suppkey src", "s_name src_name"), "src")
-    calls = edges.selectExpr("l_orderkey _key", "ord call_id", f"{SHIP} + src caller_id", f"{SHIP} + dst callee_id", "'member' form", "'Ship' name", "concat(src_name, '.Ship') containing", "concat('Services/', src_name, '.cs') path", "cast(l_orderkey as int) line", "l_linenumber col", "concat('line ', l_linenumber) context", "ord")
+    calls = edges.selectExpr("l_orderkey _key", "call_id", f"{SHIP} + src caller_id", f"{SHIP} + dst callee_id", "'member' form", "'Ship' name", "concat(src_name, '.Ship') containing", "concat('Services/', src_name, '.cs') path", f"{LINE.format('l_orderkey')} line", "l_linenumber col", "concat('line ', l_linenumber) context", "ord")
     least = t["orders"].groupBy("o_custkey").agg({"o_orderkey": "min"}).withColumnRenamed("min(o_orderkey)", "first_order").withColumnRenamed("o_custkey", "k")
     body = li.join(least, li["o_custkey"] == least["k"]).selectExpr(
-        "l_orderkey _key", "ord call_id", "order_id caller_id", f"case l_linenumber when 1 then {ORDER} + first_order when 7 then {SHIP} + l_suppkey end callee_id", "if(l_linenumber = 1, 'bare', 'member') form",
+        "l_orderkey _key", f"{CALL} call_id", "order_id caller_id", f"case l_linenumber when 1 then {ORDER} + first_order when 7 then {SHIP} + l_suppkey end callee_id", "if(l_linenumber = 1, 'bare', 'member') form",
         "case l_linenumber when 1 then concat('Order', first_order) when 2 then 'SaveChangesAsync' when 3 then 'Remove' when 4 then 'ExecuteDeleteAsync' when 5 then 'HasDefaultValue' when 6 then if(l_returnflag = 'A', 'HasConversion', 'Where') else 'Ship' end name",
         "case l_linenumber when 2 then '_db' when 3 then if(l_returnflag = 'A', '_cache', 'set') when 4 then 'set' when 7 then '_repo' end receiver",
         "case l_linenumber when 2 then 'AppDbContext' when 3 then if(l_returnflag = 'A', 'IMemoryCache', concat('DbSet<', p_brand, '>')) when 7 then if(l_returnflag = 'N', 'BrandService', 'BrandRepository') end receiver_type",

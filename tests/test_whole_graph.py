@@ -58,3 +58,17 @@ def test_defaults_of_chain_and_map(spark):
     found = QUERIES["service_map"](spark, SF).join(place, "path").selectExpr("split(namespace, '[.]')[0] r").distinct().collect()
     want = {r[0] for r in duckdb.sql(regions).fetchall()}
     assert len(want) > 1 and {r.r for r in found} == want
+
+
+def test_keys_of_very_large_tables(spark):
+    """Order, part and supplier keys beyond 32 bits: the same facts, shifted."""
+    t = star.tables(spark, SF)
+    plus = lambda df, **by: df.selectExpr(*(f"cast({c} + {by[c]}L as bigint) {c}" if c in by else c for c in df.columns))
+    far, part, sup = 3 << 37, 1 << 34, 1 << 29
+    big = {**t, "lineitem": plus(t["lineitem"], l_orderkey=far, l_partkey=part, l_suppkey=sup), "orders": plus(t["orders"], o_orderkey=far), "part": plus(t["part"], p_partkey=part), "supplier": plus(t["supplier"], s_suppkey=sup)}
+    small, large = star.keyed_facts(t), star.keyed_facts(big)
+    for name in ("params", "refs", "calls", "members", "type_uses"):
+        assert large[name].count() == small[name].count(), name
+    assert large["calls"].select("call_id").distinct().count() == small["calls"].select("call_id").distinct().count()
+    first = lambda f: [r.name for r in f["params"].orderBy("ord", "ordinal").select("name").limit(50).collect()]
+    assert len(first(large)) == 50
