@@ -167,7 +167,8 @@ def snapshot(facts: Facts, commit: str = "", committed: str = "") -> DataFrame:
 def snapshot_record(facts: Facts, solution: str = "", commit: str = "", committed: str = "") -> DataFrame:
     """Q15: the 27 fields of a snapshot, in their order; sizes of tests are those of the test projects."""
     tests = facts.files.filter(P.test_project(F.col("project"), specs=True) & ~P.excluded_path(F.col("path")))
-    tests = tests.select(F.lower("path").alias("key"), "loc").dropDuplicates(["key"]).agg(F.count("*").cast("long").alias("files_test"), F.coalesce(F.sum("loc"), F.lit(0)).cast("long").alias("loc_test"))
+    tests = first_of(tests.select(F.lower("path").alias("key"), "loc", F.struct("project_ord", "file_ord").alias("o")), "key", order="o")
+    tests = tests.agg(F.count("*").cast("long").alias("files_test"), F.coalesce(F.sum("loc"), F.lit(0)).cast("long").alias("loc_test"))
     one = snapshot(facts, commit, committed).crossJoin(tests)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias

@@ -39,8 +39,8 @@ places AS (SELECT r_name AS name, r_name AS display, 'interface' AS kind, NULL A
 """
 
 
-_LINKS = """
-links AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, a.l_orderkey, a.l_linenumber, ((a.l_orderkey * 8 + a.l_linenumber) * 2097152 + a.l_partkey) * 16384 + a.l_suppkey AS ord
+_LINKS = f"""
+links AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, a.l_orderkey, a.l_linenumber, {star.ORD.replace('l_', 'a.l_')} AS ord
           FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
           WHERE a.l_suppkey <> b.l_suppkey),
 v AS (SELECT s_suppkey AS id FROM supplier)"""
@@ -534,6 +534,40 @@ def snapshot_leading(spark, sf_dir):
     return metrics.graph_snapshot(*_graph(spark, sf_dir, True))
 
 
+_CODE = f"""
+links AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey),
+lead AS (SELECT src, dst FROM (SELECT src, dst, rank() OVER (PARTITION BY src ORDER BY count(*) DESC) AS r FROM links GROUP BY src, dst) WHERE r = 1),
+cw AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 'Web/obj/' WHEN c_mktsegment = 'MACHINERY' THEN 'Web.Tests/' ELSE 'Web/' END || c_name || '.cs' AS path, c_mktsegment = 'MACHINERY' AS test, c_acctbal < 0 AS gen FROM customer),
+sw AS (SELECT *, 'Services/' || s_name || '.cs' AS path FROM supplier),
+v AS (SELECT path AS id, CAST(trunc(abs(s_acctbal)) AS BIGINT) AS loc FROM sw UNION ALL SELECT path, CAST(trunc(abs(c_acctbal)) AS BIGINT) FROM cw WHERE NOT test AND NOT gen),
+e AS (SELECT cw.path AS src, sw.path AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cw ON o_custkey = c_custkey JOIN sw ON l_suppkey = s_suppkey WHERE NOT test AND NOT gen
+      UNION SELECT x.path, y.path FROM lead JOIN sw x ON src = x.s_suppkey JOIN sw y ON dst = y.s_suppkey)"""
+
+
+@query("SELECT src, dst FROM e", _CODE)
+def file_graph(spark, sf_dir):
+    return metrics.file_graph(star.code_base(spark, sf_dir))[1]
+
+
+@query(
+    """SELECT '2024-01-02' AS commit_date, 'abc' AS "commit", 'Shop' AS solution, CAST((SELECT sum(loc) FROM v) AS BIGINT) AS loc_prod, (SELECT CAST(sum(trunc(abs(c_acctbal))) AS BIGINT) FROM cw WHERE test AND NOT gen) AS loc_test,
+    (SELECT count(*) FROM v) AS files_prod, (SELECT count(*) FROM cw WHERE test AND NOT gen) AS files_test, (SELECT count(*) FROM ty WHERE kind = 'class') AS classes, (SELECT count(*) FROM ty WHERE kind = 'interface') AS interfaces,
+    round((SELECT avg(n) FROM r), 6) AS avg_reach, (SELECT CAST(quantile_disc(n, 0.95) AS BIGINT) FROM r) AS p95_reach, (SELECT max(n) FROM r) AS max_reach, (SELECT id FROM r ORDER BY n DESC, id LIMIT 1) AS max_reach_file,
+    round((SELECT coalesce(max(size), 0) FROM s WHERE size > 1) / (SELECT count(*) FROM v), 6) AS core_size_pct, (SELECT coalesce(max(size), 0) FROM s WHERE size > 1) AS core_file_count, (SELECT count(*) FROM s WHERE size > 1) AS cycle_count,
+    round((SELECT avg(n) FROM f), 6) AS avg_fan_out, (SELECT max(n) FROM f) AS max_fan_out, (SELECT id FROM f ORDER BY n DESC, id LIMIT 1) AS max_fan_out_file,
+    round((SELECT avg(cc) FROM m), 6) AS avg_cyclomatic, (SELECT CAST(quantile_disc(cc, 0.95) AS BIGINT) FROM m) AS p95_cyclomatic, (SELECT CAST(max(cc) AS BIGINT) FROM m) AS max_cyclomatic, (SELECT name FROM m ORDER BY cc DESC, ord LIMIT 1) AS max_cyclomatic_method,
+    round((SELECT avg(lines) FROM ty), 6) AS avg_class_loc, (SELECT CAST(quantile_disc(lines, 0.95) AS BIGINT) FROM ty) AS p95_class_loc, (SELECT CAST(max(lines) AS BIGINT) FROM ty) AS max_class_loc, (SELECT name FROM ty ORDER BY lines DESC, ord LIMIT 1) AS max_class_loc_name""",
+    f"""{_CODE}, {_REACH}, {_SIZES},
+    ty AS (SELECT 'interface' AS kind, r_name AS name, 1 AS lines, {star.REGION} + r_regionkey AS ord FROM region UNION ALL SELECT 'class', n_name, 1, {star.NATION} + n_nationkey FROM nation
+           UNION ALL SELECT 'class', s_name, CAST(trunc(1 + abs(s_acctbal) / 10) AS BIGINT), {star.SUPPLIER} + s_suppkey FROM supplier UNION ALL SELECT 'class', c_name, CAST(trunc(1 + abs(c_acctbal) / 10) AS BIGINT), {star.CUSTOMER} + c_custkey FROM cw WHERE NOT test AND NOT gen),
+    m AS (SELECT c_name || '.' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'ctor' ELSE 'Order' || o_orderkey END AS name, 1 + (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25) AS cc, o_orderkey AS ord FROM orders JOIN cw ON o_custkey = c_custkey WHERE NOT test AND NOT gen
+          UNION ALL SELECT s_name || '.Ship', 1, {star.SHIP} + s_suppkey FROM supplier)""",
+    recursive=True,
+)
+def snapshot_record(spark, sf_dir):
+    return metrics.snapshot_record(star.code_base(spark, sf_dir), "Shop", "abc", "2024-01-02")
+
+
 # metrics
 
 

@@ -10,6 +10,8 @@ and a sparse one that keeps each supplier's most frequent followers, where struc
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,24 @@ def keyed_facts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {n: _shaped(df, n) for n, df in given.items()}
 
 
+def code_base(spark: SparkSession, sf_dir: str) -> Facts:
+    """The star facts as a code base with test projects, generated files and repeated paths: a
+    file for each customer beside those of the suppliers, referring to them; suppliers refer to
+    their most frequent followers."""
+    t = tables(spark, sf_dir)
+    f = facts(spark, sf_dir)
+    folder = "case when c_acctbal < 0 then 'Web/obj/' when c_mktsegment = 'MACHINERY' then 'Web.Tests/' else 'Web/' end"
+    own = t["customer"].selectExpr("c_custkey", f"{CUSTOMER} + c_custkey type_id", "if(c_mktsegment = 'MACHINERY', 'Web.Tests', 'Web') own_project", f"concat({folder}, c_name, '.cs') own_path", "cast(abs(c_acctbal) as int) loc", "c_acctbal < 0 generated")
+    files = own.selectExpr("own_project project", "2 project_ord", "cast(c_custkey as int) file_ord", "own_path path", "'' text", "loc")
+    again = own.filter("c_custkey % 10 = 0 and not generated").selectExpr("own_project project", "9 project_ord", "cast(c_custkey as int) file_ord", "upper(own_path) path", "'' text", "1000000 loc")
+    types = f.types.join(own.select("type_id", "own_project", "own_path"), "type_id", "left").withColumns({"project": F.coalesce("own_project", "project"), "path": F.coalesce("own_path", "path")})
+    at = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(own, F.col("o_custkey") == F.col("c_custkey"))
+    name = t["supplier"].selectExpr("s_suppkey src", "concat('Services/', s_name, '.cs') path")
+    refs = at.selectExpr(f"{SUPPLIER} + l_suppkey target_id", "own_path path").union(leading_edges(t).join(name, "src").selectExpr(f"{SUPPLIER} + dst", "path"))
+    given = {"files": f.files.select(*files.columns).union(files).union(again), "types": types, "refs": refs}
+    return replace(f, **{n: _shaped(df, n).drop("_key") for n, df in given.items()})
+
+
 def _split(text: str) -> list[str]:
     """A select list at its top-level commas."""
     out, depth, at = [], 0, 0
