@@ -44,10 +44,12 @@ def overriding(facts: Facts, bases: DataFrame | None = None) -> DataFrame:
     down = facts.bases.filter("super_id is not null").select(F.col("super_id").alias("src"), F.col("type_id").alias("dst")).distinct()
     roots = sup.select(F.col("super").alias("root"), F.col("super").alias("id")).distinct().join(down.select(F.col("src").alias("id")), "id", "left_semi")
     below = bfs(down, roots.select("root", "id")).filter("depth > 0").select(F.col("root").alias("super"), F.col("id").alias("type_id"))
-    named = cut(sup.join(below, "super").join(m, ["type_id", "name"]).filter("base <> member_id").select("base", F.col("member_id").alias("id")))
-    asked = named.select(F.col("base").alias("member_id")).union(named.select("id")).distinct()
+    # each method with the types above its own, then by (type, name): no base's methods meet all its descendants
+    asked = m.join(sup.select("name").distinct(), "name", "left_semi").join(below, "type_id")
+    named = cut(asked.join(sup, ["super", "name"]).filter("base <> member_id").select("base", F.col("member_id").alias("id")))
+    both = named.select(F.col("base").alias("member_id")).union(named.select("id")).distinct()
     types = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "type_display"))), lambda p: p["type_display"]))
-    shapes = facts.params.join(asked, "member_id", "left_semi").groupBy("member_id").agg(types.alias("shape"))
+    shapes = facts.params.join(both, "member_id", "left_semi").groupBy("member_id").agg(types.alias("shape"))
     for column in ("base", "id"):
         named = named.join(shapes.select(F.col("member_id").alias(column), F.col("shape").alias(f"of_{column}")), column, "left")
     return named.filter("of_base <=> of_id").select("base", "id").distinct()
