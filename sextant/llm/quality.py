@@ -82,6 +82,12 @@ def _whole(meta: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.column_stack([meta, ones])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def _views(part: pa.RecordBatch) -> tuple[K.Words, list[np.ndarray], np.ndarray]:
     """The words, their hashes and those of their beginnings of 4 and 5 bytes, the metadata."""
     words = K.Words(part.column("text"), lower=True)
@@ -159,13 +165,13 @@ class Docs:
         return Docs(np.append(self.flat, other.flat), np.append(self.size, other.size))
 
 
-def _read(rows: pa.RecordBatch | pa.Table) -> tuple[Docs, np.ndarray]:
-    """Rows of the feature table: the words and the metadata."""
+def _read(rows: pa.RecordBatch | pa.Table) -> tuple[Docs, np.ndarray, np.ndarray]:
+    """Rows of the feature table: the words, the numbers and the places."""
     flat = lambda c: pa.chunked_array([rows.column(c)] if isinstance(rows, pa.RecordBatch) else rows.column(c).chunks, rows.schema.field(c).type).combine_chunks()
     lists = flat("words")
     size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
     meta, hashed = (flat(c).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("meta", "hashed"))
-    return Docs(lists.flatten().to_numpy(zero_copy_only=False), size), _whole(meta, hashed)
+    return Docs(lists.flatten().to_numpy(zero_copy_only=False), size), meta, hashed
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -233,6 +239,13 @@ class Metadata:
     def logit(self, meta: np.ndarray) -> np.ndarray:
         return self._wide(meta) @ self.x
 
+    def of(self, numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The same from numbers and places, without a column for each place."""
+        k = numbers.shape[1]
+        z = np.clip((numbers - self.mean[:k]) / self.std[:k], -8, 8)
+        none, one = (np.clip((x - self.mean[k:]) / self.std[k:], -8, 8) * self.x[k : k + 2 * _HASHED] for x in (0, 1))
+        return np.column_stack([z, z**2]) @ np.append(self.x[:k], self.x[-1 - k : -1]) + none.sum() + (one - none)[places].sum(axis=1) + self.x[-1]
+
 
 class Views:
     """Both views as trained on the labelled documents and what each has received. What the metadata
@@ -247,10 +260,9 @@ class Views:
 
 def _scored(content: Content, metadata: Metadata):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                docs, meta = _read(batch)
-                yield K.as_batch(doc_id=batch.column("doc_id"), content=content.of(docs), metadata=metadata.logit(meta))
+        for batch in _pieces(batches):
+            docs, numbers, places = _read(batch)
+            yield K.as_batch(doc_id=batch.column("doc_id"), content=content.of(docs), metadata=metadata.of(numbers, places))
 
     return run
 
@@ -303,7 +315,8 @@ def _vocabulary(docs: DataFrame, ids: list[int], often: int = 5) -> np.ndarray:
 def _fetched(features: DataFrame, ids: list[int]) -> tuple[dict[int, int], Docs, np.ndarray]:
     """Rows of the feature table: the place of each, its words and its metadata."""
     table = _chosen(features, ids).select("doc_id", "words", "meta", "hashed").toArrow()
-    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, *_read(table)
+    docs, numbers, places = _read(table)
+    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, docs, _whole(numbers, places)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[CoTrained | float, DataFrame]:
@@ -356,13 +369,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     model, features = fit(keyed(docs, "doc_id", "text", "lang", "source"), labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             some = batch.column("n").to_numpy() > 0
             if isinstance(model, CoTrained):
-                docs, meta = _read(batch)
-                scores = model.scores(model.content.of(docs), model.metadata.logit(meta))
+                docs, numbers, places = _read(batch)
+                scores = model.scores(model.content.of(docs), model.metadata.of(numbers, places))
             else:
                 scores = [np.full(batch.num_rows, model)] * 3
             content, metadata, score = (np.where(some, s, 0.0) for s in scores)
