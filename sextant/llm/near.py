@@ -37,6 +37,8 @@ from sextant.llm import _tokens as K
 from sextant.llm._shared import components, cut, keyed, matched
 
 BANDS, ROWS, SHINGLE, SALTS, DEALT, PREFIX = 40, 5, 5, 16, 512, 24
+#: ids that are broadcast, 8 MB of them
+NAMED = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -236,6 +238,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     often = cut(star.groupBy("other").agg(F.count("*").alias("asked")))
     star = matched(star, often, ["other"], "asked", "id").withColumn("copies", F.expr(f"cast(1 + asked div {DEALT} as int)")).select("id", "other", "copies")
     star = cut(star.withColumn("salt", F.expr("cast(pmod(xxhash64(id), copies) as int)")))
+    # few documents meet another one: where a count says so, their ids go to all tasks and the other texts stay
+    asked = cut(star.select(F.col("id").alias("doc_id")).union(star.select("other")).distinct())
+    if asked.count() <= NAMED:
+        texts = texts.join(F.broadcast(asked), "doc_id", "left_semi")
     ends = star.select("other", "copies").distinct().join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_other")), "other")
     ends = ends.select("other", "text_other", F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
     pairs = star.select("id", "other", "salt").join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("text_id")), "id").join(ends, ["other", "salt"])
