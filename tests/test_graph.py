@@ -185,3 +185,14 @@ def test_bfs_core_degrees(spark):
     assert {r.id for r in G.core(G.scc(e, v)).collect()} == {0, 1, 2}
     assert {(r.id, r.fan_out, r.fan_in) for r in G.degrees(e, v).collect()} == {(0, 1, 1), (1, 1, 1), (2, 2, 1), (3, 1, 2), (4, 2, 1), (5, 0, 1)}
     assert {r.id: r.component for r in G.connected(e.filter("src <> 2")).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
+def test_betweenness_writes_no_states(spark, monkeypatch):
+    """A ring, whose searches take a level per node: what is written does not grow with levels and
+    sources."""
+    written, real = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, *a: written.append(df) or real(df, *a))
+    n = 30
+    e, v = frames(spark, n, [(k, (k + 1) % n) for k in range(n)])
+    assert {r.id: r.betweenness for r in C.betweenness(e, v, part=7, width=4, batch=2).collect()} == dict.fromkeys(range(n), (n - 1) * (n - 2) / 2)
+    assert len(written) <= 5
