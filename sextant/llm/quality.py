@@ -143,6 +143,16 @@ def _descend(loss_gradient, x: np.ndarray, rounds: int) -> np.ndarray:
     return x
 
 
+def _sums(index: np.ndarray, size: int, weight, step: int = 1 << 17) -> np.ndarray:
+    """Weights added up by index, in order; ``weight`` gives those of a slice, so that the driver holds
+    few of them at once."""
+    out = np.zeros(size)
+    for k in range(0, len(index), step):
+        part = slice(k, k + step)
+        np.add.at(out, index[part].astype(np.intp), weight(part))
+    return out
+
+
 class Docs:
     """Lists of vocabulary places, one after the other."""
 
@@ -186,26 +196,26 @@ class Head:
     def __init__(self, total: int, docs: Docs, y: np.ndarray, least: float = 30.0, often: int = 5):
         n, good = len(y), y.sum()
         at, of = docs.flat, docs.owner()
-        has = np.bincount(at, minlength=total).astype(float)
-        a = np.bincount(at, weights=y[of], minlength=total)
+        has = _sums(at, total, lambda k: 1.0)
+        a = _sums(at, total, lambda k: y[of[k]])
         b, c, d = has - a, good - a, (n - good) - (has - a)
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
         pick = (has >= often) & (np.nan_to_num(chi) >= least)
         use = pick[at]
-        at, of = (np.cumsum(pick) - 1)[at[use]], of[use]
+        at, of = (np.cumsum(pick) - 1).astype(np.int32)[at[use]], of[use]
         size = int(pick.sum())
 
         def gradient(x):
-            err = _sigmoid(np.bincount(of, weights=x[at], minlength=n) + x[size]) - y
-            return np.append(np.bincount(at, weights=err[of], minlength=size) + 0.02 * x[:size], err.sum()) / n
+            err = _sigmoid(_sums(of, n, lambda k: x[at[k]]) + x[size]) - y
+            return np.append(_sums(at, size, lambda k: err[of[k]]) + 0.02 * x[:size], err.sum()) / n
 
         self.x = _descend(gradient, np.zeros(size + 1), 300)
         self.dense = np.zeros(total)
         self.dense[pick] = self.x[:size]
 
     def of(self, docs: Docs) -> np.ndarray:
-        return np.bincount(docs.owner(), weights=self.dense[docs.flat], minlength=len(docs)) + self.x[-1]
+        return _sums(docs.owner(), len(docs), lambda k: self.dense[docs.flat[k]]) + self.x[-1]
 
 
 class Content:
@@ -233,8 +243,13 @@ class Metadata:
         self.x = _descend(gradient, np.zeros(z.shape[1]), 400)
 
     def _wide(self, meta: np.ndarray) -> np.ndarray:
-        z = np.clip((meta - self.mean) / self.std, -8, 8)
-        return np.column_stack([z, z[:, : -2 * _HASHED] ** 2, np.ones(len(z))])
+        n, k = meta.shape
+        wide = np.ones((n, 2 * k - 2 * _HASHED + 1))
+        z = np.subtract(meta, self.mean, out=wide[:, :k])
+        z /= self.std
+        np.clip(z, -8, 8, out=z)
+        np.square(z[:, : -2 * _HASHED], out=wide[:, k:-1])
+        return wide
 
     def logit(self, meta: np.ndarray) -> np.ndarray:
         return self._wide(meta) @ self.x
@@ -316,6 +331,7 @@ def _fetched(features: DataFrame, ids: list[int]) -> tuple[dict[int, int], Docs,
     """Rows of the feature table: the place of each, its words and its metadata."""
     table = _chosen(features, ids).select("doc_id", "words", "meta", "hashed").toArrow()
     docs, numbers, places = _read(table)
+    pa.default_memory_pool().release_unused()
     return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, docs, _whole(numbers, places)
 
 

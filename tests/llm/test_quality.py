@@ -195,3 +195,22 @@ def test_surest_of_all_documents(spark):
             sure = sorted((sign * r[1 + view], r[0]) for r in rows if r[0] not in taken and sign * r[1 + view] < -2 and sign * r[2 - view] < 0)
             want.update((i, label) for _, i in sure[:n])
         assert Q.surest(scores, view, 0.3, taken, 100) == want and len(want) == 100
+
+
+def test_heads_hold_little_beside_the_documents():
+    """Training copies neither all places nor a weight for each of them."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    size, total = np.full(2000, 500), 20_000
+    y = (np.arange(2000) % 2).astype(float)
+    flat = np.concatenate([np.sort(r.choice(10_000, 500, False)) + (0 if good else 4000) for good in y]).astype(np.int32)
+    docs = Q.Docs(flat, size)
+    tracemalloc.start()
+    try:
+        head = Q.Head(total, docs, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 14 * len(flat)
+    assert ((head.of(docs) > 0) == (y > 0)).mean() > 0.99
