@@ -205,7 +205,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     nearest member, and those that have enough of them."""
     m = _apart(members, percent)
     free = m.filter("h + least <= 0 and id <> nearest").select(F.col("id").alias("a"), F.col("nearest").alias("b"))
-    meet = _meet(m, percent)
+    meet = cut(_meet(m, percent))
     for side in "ab":
         meet = meet.join(m.select("centre", F.col("id").alias(side), F.col("h").alias(f"h_{side}"), F.col("d").alias(f"d_{side}")), ["centre", side])
     return free.union(meet.filter(f"{2 * (100 + percent)} * size(array_intersect(d_a, d_b)) >= h_a + h_b").select("a", "b"))

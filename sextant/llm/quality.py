@@ -8,15 +8,17 @@ other view learns unless it contradicts. A part of the labelled
 sample that neither view has seen calibrates the views and combines them; the combination
 scores every document.
 
-What reaches the driver is bounded: ``labelled`` documents, chosen by a hash of doc_id, and
+The views learn from a bounded number of documents: ``labelled``, chosen by a hash of doc_id, and
 ``per_round`` pseudo-labels for each view and round. The texts are read once for the vocabulary of
 the labelled documents and once for the features of all, which are kept as a table (places in the
 vocabulary, and numbers); the rounds and the scoring read that table. Scores are a table too, from
-which the surest are taken.
+which the surest are taken. A task trains both views; the driver has the ids and labels of those
+documents, the vocabulary and the model, and never their features.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -144,8 +146,8 @@ def _descend(loss_gradient, x: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def _sums(index: np.ndarray, size: int, weight, step: int = 1 << 17) -> np.ndarray:
-    """Weights added up by index, in order; ``weight`` gives those of a slice, so that the driver holds
-    few of them at once."""
+    """Weights added up by index, in order; ``weight`` gives those of a slice, so that few of them are
+    held at once."""
     out = np.zeros(size)
     for k in range(0, len(index), step):
         part = slice(k, k + step)
@@ -262,17 +264,6 @@ class Metadata:
         return np.column_stack([z, z**2]) @ np.append(self.x[:k], self.x[-1 - k : -1]) + none.sum() + (one - none)[places].sum(axis=1) + self.x[-1]
 
 
-class Views:
-    """Both views as trained on the labelled documents and what each has received. What the metadata
-    rejects is of low quality; it cannot tell toxicity."""
-
-    def __init__(self, total: int, docs: Docs, meta: np.ndarray, labels: np.ndarray, fresh: Docs, fresh_meta: np.ndarray, given: list[dict[int, float]]):
-        y = labels.min(axis=1)
-        more = [(1.0, 1.0) if good else (0.0, np.nan) for good in given[0].values()]
-        self.content = Content(total, docs + fresh.take(list(given[0])), np.vstack([labels, np.array(more).reshape(-1, 2)]))
-        self.metadata = Metadata(np.vstack([meta, fresh_meta[list(given[1])]]) if given[1] else meta, np.append(y, list(given[1].values())))
-
-
 def _scored(content: Content, metadata: Metadata):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
@@ -295,11 +286,15 @@ def surest(scores: DataFrame, view: int, share: float, taken: list[int], per_rou
 
 
 class CoTrained:
-    """Views after the last exchange, calibrated on the documents that neither has learned from."""
+    """Both views as trained on the labelled documents and what each has received (``given``, labels by
+    row of ``docs``), calibrated on the documents that neither has learned from. What the
+    metadata rejects is of low quality; it cannot tell toxicity."""
 
-    def __init__(self, views: Views, docs: Docs, meta: np.ndarray, y: np.ndarray):
-        self.content, self.metadata = views.content, views.metadata
-        both = self._joined(self.content.of(docs), self.metadata.logit(meta))
+    def __init__(self, total: int, docs: Docs, meta: np.ndarray, train: np.ndarray, held: np.ndarray, labels: np.ndarray, held_labels: np.ndarray, given: list[dict[int, float]]):
+        more = [(1.0, 1.0) if good else (0.0, np.nan) for good in given[0].values()]
+        self.content = Content(total, docs.take([*train, *given[0]]), np.vstack([labels, np.array(more).reshape(-1, 2)]))
+        self.metadata = Metadata(meta[[*train, *given[1]]], np.append(labels.min(axis=1), list(given[1].values())))
+        both, y = self._joined(self.content.of(docs.take(held)), self.metadata.logit(meta[held])), held_labels.min(axis=1)
         ones = np.ones(len(y))
         fit = lambda z: _descend(lambda x: (z.T @ (_sigmoid(z @ x) - y)) / len(y) + 1e-4 * x, np.zeros(z.shape[1]), 500)
         self.calibration = [fit(np.column_stack([both[:, k], ones])) for k in (0, 1)]
@@ -327,12 +322,19 @@ def _vocabulary(docs: DataFrame, ids: list[int], often: int = 5) -> np.ndarray:
     return np.sort(found.column("word").to_numpy().view(np.uint64))
 
 
-def _fetched(features: DataFrame, ids: list[int]) -> tuple[dict[int, int], Docs, np.ndarray]:
-    """Rows of the feature table: the place of each, its words and its metadata."""
-    table = _chosen(features, ids).select("doc_id", "words", "meta", "hashed").toArrow()
-    docs, numbers, places = _read(table)
-    pa.default_memory_pool().release_unused()
-    return {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}, docs, _whole(numbers, places)
+def _trained(rows: DataFrame, total: int, ids: np.ndarray, known: np.ndarray, given: list[dict[int, float]]) -> CoTrained:
+    """The model, from the features of the labelled documents and of those that were received. Every third
+    labelled document is left for the calibration."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        (docs, numbers, places), at = _read(table), {i: k for k, i in enumerate(table.column("doc_id").to_pylist())}
+        del table
+        own, held = np.array([at[i] for i in ids.tolist()]), np.arange(len(ids)) % 3 == 2
+        model = CoTrained(total, docs, _whole(numbers, places), own[~held], own[held], known[~held], known[held], [{at[i]: label for i, label in g.items()} for g in given])
+        yield K.as_batch(model=[pickle.dumps(model)])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[CoTrained | float, DataFrame]:
@@ -345,32 +347,27 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     known = np.array(list(sample.values()), float).reshape(-1, 2)
     if len(known) < 20 or known.min(axis=1).min() == known.min(axis=1).max():
         return float(known.min(axis=1).mean()) if len(known) else 1.0, cut(docs.mapInArrow(_placed_features(np.zeros(0, np.uint64)), _PLACED))
-    vocabulary = _vocabulary(docs, list(sample))
+    vocabulary, ids = _vocabulary(docs, list(sample)), np.array(list(sample))
     features, total = cut(docs.mapInArrow(_placed_features(vocabulary), _PLACED)), len(vocabulary)
-    at, words, meta = _fetched(features, list(sample))
-    own = np.array([at[i] for i in sample])
-    train, held = own[np.arange(len(own)) % 3 != 2], own[np.arange(len(own)) % 3 == 2]
-    is_train = np.arange(len(own)) % 3 != 2
-    base = words.take(train), meta[train], known[is_train]
-    share = float(known[is_train].min(axis=1).mean())
-    place: dict[int, int] = {}  # of the documents that any view has received
-    fresh, fresh_meta = words.take([]), meta[:0]
+    seen = ["doc_id", "words", "meta", "hashed"]
+    rows = cut(_chosen(features, list(sample)).select(*seen))
+    share = float(known[np.arange(len(ids)) % 3 != 2].min(axis=1).mean())
+    received: set[int] = set()  # by any view
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
-    views = Views(total, *base, fresh, fresh_meta, [{}, {}])
+    model = _trained(rows, total, ids, known, given)
     for _ in range(rounds):
-        scores = cut(features.mapInArrow(_scored(views.content, views.metadata), "doc_id long, content double, metadata double").join(judged, "doc_id", "left_anti"))
+        scores = cut(features.mapInArrow(_scored(model.content, model.metadata), "doc_id long, content double, metadata double").join(judged, "doc_id", "left_anti"))
         new = [surest(scores, view, share, list(given[1 - view]), per_round) for view in (0, 1)]
         if not any(new):
             break
         for view in (0, 1):
             given[1 - view].update(new[view])
-        wanted = sorted((set(new[0]) | set(new[1])) - set(place))
+        wanted = sorted((set(new[0]) | set(new[1])) - received)
         if wanted:
-            at, more, more_meta = _fetched(features, wanted)
-            place.update((i, len(fresh) + at[i]) for i in wanted)
-            fresh, fresh_meta = fresh + more, np.vstack([fresh_meta, more_meta])
-        views = Views(total, *base, fresh, fresh_meta, [{place[i]: label for i, label in g.items()} for g in given])
-    return CoTrained(views, words.take(held), meta[held], known[~is_train].min(axis=1)), features
+            received.update(wanted)
+            rows = rows.union(cut(_chosen(features, wanted).select(*seen)))
+        model = _trained(rows, total, ids, known, given)
+    return model, features
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

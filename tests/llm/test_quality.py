@@ -214,3 +214,20 @@ def test_heads_hold_little_beside_the_documents():
         tracemalloc.stop()
     assert peak < 14 * len(flat)
     assert ((head.of(docs) > 0) == (y > 0)).mean() > 0.99
+
+
+def test_the_driver_holds_no_features(spark):
+    """The documents that the views learn from go to a task; the driver has their labels and the model."""
+    import tracemalloc
+
+    docs, labels, _ = corpus(3000, seed=6)
+    docs = [(i, f"{t} {t[::-1]}", *rest) for i, t, *rest in docs]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    held = len(labels) * 266 * 8  # the metadata view's values alone
+    tracemalloc.start()
+    try:
+        model, _ = Q.fit(d, l, rounds=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert isinstance(model, Q.CoTrained) and peak < held

@@ -196,3 +196,17 @@ def test_betweenness_writes_no_states(spark, monkeypatch):
     e, v = frames(spark, n, [(k, (k + 1) % n) for k in range(n)])
     assert {r.id: r.betweenness for r in C.betweenness(e, v, part=7, width=4, batch=2).collect()} == dict.fromkeys(range(n), (n - 1) * (n - 2) / 2)
     assert len(written) <= 5
+
+
+def test_connected_runs_its_edges_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            n.add(batch.num_rows)
+            yield batch
+
+    e = spark.createDataFrame([(i, i // 2) for i in range(1, 50)] + [(60, 60), (71, 70)], "src long, dst long").mapInArrow(counted, "src long, dst long")
+    got = {r.id: r.component for r in G.connected(e).collect()}
+    assert got == {i: 0 for i in range(50)} | {60: 60, 70: 70, 71: 70}
+    assert n.value == 51
