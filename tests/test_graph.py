@@ -1,9 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sextant.operators import central as C
 from sextant.operators import graph as G
+from sextant.operators import metrics as M
 
 
 def reach(n, edges):
@@ -210,3 +214,56 @@ def test_connected_runs_its_edges_once(spark):
     got = {r.id: r.component for r in G.connected(e).collect()}
     assert got == {i: 0 for i in range(50)} | {60: 60, 70: 70, 71: 70}
     assert n.value == 51
+
+
+def cells_of(tmp_path, edges, n, part, most, files):
+    """The edges as cells in some files, by where they start."""
+    folder = tmp_path / f"cells{len(list(tmp_path.iterdir()))}"
+    folder.mkdir()
+    ends = np.array(sorted(edges))
+    for k, some in enumerate(np.array_split(np.arange(n), files)):
+        u, w = ends[np.isin(ends[:, 0], some)].T
+        rows = list(C._packed(part, most)(pa.RecordBatch.from_pydict({"u": u[i : i + 3], "w": w[i : i + 3]}) for i in range(0, len(u), 3)))
+        assert sum(len(r["to"][0].as_py()) for r in rows) == 4 * len(u) and all(len(r["to"][0].as_py()) <= 4 * most for r in rows)
+        pq.write_table(pa.Table.from_batches(rows), folder / f"{k}.parquet")
+    return C.Cells(f"file://{folder}", 1, 1, n)
+
+
+@pytest.mark.parametrize("read", [0, 16 << 20])
+def test_betweenness_of_split_rows(tmp_path, monkeypatch, read):
+    """Cells of two edges at most, so rows go on in the next one; each source searches from its own side."""
+    monkeypatch.setattr(C, "READ", read)
+    rnd = random.Random(5)
+    n = 12
+    edges = {(a, b) for a, b in ((rnd.randrange(n), rnd.randrange(n)) for _ in range(60)) if a != b}
+    out, into = cells_of(tmp_path, edges, n, 4, 2, 3), cells_of(tmp_path, {(b, a) for a, b in edges}, n, 4, 2, 3)
+    got = sum(C._block(out, into, n, first, 5) for first in (0, 5, 10))
+    assert list(got) == pytest.approx([brandes(range(n), edges)[x] for x in range(n)])
+
+
+def test_search_reads_what_it_follows(tmp_path, monkeypatch):
+    """A ring in ten files: a level of one source reads the file of its frontier alone."""
+    monkeypatch.setattr(C, "READ", 0)
+    n, files = 40, 10
+    edges = {(k, (k + 1) % n) for k in range(n)}
+    out, into = cells_of(tmp_path, edges, n, 4, 100, files), cells_of(tmp_path, {(b, a) for a, b in edges}, n, 4, 100, files)
+    read, real = [], C.Cells._cells
+    monkeypatch.setattr(C.Cells, "_cells", lambda self, path: read.append(path) or real(self, path))
+    assert list(C._block(out, into, n, 0, 1)) == [0, *range(n - 2, -1, -1)]
+    assert len(read) <= 2 * n + files
+
+
+def test_break_points_run_their_edges_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            n.add(batch.num_rows)
+            yield batch
+
+    ring = [(k, (k + 1) % 6) for k in range(6)] + [(0, 3)]
+    e = spark.createDataFrame(ring, "src long, dst long").mapInArrow(counted, "src long, dst long")
+    got = M.break_points(e, spark.range(6).select("id"), top=2).collect()
+    want = brandes(range(6), ring)
+    assert [(r.id, r.betweenness) for r in got] == sorted(((k, v) for k, v in want.items()), key=lambda x: (-x[1], x[0]))[:2]
+    assert n.value == len(ring)
