@@ -9,7 +9,7 @@ the batch that made them, so a batch that is delivered twice changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -48,32 +48,49 @@ class Snapshots:
             return self.spark.createDataFrame([], columns)
         return self.spark.read.schema(columns).parquet(*(f"{self.root}/{f}" for f in folders))
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table as of a version, the newest if none is named."""
+    def read(self, table: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets, as of a version, the newest if none is named."""
         folders = self._folders(self.version() if version is None else version)
-        return self._open(table, [f for (t, _), f in sorted(folders.items()) if t == table])
+        return self._open(table, [f for (t, b), f in sorted(folders.items()) if t == table and (buckets is None or b in buckets)])
 
     def _bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("_key"), F.lit(self.buckets)).cast("int")
 
-    def apply(self, batch: str, changed: DataFrame, deltas: dict[str, DataFrame]) -> int:
+    def hit(self, changed: DataFrame) -> list[int]:
+        """The buckets that hold the keys in ``changed`` (_key), at most ``buckets``."""
+        return sorted(r.bucket for r in changed.select(F.col("_key").cast(self.key)).select(self._bucket().alias("bucket")).distinct().collect())
+
+    def _known(self, batch: str) -> int | None:
+        """The version that holds a batch."""
+        return self._manifests().filter(F.col("batch") == batch).agg(F.min("version")).first()[0]
+
+    def take(self, batch: str, rows: DataFrame, build: Callable[[DataFrame], tuple]) -> int:
+        """Applies what ``build`` makes of the rows of a batch; of one that came before it makes nothing."""
+        known = self._known(batch)
+        return self.apply(batch, *build(rows)) if known is None else known
+
+    def apply(self, batch: str, changed: DataFrame, deltas: dict[str, DataFrame], whole: Collection[str] = ()) -> int:
         """Replaces the rows of the keys in ``changed`` (_key) by those of ``deltas``, which have _key
-        and a table's columns; tables without a delta keep theirs. Returns the version that holds
+        and a table's columns; tables without a delta keep theirs. The deltas of the tables in ``whole`` also
+        have all other rows of the buckets that are hit. Returns the version that holds
         the batch. One writer at a time; a writer that died before its manifest is done over."""
-        known = self._manifests().filter(F.col("batch") == batch).agg(F.min("version")).first()[0]
+        known = self._known(batch)
         if known is not None:
             return known
         old = self.version()
         new, folders = old + 1, self._folders(old)
         changed = changed.select(F.col("_key").cast(self.key)).distinct()
-        hit = sorted(r.bucket for r in changed.select(self._bucket().alias("bucket")).distinct().collect())  # at most ``buckets``
+        hit = self.hit(changed)
 
         def written(table: str, delta: DataFrame) -> set[int]:
             names = [c.split()[0] for c in self._open(table, []).columns]
-            kept = self._open(table, [folders[table, b] for b in hit if (table, b) in folders]).join(changed, "_key", "left_anti")
-            rows = kept.select(*names).unionByName(delta.withColumn("_key", F.col("_key").cast(self.key)).select(*names)).withColumn("bucket", self._bucket())
+            rows = delta.withColumn("_key", F.col("_key").cast(self.key)).select(*names)
+            if table not in whole:
+                kept = self._open(table, [folders[table, b] for b in hit if (table, b) in folders]).join(changed, "_key", "left_anti")
+                rows = kept.select(*names).unionByName(rows)
             to = f"{self.root}/{table}/v{new:012d}"
-            rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(to)
+            # each task writes its rows of every bucket: nothing moves for that
+            rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(to)
             return {r.bucket for r in self.spark.read.schema(f"_key {self.key}, bucket int").parquet(to).select("bucket").distinct().collect()}
 
         with ThreadPoolExecutor(4) as pool:  # tables are independent jobs
@@ -97,7 +114,7 @@ class Snapshots:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return len(dead)
 
-    def follow(self, changes: DataFrame, build: Callable[[DataFrame], tuple[DataFrame, dict[str, DataFrame]]], checkpoint: str, name: str = "stream", once: bool = False) -> StreamingQuery:
+    def follow(self, changes: DataFrame, build: Callable[[DataFrame], tuple], checkpoint: str, name: str = "stream", once: bool = False) -> StreamingQuery:
         """Applies each micro-batch of a stream: ``build`` makes the changed keys and the deltas of
-        it. The stream's batch numbers, which a restart repeats, are the batch ids."""
-        return refresh(changes, lambda rows, k: self.apply(f"{name}-{k}", *build(rows)) and None, checkpoint, once=once)
+        it, and names those that are whole. The stream's batch numbers, which a restart repeats, are the batch ids."""
+        return refresh(changes, lambda rows, k: self.take(f"{name}-{k}", rows, build) and None, checkpoint, once=once)

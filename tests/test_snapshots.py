@@ -62,3 +62,31 @@ def test_only_changed_buckets_are_rewritten(spark, tmp_path):
     assert {tuple(r) for r in store.read("a", 1).collect()} == {(k, "old") for k in "abcdefgh"}
     store.apply("3", keys(*"abcdefghz"), {"a": make()})
     assert store.read("a").collect() == [] and store.version() == 3 and store.read("a", 2).count() == 8
+
+
+def test_a_batch_that_comes_again_is_not_built(spark, tmp_path):
+    store = Snapshots(spark, f"file://{tmp_path}/s", {"a": "x string"}, key="string", buckets=2)
+    built = []
+
+    def build(rows):
+        built.append(rows)
+        return rows.select("_key"), {"a": rows}
+
+    rows_ = spark.createDataFrame([("a", "1")], "_key string, x string")
+    assert store.take("1", rows_, build) == 1 and store.take("1", rows_, build) == 1 and len(built) == 1
+
+
+def test_whole_deltas_and_replaced_lines(spark, tmp_path):
+    """Line items of null keys and doubled ones: a line that comes again takes the old one's place, null is like nothing."""
+    t = star.tables(spark, SF)
+    schema = t["lineitem"].schema
+    store = Snapshots(spark, f"file://{tmp_path}/s", star.stored_schemas(t, "types", "bases", "type_uses"), buckets=3)
+    star.created(store, t)
+    build = star.order_changes(store, t)
+    line = lambda o, n, p=1, s=1: {"l_orderkey": o, "l_linenumber": n, "l_partkey": p, "l_suppkey": s}
+    make = lambda *r: spark.createDataFrame([tuple({**dict.fromkeys(schema.names), **x}.values()) for x in r], schema)
+    store.take("1", make(line(1, 1), line(1, 1), line(1, 2), line(2, 1), line(None, 1), line(3, None)), build)
+    store.take("2", make(line(1, 1), line(1, 3), line(None, 1), line(3, None), line(4, 1)), build)
+    got = Counter((r.l_orderkey, r.l_linenumber) for r in store.read("lineitem").collect())
+    assert got == {(1, 1): 1, (1, 2): 1, (2, 1): 1, (None, 1): 2, (3, None): 2, (1, 3): 1, (4, 1): 1}
+    assert set(store.read("lineitem").columns) == {"_key", *star.LINE_KEYS}
