@@ -93,8 +93,13 @@ class Snapshots:
             rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(to)
             return {r.bucket for r in self.spark.read.schema(f"_key {self.key}, bucket int").parquet(to).select("bucket").distinct().collect()}
 
-        with ThreadPoolExecutor(4) as pool:  # tables are independent jobs
-            full = dict(zip(deltas, pool.map(written, deltas, deltas.values()), strict=True))
+        writers, held = "spark.sql.maxConcurrentOutputFileWriters", self.spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+        self.spark.conf.set(writers, max(self.buckets, int(held)))  # a file for each bucket is open at once, so rows are not sorted by it
+        try:
+            with ThreadPoolExecutor(4) as pool:  # tables are independent jobs
+                full = dict(zip(deltas, pool.map(written, deltas, deltas.values()), strict=True))
+        finally:
+            self.spark.conf.set(writers, held)
         for table in deltas:
             for b in hit:
                 folders.pop((table, b), None)
